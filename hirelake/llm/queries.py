@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import sharding, simhash, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,31 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), k=4, radius=4)
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query
+def op7_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
+
+
+@query
+def op3_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, ["doc_id"], SHARD_NAMES).select("doc_id", "slot", "shard")
+
+
+def _op3_sql() -> str:
+    owners = ",".join(map(str, sharding.lookup_table(SHARD_NAMES)))
+    return f"""
+        WITH hashed AS (
+            SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\\N')), 1, {sharding.HEX_DIGITS}) AS BIGINT) % {sharding.TABLE_PRIME} AS slot
+            FROM documents),
+        owners AS (
+            SELECT CAST(unnest(range({sharding.TABLE_PRIME})) AS BIGINT) AS slot, CAST(unnest(string_split('{owners}', ',')) AS INTEGER) AS shard)
+        SELECT doc_id, slot, shard FROM hashed JOIN owners USING (slot)"""
+
+
+ORACLE["op3_shard_placement"] = _op3_sql()
