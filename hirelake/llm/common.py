@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARROW_ROWS = 512
 
@@ -53,6 +54,14 @@ def through_disk(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame, **kinds: str) -> T.StructType:
+    """df's schema with further columns."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        out.add(name, kind)
+    return out
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
