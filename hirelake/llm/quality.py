@@ -16,8 +16,10 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ PAIRS = 60000
 STEPS = 300
 RATE = 0.3
 L2 = 1e-4
+CLIP = 12
 CUT = 0.3
 #: Character classes: other, lower case, upper case, digit, blank, line end, then one for each of these marks.
 MARKS = ".,;:!?-'\"()[]{}|*#%$&@/\\<>=+_~^`"
@@ -64,7 +67,7 @@ def features(text: bytes) -> np.ndarray:
         single += np.bincount(kind[:CHARS], minlength=CLASSES)
         coarse = np.minimum(kind, 6).astype(np.int64)
         pair += np.bincount(coarse[:-1] * 8 + coarse[1:], minlength=64).reshape(8, 8)
-    n = max(1, len(points))
+    n = len(points)
     tokens = text.split()
     size = np.array([len(t) for t in tokens]) if tokens else np.zeros(1)
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -77,11 +80,14 @@ def features(text: bytes) -> np.ndarray:
         np.log1p(len(tokens) / max(1, len(lines))),
         len(set(lines)) / max(1, len(lines)),
         len(set(lower)) / max(1, len(lower)) if lower else 1.0,
+        np.log(len(set(lower)) / max(1, len(lower)) + 0.01) if lower else 0.0,
+        max(Counter(lower).values()) / len(lower) if len(lower) > 20 else 0.05,
+        np.sqrt(sum(map(eq, lower, lower[1:])) / max(1, len(lower))),
         float(np.mean(size == 1)),
         float(np.mean(size <= 3)),
         float(np.mean(size > 12)),
     ]
-    shares = np.concatenate([single, pair[:7, :7].ravel()]) / n
+    shares = np.concatenate([single, pair[:7, :7].ravel()]) / (n + 20)
     return np.concatenate([np.log(shares + 1e-3), np.sqrt(shares), stats]).astype(np.float32)
 
 
@@ -93,7 +99,7 @@ class Ranker:
     cut: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+        return np.clip((x - self.mean) / self.scale, -CLIP, CLIP) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         shift = np.log(CUT / (1 - CUT))
@@ -106,7 +112,7 @@ def fit(x: np.ndarray, label: np.ndarray) -> Ranker | None:
     if not len(good) or not len(bad):
         return None
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = np.clip((x - mean) / scale, -CLIP, CLIP)
     rng = np.random.default_rng(11)
     better, worse = rng.choice(good, PAIRS), rng.choice(bad, PAIRS)
     w, first, second = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
