@@ -58,7 +58,7 @@ def widened(df: DataFrame, **kinds: str) -> T.StructType:
     """df's schema with further columns."""
     out = T.StructType(list(df.schema.fields))
     for name, kind in kinds.items():
-        out.add(name, kind)
+        out.add(name, T.StructType.fromDDL(f"x {kind}")[0].dataType)
     return out
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, quality, sharding, simhash, vectors
+from . import language, quality, sentencepieces, sharding, simhash, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +62,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+def tokens(docs: DataFrame, model_path: str) -> DataFrame:
+    done = sentencepieces.encode_decode(docs.select("doc_id", "text"), model_path)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
