@@ -18,7 +18,8 @@ columns are kept as they are; columns named like the new ones are replaced; an e
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -62,8 +63,11 @@ class Vocabulary:
         v.whole = [p for p in v.scores if len(p) == 1 or v.merge(p) == [p]]
         return v
 
-    def merge(self, text: str) -> list[str]:
-        """Merges the pair of highest score, the leftmost of equals, until none is a piece."""
+    def merge(self, text: str, seen: Callable[[str, int, bool], object] | None = None) -> list[str]:
+        """Merges the pair of highest score, the leftmost of equals, until none is a piece.
+
+        seen gets each merged part, its start, and whether it ends the text.
+        """
         n, score = len(text), self.scores
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         part: list[str] = list(text)
@@ -83,6 +87,8 @@ class Vocabulary:
                 continue
             part[i], part[j] = joined, ""
             right[i] = right[j]
+            if seen:
+                seen(joined, i, right[i] >= n)
             if right[i] < n:
                 left[right[i]] = i
             for a, b in ((left[i], i), (i, right[i])):
@@ -103,7 +109,7 @@ class _Chunks(dict):
     def __missing__(self, word: str) -> tuple[bytes, bytes]:
         found = self.old.get(word)
         if found is None:
-            found = self.coder.chunk(self.prefix + word)
+            found = self._cut(word) or self.coder.chunk(self.prefix + word)
             if len(word) > SHORT:
                 return found
         if len(self) >= CACHE:
@@ -113,6 +119,17 @@ class _Chunks(dict):
         return found
 
 
+    def _cut(self, word: str) -> tuple[bytes, bytes] | None:
+        """A word with a border that no piece crosses, from its parts."""
+        pairs = self.coder.within
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+        if not cuts:
+            return None
+        parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
+        found = [self[parts[0]], *[self.coder.bare[p] for p in parts[1:]]]
+        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+
+
 class Coder:
     """Encodes and decodes with a vocabulary; one per Python worker."""
 
@@ -122,8 +139,9 @@ class Coder:
         for p in vocabulary.whole:
             self.automaton.add_word(p, (vocabulary.ids[p], len(p)))
         self.automaton.make_automaton()
-        self.single = {p for p in vocabulary.whole if len(p) == 1}
+        self.within = {p[i : i + 2] for p in vocabulary.scores for i in range(len(p) - 1)}
         self.pairs: dict[int, bool] = {}
+        self.edges: dict[int, tuple[list[str], list[str]]] = {}
         self.spaced, self.bare = _Chunks(self, MARK), _Chunks(self, "")
         self.line_end = not any("\n" in p for p in vocabulary.scores)
         self.raw = [b"" if i == vocabulary.end else p.replace(MARK, " ").encode() for i, p in enumerate(vocabulary.pieces)]
@@ -136,12 +154,24 @@ class Coder:
         found = self.pairs.get(key)
         if found is None:
             x, y = self.v.pieces[a], self.v.pieces[b]
-            found = self.v.merge(x + y) == [x, y]
+            score = self.v.scores
+            # without a piece across the border at any stage there is nothing to merge
+            found = not any(r + q in score for r in self._edges(a)[1] for q in self._edges(b)[0]) or self.v.merge(x + y) == [x, y]
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[key] = found
         return found
 
+    def _edges(self, piece: int) -> tuple[list[str], list[str]]:
+        """What stands leftmost and rightmost in a piece while it is merged."""
+        found = self.edges.get(piece)
+        if found is None:
+            text = self.v.pieces[piece]
+            first, last = {text[0], text}, {text[-1], text}
+            self.v.merge(text, lambda part, at, end: (first.add(part) if at == 0 else None, last.add(part) if end else None))
+            found = self.edges[piece] = (list(first), list(last))
+        return found
+
     def table(self, text: str) -> list[int]:
         """Ids of a chunk without runs of spaces, by the last tokens of its prefixes."""
         last, size = [-1] * (len(text) + 1), [1] * (len(text) + 1)
@@ -180,7 +210,7 @@ class Coder:
     def chunk(self, text: str) -> tuple[bytes, bytes]:
         """A chunk's ids as 4 bytes each, and what they decode to."""
         ids = self.chunk_ids(text)
-        return np.array(ids, np.int32).tobytes(), self.pieces(ids)
+        return array("i", ids).tobytes(), self.pieces(ids)
 
     def pieces(self, ids: list[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
