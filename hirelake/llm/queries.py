@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality, sentencepieces, sharding, simhash, vectors, warc
+from . import decontaminate, html, language, quality, sentencepieces, sharding, simhash, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ ORACLE["op8_warc"] = """
         CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
     FROM p LEFT JOIN first USING (digest)"""
+
+
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
