@@ -172,3 +172,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def hex_fingerprint(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 4) -> DataFrame:
+    """docs with one row of each component: of those with the smallest id, one; a component without ids keeps one row."""
+    keyed = through_disk(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = simhash_components(keyed.select(F.col("_row").alias("doc_id"), text_col), "doc_id", text_col, k, radius)
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
+    first = keyed.select("_row", id_col).join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    return keyed.join(first, "_row", "left_semi").drop("_row")
