@@ -12,6 +12,11 @@ def clamp(c: Column | str, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c.cast("double"))))
 
 
+def round4(c: Column) -> Column:
+    """To 4 places, half up: a billionth is added, so that a half that binary doubles can't hold isn't lost."""
+    return F.round(c + 1e-9, 4)
+
+
 def in_order(value: str, *order: str, sep: str | None = ",") -> Column:
     """An aggregate: the values of a group in the order of other columns, joined (or an array without sep)."""
     rows = F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v"))))

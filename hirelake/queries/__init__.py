@@ -1,3 +1,3 @@
 """The registered queries, by part."""
 
-from . import matching  # noqa: F401
+from . import growth, matching, profiles  # noqa: F401

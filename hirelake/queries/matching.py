@@ -59,7 +59,7 @@ def scored_sql(weights: dict[str, float], source: str, years: str = "c.years", s
         FROM {source} v JOIN fx_jobs j ON j.job_id = v.job_id JOIN fx_candidates c ON c.candidate_id = v.candidate_id LEFT JOIN bands b ON b.seniority = j.seniority),
     sums AS (SELECT *, {weights['required']} * required_score + {weights['optional']} * optional_score + {weights['semantic']} * semantic_score + {weights['experience']} * years_score + {weights['seniority']} * seniority_score AS before_cap,
         CASE WHEN n_required > 0 THEN 0.3 + 0.7 * required_score ELSE 1.0 END AS cap FROM parts),
-    scored AS (SELECT *, round(before_cap, 4) AS pre_cap_score, round(cap, 4) AS score_cap, round(least(before_cap, cap), 4) AS final_score FROM sums)"""
+    scored AS (SELECT *, round(before_cap + 1e-9, 4) AS pre_cap_score, round(cap + 1e-9, 4) AS score_cap, round(least(before_cap, cap) + 1e-9, 4) AS final_score FROM sums)"""
 
 
 SCORE_VIEWS = f"{MATCH_VIEWS} fx_jobs fx_candidates bands"
@@ -183,7 +183,7 @@ def e14_evidence(fx: Fixtures) -> DataFrame:
 
 @query(
     "fx_cv_text",
-    """WITH t AS (SELECT candidate_id, list_filter(string_split_regex(replace(replace(lower(text), '/', ' '), ',', ' '), '\\s+'), x -> x <> '') AS w FROM fx_cv_text)
+    """WITH t AS (SELECT candidate_id, list_filter(string_split_regex(replace(replace(lower(text), '/', ' '), ',', ' '), '\\s+'), lambda x: x <> '') AS w FROM fx_cv_text)
         SELECT candidate_id, len(list_distinct(w)) / CAST(len(w) AS DOUBLE) >= 0.35 AS unstuffed FROM t""",
 )
 def e15_unstuffed(fx: Fixtures) -> DataFrame:
@@ -287,8 +287,8 @@ def _cross(fx: Fixtures) -> DataFrame:
 
 RERANKED = f"""{RANKED}, crossed AS (SELECT job_id, candidate_id, CAST((candidate_id * 3 + job_id) % 11 AS DOUBLE) / 10.0 AS cross_score FROM fx_matches_old),
     deltas AS (SELECT r.*, CASE WHEN rank <= 20 AND cross_score IS NOT NULL THEN greatest(-0.05, least(0.05, 0.25 * (least(1.0, cross_score) - final_score))) END AS delta FROM ranked r LEFT JOIN crossed x ON x.job_id = r.job_id AND x.candidate_id = r.candidate_id),
-    moved AS (SELECT job_id, candidate_id, rank AS base_rank, coalesce(round(delta, 4), 0.0) AS adjustment,
-        CASE WHEN delta IS NULL THEN final_score ELSE round(least(greatest(0.0, least(1.0, final_score + delta)), score_cap), 4) END AS new_score FROM deltas WHERE rank <= 50),
+    moved AS (SELECT job_id, candidate_id, rank AS base_rank, coalesce(round(delta + 1e-9, 4), 0.0) AS adjustment,
+        CASE WHEN delta IS NULL THEN final_score ELSE round(least(greatest(0.0, least(1.0, final_score + delta)), score_cap) + 1e-9, 4) END AS new_score FROM deltas WHERE rank <= 50),
     reranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY new_score DESC, candidate_id) AS new_rank FROM moved)"""
 
 
