@@ -63,7 +63,7 @@ def extract_contacts(df: DataFrame) -> DataFrame:
 
 def extract_name(c: str = "text") -> Column:
     """The first line if it is short and holds no contact, else the first line of capitalised words of ten."""
-    rows = F.filter(F.transform(F.split(text(c), "\n"), F.trim), lambda s: s != "")
+    rows = F.filter(F.transform(F.split(text(c), "\n"), lambda s: F.trim(s)), lambda s: s != "")
     first = F.try_element_at(rows, F.lit(1))
     plain = (F.size(F.split(first, "\\s+")) <= 5) & (F.length(first) <= 60) & ~first.rlike(EMAIL) & ~first.rlike(PHONE)
     titled = F.try_element_at(F.filter(F.slice(rows, 1, 10), lambda s: s.rlike(r"^(?:\p{Lu}[\p{L}'-]+\s+){1,3}\p{Lu}[\p{L}'-]+$")), F.lit(1))
@@ -72,7 +72,7 @@ def extract_name(c: str = "text") -> Column:
 
 def spoken_languages(c: Column) -> Column:
     low = F.lower(c)
-    return F.filter(F.array(*[F.lit(x) for x in SPOKEN]), lambda x: low.rlike(F.concat(F.lit("\\b"), x, F.lit("\\b"))))
+    return F.filter(F.array(*[F.lit(x) for x in SPOKEN]), lambda x: F.regexp_like(low, F.concat(F.lit("\\b"), x, F.lit("\\b"))))
 
 
 def sentences(df: DataFrame, key: str = "candidate_id") -> DataFrame:
@@ -87,7 +87,9 @@ def skill_mentions(rows: DataFrame, named: DataFrame, key: str = "candidate_id")
     """(key, pos, skill, status, level, confidence) of the skills named in each sentence (key, pos, sentence)."""
     both = rows.join(named, [key, "pos"])
     low = F.lower("sentence")
-    phrase = F.try_element_at(F.filter(F.array(*[F.lit(p) for p in STATUS_PHRASES]), lambda p: (F.instr(low, p) > 0) & (F.abs(F.instr(low, p) - F.instr(low, F.col("skill"))) < 100)), F.lit(1))
+    # the skill is masked, as its own name may hold a phrase (deep learning)
+    masked = F.replace(low, F.lower("skill"), F.lit("\u0001"))
+    phrase = F.try_element_at(F.filter(F.array(*[F.lit(p) for p in STATUS_PHRASES]), lambda p: (F.instr(masked, p) > 0) & (F.abs(F.instr(masked, p) - F.instr(masked, F.lit("\u0001"))) < 100)), F.lit(1))
     years = F.regexp_extract(low, "(\\d{1,2})\\+?\\s*(?:years|yrs)", 1)
     n = F.when(years != "", years.cast("int"))
     status = F.when(phrase.contains("learn"), "learning").when(phrase.isNotNull(), "no_experience").otherwise("has_experience")
@@ -160,7 +162,7 @@ def legacy_years(c: Column) -> Column:
 
 
 def job_title(c: str = "text") -> Column:
-    rows = F.filter(F.transform(F.split(text(c), "\n"), F.trim), lambda s: s != "")
+    rows = F.filter(F.transform(F.split(text(c), "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return F.substring(F.try_element_at(rows, F.lit(1)), 1, 120)
 
 

@@ -11,12 +11,15 @@ MAX_GRAM = 4
 
 
 def grams(df: DataFrame, text: str, key: str, longest: int = MAX_GRAM) -> DataFrame:
-    """(key, gram) of the normalised text's word n-grams; a gram's closing dots are dropped as a sentence's end."""
-    tokens = F.split(norm_text(text), " ")
-    runs = [F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=n: F.array_join(F.slice("w", i + 1, n), " ")) for n in range(1, longest + 1)]
-    some = [F.when(F.size("w") >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
-    exploded = df.select(key, tokens.alias("w")).select(key, F.explode(F.array_distinct(F.concat(*some))).alias("gram"))
-    return exploded.select(key, F.explode(F.array_distinct(F.array("gram", F.regexp_replace("gram", "\\.+$", "")))).alias("gram"))
+    """(key, gram) of the normalised text's word n-grams, repeats included; also without closing dots, as a sentence ends."""
+
+    def runs(n: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return some if n == 1 else F.when(F.size("w") >= n, some).otherwise(F.array().cast("array<string>"))
+
+    exploded = df.select(key, F.split(norm_text(text), " ").alias("w")).select(key, F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("gram"))
+    dotted = F.col("gram").endswith(".")
+    return exploded.select(key, F.explode(F.when(dotted, F.array("gram", F.regexp_replace("gram", "\\.+$", ""))).otherwise(F.array("gram"))).alias("gram"))
 
 
 def names(catalog: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -27,7 +30,9 @@ def names(catalog: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def extract_skills(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id", text: str = "text") -> DataFrame:
     """(key, skill): every catalog skill that the text names, by an equi join of its n-grams."""
-    return grams(docs, text, key).join(names(catalog, aliases), "gram").select(key, "skill").distinct()
+    known = names(catalog, aliases)
+    longest = known.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+    return grams(docs, text, key, min(longest, MAX_GRAM)).join(known, "gram").select(key, "skill").distinct()
 
 
 def mention_pattern(skill: str) -> str:

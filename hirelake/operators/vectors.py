@@ -123,9 +123,10 @@ def skill_definitions(skills: DataFrame, docs: DataFrame) -> DataFrame:
 
     of_skill = docs.where("category = 'skill'").select("doc_id", "title", "content", "tag")
     wanted = skills.select("skill").distinct()
+    longest = wanted.agg(F.max(F.size(F.split("skill", " ")))).first()[0] or 1
     tag = of_skill.join(wanted, F.col("tag") == F.col("skill")).select("skill", "doc_id", F.lit(3).alias("score"))
-    title = grams(of_skill, "title", "doc_id").join(wanted, F.col("gram") == F.col("skill")).select("skill", "doc_id", F.lit(2).alias("score"))
-    body = grams(of_skill, "content", "doc_id").join(wanted, F.col("gram") == F.col("skill")).select("skill", "doc_id", F.lit(1).alias("score"))
+    title = grams(of_skill, "title", "doc_id", longest).join(wanted, F.col("gram") == F.col("skill")).select("skill", "doc_id", F.lit(2).alias("score"))
+    body = grams(of_skill, "content", "doc_id", longest).join(wanted, F.col("gram") == F.col("skill")).select("skill", "doc_id", F.lit(1).alias("score"))
     return tag.unionByName(title).unionByName(body).groupBy("skill").agg(F.max_by(F.struct("doc_id", "score"), F.struct(F.col("score"), -F.col("doc_id"))).alias("m")).select("skill", "m.doc_id", "m.score")
 
 

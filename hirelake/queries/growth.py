@@ -368,9 +368,9 @@ def j5_invalidate_jobs(fx: Fixtures) -> DataFrame:
     return fx.fx_matches_old.join(R.changed_jobs(fx.fx_jobs, new, ["title", "seniority"]), "job_id", "left_anti").select("job_id", "candidate_id")
 
 
-@query("fx_tasks", "SELECT owner_id AS actor_user_id, 'task' AS entity_type, task_id AS entity_id, status AS action, CAST(ts AS DATE) AS day FROM fx_tasks WHERE status <> 'queued'")
+@query("fx_tasks", "SELECT owner_id AS actor_user_id, 'task' AS entity_type, task_id AS entity_id, status AS action, strftime(ts, '%Y-%m-%d') AS day FROM fx_tasks WHERE status <> 'queued'")
 def j6_audit(fx: Fixtures) -> DataFrame:
-    return fx.fx_tasks.where("status <> 'queued'").select(F.col("owner_id").alias("actor_user_id"), F.lit("task").alias("entity_type"), F.col("task_id").alias("entity_id"), F.col("status").alias("action"), F.to_date("ts").alias("day"))
+    return fx.fx_tasks.where("status <> 'queued'").select(F.col("owner_id").alias("actor_user_id"), F.lit("task").alias("entity_type"), F.col("task_id").alias("entity_id"), F.col("status").alias("action"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
 @query("fx_matches_old", "SELECT job_id, candidate_id, scoring_model <> 'hybrid_v2' AS is_stale FROM fx_matches_old")
