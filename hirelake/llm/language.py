@@ -116,7 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = grams(letters(text or ""))
             held.setdefault(lang, []).append(h)
             size += len(h)
-            if size >= 4 * FLUSH:
+            if size >= 2 * FLUSH:
                 yield from out()
                 held, size = {}, 0
     yield from out()
