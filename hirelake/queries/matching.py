@@ -200,10 +200,14 @@ def e16_adjust_confidence(fx: Fixtures) -> DataFrame:
     return M.adjust_confidence(s.select("candidate_id", "skill", "confidence"), s, M.evidence(s, none))
 
 
-@query("synonyms broad_terms", "SELECT skill, related, CASE WHEN skill IN (SELECT skill FROM broad_terms) THEN 'related' ELSE 'synonym' END AS match_type, o.n FROM synonyms JOIN (SELECT count(*) AS n FROM part) o ON true WHERE skill IN (SELECT skill FROM broad_terms) OR related NOT IN (SELECT skill FROM broad_terms)")
+@query(
+    f"{SKILLS} synonyms broad_terms",
+    """SELECT candidate_id, s.skill, related, CASE WHEN s.skill IN (SELECT skill FROM broad_terms) THEN 'related' ELSE 'synonym' END AS match_type FROM synonyms s JOIN fx_candidate_skills c ON c.skill = related
+        WHERE c.status <> 'no_experience' AND (s.skill IN (SELECT skill FROM broad_terms) OR related NOT IN (SELECT skill FROM broad_terms))""",
+)
 def e17_broad_guard(fx: Fixtures) -> DataFrame:
-    n = fx.part.agg(F.count("*").alias("n"))
-    return M.broad_guard(fx.synonyms, fx.broad_terms).crossJoin(F.broadcast(n))
+    own = fx.fx_candidate_skills.where("status <> 'no_experience'").select("candidate_id", F.col("skill").alias("related"))
+    return M.broad_guard(fx.synonyms.join(own, "related"), fx.broad_terms)
 
 
 @query(MATCH_VIEWS, f"WITH {MATCHES} SELECT * FROM matches")
