@@ -277,8 +277,11 @@ def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"g_{c}"))
     named = found.where("bits > 0").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"x": F.coalesce("g_a", "a"), "y": F.coalesce("g_b", "b")}).where("x <> y")
     nearest = named.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
-    pairs = saved(nearest)
-    one, two = rows.select(F.col("row").alias("a"), F.col("text").alias("left")), rows.select(F.col("row").alias("b"), F.col("text").alias("right"))
+    pairs = through_disk(nearest, "pairs")
+    # only the texts of unsure pairs move; as a table its size is known, so a short list is broadcast and a long one shuffled
+    ends = through_disk(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
+    some = through_disk(rows.select("row", "text").join(ends, "row"), "unsure")
+    one, two = some.select(F.col("row").alias("a"), F.col("text").alias("left")), some.select(F.col("row").alias("b"), F.col("text").alias("right"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,5 +306,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = through_disk(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
     found = similar_rows(keyed.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text")), k, similarity)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
-    first = keyed.select("_row", id_col).join(found.withColumnRenamed("row", "_row"), "_row").groupBy("component").agg(F.min_by("_row", order).alias("_row")).select("_row")
-    return keyed.join(first, "_row", "left_semi").drop("_row")
+    placed = saved(keyed.select("_row", id_col).join(found.withColumnRenamed("row", "_row"), "_row"))
+    first = placed.groupBy("component").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    # the rows that go are a table of their own: if it is small it is broadcast and no text moves
+    copies = through_disk(placed.select("_row").join(first, "_row", "left_anti"), "copies")
+    return keyed.join(copies, "_row", "left_anti").drop("_row")
