@@ -17,7 +17,6 @@ TOTALS = "totals AS (SELECT job_id, sum(CASE WHEN required THEN 1 ELSE 0 END) AS
 OWN = "own AS (SELECT candidate_id, skill, status, context FROM fx_candidate_skills WHERE status <> 'no_experience')"
 DENIED = "denied AS (SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status = 'no_experience')"
 EXPANDED = "expanded AS (SELECT candidate_id, skill FROM own UNION SELECT candidate_id, related FROM own JOIN synonyms USING (skill))"
-TEXT_HITS = "text_hits AS (SELECT candidate_id, skill FROM fx_cv_slots, LATERAL (VALUES (s0), (s1), (s2)) AS v(skill))"
 #: The tiers of match_skills in SQL.
 MATCHES = f"""{NEED}, {OWN}, {DENIED}, hits AS (SELECT candidate_id, s0 AS skill FROM fx_cv_slots UNION SELECT candidate_id, s1 FROM fx_cv_slots UNION SELECT candidate_id, s2 FROM fx_cv_slots),
     not_positive AS (SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status IN ('no_experience', 'learning')),
@@ -40,12 +39,8 @@ MATCHES = f"""{NEED}, {OWN}, {DENIED}, hits AS (SELECT candidate_id, s0 AS skill
 MATCH_VIEWS = "fx_job_skills fx_candidate_skills synonyms broad_terms fx_cv_slots fx_feedback"
 COVERAGE = f"""{MATCHES}, {TOTALS}, cov AS (SELECT m.job_id, m.candidate_id, t.n_required,
         CASE WHEN t.n_required = 0 THEN 1.0 ELSE CAST(sum(CASE WHEN required THEN CAST(confidence AS DECIMAL(10,4)) ELSE 0 END) AS DOUBLE) / t.n_required END AS required_score,
-        CASE WHEN t.n_optional = 0 THEN 0.0 ELSE CAST(sum(CASE WHEN required THEN 0 ELSE CAST(confidence AS DECIMAL(10,4)) END) AS DOUBLE) / t.n_optional END AS optional_score,
-        coalesce(string_agg(CASE WHEN required THEN skill END, ',' ORDER BY skill), '') AS matched_required,
-        coalesce((SELECT string_agg(n.skill, ',' ORDER BY n.skill) FROM need n WHERE n.job_id = m.job_id AND n.required
-            AND n.skill NOT IN (SELECT x.skill FROM matches x WHERE x.job_id = m.job_id AND x.candidate_id = m.candidate_id AND x.required)), '') AS missing_required
+        CASE WHEN t.n_optional = 0 THEN 0.0 ELSE CAST(sum(CASE WHEN required THEN 0 ELSE CAST(confidence AS DECIMAL(10,4)) END) AS DOUBLE) / t.n_optional END AS optional_score
         FROM matches m JOIN totals t ON t.job_id = m.job_id GROUP BY m.job_id, m.candidate_id, t.n_required, t.n_optional)"""
-SIMPLE_COVERAGE = COVERAGE[: COVERAGE.index("coalesce(string_agg")].rstrip().rstrip(",") + " FROM matches m JOIN totals t ON t.job_id = m.job_id GROUP BY m.job_id, m.candidate_id, t.n_required, t.n_optional)"
 
 
 def seniority_sql(years: str) -> str:
@@ -63,7 +58,7 @@ def scored_sql(weights: dict[str, float], source: str, years: str = "c.years", s
 
 
 SCORE_VIEWS = f"{MATCH_VIEWS} fx_jobs fx_candidates bands"
-SCORED = f"{SIMPLE_COVERAGE}, {scored_sql(M.WEIGHTS, 'cov')}"
+SCORED = f"{COVERAGE}, {scored_sql(M.WEIGHTS, 'cov')}"
 RANKED = f"{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, candidate_id) AS rank FROM scored)"
 
 
@@ -231,7 +226,7 @@ def e21_feedback_pairs(fx: Fixtures) -> DataFrame:
     return M.feedback_pairs(fx.fx_feedback)
 
 
-@query(MATCH_VIEWS, f"WITH {SIMPLE_COVERAGE} SELECT job_id, candidate_id, n_required, round(required_score, 6) AS required_score, round(optional_score, 6) AS optional_score FROM cov")
+@query(MATCH_VIEWS, f"WITH {COVERAGE} SELECT job_id, candidate_id, n_required, round(required_score, 6) AS required_score, round(optional_score, 6) AS optional_score FROM cov")
 def e22_coverage(fx: Fixtures) -> DataFrame:
     return M.coverage(_matches(fx), fx.fx_job_skills).select(*M.PAIR, "n_required", F.round("required_score", 6).alias("required_score"), F.round("optional_score", 6).alias("optional_score"))
 
@@ -282,7 +277,7 @@ def e28_explain_score(fx: Fixtures) -> DataFrame:
             concat_ws('; ', CASE WHEN required_score < 0.5 THEN 'Consider if transferable skills apply' END, CASE WHEN over_q THEN 'Discuss career goals and role fit' END) AS recommendations FROM flags""",
 )
 def e29_reasoning(fx: Fixtures) -> DataFrame:
-    return _scored(fx).select(*M.PAIR, "strengths", "seniority_match", "recommendations")
+    return P.explained(_scored(fx), _matches(fx), fx.fx_job_skills).select(*M.PAIR, "strengths", "seniority_match", "recommendations")
 
 
 def _cross(fx: Fixtures) -> DataFrame:
@@ -319,10 +314,14 @@ def e32_rank_legacy(fx: Fixtures) -> DataFrame:
     return P.rank_legacy(fx.fx_jobs, fx.fx_candidates, fx.fx_job_skills, fx.fx_candidate_skills, fx.synonyms, fx.bands, 20).select(*M.PAIR, "final_score", "rank")
 
 
-@query(SCORE_VIEWS, f"WITH {RANKED} SELECT job_id, candidate_id, final_score, score_cap, rank FROM ranked WHERE rank <= 10")
+@query(SCORE_VIEWS, f"""WITH {RANKED}, top AS (SELECT * FROM ranked WHERE rank <= 10)
+        SELECT t.job_id, t.candidate_id, t.final_score, t.score_cap, t.rank, coalesce(string_agg(m.skill, ',' ORDER BY n.skill), '') AS matched_required,
+            coalesce(string_agg(CASE WHEN m.skill IS NULL THEN n.skill END, ',' ORDER BY n.skill), '') AS missing_required
+        FROM top t LEFT JOIN need n ON n.job_id = t.job_id AND n.required LEFT JOIN matches m ON m.job_id = t.job_id AND m.candidate_id = t.candidate_id AND m.skill = n.skill
+        GROUP BY t.job_id, t.candidate_id, t.final_score, t.score_cap, t.rank""")
 def e33_match_all(fx: Fixtures) -> DataFrame:
     found = P.match_all(fx.fx_jobs, fx.fx_candidates, fx.fx_job_skills, fx.fx_candidate_skills, fx.synonyms, fx.broad_terms, fx.bands, _slot_hits(fx), fx.fx_feedback, k=10)
-    return found.select(*M.PAIR, "final_score", "score_cap", "rank")
+    return found.select(*M.PAIR, "final_score", "score_cap", "rank", "matched_required", "missing_required")
 
 
 @query(
@@ -353,7 +352,7 @@ def e36_is_current(fx: Fixtures) -> DataFrame:
 
 @query(
     f"{SCORE_VIEWS} fx_matches_old",
-    f"""WITH {SIMPLE_COVERAGE}, old AS (SELECT *, interview_score IS NOT NULL OR (scoring_model = 'hybrid_v2' AND abs(weight_required - 0.55) <= 0.0001) AS cur FROM fx_matches_old),
+    f"""WITH {COVERAGE}, old AS (SELECT *, interview_score IS NOT NULL OR (scoring_model = 'hybrid_v2' AND abs(weight_required - 0.55) <= 0.0001) AS cur FROM fx_matches_old),
         stale AS (SELECT c.*, o.semantic, o.scoring_model FROM cov c JOIN old o ON o.job_id = c.job_id AND o.candidate_id = c.candidate_id WHERE NOT cur),
         {scored_sql(M.WEIGHTS, 'stale', semantic='v.semantic')}
         SELECT job_id, candidate_id, final_score AS score, scoring_model AS previous_model FROM scored
