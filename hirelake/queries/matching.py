@@ -130,7 +130,7 @@ LEGACY = f"""{NEED}, {TOTALS}, {OWN}, {EXPANDED},
 
 @query(f"fx_job_skills {SKILLS} synonyms", f"WITH {LEGACY} SELECT job_id, candidate_id, required_score, optional_score, skill_score, matched_required, matched_optional FROM legacy")
 def e8_coverage_legacy(fx: Fixtures) -> DataFrame:
-    return M.coverage_legacy(fx.fx_job_skills, fx.fx_candidate_skills, fx.synonyms).drop("missing_required")
+    return M.coverage_legacy(fx.fx_job_skills, fx.fx_candidate_skills, fx.synonyms)
 
 
 @query(
