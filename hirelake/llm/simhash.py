@@ -5,7 +5,8 @@ radius are found in three steps: (1) pigeonhole blocks give every pair within th
 (2) below a key, a table of Hamming distances to fixed reference fingerprints discards a pair whose
 coordinates differ by more than the radius (triangle inequality, so it loses nothing); (3) the exact
 distance verifies the rest. Links found below a key are at once reduced to a spanning forest, so that a
-large group of near copies costs as many rows as it has fingerprints and never all its pairs.
+large group of near copies costs as many rows as it has fingerprints and never all its pairs. A key with very many
+fingerprints is dealt out by pairs of chunks.
 
 The pivot table alone can't bound the candidates: distances of independent 64-bit fingerprints to any
 reference lie within a few bits of 32. Hence step (1) before it.
@@ -32,6 +33,7 @@ from .common import arrow_batches, components, runs, saved, spanning_links, text
 SEED = 42
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(16)], dtype=np.uint64)
 SMALL_RUN = 48
+HOT_KEY = 50_000
 TILE = 1 << 22
 
 
@@ -146,17 +148,26 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
 
+def dealt(keyed: DataFrame, value: str, cap: int | None = None) -> DataFrame:
+    """keyed, partitioned and sorted by key; a key of more than `cap` rows is cut into chunks by its values' hash.
+
+    Each of its rows goes to every pair of chunks with its own, under a key of that pair, so that no pair of rows is lost
+    and no task gets more than two chunks of a key.
+    """
+    cap = cap or HOT_KEY
+    hot = through_disk(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("int").alias("chunks")), "hot-keys")
+    own = F.pmod(F.xxhash64(value), F.col("chunks")).cast("int")
+    marked = keyed.join(hot, "key", "left").withColumns({"own": own, "other": F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))})
+    key = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return marked.withColumn("key", key).select(keyed.columns).repartition("key").sortWithinPartitions("key")
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 4, spare: int = 3) -> DataFrame:
     """Links (a, b) that join all fingerprints of column fp within the radius, as spanning forests per key."""
     masks = [_signed(m) for m in block_masks(radius, spare)]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    return (
-        fps.select(F.explode(keys).alias("key"), "fp")
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(lambda it: _links(it, radius), "a long, b long")
-        .distinct()
-    )
+    keyed = fps.select(F.explode(keys).alias("key"), "fp")
+    return dealt(keyed, "fp").mapInArrow(lambda it: _links(it, radius), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
@@ -270,8 +281,8 @@ def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     arrow_batches(rows.sparkSession)
     prints = through_disk(rows.select("row", "text").mapInArrow(lambda it: _wide(it, k), "row long, fp binary"), "wide")
     nodes = saved(prints.groupBy("fp").agg(F.min("row").alias("node")))
-    dealt = nodes.mapInArrow(_bands, "key long, node long, fp binary").repartition("key").sortWithinPartitions("key")
-    found = through_disk(dealt.mapInArrow(_candidates, "a long, b long, bits int"), "candidates")
+    banded = dealt(nodes.mapInArrow(_bands, "key long, node long, fp binary"), "node")
+    found = through_disk(banded.mapInArrow(_candidates, "a long, b long, bits int"), "candidates")
     sure = found.where("bits = 0").select("a", "b")
     groups = components(sure)
     of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"g_{c}"))

@@ -72,6 +72,15 @@ def test_simhash_components_equal_brute_force(spark):
     assert {r["doc_id"]: (r["f"], r["component_id"]) for r in found} == {i: (f"{prints[i]:016x}", want[i]) for i in ids}
 
 
+def test_hot_keys_are_cut_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_KEY", 7)
+    rng = random.Random(8)
+    prints = sorted({sum(1 << b for b in rng.sample(range(30), rng.randint(0, 5))) for _ in range(120)})
+    links = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 4]
+    found = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 4).collect()
+    assert reach([(r["a"], r["b"]) for r in found], prints) == reach(links, prints)
+
+
 def test_simhash_of_odd_rows(spark):
     df = spark.createDataFrame(ODD, DOCS).withColumn("fp", F.lit("clash")).withColumn("key", F.lit(1))
     found = collections.Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.simhash_components(df).collect())
