@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, components, runs, saved, spanning_links, texts, through_disk, words
+from .common import arrow_batches, components, components_of, runs, saved, spanning_links, texts, through_disk, words
 
 SEED = 42
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(16)], dtype=np.uint64)
@@ -235,41 +235,67 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
 
+def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links of a minimum spanning forest, by rounds of each component's lightest link."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label, left, chosen = np.arange(len(nodes)), np.arange(len(a)), [np.empty(0, np.int64)]
+    order = np.empty(len(a), np.int64)
+    order[np.argsort(weight, kind="stable")] = np.arange(len(a))  # all different, so rounds make no ring
+    place = np.argsort(order, kind="stable")
+    while True:
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
+            return np.concatenate(chosen)
+        lightest = np.full(len(nodes), len(a), np.int64)
+        np.minimum.at(lightest, label[x[left]], order[left])
+        np.minimum.at(lightest, label[y[left]], order[left])
+        new = place[np.unique(lightest[lightest < len(a)])]
+        chosen.append(new)
+        ends, least = components_of(label[x[new]], label[y[new]])
+        moved = np.arange(len(nodes))
+        moved[ends] = least
+        label = moved[label]
+
+
+def _reduced(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, bits) of which as few are left as join the same nodes, the nearest first; bits is 0 for sure ones."""
+    keep = _forest(a, b, d)
+    a, b, d = a[keep], b[keep], d[keep]
+    return a, b, np.where(d <= SURE, 0, d)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key's fingerprints: spanning sure links, and the nearest unsure pair between what these leave apart."""
+    """Of each key's fingerprints: a minimum spanning forest of the pairs within MAYBE bits."""
     for t in runs(batches, "key"):
         key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
         f = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), WIDE_WORDS)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
-        a, b = [], []
-        for lag in range(1, int(min(SMALL_RUN, size.max()))):
-            same = np.flatnonzero(key[lag:] == key[:-lag])
-            a.append(same)
-            b.append(same + lag)
+        found = []
         for i, n in zip(first[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist()):
             step = max(1, TILE // (4 * n))
+            part = []
             for s in range(0, n, step):
                 e = min(n, s + step)
-                x, y = np.nonzero(_apart(f[i + s : i + e, None], f[None, i : i + n]) <= MAYBE)
-                keep = (x + s + SMALL_RUN <= y)  # nearer places were compared by lag
-                a.append(i + s + x[keep])
-                b.append(i + y[keep])
-        a, b = np.concatenate([*a, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.empty(0, np.int64)]).astype(np.int64)
-        d = np.concatenate([_apart(f[a[i : i + TILE]], f[b[i : i + TILE]]) for i in range(0, len(a), TILE)] or [np.empty(0, np.int16)])
-        near = d <= MAYBE
-        a, b, d = node[a[near]], node[b[near]], d[near]
-        sure = d <= SURE
-        x, y = spanning_links(a[sure], b[sure])
-        of = dict(zip(x.tolist(), y.tolist()))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for p, q, n in zip(a[~sure].tolist(), b[~sure].tolist(), d[~sure].tolist()):
-            pair = tuple(sorted((of.get(p, p), of.get(q, q))))
-            if pair[0] != pair[1] and n < best.get(pair, (999,))[0]:
-                best[pair] = (n, p, q)
-        found = list(best.values())
-        columns = [np.concatenate([x, np.array([v[1] for v in found], np.int64)]), np.concatenate([y, np.array([v[2] for v in found], np.int64)]), np.concatenate([np.zeros(len(x), np.int32), np.array([v[0] for v in found], np.int32)])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "bits"])
+                d = _apart(f[i + s : i + e, None], f[None, i + s : i + n])
+                x, y = np.nonzero(d <= MAYBE)
+                ahead = x < y
+                x, y = x[ahead], y[ahead]
+                part.append(_reduced(node[i + s + x], node[i + s + y], d[x, y]))
+            found.append(_reduced(*[np.concatenate([p[k] for p in part]) for k in range(3)]))
+        small = np.repeat(size <= SMALL_RUN, size)
+        key, node, f = key[small], node[small], f[small]
+        for lag in range(1, int(min(SMALL_RUN, size.max()))):
+            same = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(same):
+                break
+            d = _apart(f[same], f[same + lag])
+            same, d = same[d <= MAYBE], d[d <= MAYBE]
+            found.append((node[same], node[same + lag], d))
+        columns = [np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(3)]
+        a, b, bits = _reduced(*columns)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.int32())], names=["a", "b", "bits"])
 
 
 def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
