@@ -42,6 +42,7 @@ ROWS = (1, 4096, 2048, 8192, 2048)
 STARTS = np.cumsum([0, *ROWS])
 BLOCK_ROWS = 256
 TOP = 100_000
+COUNT_BINS = 1024
 ROUNDS = 3
 RATES = (0.25, 0.12, 0.06)
 STEP_TOKENS = 32768
@@ -177,13 +178,22 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def _most_frequent(counts: DataFrame, top: int = TOP) -> list[tuple[bytes, int]]:
     """The words above the least count that at most `top` words reach."""
-    by_count = counts.groupBy(F.least("c", F.lit(1000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    inside, level = counts, F.floor(F.log2("c") * 4)
     least, total = None, 0
-    for r in by_count:
-        total += r["n"]
-        if total > top:
+    while True:
+        bins = inside.groupBy(level.alias("bin")).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).orderBy(F.desc("low")).collect()
+        border = None
+        for r in bins:
+            if total + r["n"] > top:
+                border = r
+                break
+            total += r["n"]
+            least = r["low"]
+        if border is None or border["low"] == border["high"]:
             break
-        least = r["c"]
+        # the bin over the limit is cut finer, down to single counts
+        inside = counts.where(F.col("c").between(border["low"], border["high"]))
+        level = F.floor((F.col("c") - border["low"]) / ((border["high"] - border["low"]) // COUNT_BINS + 1))
     if least is None:
         return []
     return [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()]
@@ -238,15 +248,16 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of docs (key, text), and its table of counts (word, c)."""
     arrow_batches(docs.sparkSession)
     counts = through_disk(count_words(docs), "counts")
-    top = sorted(_most_frequent(counts), key=lambda x: (-x[1], x[0]))
-    singles = {w: k for k, (w, _) in enumerate([x for x in top if x[0] != END][:SINGLES])}
+    first = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(SINGLES + 1).collect()]
+    singles = {w: k for k, (w, _) in enumerate([x for x in first if x[0] != END][:SINGLES])}
+    top = dict(_most_frequent(counts)) | dict(first)
     class_size, tokens, distinct = _class_sizes(counts, singles)
     weights = np.zeros((STARTS[-1], CLASSES), np.float32)
     weights[0] = np.log(class_size / class_size.sum())
-    for k in range(ROUNDS if top else 0):
+    for k in range(ROUNDS if tokens else 0):
         part = docs.where(F.pmod(F.xxhash64("key"), F.lit(ROUNDS)) == k).select("text")
         weights = _round(part, weights, singles, RATES[k])
-    return Model(weights, singles, dict(top), class_size, tokens, distinct), counts
+    return Model(weights, singles, top, class_size, tokens, distinct), counts
 
 
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
