@@ -5,6 +5,11 @@ like and of link lists against it. A page votes for its best container's path of
 generalised, and votes are summed per host in Spark. Pages are then extracted again with their host's winning
 path; a page without an element on that path uses its own best container.
 
+A class, id or role marks noise by a whole token or its end (`site-footer`, `sidebar-left`), not by a word of another
+meaning in it (`no-sidebar`, `share-prices`). The mark is lifted from what holds nearly all of a page's text, and from
+a main element, or a lone article of a page without another one, below it. Link lists stand where prose stands in the
+same container.
+
 Defined results: null and empty pages give an empty text; a null or odd URL is a host of its own; tags that aren't
 closed end where HTML lets them end; repeated rows and null ids are kept; an empty table gives no rows; extra
 columns are ignored.
@@ -63,6 +68,15 @@ NOISE_WORDS = frozenset(
     "notices overlay pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing shoutbox sidebar "
     "signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
 )
+#: Words before a noise word that turn its meaning, and words after it that keep it.
+TURNS = frozenset("with without no not has hide hidden non".split())
+LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons col column container content count form group head header heading icon icons inner item items left link links "
+    "list main outer panel post posts primary right row secondary section slot small title top unit wide wrap wrapper zone".split()
+)
+#: Where clean text is less than a part of what a marked element holds, the mark is lifted.
+LIFT = 10
+PROSE = 40
 EXEMPT = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -76,6 +90,9 @@ class Element:
     clean: int = 0
     dirt: int = 0
     depth: int = 0
+    hard: bool = False
+    marked: bool = False
+    fresh: bool = False
 
 
 @dataclass
@@ -95,6 +112,17 @@ def _attributes(rest: str) -> tuple[str, str, bool]:
     return f"{found.get('class', '')} {found.get('id', '')}", found.get("role", ""), hidden
 
 
+def _marked(names: str, header: bool) -> bool:
+    """Whether a token of classes, ids or roles is a noise word, or ends in one but for words of layout."""
+    for token in CAMEL.sub("-", names).lower().split():
+        parts = WORD.findall(token)
+        while len(parts) > 1 and (parts[-1] in LAYOUT or parts[-1].isdigit()) and not (header and parts[-1] == "header"):
+            parts.pop()
+        if parts and (parts[-1] in NOISE_WORDS or header and parts[-1] == "header") and not TURNS.intersection(parts[:-1]):
+            return True
+    return False
+
+
 def _label(tag: str, names: str) -> str:
     """A tag with its classes, digits generalised."""
     words = sorted({re.sub(r"\d+", "#", w) for w in names.lower().split()})
@@ -105,6 +133,7 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
     """Containers in page order, the root first, and the blocks of text."""
     root = Element("body", "body", False, None)
     stack, elements, blocks = [root], [root], [Block(root)]
+    every = [root]
     links = 0
 
     def cut() -> None:
@@ -179,23 +208,64 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
             continue
         parent = stack[-1]
         names, role, hidden = _attributes(m["rest"]) if m["rest"].strip(" /") else ("", "", False)
-        noise = parent.noise or tag in NOISE_TAGS or hidden
-        if not noise and tag not in EXEMPT:
-            inside = any(e.tag in ("article", "main") for e in stack)
-            noise = tag == "header" and not inside
-            noise = noise or any(w in NOISE_WORDS or (w == "header" and not inside) for w in WORD.findall(CAMEL.sub(" ", f"{names} {role}").lower()))
-        new = Element(tag, f"{parent.path}>{_label(tag, names)}" if tag in CONTAINER else parent.path, noise, parent, depth=parent.depth + 1)
+        inside = any(e.tag in ("article", "main") for e in stack)
+        hard = parent.hard or tag in NOISE_TAGS or hidden or tag == "header" and not inside
+        marked = tag not in ("html", "body") and _marked(f"{names} {role}", not inside and tag not in EXEMPT)
+        new = Element(tag, f"{parent.path}>{_label(tag, names)}" if tag in CONTAINER else parent.path, hard, parent, depth=parent.depth + 1, hard=hard, marked=marked)
         if m["rest"].endswith("/") and tag not in BLOCK and tag != "a":
             continue
         stack.append(new)
+        every.append(new)
         links += tag == "a"
         if tag in BLOCK:
             cut()
             if tag in CONTAINER:
                 elements.append(new)
+    _settle(every, blocks)
     return elements, blocks
 
 
+def _chain(e: Element | None) -> Iterator[Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def _settle(every: list[Element], blocks: list[Block]) -> None:
+    """Finds which elements are noise: hard ones, and what is below a mark that isn't lifted."""
+    marks = [e for e in every if e.marked and not e.hard and e.tag not in EXEMPT]
+    if marks:
+        on = {id(e) for e in marks}
+        sized = [(b.owner, n) for b in blocks if not b.owner.hard and (n := len(b.text())) and not _link_list(b, n)]
+        lone: dict[int, list[Element]] = {}
+        for e in every:
+            if e.tag in ("article", "main") and not e.hard:
+                above = next((x for x in _chain(e.parent) if id(x) in on or x.tag in ("article", "main")), None)
+                lone.setdefault(id(above) if above else 0, []).append(e)
+        outside = {id(e) for e in lone.get(0, [])}
+        other = any(id(e) in outside for owner, _ in sized for e in _chain(owner))
+        for e in marks:
+            new = lone.get(id(e), [])
+            for x in new:
+                x.fresh = not x.marked and (x.tag == "main" or len(new) == 1 and not other)
+        while True:
+            clean, held = 0, dict.fromkeys(on, 0)
+            for owner, n in sized:
+                top = next((x for x in _chain(owner) if x.fresh or id(x) in on), None)
+                if top is None or top.fresh:
+                    clean += n
+                else:
+                    held[id(top)] += n
+            most = max(held, key=held.__getitem__, default=None)
+            if most is None or held[most] <= LIFT * clean or 2 * held[most] <= clean + sum(held.values()):
+                break
+            on.remove(most)
+        for e in every:
+            e.marked = id(e) in on
+    for e in every[1:]:
+        e.noise = e.hard or not e.fresh and (e.parent.noise or bool(marks) and e.marked)
+
+
 def _link_list(b: Block, size: int) -> bool:
     """A block that is mostly links, unless it is a heading."""
     return 2 * b.linked > size and b.owner.tag not in HEADINGS
@@ -238,16 +308,22 @@ def extract(html: str, path: str | None) -> str:
         if not scored:
             return ""
         chosen = {id(max(scored, key=lambda x: (round(x[0], 9), x[1].depth))[1])}
-    out = []
+    held = []
     for b in blocks:
         text = b.text()
-        if not text or b.owner.noise or _link_list(b, len(text)) and b.owner.tag in ("li", "td", "div", "ul"):
-            continue
-        e: Element | None = b.owner
-        while e is not None and id(e) not in chosen:
-            e = e.parent
-        if e is not None:
-            out.append(text)
+        if text and not b.owner.noise:
+            above = []
+            for e in _chain(b.owner):
+                above.append(e)
+                if id(e) in chosen:
+                    held.append((b, text, above))
+                    break
+    prose = {
+        id(next(e for e in above if e.tag in CONTAINER))
+        for b, text, above in held
+        if len(text) >= PROSE and b.owner.tag not in HEADINGS and not _link_list(b, len(text))
+    }
+    out = [text for b, text, above in held if not (_link_list(b, len(text)) and b.owner.tag in ("li", "td", "div", "ul")) or any(id(e) in prose for e in above)]
     return "\n\n".join(out)
 
 

@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from hirelake.llm import maxent
+from hirelake.llm import html, maxent
 
 
 def test_frequent_words_above_any_count(spark, monkeypatch):
@@ -19,3 +19,42 @@ def test_training_without_a_bounded_list(spark, monkeypatch):
     model, _ = maxent.train(text)
     assert b"the" in model.singles
     assert (model.weights[1:] != 0).any() and {b"the", maxent.END} <= set(model.top)
+
+
+PROSE = "A sentence of the article, long enough to be taken as prose by any measure. " * 4
+
+
+def page(wrapper, inner="{}", tail=""):
+    return f"<body><nav><a>Home</a></nav><div {wrapper}>{inner.format(f'<p>{PROSE}</p>')}</div>{tail}</body>"
+
+
+def text_of(source):
+    return html.extract(source, None)
+
+
+def test_noise_words_inside_other_tokens():
+    for names in ("class='content-with-sidebar'", "class='no-sidebar'", "class='post has-comments'", "id='share-prices'", "class='related-work'"):
+        tail = "<div class='sidebar'>Other things to read</div>"
+        assert text_of(page(names, tail=tail)) == PROSE.strip(), names
+    for names in ("sidebar-left", "site-footer", "comment-list", "adSlot-3", "related-posts", "cookie-banner"):
+        assert text_of(page("class='post'", tail=f"<div class='{names}'>Bought here</div>")) == PROSE.strip(), names
+
+
+def test_marked_wrapper_of_the_article():
+    assert text_of(page("class='layout sidebar'")) == PROSE.strip()
+    assert text_of(page("class='widget'", "<div class='share'>{}</div>")) == PROSE.strip()
+    other = f"<div>{'Words that stand elsewhere on the page. ' * 3}</div>"
+    for tag in ("article", "main"):
+        assert PROSE.strip() in text_of(page("class='modal'", f"<{tag}>{{}}</{tag}>", other)), tag
+
+
+def test_long_comments_stay_noise():
+    talk = "".join(f"<article class='comment'><p>{PROSE}</p></article>" for _ in range(6))
+    assert text_of(page("class='post'", tail=f"<div id='comments'>{talk}</div>")) == PROSE.strip()
+    assert text_of(page("class='post'", tail=f"<div id='comments'>{talk.replace(' class=', ' data-x=')}</div>")) == PROSE.strip()
+
+
+def test_reference_lists_of_the_article():
+    refs = "<h2>References</h2><ul><li><a>First source</a></li><li><a>Second source</a>, 1999</li></ul>"
+    found = text_of(page("class='post'", "{}" + refs, "<div><div><a>Imprint</a></div></div>"))
+    assert found == "\n\n".join([PROSE.strip(), "References", "First source", "Second source, 1999"])
