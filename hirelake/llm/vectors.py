@@ -6,7 +6,8 @@ block's share of that budget (in proportion to its dimensions). Each block is a
 dealt to slabs along the block's first coordinate, each also to those slabs to its right that lie within
 the block's radius, and a slab's pairs are tested on the block alone. A pair counts in the first block whose
 budget it meets, so the union over blocks holds each pair once, and is verified by its cosine in double
-precision on the vectors as given. Slabs return link counts per vector and a spanning forest, not the pairs.
+precision on the vectors as given. A slab of very many rows, own and reaching in, is cut into chunks and dealt out
+by pairs of chunks, so that a task's memory doesn't grow with the table. Slabs return link counts per vector and a spanning forest, not the pairs.
 
 Equal vectors are one class before the join; a class weighs as many vectors as it has rows.
 
@@ -32,6 +33,8 @@ from .common import components, saved, spanning_links, through_disk
 
 BLOCK_DIMS = 8
 SLAB_ROWS = 16384
+#: Components of a chunk's vectors; a slab of more than two chunks is cut.
+CHUNK_CELLS = 1 << 21
 SAMPLE_ROWS = 20000
 TILE = 1 << 23
 VERIFY = 1 << 17
@@ -87,6 +90,35 @@ def _deal(batches: Iterator[pa.RecordBatch], cuts: dict[int, np.ndarray], budget
             )
 
 
+def _cells(batches: Iterator[pa.RecordBatch], cuts: dict[int, np.ndarray], budget: float) -> Iterator[pa.RecordBatch]:
+    for b in _deal(batches, cuts, budget):
+        yield b.select(["dim", "block", "slab", "home"])
+
+
+def _grouped(classes: DataFrame, cuts: dict[int, np.ndarray], budget: float) -> DataFrame:
+    """The dealt vectors by (dim, block, slab, one, two): all of a slab, or two of its chunks, of which side tells one from two.
+
+    Slabs are cut by their vectors' hash. Chunks from 0 are of the slab's own rows, those below 0 of rows that reach in; a
+    pair of chunks has one chunk of own rows at least, and each such pair is one group.
+    """
+    kind = dict(classes.dtypes)["vec"]
+    rows = classes.select("node", "n", "dim", "vec")
+    cells = rows.mapInArrow(lambda it: _cells(it, cuts, budget), "dim int, block int, slab int, home boolean").groupBy("dim", "block", "slab").agg(F.count_if("home").alias("own"), F.count("*").alias("all"))
+    cap = F.greatest(F.lit(1), F.floor(F.lit(CHUNK_CELLS) / F.col("dim")))
+    chunks = lambda n: F.ceil(n / cap).cast("int")
+    hot = through_disk(cells.where(F.col("all") > 2 * cap).select("dim", "block", "slab", F.greatest(F.lit(1), chunks(F.col("own"))).alias("h"), chunks(F.col("all") - F.col("own")).alias("r")), "hot-slabs")
+    dealt = rows.mapInArrow(lambda it: _deal(it, cuts, budget), f"block int, slab int, home boolean, node long, n long, dim int, vec {kind}")
+    at = F.when(F.col("home"), F.pmod(F.xxhash64("node"), F.col("h"))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("r"))).cast("int")
+    group = lambda one, two, side: F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), side.cast("int").alias("side"))
+    own = F.sequence(F.lit(0), F.col("h") - 1)
+    none = F.array().cast("array<struct<one:int,two:int,side:int>>")
+    among = F.transform(own, lambda j: group(F.least("at", j), F.greatest("at", j), F.col("at") > j))
+    reached = F.when(F.col("r") > 0, F.transform(F.sequence(F.lit(1), F.col("r")), lambda j: group(F.col("at"), -j, F.lit(0)))).otherwise(none)
+    reaching = F.transform(own, lambda j: group(j, F.col("at"), F.lit(1)))
+    groups = F.when(F.col("h").isNull(), F.array(group(F.lit(0), F.lit(0), F.lit(0)))).when(F.col("home"), F.concat(among, reached)).otherwise(reaching)
+    return dealt.join(hot, ["dim", "block", "slab"], "left").withColumn("at", at).withColumn("to", F.explode(groups)).select("dim", "block", "slab", "to.one", "to.two", "to.side", "home", "node", "n", "vec")
+
+
 def _first_block(x: np.ndarray, y: np.ndarray, block: int, parts: list[slice], budget: float) -> np.ndarray:
     """Whether `block` is the first of which x and y meet the budget."""
     keep = np.ones(len(x), bool)
@@ -104,10 +136,11 @@ def _slab(group: pa.Table, threshold: float) -> pa.Table:
     s = parts[block]
     node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
     home = group.column("home").to_numpy(zero_copy_only=False)
+    side, whole = group.column("side").to_numpy(), group.column("one")[0] == group.column("two")[0]
     x = _unit(_matrix(group.column("vec"), dim))
     turned = x @ rotation(dim)
     order = np.argsort(turned[:, s.start], kind="stable")
-    node, n, home, x, turned = node[order], n[order], home[order], x[order], turned[order]
+    node, n, home, side, x, turned = node[order], n[order], home[order], side[order], x[order], turned[order]
     u, low = turned[:, s.start], turned[:, s].astype(np.float32)
     half = (low * low).sum(axis=1, keepdims=True) / 2
     left, right = np.hstack([low, half, np.ones_like(half)]), np.hstack([low, -np.ones_like(half), -half])
@@ -123,7 +156,7 @@ def _slab(group: pa.Table, threshold: float) -> pa.Table:
         begin = int(np.searchsorted(u, u[i] - reach))
         flat = np.flatnonzero((left[i:j] @ right[begin:j].T) >= floor)
         q, p = flat // (j - begin) + i, flat % (j - begin) + begin
-        keep = (p < q) & home[q]
+        keep = (p < q) & home[q] & (whole | (side[q] != side[p]))
         q, p = q[keep], p[keep]
         found_q, found_p = [q[:0]], [p[:0]]
         for c in range(0, len(q), VERIFY):
@@ -170,9 +203,8 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
             at = np.linspace(0, 1, -(-size // SLAB_ROWS) + 1)[1:-1]
             cuts[dim] = np.array([np.quantile(turned[:, s.start], at) for s in blocks_of(dim)])
     budget = 2 - 2 * threshold
-    kind = dict(classes.dtypes)["vec"]
-    dealt = classes.select("node", "n", "dim", "vec").mapInArrow(lambda it: _deal(it, cuts, budget), f"block int, slab int, home boolean, node long, n long, dim int, vec {kind}")
-    found = through_disk(dealt.groupBy("dim", "block", "slab").applyInArrow(lambda t: _slab(t, threshold), "a long, b long, links long"), "links")
+    dealt = _grouped(classes, cuts, budget)
+    found = through_disk(dealt.groupBy("dim", "block", "slab", "one", "two").applyInArrow(lambda t: _slab(t, threshold), "a long, b long, links long"), "links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b IS NOT NULL").select("a", "b"))
     named = saved(classes.join(joined, "node", "left").join(counts, "node", "left").select("vec", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))

@@ -1,6 +1,9 @@
 """Cases in which an operator once did less than the whole job."""
 
-from hirelake.llm import html, maxent
+import numpy as np
+from pyspark.sql import functions as F
+
+from hirelake.llm import html, maxent, vectors
 
 
 def test_frequent_words_above_any_count(spark, monkeypatch):
@@ -58,3 +61,24 @@ def test_reference_lists_of_the_article():
     refs = "<h2>References</h2><ul><li><a>First source</a></li><li><a>Second source</a>, 1999</li></ul>"
     found = text_of(page("class='post'", "{}" + refs, "<div><div><a>Imprint</a></div></div>"))
     assert found == "\n\n".join([PROSE.strip(), "References", "First source", "Second source, 1999"])
+
+
+def test_slabs_are_dealt_by_pairs_of_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((150, 16)), rng.standard_normal(16) + 0.1 * rng.standard_normal((150, 16))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    monkeypatch.setattr(vectors, "CHUNK_CELLS", 16 * 40)
+    monkeypatch.setattr(vectors, "SLAB_ROWS", 150)
+    groups = []
+    grouped = vectors._grouped
+
+    def kept(*args):
+        groups.append(grouped(*args))
+        return groups[0]
+
+    monkeypatch.setattr(vectors, "_grouped", kept)
+    found = {r["vec_id"]: r["n_links"] for r in vectors.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {i: int(n) for i, n in enumerate(links)} and links.sum() > 1000
+    assert groups[0].groupBy("dim", "block", "slab", "one", "two").count().agg(F.max("count")).first()[0] <= 2 * 40 * 1.6
