@@ -10,14 +10,14 @@ from ..functions.scalar import in_order, norm_text, windows
 MAX_GRAM = 4
 
 
-def grams(df: DataFrame, text: str, key: str, longest: int = MAX_GRAM) -> DataFrame:
-    """(key, gram) of the normalised text's word n-grams, repeats included; also without closing dots, as a sentence ends."""
+def grams(df: DataFrame, text: str, key: str, longest: int = MAX_GRAM, lengths: list[int] | None = None) -> DataFrame:
+    """(key, gram) of the normalised text's word n-grams, up to `longest` or of the lengths given, repeats included; also without closing dots, as a sentence ends."""
 
     def runs(n: int) -> Column:
         some = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
         return some if n == 1 else F.when(F.size("w") >= n, some).otherwise(F.array().cast("array<string>"))
 
-    exploded = df.select(key, F.split(norm_text(text), " ").alias("w")).select(key, F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("gram"))
+    exploded = df.select(key, F.split(norm_text(text), " ").alias("w")).select(key, F.explode(F.concat(*[runs(n) for n in lengths or range(1, longest + 1)])).alias("gram"))
     dotted = F.col("gram").endswith(".")
     return exploded.select(key, F.explode(F.when(dotted, F.array("gram", F.regexp_replace("gram", "\\.+$", ""))).otherwise(F.array("gram"))).alias("gram"))
 
@@ -31,8 +31,8 @@ def names(catalog: DataFrame, aliases: DataFrame) -> DataFrame:
 def extract_skills(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id", text: str = "text") -> DataFrame:
     """(key, skill): every catalog skill that the text names, by an equi join of its n-grams."""
     known = names(catalog, aliases)
-    longest = known.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
-    return grams(docs, text, key, min(longest, MAX_GRAM)).join(known, "gram").select(key, "skill").distinct()
+    lengths = sorted(r[0] for r in known.where("gram IS NOT NULL").select(F.size(F.split("gram", " "))).distinct().collect()) or [1]
+    return grams(docs, text, key, lengths=lengths).join(known, "gram").select(key, "skill").distinct()
 
 
 def mention_pattern(skill: str) -> str:

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from hirelake.llm import html, maxent, vectors
+from hirelake.operators import text
 
 
 def test_frequent_words_above_any_count(spark, monkeypatch):
@@ -82,3 +83,11 @@ def test_slabs_are_dealt_by_pairs_of_chunks(spark, monkeypatch):
     found = {r["vec_id"]: r["n_links"] for r in vectors.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert found == {i: int(n) for i, n in enumerate(links)} and links.sum() > 1000
     assert groups[0].groupBy("dim", "block", "slab", "one", "two").count().agg(F.max("count")).first()[0] <= 2 * 40 * 1.6
+
+
+def test_skill_names_of_any_length(spark):
+    long = "design and operation of large scale data pipelines"
+    catalog = spark.createDataFrame([("python",), (long,)], "skill string")
+    aliases = spark.createDataFrame([("care of very old steam engines", "steam")], "alias string, canonical string")
+    cvs = spark.createDataFrame([(1, f"Python and the {long}."), (2, "Care of very old steam engines"), (3, "design and operation of large scale"), (4, None)], "candidate_id long, text string")
+    assert {tuple(r) for r in text.extract_skills(cvs, catalog, aliases).collect()} == {(1, "python"), (1, long), (2, "steam")}
