@@ -77,7 +77,7 @@ def test_hot_keys_are_cut_without_loss(spark, monkeypatch):
     rng = random.Random(8)
     prints = sorted({sum(1 << b for b in rng.sample(range(30), rng.randint(0, 5))) for _ in range(120)})
     links = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 4]
-    found = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 4).collect()
+    found = simhash.fingerprint_links(simhash.pivot_table(spark.createDataFrame([(p,) for p in prints], "fp long")), 4).collect()
     assert reach([(r["a"], r["b"]) for r in found], prints) == reach(links, prints)
 
 
@@ -98,7 +98,7 @@ def test_hashes_are_spark_s_xxhash64(spark):
 def test_links_of_small_and_large_runs(n):
     rng = np.random.default_rng(n)
     f = np.unique(np.array([sum(1 << int(b) for b in rng.choice(20, rng.integers(0, 7), replace=False)) for _ in range(n)], np.uint64))
-    a, b = simhash._large_run(f, 4)
+    a, b = simhash._large_run(f, np.bitwise_count(f[:, None] ^ simhash.PIVOTS[None]).astype(np.int8), 4)
     near = [(int(x), int(y)) for i, x in enumerate(f.tolist()) for y in f[:i].tolist() if (x ^ y).bit_count() <= 4] if n < 100 else None
     if near is not None:
         nodes = f.tolist()
@@ -106,6 +106,18 @@ def test_links_of_small_and_large_runs(n):
     assert len(a) < len(f)
 
 
+def test_pivot_table_holds_distances_and_discards_no_pair_within_the_radius(spark):
+    rng = np.random.default_rng(4)
+    f = rng.integers(-(1 << 63), 1 << 63, 400)
+    found = {r["fp"]: np.array([r["pivots_0"], r["pivots_1"]], np.int64).view(np.int8).tolist() for r in simhash.pivot_table(spark.createDataFrame([(int(x),) for x in f], "fp long")).collect()}
+    table = np.bitwise_count(f.view(np.uint64)[:, None] ^ simhash.PIVOTS[None]).astype(np.int8)
+    assert all(found[int(x)] == row for x, row in zip(f, table.tolist()))
+    x, y = np.triu_indices(len(f), 1)
+    assert simhash.pivots_keep(table[x], table[y], 4).mean() < 0.002
+    near = f.view(np.uint64) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in f], np.uint64)
+    assert simhash.pivots_keep(table, np.bitwise_count(near[:, None] ^ simhash.PIVOTS[None]).astype(np.int8), 4).all()
+
+
 def test_pigeonhole_masks_miss_nothing():
     rng = random.Random(5)
     masks = simhash.block_masks(4, 3)
@@ -128,6 +140,46 @@ def test_near_copies_keep_one_row_of_each_group(spark):
     assert simhash.without_near_copies(df.limit(0)).count() == 0
 
 
+def families(seed, sizes, changed, words=160):
+    """Texts in families: each copy has some of its words changed, so that cosines of 5-word shingles lie on both sides of 0.8."""
+    rng = random.Random(seed)
+    out = []
+    for size in sizes:
+        base = [f"w{rng.randrange(4000)}" for _ in range(words)]
+        for _ in range(size):
+            t = list(base)
+            for at in rng.sample(range(words), rng.randint(*changed)):
+                t[at] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(t))
+    return out
+
+
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_near_copies_equal_brute_force(spark, monkeypatch, cut):
+    if cut:  # keys are cut into chunks, list no more than a forest at first, and are looked at again
+        monkeypatch.setattr(simhash, "HOT_BAND", 16)
+        monkeypatch.setattr(simhash, "SMALL_RUN", 2)
+        monkeypatch.setattr(simhash, "LISTED", 0.25)
+        monkeypatch.setattr(simhash, "PAIR_TILE", 64)
+    texts = families(7, [60, 8, 8, 2, 2, 1, 1], (2, 7))
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5]
+    assert 20 < len(links) < 1500
+    want = reach(links, range(len(texts)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = collections.defaultdict(list)
+    for r in simhash.similar_rows(rows).collect():
+        found[r["component"]].append(r["row"])
+    got = {n: min(g) for g in found.values() for n in g}
+    assert sum(got[n] == want[n] for n in got) >= 0.95 * len(texts)
+    assert all(want[n] == want[got[n]] for n in got)  # nothing is put together that brute force keeps apart
+
+
 # --- 2: quality ---------------------------------------------------------------------------------------------------
 
 
