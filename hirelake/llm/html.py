@@ -7,19 +7,24 @@ path; a page without an element on that path uses its own best container.
 
 A class, id or role marks noise by a whole token or its end (`site-footer`, `sidebar-left`), not by a word of another
 meaning in it (`no-sidebar`, `share-prices`). The mark is lifted from what holds nearly all of a page's text, and from
-a main element, or a lone article of a page without another one, below it. Link lists stand where prose stands in the
-same container.
+a main element, or a lone article of a page without another one, below it. Of what the winning container holds, only
+noise is left out; link lists stay.
+
+A page is read once from left to right and its elements are kept in document order with their parents' places, so that
+all that is inherited or summed over the tree takes one pass: time and memory grow with the page's length, whatever
+its depth.
 
 Defined results: null and empty pages give an empty text; a null or odd URL is a host of its own; tags that aren't
-closed end where HTML lets them end; repeated rows and null ids are kept; an empty table gives no rows; extra
-columns are ignored.
+closed end where HTML lets them end; very long and very deep pages are read whole; equal scores go to the deepest
+container, then to the first, and equal votes to the first path in alphabetical order; repeated rows and null ids are
+kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -33,9 +38,10 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/>])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|$)", re.I)
 SPACES = re.compile(r"\s+")
+DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"[a-z]+|\d+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -76,33 +82,54 @@ LAYOUT = frozenset(
 )
 #: Where clean text is less than a part of what a marked element holds, the mark is lifted.
 LIFT = 10
-PROSE = 40
 EXEMPT = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-@dataclass
-class Element:
-    tag: str
-    path: str
-    noise: bool
-    parent: Element | None
-    clean: int = 0
-    dirt: int = 0
-    depth: int = 0
-    hard: bool = False
-    marked: bool = False
-    fresh: bool = False
-
 
-@dataclass
-class Block:
-    owner: Element
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-
-    def text(self) -> str:
-        return SPACES.sub(" ", "".join(self.parts)).strip()
+class Page:
+    """Elements in document order, the root first, and the texts of blocks, each with its owner's place."""
+
+    def __init__(self) -> None:
+        self.tag, self.parent, self.path, self.hard, self.marked = ["body"], [-1], [0], [False], [False]
+        self.label, self.above = ["body"], [-1]  # of paths
+        self.ids: dict[tuple[int, str], int] = {(-1, "body"): 0}
+        self.owner: list[int] = []
+        self.text: list[str] = []
+        self.links: list[bool] = []
+        self.noise: list[bool] = []
+
+    def add(self, tag: str, parent: int, label: str | None, hard: bool, marked: bool) -> int:
+        path = self.path[parent]
+        if label is not None:
+            key = (path, label)
+            path = self.ids.get(key, -1)
+            if path < 0:
+                path = self.ids[key] = len(self.label)
+                self.label.append(label)
+                self.above.append(key[0])
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(path)
+        self.hard.append(hard)
+        self.marked.append(marked)
+        return len(self.tag) - 1
+
+    def path_text(self, path: int) -> str:
+        out = []
+        while path >= 0:
+            out.append(self.label[path])
+            path = self.above[path]
+        return ">".join(reversed(out))
+
+    def path_id(self, text: str | None) -> int:
+        """Of a path as text; -1 if the page has none such."""
+        at = -1
+        for label in text.split(">") if text else ():
+            at = self.ids.get((at, label), -1)
+            if at < 0:
+                break
+        return at
 
 
 def _attributes(rest: str) -> tuple[str, str, bool]:
@@ -125,82 +152,85 @@ def _marked(names: str, header: bool) -> bool:
 
 def _label(tag: str, names: str) -> str:
     """A tag with its classes, digits generalised."""
-    words = sorted({re.sub(r"\d+", "#", w) for w in names.lower().split()})
-    return ".".join([tag, *words[:6]])
+    words = sorted({DIGITS.sub("#", w) for w in names.lower().replace(">", "").split()})
+    return ".".join([tag.replace(">", ""), *words])
 
 
-def parse(html: str) -> tuple[list[Element], list[Block]]:
-    """Containers in page order, the root first, and the blocks of text."""
-    root = Element("body", "body", False, None)
-    stack, elements, blocks = [root], [root], [Block(root)]
-    every = [root]
-    links = 0
+def parse(html: str) -> Page:
+    page = Page()
+    stack = [0]
+    #: places in the stack of each open tag, and of groups of tags that are looked for together
+    open_at: dict[str, list[int]] = {}
+    parts: list[str] = []
+    owner, linked, inside = 0, 0, 0
+    tags, hard = page.tag, page.hard
 
     def cut() -> None:
-        if blocks[-1].parts:
-            blocks.append(Block(stack[-1]))
-        else:
-            blocks[-1].owner = stack[-1]
+        nonlocal owner, linked
+        if parts:
+            text = SPACES.sub(" ", "".join(parts)).strip()
+            if text:
+                page.owner.append(owner)
+                page.text.append(text)
+                page.links.append(2 * linked > len(text) and tags[owner] not in HEADINGS)
+            parts.clear()
+            linked = 0
+        owner = stack[-1]
 
     def close(at: int) -> None:
-        nonlocal links
-        block = any(e.tag in BLOCK for e in stack[at:])
-        links -= sum(e.tag == "a" for e in stack[at:])
-        del stack[at:]
+        nonlocal inside
+        block = False
+        while len(stack) > at:
+            tag = tags[stack.pop()]
+            open_at[tag].pop()
+            block = block or tag in BLOCK
+            inside -= tag in ("article", "main")
         if block:
             cut()
 
+    def last(names: Iterable[str]) -> int:
+        return max((at[-1] for t in names if (at := open_at.get(t))), default=0)
+
     at, end = 0, len(html)
     while at < end:
         m = TOKEN.search(html, at)
         text = html[at : m.start() if m else end]
-        if text:
+        if text and (hard[owner] or not hard[stack[-1]]):  # else of an inline element that holds no article text
             text = unescape(text)
-            blocks[-1].parts.append(text)
-            if links:
-                blocks[-1].linked += len(text.strip())
+            parts.append(text)
+            if open_at.get("a"):
+                linked += len(text.strip())
         if not m:
             break
         at = m.end()
         tag = m["tag"]
         if not tag:
             if html.startswith("<![CDATA[", m.start()):
-                blocks[-1].parts.append(html[m.start() + 9 : at].removesuffix("]]>"))
+                parts.append(html[m.start() + 9 : at].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if open_at.get(tag):
+                close(open_at[tag][-1])
             continue
         if tag == "br":
-            blocks[-1].parts.append(" ")
+            parts.append(" ")
             continue
         if tag in RAW:
             done = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = done.end() if done else end
             if tag not in ("script", "style", "title"):
-                blocks[-1].parts.append(" ")
+                parts.append(" ")
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in SCOPE:
-                    break
+        if tag in BLOCK and last("p") > last(SCOPE):
+            close(last("p"))
         if tag in ENDS:
             ended, border = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ended:
-                    close(k)
-                    break
-                if stack[k].tag in border:
-                    break
-        if tag in BLOCK and stack[-1].tag == "head":
+            if last(ended) > last(border):
+                close(last(ended))
+        if tag in BLOCK and tags[stack[-1]] == "head":
             close(len(stack) - 1)
         if tag in VOID:
             if tag == "hr":
@@ -208,123 +238,125 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
             continue
         parent = stack[-1]
         names, role, hidden = _attributes(m["rest"]) if m["rest"].strip(" /") else ("", "", False)
-        inside = any(e.tag in ("article", "main") for e in stack)
-        hard = parent.hard or tag in NOISE_TAGS or hidden or tag == "header" and not inside
-        marked = tag not in ("html", "body") and _marked(f"{names} {role}", not inside and tag not in EXEMPT)
-        new = Element(tag, f"{parent.path}>{_label(tag, names)}" if tag in CONTAINER else parent.path, hard, parent, depth=parent.depth + 1, hard=hard, marked=marked)
         if m["rest"].endswith("/") and tag not in BLOCK and tag != "a":
             continue
+        noise = hard[parent] or tag in NOISE_TAGS or hidden or tag == "header" and not inside
+        new = page.add(tag, parent, _label(tag, names) if tag in CONTAINER else None, noise, _marked(f"{names} {role}", not inside and tag not in EXEMPT))
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(new)
-        every.append(new)
-        links += tag == "a"
+        inside += tag in ("article", "main")
         if tag in BLOCK:
             cut()
-            if tag in CONTAINER:
-                elements.append(new)
-    _settle(every, blocks)
-    return elements, blocks
+    cut()
+    _settle(page)
+    return page
 
 
-def _chain(e: Element | None) -> Iterator[Element]:
-    while e is not None:
-        yield e
-        e = e.parent
+def _inherited(page: Page, own: Callable[[int, int], int]) -> list[int]:
+    """own(place, the parent's value) of each element, the root's parent -1."""
+    out: list[int] = []
+    for e, parent in enumerate(page.parent):
+        out.append(own(e, out[parent] if e else -1))
+    return out
 
 
-def _settle(every: list[Element], blocks: list[Block]) -> None:
+def _settle(page: Page) -> None:
     """Finds which elements are noise: hard ones, and what is below a mark that isn't lifted."""
-    marks = [e for e in every if e.marked and not e.hard and e.tag not in EXEMPT]
+    tags, hard = page.tag, page.hard
+    marks = [e for e in range(len(tags)) if page.marked[e] and not hard[e] and tags[e] not in EXEMPT]
+    on = set(marks)
+    fresh: set[int] = set()
     if marks:
-        on = {id(e) for e in marks}
-        sized = [(b.owner, n) for b in blocks if not b.owner.hard and (n := len(b.text())) and not _link_list(b, n)]
-        lone: dict[int, list[Element]] = {}
-        for e in every:
-            if e.tag in ("article", "main") and not e.hard:
-                above = next((x for x in _chain(e.parent) if id(x) in on or x.tag in ("article", "main")), None)
-                lone.setdefault(id(above) if above else 0, []).append(e)
-        outside = {id(e) for e in lone.get(0, [])}
-        other = any(id(e) in outside for owner, _ in sized for e in _chain(owner))
-        for e in marks:
-            new = lone.get(id(e), [])
-            for x in new:
-                x.fresh = not x.marked and (x.tag == "main" or len(new) == 1 and not other)
-        while True:
-            clean, held = 0, dict.fromkeys(on, 0)
-            for owner, n in sized:
-                top = next((x for x in _chain(owner) if x.fresh or id(x) in on), None)
-                if top is None or top.fresh:
-                    clean += n
-                else:
-                    held[id(top)] += n
-            most = max(held, key=held.__getitem__, default=None)
-            if most is None or held[most] <= LIFT * clean or 2 * held[most] <= clean + sum(held.values()):
+        sized = [(e, len(t)) for e, t, links in zip(page.owner, page.text, page.links) if not hard[e] and not links]
+        mains = {e for e in range(len(tags)) if tags[e] in ("article", "main") and not hard[e]}
+        near = _inherited(page, lambda e, above: e if e in on or tags[e] in ("article", "main") else above)
+        lone: dict[int, list[int]] = {}
+        for e in mains:
+            lone.setdefault(near[page.parent[e]], []).append(e)
+        outside = set(lone.get(-1, []))
+        within = _inherited(page, lambda e, above: 1 if e in outside else max(above, 0))
+        other = any(within[e] for e, _ in sized)
+        for m in marks:
+            new = lone.get(m, [])
+            fresh.update(e for e in new if not page.marked[e] and (tags[e] == "main" or len(new) == 1 and not other))
+        top = _inherited(page, lambda e, above: -1 if e in fresh else e if e in on else above)
+        clean, held = 0, dict.fromkeys(marks, 0)
+        for e, n in sized:
+            if top[e] < 0:
+                clean += n
+            else:
+                held[top[e]] += n
+        both = clean + sum(held.values())
+        largest = [(-n, e) for e, n in held.items()]
+        heapify(largest)
+        goes_to: dict[int, int] = {}
+        while largest:
+            n, m = heappop(largest)
+            if m not in on or held[m] != -n:
+                continue
+            if held[m] <= LIFT * clean or 2 * held[m] <= both:
                 break
-            on.remove(most)
-        for e in every:
-            e.marked = id(e) in on
-    for e in every[1:]:
-        e.noise = e.hard or not e.fresh and (e.parent.noise or bool(marks) and e.marked)
-
-
-def _link_list(b: Block, size: int) -> bool:
-    """A block that is mostly links, unless it is a heading."""
-    return 2 * b.linked > size and b.owner.tag not in HEADINGS
-
-
-def score(elements: list[Element], blocks: list[Block]) -> list[tuple[float, Element]]:
-    """Containers by score: the share of the page's clean text times the container's share of clean text."""
-    total = 0
-    for b in blocks:
-        size = len(b.text())
-        if not size:
-            continue
-        dirty = b.owner.noise or _link_list(b, size)
-        total += 0 if dirty else size
-        e: Element | None = b.owner
-        while e is not None:
-            if dirty:
-                e.dirt += size
+            on.remove(m)
+            goes_to[m] = -1 if m in fresh else top[page.parent[m]]
+            chain = []
+            to = goes_to[m]
+            while to >= 0 and to not in on:
+                chain.append(to)
+                to = goes_to[to]
+            for c in chain:
+                goes_to[c] = to
+            goes_to[m] = to
+            if to < 0:
+                clean += held[m]
             else:
-                e.clean += size
-            e = e.parent
-    return [(e.clean * e.clean / (total * (e.clean + e.dirt)), e) for e in elements if e.clean and not e.noise] if total else []
+                held[to] += held[m]
+                heappush(largest, (-held[to], to))
+    noise: list[bool] = []
+    for e, parent in enumerate(page.parent):
+        noise.append(e > 0 and (hard[e] or e not in fresh and (noise[parent] or e in on)))
+    page.noise = noise
+
+
+def best(page: Page) -> tuple[float, int] | None:
+    """Score and place of the best container, the deepest of equals; none without clean text.
+
+    A score is the share of the page's clean text times the container's share of clean text.
+    """
+    clean, dirt = [0] * len(page.tag), [0] * len(page.tag)
+    for e, text, links in zip(page.owner, page.text, page.links):
+        (dirt if page.noise[e] or links else clean)[e] += len(text)
+    total = sum(clean)
+    if not total:
+        return None
+    for e in range(len(page.tag) - 1, 0, -1):
+        clean[page.parent[e]] += clean[e]
+        dirt[page.parent[e]] += dirt[e]
+    depth = _inherited(page, lambda e, above: above + 1)
+    fit = [e for e in range(len(page.tag)) if clean[e] and not page.noise[e] and page.tag[e] in CONTAINER]
+    score = {e: clean[e] * clean[e] / (total * (clean[e] + dirt[e])) for e in fit}
+    e = max(fit, key=lambda e: (round(score[e], 9), depth[e], -e))
+    return score[e], e
 
 
 def best_path(html: str) -> tuple[str, float] | None:
-    """The path and score of the page's best container, the deepest of equals; none without clean text."""
-    scored = score(*parse(html))
-    if not scored:
-        return None
-    s, e = max(scored, key=lambda x: (round(x[0], 9), x[1].depth))
-    return e.path, s
+    """The path and score of the page's best container; none without clean text."""
+    page = parse(html)
+    found = best(page)
+    return (page.path_text(page.path[found[1]]), found[0]) if found else None
 
 
 def extract(html: str, path: str | None) -> str:
     """Text of the outermost elements on the path, else of the page's best container."""
-    elements, blocks = parse(html)
-    chosen = {id(e) for e in elements if e.path == path and not e.noise}
+    page = parse(html)
+    wanted = page.path_id(path)
+    chosen = {e for e in range(len(page.tag)) if page.path[e] == wanted and page.tag[e] in CONTAINER and not page.noise[e]} if wanted >= 0 else set()
     if not chosen:
-        scored = score(elements, blocks)
-        if not scored:
+        found = best(page)
+        if not found:
             return ""
-        chosen = {id(max(scored, key=lambda x: (round(x[0], 9), x[1].depth))[1])}
-    held = []
-    for b in blocks:
-        text = b.text()
-        if text and not b.owner.noise:
-            above = []
-            for e in _chain(b.owner):
-                above.append(e)
-                if id(e) in chosen:
-                    held.append((b, text, above))
-                    break
-    prose = {
-        id(next(e for e in above if e.tag in CONTAINER))
-        for b, text, above in held
-        if len(text) >= PROSE and b.owner.tag not in HEADINGS and not _link_list(b, len(text))
-    }
-    out = [text for b, text, above in held if not (_link_list(b, len(text)) and b.owner.tag in ("li", "td", "div", "ul")) or any(id(e) in prose for e in above)]
-    return "\n\n".join(out)
+        chosen = {found[1]}
+    held = _inherited(page, lambda e, above: 1 if e in chosen else max(above, 0))
+    return "\n\n".join(t for e, t in zip(page.owner, page.text) if held[e] and not page.noise[e])
 
 
 def host(url: Column) -> Column:
@@ -336,10 +368,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            votes = [(h, *found) for h, t in zip(b.column("host").to_pylist(), b.column("html").to_pylist()) if t and (found := best_path(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in votes], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "vote"])
+            votes = [(h, found[0], round(found[1] * 1e6)) for h, t in zip(b.column("host").to_pylist(), b.column("html").to_pylist()) if t and (found := best_path(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in votes], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "path", "vote"])
 
-    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, vote double").groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"))
+    # whole numbers, so that sums don't depend on their order
+    votes = pages.select("host", "html").mapInArrow(run, "host string, path string, vote long").groupBy("host", "path").agg(F.sum("vote").alias("votes"))
     return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
 
 

@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
+from urllib.parse import urlsplit
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from hirelake.llm import html, maxent, vectors
-from hirelake.operators import text
+from tests.conftest import SF
 
 
 def test_frequent_words_above_any_count(spark, monkeypatch):
@@ -64,6 +66,47 @@ def test_reference_lists_of_the_article():
     assert found == "\n\n".join([PROSE.strip(), "References", "First source", "Second source, 1999"])
 
 
+def test_link_lists_inside_the_article_stay():
+    found = text_of(page("class='post'", "{}<ul><li><a>Reference one long</a></li><li>plain</li></ul>"))
+    assert found == "\n\n".join([PROSE.strip(), "Reference one long", "plain"])
+
+
+def test_all_classes_count_for_a_path():
+    names = " ".join(f"c{chr(97 + i)}" for i in range(12))
+    path = html.best_path(page(f"class='{names} last'"))[0]
+    assert path == "body>div." + ".".join(sorted([*names.split(), "last"]))
+
+
+def test_hidden_parts_of_a_line_are_left_out():
+    assert text_of("<p>One <span hidden>secret</span> line<svg><text>drawn</text></svg> of text, <noscript>off</noscript>whole.</p>") == "One line of text, whole."
+
+
+def test_very_deep_and_very_long_pages():
+    for wrapper in ("<div>", "<div class=sidebar>", "<span>", "<td>"):
+        assert text_of(wrapper * 50_000 + PROSE) == PROSE.strip()
+    assert text_of(f"<div {'a' * 300_000}>{PROSE}</div>") == PROSE.strip()
+    long = "".join(f"<p>Line {i} of <b>a long page</i></span> here" for i in range(110_000))
+    assert len(long) > 5_000_000 and text_of(long).count("\n\n") == 110_000 - 1
+
+
+def test_extraction_equals_brute_force_votes(spark):
+    short, long = f"<div class='post'><p>{PROSE}</p></div>", f"<div class='talk'>{PROSE * 3}</div>"
+    more = [(-i, "http://one.test/", f"<body>{short}<nav>x</nav>{long if i == 1 else ''}</body>") for i in range(1, 5)]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(more, "page_id long, url string, html string"))
+    rows = pages.collect()
+    votes = {}
+    for r in rows:
+        host = (urlsplit(r["url"] or "").hostname or "").lower()
+        votes.setdefault(host, {})
+        if found := html.best_path(r["html"] or ""):
+            votes[host][found[0]] = votes[host].get(found[0], 0) + round(found[1] * 1e6)
+    won = {h: min(v, key=lambda p: (-v[p], p)) if v else None for h, v in votes.items()}
+    want = {r["page_id"]: html.extract(r["html"] or "", won[(urlsplit(r["url"] or "").hostname or "").lower()]) for r in rows}
+    found = html.extract_pages(pages).collect()
+    assert {r["page_id"]: (r["text"], r["n_chars"]) for r in found} == {i: (t, len(t)) for i, t in want.items()}
+    assert won["one.test"] == "body>div.post" and html.best_path(more[0][2])[0] != "body>div.post" and want[-1] == PROSE.strip()
+
+
 def test_slabs_are_dealt_by_pairs_of_chunks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_normal((150, 16)), rng.standard_normal(16) + 0.1 * rng.standard_normal((150, 16))])
@@ -83,11 +126,3 @@ def test_slabs_are_dealt_by_pairs_of_chunks(spark, monkeypatch):
     found = {r["vec_id"]: r["n_links"] for r in vectors.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert found == {i: int(n) for i, n in enumerate(links)} and links.sum() > 1000
     assert groups[0].groupBy("dim", "block", "slab", "one", "two").count().agg(F.max("count")).first()[0] <= 2 * 40 * 1.6
-
-
-def test_skill_names_of_any_length(spark):
-    long = "design and operation of large scale data pipelines"
-    catalog = spark.createDataFrame([("python",), (long,)], "skill string")
-    aliases = spark.createDataFrame([("care of very old steam engines", "steam")], "alias string, canonical string")
-    cvs = spark.createDataFrame([(1, f"Python and the {long}."), (2, "Care of very old steam engines"), (3, "design and operation of large scale"), (4, None)], "candidate_id long, text string")
-    assert {tuple(r) for r in text.extract_skills(cvs, catalog, aliases).collect()} == {(1, "python"), (1, long), (2, "steam")}
