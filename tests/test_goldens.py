@@ -182,3 +182,11 @@ def test_refused_events_do_not_count_for_admission(spark):
 
     events = spark.createDataFrame([(i, 1, s) for i, s in enumerate([0, 1, 2, 3, 11])], "id long, who long, s int").selectExpr("id", "who", "timestamp_seconds(s) AS ts")
     assert [r["accepted"] for r in admit(events, "who", "ts", "id", 2, 10).orderBy("id").collect()] == [True, True, False, False, True]
+
+
+def test_skill_names_of_any_length(spark):
+    long = "design and operation of large scale data pipelines"
+    catalog = spark.createDataFrame([("python",), (long,)], "skill string")
+    aliases = spark.createDataFrame([("care of very old steam engines", "steam")], "alias string, canonical string")
+    cvs = spark.createDataFrame([(1, f"Python and the {long}."), (2, "Care of very old steam engines"), (3, "design and operation of large scale"), (4, None)], "candidate_id long, text string")
+    assert {tuple(r) for r in X.extract_skills(cvs, catalog, aliases).collect()} == {(1, "python"), (1, long), (2, "steam")}
