@@ -10,8 +10,9 @@ the hash of the id); all texts are scored, whole, on the executors.
 
 Defined results: a null text counts as empty and is scored; a label row that is null, of other labels than 0 and
 1, or without a document is ignored; of labels repeated for an id each counts; with no label 0 or no label 1 all
-scores are 0.5; rows with a null id are scored and never learned from; repeated rows are kept; an empty table
-gives no rows; extra columns are ignored.
+scores are 0.5; equal texts have equal scores, and a score on the cut counts as above it; rows with a null id are scored
+and never learned from; repeated rows are kept; very long texts are read whole, in blocks; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,17 +136,19 @@ def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t or b"").tolist() for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(x, pa.list_(pa.float32()))], names=["quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality"), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
-    return rows.select("quality", "text").mapInArrow(run, "quality int, x array<float>")
+    return rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<float>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ranker | None:
     """Fitted on at most sample_rows of the labelled (doc_id, text) rows."""
     arrow_batches(docs.sparkSession)
     known = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    # ids first, so that few texts move; then rows, as ids may be repeated in either table
     wanted = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    sample = _featured(docs.join(wanted, "doc_id")).toPandas()
+    rows = _featured(docs.join(wanted, "doc_id"))
+    sample = rows.orderBy(F.xxhash64("doc_id", "x"), "quality").limit(sample_rows).select("quality", "x").toPandas()
     if not len(sample):
         return None
     return fit(np.array(sample["x"].tolist(), np.float64), sample["quality"].to_numpy())
