@@ -1,7 +1,9 @@
 """Language identification with language-bitmask n-gram filters.
 
 Training counts character 3- and 4-grams per language over all labelled texts. A language's set holds the
-n-grams whose rate in it is at least RATIO of their highest rate in any language. The sets share one
+n-grams whose rate in it is at least RATIO of their highest rate in any language, the most frequent of them where
+there are more than the filter has room for: its size is bounded, and no language's slice gets over an eighth full,
+so that the false-positive rate stays small for any amount of text. The sets share one
 bit-sliced Bloom filter: a table of bit masks, a bit per language, in which an n-gram's masks at its slots
 are and-ed, so one probe returns all languages that contain it. A text's hits are summed per language over
 all its n-grams and corrected for false positives, (hits - n * rate) / (1 - rate) with the rate taken from
@@ -10,7 +12,8 @@ alphabetical order on a tie.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; a text whose n-grams are in no
 set gets the language with most training text and score 0; without any training row all is `und`; repeated
-rows and rows with a null id count like any others; an empty table gives no rows; extra columns are ignored.
+rows and rows with a null id count like any others; very long texts are read whole; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,13 @@ from .common import arrow_batches, through_disk, widened
 ORDERS = (3, 4)
 SLOTS_LOG2 = (16, 22)
 PROBES = 2
+#: An n-gram counts from so many occurrences, in languages that have ENOUGH of such; from one in those of little text.
 MIN_COUNT = 4
+ENOUGH = 1000
+#: Slots for each n-gram of a set, and bytes of the whole filter, which goes to the driver and the tasks.
+ROOM = 16
+FILTER_BYTES = 1 << 25
+BLOCK_LOG2 = 10
 RATIO = 0.25
 MAX_LANGUAGES = 1024
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -127,32 +136,54 @@ def train(docs: DataFrame) -> Filter:
     arrow_batches(docs.sparkSession)
     counted = docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = through_disk(counted, "grams")
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
+    found = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= MIN_COUNT).alias("many")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = {r["lang"]: r["n"] for r in found}
     languages = sorted(totals)
+    words = max(1, -(-len(languages) // 64))
     if not languages:
         return Filter([], np.zeros((1 << SLOTS_LOG2[0], 1), np.uint64), np.zeros(0), 0)
     spark = docs.sparkSession
-    sums = F.broadcast(spark.createDataFrame([(x, i, float(totals[x] or 1)) for i, x in enumerate(languages)], "lang string, k int, total double"))
-    rated = counted.where(F.col("n") >= MIN_COUNT).join(sums, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    least = {r["lang"]: MIN_COUNT if r["many"] >= ENOUGH else 1 for r in found}
+    sums = F.broadcast(spark.createDataFrame([(x, i, float(totals[x] or 1), least[x]) for i, x in enumerate(languages)], "lang string, k int, total double, least int"))
+    rated = counted.join(sums, "lang").where(F.col("n") >= F.col("least")).withColumn("rate", F.col("n") / F.col("total"))
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
-    kept = rated.join(best, "gram").where(F.col("rate") >= RATIO * F.col("best"))
-    largest = kept.groupBy("k").count().agg(F.max("count")).first()[0] or 0
-    bits = min(max(int(np.ceil(np.log2(max(1, 16 * largest)))), SLOTS_LOG2[0]), SLOTS_LOG2[1])
-    shift = 64 - bits
-    second = int(SECOND) - (1 << 64)
-    slots = F.explode(F.array(F.shiftrightunsigned("gram", shift), F.expr(f"shiftrightunsigned(gram * {second}L, {shift})")))
-    ansi = spark.conf.get("spark.sql.ansi.enabled", "true")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        sliced = kept.select(slots.alias("slot"), F.floor(F.col("k") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, k % 64)").alias("bit")).groupBy("slot", "word").agg(F.bit_or("bit").alias("mask")).toPandas()
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", ansi)
-    masks = np.zeros((1 << bits, -(-len(languages) // 64)), np.uint64)
-    masks[sliced["slot"].to_numpy(np.int64), sliced["word"].to_numpy(np.int64)] = sliced["mask"].to_numpy(np.int64).view(np.uint64)
+    kept = through_disk(rated.join(best, "gram").where(F.col("rate") >= RATIO * F.col("best")).select("k", "gram", "n"), "kept")
+    # a set holds its language's most frequent n-grams, as many as the filter has room for, so that no slice fills up
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = kept.groupBy("k", level.alias("level")).count().collect()
+    most = max(np.bincount([r["k"] for r in sizes], [r["count"] for r in sizes]), default=1)
+    top = int(np.log2(FILTER_BYTES // (8 * words)))
+    bits = min(max(int(np.ceil(np.log2(max(1, ROOM * most)))), SLOTS_LOG2[0]), SLOTS_LOG2[1], top)
+    cuts = []
+    for k in range(len(languages)):
+        held, cut = 0, 1 << 20
+        for n, at in sorted(((r["level"], r["count"]) for r in sizes if r["k"] == k), reverse=True):
+            if held and held + at > (1 << bits) // ROOM:
+                break
+            held, cut = held + at, n
+        cuts.append((k, cut))
+    chosen = kept.join(F.broadcast(spark.createDataFrame(cuts, "k int, cut int")), "k").where(level >= F.col("cut"))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, k = b.column("gram").to_numpy().view(np.uint64), b.column("k").to_numpy()
+            at = np.concatenate([h, h * SECOND]) >> np.uint64(64 - bits)
+            mask = (np.uint64(1) << (k % 64).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(np.tile(k // 64, 2).astype(np.int32)), pa.array(np.tile(mask, 2))], names=["slot", "word", "mask"])
+
+    def packed(t: pa.Table) -> pa.Table:
+        block = np.zeros(1 << BLOCK_LOG2, np.uint64)
+        block[t.column("slot").to_numpy() & ((1 << BLOCK_LOG2) - 1)] = t.column("mask").to_numpy().view(np.uint64)
+        return pa.table({"block": t.column("block")[:1], "word": t.column("word")[:1], "masks": pa.array([block.tobytes()], pa.binary())})
+
+    sliced = chosen.select("gram", "k").mapInArrow(slots, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    masks = np.zeros((1 << bits, words), np.uint64)
+    for r in sliced.withColumn("block", F.shiftright("slot", BLOCK_LOG2)).groupBy("block", "word").applyInArrow(packed, "block long, word int, masks binary").collect():
+        masks[r["block"] << BLOCK_LOG2 : (r["block"] + 1) << BLOCK_LOG2, r["word"]] = np.frombuffer(r["masks"], np.uint64)
     share = np.array([np.count_nonzero(masks[:, k // 64] & np.uint64(1 << (k % 64))) for k in range(len(languages))]) / len(masks)
-    return Filter(languages, masks, np.minimum(share**PROBES, 0.99), max(range(len(languages)), key=lambda k: (totals[languages[k]] or 0, -k)))
+    return Filter(languages, masks, np.minimum(share**PROBES, 1 - 1e-6), max(range(len(languages)), key=lambda k: (totals[languages[k]] or 0, -k)))
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
