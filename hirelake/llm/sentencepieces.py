@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_batches, widened
 
 MARK = "▁"
-CACHE = 200_000
-PAIRS = 1_000_000
+CACHE = 120_000
+PAIRS = 500_000
 SHORT = 48
 
 
@@ -106,7 +106,7 @@ class _Chunks(dict):
         super().__init__()
         self.coder, self.prefix, self.old = coder, prefix, {}
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+    def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
             found = self._cut(word) or self.coder.chunk(self.prefix + word)
@@ -119,15 +119,14 @@ class _Chunks(dict):
         return found
 
 
-    def _cut(self, word: str) -> tuple[bytes, bytes] | None:
+    def _cut(self, word: str) -> bytes | None:
         """A word with a border that no piece crosses, from its parts."""
         pairs = self.coder.within
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
         if not cuts:
             return None
         parts = [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
-        found = [self[parts[0]], *[self.coder.bare[p] for p in parts[1:]]]
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        return b"".join([self[parts[0]], *[self.coder.bare[p] for p in parts[1:]]])
 
 
 class Coder:
@@ -207,15 +206,14 @@ class Coder:
             return out
         return self.table(text)
 
-    def chunk(self, text: str) -> tuple[bytes, bytes]:
-        """A chunk's ids as 4 bytes each, and what they decode to."""
-        ids = self.chunk_ids(text)
-        return array("i", ids).tobytes(), self.pieces(ids)
+    def chunk(self, text: str) -> bytes:
+        """A chunk's ids as 4 bytes each."""
+        return array("i", self.chunk_ids(text)).tobytes()
 
     def pieces(self, ids: list[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
 
-    def _line(self, line: str, first: bool) -> list[tuple[bytes, bytes]]:
+    def _line(self, line: str, first: bool) -> list[bytes]:
         parts = line.split(" ")
         if "" not in parts:
             spaced = self.spaced
@@ -237,14 +235,14 @@ class Coder:
         if not text:
             return np.array([self.v.end], np.int32), b""
         text = text.replace(MARK, " ")
-        found: list[tuple[bytes, bytes]] = []
+        found: list[bytes] = []
         for k, line in enumerate(text.split("\n") if self.line_end else [text]):
             if k:
                 found.append(self.bare["\n"])
             if line or not k:
                 found.extend(self._line(line, first=not k))
-        ids = np.frombuffer(b"".join([x[0] for x in found]), np.int32)
-        return np.append(ids, np.int32(self.v.end)), b"".join([x[1] for x in found])[1:]
+        ids = np.frombuffer(b"".join(found), np.int32)
+        return np.append(ids, np.int32(self.v.end)), self.pieces(ids.tolist())[1:]
 
     def decode(self, ids: list[int]) -> str:
         """As the library: pieces joined, bytes read as UTF-8, the added space taken off, control ids left out."""
