@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARROW_ROWS = 512
+CHUNK_LINKS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +27,25 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """While it lasts, n rows travel to Python at once: for rows of a small fixed size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="hirelake-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -41,12 +57,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def through_disk(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder as Parquet and read back."""
     path = scratch(df.sparkSession, label)
@@ -54,6 +64,11 @@ def through_disk(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: unlike checkpoint(), a table is written in one run of its last stage."""
+    return through_disk(df, "saved")
+
+
 def widened(df: DataFrame, **kinds: str) -> T.StructType:
     """df's schema with further columns."""
     out = T.StructType(list(df.schema.fields))
@@ -119,20 +134,40 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held).combine_chunks()
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (hi, lo) as the spanning stars of CHUNK_LINKS at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        hi, lo = spanning_links(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+        return pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], names=["hi", "lo"])
+
+    for b in batches:
+        held.append((b.column("hi").to_numpy(), b.column("lo").to_numpy()))
+        size += b.num_rows
+        if size >= CHUNK_LINKS:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of links (a, b), longs, as (node, component): the smallest node reached.
 
-    Alternates large-star and small-star: each is a min per node and a join on the node, so a node with
-    very many links is combined before the shuffle and split by the skew join; no group is collected.
-    Nodes without links don't occur in the result. Null ends and self links are ignored.
+    Links are first contracted where they lie, in chunks of a bounded size. Then large-star and small-star alternate: each is
+    a min per node and a join on the node, so a node with very many links is combined before the shuffle and split by the
+    skew join; no group is collected. Nodes without links don't occur in the result. Null ends and self links are ignored.
     """
-    edges = saved(
-        links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
-    )
-    before = None
-    for _ in range(rounds):
+    pairs = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    edges = saved(pairs.mapInArrow(_contracted, "hi long, lo long").distinct().mapInArrow(_contracted, "hi long, lo long").distinct())
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+
+    before = state(edges)
+    for _ in range(rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
         large = edges.join(least, "lo").select("hi", F.least("lo", "m").alias("lo")).distinct()
@@ -145,13 +180,12 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
             .distinct()
         )
         edges = saved(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        now = state(edges)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     star = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return star.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
-
-

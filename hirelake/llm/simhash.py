@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, components, components_of, runs, saved, spanning_links, texts, through_disk, words
+from .common import arrow_batches, arrow_rows, components, components_of, runs, saved, spanning_links, texts, through_disk, words
 
 SEED = 42
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(16)], dtype=np.uint64)
@@ -160,19 +160,18 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
 
-def dealt(keyed: DataFrame, value: str, cap: int | None = None, only: DataFrame | None = None) -> DataFrame:
+def dealt(keyed: DataFrame, value: str, cap: int | None = None) -> DataFrame:
     """keyed, partitioned and sorted by key; a key of more than `cap` rows is cut into chunks by its values' hash.
 
     Each of its rows goes to every pair of chunks with its own, under a key of that pair, so that no pair of rows is lost
-    and no task gets more than two chunks of a key. `only`: the keys to keep, after the cut.
+    and no task gets more than two chunks of a key.
     """
     cap = cap or HOT_KEY
     hot = through_disk(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("int").alias("chunks")), "hot-keys")
     own = F.pmod(F.xxhash64(value), F.col("chunks")).cast("int")
     marked = keyed.join(hot, "key", "left").withColumns({"own": own, "other": F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))})
     key = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    cut = marked.withColumn("key", key).select(keyed.columns)
-    return (cut if only is None else cut.join(only, "key", "left_semi")).repartition("key").sortWithinPartitions("key")
+    return marked.withColumn("key", key).select(keyed.columns).repartition("key").sortWithinPartitions("key")
 
 
 def fingerprint_links(table: DataFrame, radius: int = 4, spare: int = 3) -> DataFrame:
@@ -210,8 +209,9 @@ BANDS = 48
 BAND_BITS = 14
 SURE, MAYBE = 26, 70  # bits: linked as they are; verified by their shingles
 HOT_BAND = 2048
-#: Pairs that a key may list for each of its rows; a key with more lists a spanning forest and is looked at again.
-LISTED = 8
+BAND_ROWS = 8192
+#: Pairs that a key may list for each of its rows; a key with more lists a spanning forest, and its rows.
+LISTED = 2
 PAIR_TILE = 1 << 18
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _POSITIONS = np.concatenate([np.random.default_rng(i).permutation(64 * WIDE_WORDS) for i in range(-(-BANDS * BAND_BITS // (64 * WIDE_WORDS)))])[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
@@ -281,10 +281,29 @@ def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
         label = moved[label]
 
 
-def _near_pairs(f: np.ndarray, label: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def _undecided(label: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of places less those that sure ones among them have put together; of sure ones a forest is left."""
+    sure = d <= SURE
+    if not sure.any():
+        return x, y, d
+    nodes, least = components_of(label[x[sure]], label[y[sure]])
+
+    def group(at: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(nodes, label[at]), len(nodes) - 1)
+        return np.where(nodes[place] == label[at], least[place], label[at])
+
+    keep = np.flatnonzero(~sure)
+    keep = keep[group(x[keep]) != group(y[keep])]
+    at = np.flatnonzero(sure)
+    keep = np.concatenate([at[_forest(label[x[at]], label[y[at]], d[at])], keep])
+    return x[keep], y[keep], d[keep]
+
+
+def _near_pairs(f: np.ndarray, label: np.ndarray, most: int, similarity: float = 0.0, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """Places and bits of the pairs within MAYBE bits and of different labels, and whether these are all.
 
-    More than `most` are cut down to a minimum spanning forest of the labels, tile by tile, so that memory stays bounded.
+    Pairs that sure ones have put together are left out, and those whose sets differ too much in `size`. More than `most` are cut down to a minimum spanning forest of the
+    labels, tile by tile, so that memory stays bounded.
     """
     n, whole = len(f), True
     x, y, d = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int16)
@@ -292,52 +311,64 @@ def _near_pairs(f: np.ndarray, label: np.ndarray, most: int) -> tuple[np.ndarray
     for s in range(0, n, step):
         e = min(n, s + step)
         apart = _apart(f, slice(s, e), slice(s, n))
-        p, q = np.nonzero((apart <= MAYBE) & (label[s:e, None] != label[None, s:]))
+        near = (apart <= MAYBE) & (label[s:e, None] != label[None, s:])
+        if size is not None:  # the cosine of two sets is at most the root of their sizes' ratio
+            near &= np.minimum(size[s:e, None], size[None, s:]) >= similarity * similarity * np.maximum(size[s:e, None], size[None, s:]) - 1e-9
+        p, q = np.nonzero(near)
         ahead = p < q
         p, q = p[ahead], q[ahead]
         x, y, d = np.concatenate([x, (p + s).astype(np.int32)]), np.concatenate([y, (q + s).astype(np.int32)]), np.concatenate([d, apart[p, q]])
         if len(x) > most:
+            x, y, d = _undecided(label, x, y, d)
+        if len(x) > most + n:
             keep, whole = _forest(label[x], label[y], d), False
             x, y, d = x[keep], y[keep], d[keep]
     return x, y, d, whole
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], listed: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, bits) of each key's rows, bits 0 for sure ones; a key that didn't list all its pairs is named in `open`."""
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, bits) of each key's rows, bits 0 for sure ones; of a key that didn't list all its pairs, its rows (key, a, fp)."""
     for t in runs(batches, "key"):
         key, node, label = (t.column(c).to_numpy() for c in ("key", "node", "label"))
         f = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), WIDE_WORDS)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
-        x, y, d, again = [first[:0]], [first[:0]], [np.empty(0, np.int16)], []
-        for i, n in zip(first[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist()):
-            p, q, bits, whole = _near_pairs(f[i : i + n], label[i : i + n], listed * n)
+        run = np.repeat(np.arange(len(size)), size)
+        x, y, d, again = [first[:0]], [first[:0]], [np.empty(0, np.int16)], np.zeros(len(size), bool)
+        for r in np.flatnonzero(size > SMALL_RUN).tolist():
+            i, n = first[r], size[r]
+            p, q, bits, whole = _near_pairs(f[i : i + n], label[i : i + n], int(LISTED * n))
             x.append(p + i)
             y.append(q + i)
             d.append(bits)
-            again += [] if whole else [key[i]]
+            again[r] = not whole
         small = np.repeat(size <= SMALL_RUN, size)
         for lag in range(1, int(min(SMALL_RUN, size.max()))):
-            same = np.flatnonzero((key[lag:] == key[:-lag]) & small[lag:] & (label[lag:] != label[:-lag]))
+            same = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:] & (label[lag:] != label[:-lag]))
             bits = _apart(f, same, same + lag)
             near = bits <= MAYBE
             x.append(same[near])
             y.append(same[near] + lag)
             d.append(bits[near])
-        x, y, d = np.concatenate(x), np.concatenate(y), np.concatenate(d)
-        sure = d <= SURE
-        a, b = spanning_links(node[x[sure]], node[y[sure]])
-        columns = [np.concatenate([a, node[x[~sure]]]), np.concatenate([b, node[y[~sure]]]), np.concatenate([np.zeros(len(a), np.int32), d[~sure].astype(np.int32)])]
-        none = pa.nulls(len(again), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(columns[0], pa.int64()), none]),
-                pa.concat_arrays([pa.array(columns[1], pa.int64()), none]),
-                pa.concat_arrays([pa.array(columns[2], pa.int32()), none.cast(pa.int32())]),
-                pa.concat_arrays([pa.nulls(len(columns[0]), pa.int64()), pa.array(again, pa.int64())]),
-            ],
-            names=["a", "b", "bits", "open"],
-        )
+        x, y, d = _undecided(label, np.concatenate(x), np.concatenate(y), np.concatenate(d))
+        many = (np.bincount(run[x], minlength=len(size)) > LISTED * size) & (size <= SMALL_RUN)
+        if many.any():
+            over = np.flatnonzero(many[run[x]])
+            _, name = np.unique(np.stack([run, label]), axis=1, return_inverse=True)
+            keep = np.sort(np.concatenate([np.flatnonzero(~many[run[x]]), over[_forest(name[x[over]], name[y[over]], d[over])]]))
+            x, y, d, again = x[keep], y[keep], d[keep], again | many
+        again = again[run]
+        bits = np.where(d <= SURE, 0, d)
+        at = pa.array(np.flatnonzero(again))
+        none, held = pa.nulls(len(x), pa.int64()), pa.nulls(len(at), pa.int64())
+        columns = [
+            pa.concat_arrays([none, pa.array(key[again])]),
+            pa.concat_arrays([pa.array(node[x]), pa.array(node[again])]),
+            pa.concat_arrays([pa.array(node[y]), held]),
+            pa.concat_arrays([pa.array(bits, pa.int32()), held.cast(pa.int32())]),
+            pa.concat_arrays([pa.nulls(len(x), pa.binary()), *t.column("fp").take(at).cast(pa.binary()).chunks]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "bits", "fp"])
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> float:
@@ -345,10 +376,17 @@ def cosine(x: np.ndarray, y: np.ndarray) -> float:
     return len(np.intersect1d(x, y, assume_unique=True)) / max(1.0, float(len(x)) * len(y)) ** 0.5
 
 
-def _passed(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        held = [np.unique(shingle_hashes(words(t), k)).tobytes() for t in texts(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(held, pa.binary())], names=["row", "shingles"])
+
+
+def _passed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-            ok = [cosine(np.unique(shingle_hashes(words(s), k)), np.unique(shingle_hashes(words(t), k))) >= similarity - 1e-12 for s, t in zip(texts(b.column("left")), texts(b.column("right")))]
+            pairs = zip(b.column("left").to_pylist(), b.column("right").to_pylist())
+            ok = [cosine(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) >= similarity - 1e-12 for s, t in pairs]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
 
@@ -359,63 +397,92 @@ def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"x": F.least(x, y), "y": F.greatest(x, y)}).where("x < y").drop("g_a", "g_b")
 
 
+def _sets_of(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(row, shingles) of the nodes (row), a table of its own, so that its size decides how it is joined."""
+    return through_disk(rows.join(nodes, "row").select("row", "text").mapInArrow(lambda it: _sets(it, k), "row long, shingles binary"), "shingles")
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) with further links between their nodes."""
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+    return saved(components(stars.unionByName(links.select("a", "b"))))
+
+
 def _decided(rows: DataFrame, pairs: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
-    """links and those of the unsure pairs (a, b, bits) that hold, as components (node, component).
+    """links, and those of the unsure pairs (a, b, bits) that hold, as components (node, component).
 
-    In each round every component's nearest pair to another one is verified, in later rounds its 4, 16, ... nearest of as
-    many random parts, and all once they are few; pairs that a round has put together need no test. It ends when none is left.
+    First every component's nearest pair to another one is verified, and then all that are still between two components.
     """
     groups = saved(components(links))
-    left = through_disk(_labelled(pairs, groups).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct(), "unsure")
-    if left.isEmpty():
-        return groups
-    # only the texts of unsure pairs move; as a table its size is known, so a short list is broadcast and a long one shuffled
+    found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
+    left = through_disk(_labelled(found, groups).select("a", "b", "bits"), "unsure")
     ends = through_disk(left.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
-    some = through_disk(rows.join(ends, "row"), "unsure-texts")
-    one, two = some.select(F.col("row").alias("a"), F.col("text").alias("left")), some.select(F.col("row").alias("b"), F.col("text").alias("right"))
-    parts = 1
-    while True:
-        named = saved(_labelled(left, groups))
-        n, ends = named.agg(F.count("*"), F.approx_count_distinct(F.col("a")) + F.approx_count_distinct(F.col("b"))).first()
-        if not n:
-            return groups
-        if n <= LISTED * ends:
-            now = named.select("a", "b")
-        else:
-            sides = named.select(F.explode(F.array("x", "y")).alias("side"), "a", "b", "bits")
-            part = F.pmod(F.xxhash64("a", "b"), F.lit(parts))
-            now = sides.groupBy("side", part.alias("part")).agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-            parts *= 4
-        checked = through_disk(now.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(lambda it: _passed(it, k, similarity), "a long, b long, ok boolean"), "checked")
-        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(checked.where("ok").select("a", "b"))
-        groups = saved(components(links).unionByName(groups.where("node = component")).distinct())
-        left = named.select("a", "b", "bits").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    some = _sets_of(rows, ends, k)
+    one, two = some.select(F.col("row").alias("a"), F.col("shingles").alias("left")), some.select(F.col("row").alias("b"), F.col("shingles").alias("right"))
+    for nearest in (True, False):
+        now = saved(_labelled(left, groups))
+        if now.isEmpty():
+            break
+        if nearest:
+            sides = now.select(F.explode(F.array("x", "y")).alias("side"), "a", "b", "bits")
+            now = sides.groupBy("side").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        checked = through_disk(now.select("a", "b").join(one, "a").join(two, "b").mapInArrow(lambda it: _passed(it, similarity), "a long, b long, ok boolean"), "checked")
+        groups = _joined(groups, checked.where("ok"))
+        left = left.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    return groups
+
+
+def _tested(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each key's rows: pairs within MAYBE bits, nearest first, tested unless links have put their labels together."""
+    for t in runs(batches, "key"):
+        key, node, label = (t.column(c).to_numpy() for c in ("key", "node", "label"))
+        f = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), WIDE_WORDS)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets], np.float64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        out_a, out_b = [], []
+        for i, n in zip(first.tolist(), np.diff(np.r_[first, len(key)]).tolist()):
+            parent = {x: x for x in label[i : i + n].tolist()}
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            x, y, d, _ = _near_pairs(f[i : i + n], label[i : i + n], n * n, similarity, size[i : i + n])
+            order = np.argsort(d, kind="stable")
+            for p, q in zip((x[order] + i).tolist(), (y[order] + i).tolist()):
+                one, two = root(int(label[p])), root(int(label[q]))
+                if one != two and cosine(sets[p], sets[q]) >= similarity - 1e-12:
+                    parent[one] = two
+                    out_a.append(int(node[p]))
+                    out_b.append(int(node[q]))
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
 def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, component) of each of rows (row, text), row unique: groups of texts with similar sets of word shingles.
 
     Equal fingerprints, and those that differ in SURE bits at most, are linked; pairs of up to MAYBE bits are linked if their
-    shingles' cosine is as given. Every such pair of a band is decided, unless other links have put its ends together: a key
-    with very many pairs first lists a spanning forest of them, and is looked at again, for what is still apart, until all are.
+    shingles' cosine is as given. Every such pair of a band is decided, unless links have put its ends together. A key with few
+    pairs lists them. One with many lists a spanning forest, for the links that are found soonest; what that leaves apart is
+    tested where the key's rows lie, with their shingles beside them, so that of a large group only links are given out.
     """
     arrow_batches(rows.sparkSession)
     rows = rows.select("row", "text")
     prints = through_disk(rows.mapInArrow(lambda it: _wide(it, k), "row long, fp binary"), "wide")
     nodes = saved(prints.groupBy("fp").agg(F.min("row").alias("node")))
-    groups, only, listed = None, None, LISTED
-    while True:
-        labelled = nodes.withColumn("label", F.col("node")) if groups is None else nodes.join(groups, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
-        banded = dealt(labelled.mapInArrow(_bands, "key long, node long, label long, fp binary"), "node", HOT_BAND, only)
-        found = through_disk(banded.mapInArrow(lambda it, n=listed: _candidates(it, n), "a long, b long, bits int, open long"), "candidates")
-        links = found.where("bits = 0").select("a", "b")
-        if groups is not None:
-            links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = _decided(rows, found.where("bits > 0").select("a", "b", "bits"), links, k, similarity)
-        only = found.where("open IS NOT NULL").select(F.col("open").alias("key"))
-        if only.isEmpty():
-            break
-        listed *= 16
+    keyed = dealt(nodes.withColumn("label", F.col("node")).mapInArrow(_bands, "key long, node long, label long, fp binary"), "node", HOT_BAND)
+    with arrow_rows(rows.sparkSession, BAND_ROWS):
+        found = through_disk(keyed.mapInArrow(_candidates, "key long, a long, b long, bits int, fp binary"), "candidates")
+    groups = _decided(rows, found.where("bits > 0").select("a", "b", "bits"), found.where("bits = 0").select("a", "b"), k, similarity)
+    again = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "fp").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"), "fp")
+    apart = again.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    again = through_disk(again.join(through_disk(apart, "apart"), "key", "left_semi"), "again")
+    if not again.isEmpty():
+        some = _sets_of(rows, again.select(F.col("node").alias("row")).distinct(), k).withColumnRenamed("row", "node")
+        held = again.join(some, "node").select("key", "node", "label", "fp", "shingles").repartition("key").sortWithinPartitions("key")
+        groups = _joined(groups, through_disk(held.mapInArrow(lambda it: _tested(it, similarity), "a long, b long"), "tested"))
     classes = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(classes, "fp").select("row", "component")
 
