@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,17 @@ def saved(df: DataFrame) -> DataFrame:
     return through_disk(df, "saved")
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, and after the last one the memory that the task's Python worker no longer needs goes back to the machine.
+
+    Workers live on and serve other stages, and what they hold counts with the executor's memory.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def widened(df: DataFrame, **kinds: str) -> T.StructType:
     """df's schema with further columns."""
     out = T.StructType(list(df.schema.fields))

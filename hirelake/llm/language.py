@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, through_disk, widened
+from .common import arrow_batches, released, through_disk, widened
 
 ORDERS = (3, 4)
 SLOTS_LOG2 = (16, 22)
@@ -134,7 +134,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Filter:
     """The filter of all rows (lang, text); lang must not be null."""
     arrow_batches(docs.sparkSession)
-    counted = docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("lang", "text").mapInArrow(lambda it: released(_count(it)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = through_disk(counted, "grams")
     found = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= MIN_COUNT).alias("many")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:

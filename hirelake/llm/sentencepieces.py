@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_batches, widened
+from .common import arrow_batches, released, widened
 
 MARK = "▁"
 CACHE = 120_000
@@ -244,6 +244,13 @@ class Coder:
         ids = np.frombuffer(b"".join(found), np.int32)
         return np.append(ids, np.int32(self.v.end)), self.pieces(ids.tolist())[1:]
 
+    def forget(self) -> None:
+        """Drops what is remembered of chunks and pairs."""
+        self.pairs.clear()
+        for chunks in (self.spaced, self.bare):
+            chunks.old = {}
+            chunks.clear()
+
     def decode(self, ids: list[int]) -> str:
         """As the library: pieces joined, bytes read as UTF-8, the added space taken off, control ids left out."""
         raw = self.pieces([i for i in ids if i != self.v.end])
@@ -287,8 +294,9 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> D
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[0] for x in done]) if done else np.empty(0, np.int32)))
             text = pa.array([x[1].decode("utf-8", "replace") for x in done], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, ids, text], names=[*b.schema.names, "ids", "decoded"])
+        coder.forget()
 
-    return docs.mapInArrow(run, widened(docs, ids="array<int>", decoded="string"))
+    return docs.mapInArrow(lambda it: released(run(it)), widened(docs, ids="array<int>", decoded="string"))
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, arrow_rows, components, components_of, runs, saved, spanning_links, texts, through_disk, words
+from .common import arrow_batches, arrow_rows, components, components_of, released, runs, saved, spanning_links, texts, through_disk, words
 
 SEED = 42
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in range(16)], dtype=np.uint64)
@@ -179,7 +179,7 @@ def fingerprint_links(table: DataFrame, radius: int = 4, spare: int = 3) -> Data
     masks = [_signed(m) for m in block_masks(radius, spare)]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     keyed = table.select(F.explode(keys).alias("key"), "fp", "pivots_0", "pivots_1")
-    return dealt(keyed, "fp").mapInArrow(lambda it: _links(it, radius), "a long, b long").distinct()
+    return dealt(keyed, "fp").mapInArrow(lambda it: released(_links(it, radius)), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
@@ -399,7 +399,7 @@ def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _sets_of(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(row, shingles) of the nodes (row), a table of its own, so that its size decides how it is joined."""
-    return through_disk(rows.join(nodes, "row").select("row", "text").mapInArrow(lambda it: _sets(it, k), "row long, shingles binary"), "shingles")
+    return through_disk(rows.join(nodes, "row").select("row", "text").mapInArrow(lambda it: released(_sets(it, k)), "row long, shingles binary"), "shingles")
 
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -470,11 +470,11 @@ def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     """
     arrow_batches(rows.sparkSession)
     rows = rows.select("row", "text")
-    prints = through_disk(rows.mapInArrow(lambda it: _wide(it, k), "row long, fp binary"), "wide")
+    prints = through_disk(rows.mapInArrow(lambda it: released(_wide(it, k)), "row long, fp binary"), "wide")
     nodes = saved(prints.groupBy("fp").agg(F.min("row").alias("node")))
     keyed = dealt(nodes.withColumn("label", F.col("node")).mapInArrow(_bands, "key long, node long, label long, fp binary"), "node", HOT_BAND)
     with arrow_rows(rows.sparkSession, BAND_ROWS):
-        found = through_disk(keyed.mapInArrow(_candidates, "key long, a long, b long, bits int, fp binary"), "candidates")
+        found = through_disk(keyed.mapInArrow(lambda it: released(_candidates(it)), "key long, a long, b long, bits int, fp binary"), "candidates")
     groups = _decided(rows, found.where("bits > 0").select("a", "b", "bits"), found.where("bits = 0").select("a", "b"), k, similarity)
     again = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "fp").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"), "fp")
     apart = again.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
@@ -482,7 +482,7 @@ def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     if not again.isEmpty():
         some = _sets_of(rows, again.select(F.col("node").alias("row")).distinct(), k).withColumnRenamed("row", "node")
         held = again.join(some, "node").select("key", "node", "label", "fp", "shingles").repartition("key").sortWithinPartitions("key")
-        groups = _joined(groups, through_disk(held.mapInArrow(lambda it: _tested(it, similarity), "a long, b long"), "tested"))
+        groups = _joined(groups, through_disk(held.mapInArrow(lambda it: released(_tested(it, similarity)), "a long, b long"), "tested"))
     classes = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(classes, "fp").select("row", "component")
 
