@@ -25,6 +25,9 @@ ALIASES = [("postgres", "postgresql"), ("k8s", "kubernetes"), ("js", "javascript
 SYNONYMS = [("sql", "postgresql"), ("sql", "mysql"), ("javascript", "typescript"), ("react", "angular"), ("docker", "kubernetes"), ("fastapi", "rest api"), ("flask", "fastapi"), ("machine learning", "deep learning"), ("aws", "gcp"), ("graphql", "rest api")]
 BANDS = [("junior", 0, 2), ("mid", 2, 5), ("senior", 5, 10), ("lead", 8, 15), ("principal", 10, 20), ("staff", 10, 20)]
 BROAD = ["rest api", "communication"]
+#: Skills of one taxonomy entry, and related entries with their similarity.
+SAME_ENTRY = [("node.js", "javascript"), ("pandas", "data analysis")]
+RELATED = [("python", "django", 0.55), ("spark", "kafka", 0.7), ("ci/cd", "git", 0.6)]
 
 
 def values(rows: list[tuple], columns: str) -> str:
@@ -39,6 +42,8 @@ VIEWS: dict[str, tuple[str, str]] = {
     "alias_map": ("", values(ALIASES, "alias, canonical")),
     "synonyms": ("", values(SYNONYMS + [(b, a) for a, b in SYNONYMS], "skill, related")),
     "bands": ("", values(BANDS, "seniority, min_years, max_years")),
+    "same_uri": ("", values(SAME_ENTRY + [(b, a) for a, b in SAME_ENTRY], "skill, related")),
+    "relations": ("", values(RELATED + [(b, a, c) for a, b, c in RELATED], "skill, related, score")),
     "broad_terms": ("", values([(b,) for b in BROAD], "skill")),
     "fx_candidates": ("", """SELECT c_custkey AS candidate_id, c_nationkey AS owner_id, c_name AS full_name,
         concat(lower(replace(c_name, '#', '_')), '@example.com') AS email,
@@ -53,7 +58,8 @@ VIEWS: dict[str, tuple[str, str]] = {
     "fx_jobs": ("", """SELECT s_suppkey AS job_id, s_nationkey AS owner_id, concat('Engineer ', CAST(s_suppkey AS VARCHAR(10))) AS title,
         CASE s_suppkey % 5 WHEN 0 THEN 'junior' WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' WHEN 3 THEN 'lead' END AS seniority FROM supplier"""),
     "fx_job_skills": ("slots skill_vocab", """SELECT DISTINCT s_suppkey AS job_id, skill, k < 4 AS required, CAST(k AS BIGINT) AS pos
-        FROM supplier CROSS JOIN slots JOIN skill_vocab ON skill_id = (s_suppkey * 3 + k * 7) % 40"""),
+        FROM supplier CROSS JOIN slots JOIN skill_vocab ON skill_id = (s_suppkey * 3 + k * 7) % 40 WHERE s_suppkey % 50 <> 49"""),
+    "fx_semantic": ("fx_feedback", """SELECT DISTINCT job_id, candidate_id, CAST((candidate_id * 3 + job_id) % 11 AS DOUBLE) / 10 AS semantic_score FROM fx_feedback WHERE action = 'added'"""),
     "fx_feedback": ("skill_vocab", """SELECT event_id AS feedback_id, ts AS created_at, user_id AS candidate_id, event_id % 10 AS job_id, skill,
         user_id % 25 AS owner_id, event_type = 'purchase' AS correct_match, CASE WHEN event_id % 5 = 0 THEN 'removed' ELSE 'added' END AS action FROM events
         JOIN skill_vocab ON skill_id = CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 40 WHERE event_type IN ('purchase', 'click')"""),

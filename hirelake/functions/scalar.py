@@ -81,9 +81,10 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * lcs_length(a, b) / total)
 
 
-def windows(text: Column, pattern: str, before: int, after: int) -> Column:
+def windows(text: Column, pattern: Column | str, before: int, after: int) -> Column:
     """An array of what stands around each hit of the pattern, by offsets from split and extract."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     at = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1))),
         lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda s, g: s + F.length(g)) + F.aggregate(F.slice(hits, F.lit(1), i - 1), F.lit(0), lambda s, h: s + F.length(h)),

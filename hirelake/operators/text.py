@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import in_order, norm_text, windows
 
-MAX_GRAM = 4
+#: Characters around a mention that are looked at, and the most mentions of a skill in a text that isn't stuffed with it.
+AROUND = 80
+MOST_MENTIONS = 10
 
 
-def grams(df: DataFrame, text: str, key: str, longest: int = MAX_GRAM, lengths: list[int] | None = None) -> DataFrame:
+def grams(df: DataFrame, text: str, key: str, longest: int = 1, lengths: list[int] | None = None) -> DataFrame:
     """(key, gram) of the normalised text's word n-grams, up to `longest` or of the lengths given, repeats included; also without closing dots, as a sentence ends."""
 
     def runs(n: int) -> Column:
@@ -23,37 +25,54 @@ def grams(df: DataFrame, text: str, key: str, longest: int = MAX_GRAM, lengths:
 
 
 def names(catalog: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(gram, skill): what stands for a skill in normalised text."""
+    """(gram, name, skill): what stands for a skill in normalised text, and as it is written."""
     both = catalog.select(F.col("skill").alias("name"), "skill").unionByName(aliases.select(F.col("alias").alias("name"), F.col("canonical").alias("skill")))
-    return both.select(norm_text("name").alias("gram"), "skill").distinct()
+    return both.select(norm_text("name").alias("gram"), F.lower(F.trim("name")).alias("name"), "skill").distinct()
 
 
-def extract_skills(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id", text: str = "text") -> DataFrame:
-    """(key, skill): every catalog skill that the text names, by an equi join of its n-grams."""
+def named(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id", text: str = "text") -> DataFrame:
+    """(key, name, skill): every name of a catalog skill in the text, by an equi join of its n-grams of the names' lengths."""
     known = names(catalog, aliases)
     lengths = sorted(r[0] for r in known.where("gram IS NOT NULL").select(F.size(F.split("gram", " "))).distinct().collect()) or [1]
-    return grams(docs, text, key, lengths=lengths).join(known, "gram").select(key, "skill").distinct()
+    return grams(docs, text, key, lengths=lengths).join(known, "gram").select(key, "name", "skill").distinct()
+
+
+def extract_skills(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id", text: str = "text") -> DataFrame:
+    """(key, skill): every catalog skill that the text names."""
+    return named(docs, catalog, aliases, key, text).select(key, "skill").distinct()
+
+
+def mention_pattern(name: Column) -> Column:
+    """A pattern for a name that stands alone."""
+    return F.concat(F.lit(r"(?<![\w+#])"), F.regexp_replace(name, r"([^\w\s])", r"\\$1"), F.lit(r"(?![\w+#])"))
+
 
+def mention_windows(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id", text: str = "text") -> DataFrame:
+    """(key, skill, around): the surroundings of each mention of a skill that the text names; a text is scanned only for those."""
+    found = named(docs, catalog, aliases, key, text).join(docs.select(key, F.lower(text).alias("low")), key)
+    return found.select(key, "skill", F.explode(windows(F.col("low"), mention_pattern(F.col("name")), AROUND, AROUND)).alias("around"))
 
-def mention_pattern(skill: str) -> str:
-    import re
 
-    return r"(?<![\w+#])" + re.escape(skill) + r"(?![\w+#])"
+def mentions(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, phrases: str, positive: bool, key: str = "candidate_id") -> DataFrame:
+    """(key, skill) where some mention has no phrase around it (positive), or has one."""
+    hit = F.col("around").rlike(phrases)
+    return mention_windows(docs, catalog, aliases, key).where(~hit if positive else hit).select(key, "skill").distinct()
 
 
-def mentions(docs: DataFrame, skills: list[str], phrases: str, positive: bool, key: str = "candidate_id") -> DataFrame:
-    """(key, skill) where some mention has no phrase within 80 characters (positive), or has one."""
-    found = None
-    for s in skills:
-        near = windows(F.lower("text"), mention_pattern(s), 80, 80)
-        hit = F.exists(near, lambda w: ~w.rlike(phrases) if positive else w.rlike(phrases))
-        part = docs.where(F.lower("text").contains(s)).where(hit).select(key, F.lit(s).alias("skill"))
-        found = part if found is None else found.unionByName(part)
-    return found
+def unstuffed_mentions(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, phrases: str, key: str = "candidate_id") -> DataFrame:
+    """(key, skill) with a positive mention, MOST_MENTIONS mentions at most, in a text of varied words."""
+    counted = mention_windows(docs.where(varied(F.col("text"))), catalog, aliases, key).groupBy(key, "skill").agg(F.count("*").alias("n"), F.count_if(~F.col("around").rlike(phrases)).alias("good"))
+    return counted.where((F.col("good") > 0) & (F.col("n") <= MOST_MENTIONS)).select(key, "skill")
 
 
-def positive_hits(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id") -> DataFrame:
-    return extract_skills(docs, catalog, aliases, key)
+def text_evidence(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, weak: str, hard: str, key: str = "candidate_id") -> DataFrame:
+    """(key, skill, hit, weak, hard): of each skill that a text names, whether it is an unstuffed positive mention, and whether
+    a weak or hard phrase stands around a mention; the texts are read once."""
+    near = mention_windows(docs.select(key, "text"), catalog, aliases, key)
+    around = F.col("around")
+    found = near.groupBy(key, "skill").agg(F.count("*").alias("n"), F.count_if(~around.rlike(weak)).alias("good"), F.max(around.rlike(weak)).alias("weak"), F.max(around.rlike(hard)).alias("hard"))
+    fit = docs.select(key, varied(F.col("text")).alias("varied"))
+    return found.join(fit, key).select(key, "skill", (F.col("varied") & (F.col("good") > 0) & (F.col("n") <= MOST_MENTIONS)).alias("hit"), "weak", "hard")
 
 
 def varied(text: Column) -> Column:
@@ -70,19 +89,32 @@ def section(text: Column, header: str, headers: str) -> Column:
 HEADERS = "Skills|Experience|Education|Projects|Languages|Summary"
 
 
+def project_skills(cvs: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(candidate_id, skill) named in the projects of a CV."""
+    return extract_skills(cvs.select("candidate_id", section(F.col("text"), "Projects", HEADERS).alias("text")), catalog, aliases)
+
+
 def project_bonus(jobs: DataFrame, job_skills: DataFrame, cvs: DataFrame, catalog: DataFrame, aliases: DataFrame) -> DataFrame:
     """(job_id, candidate_id, bonus): 0.5 for junior jobs with a skill in the candidate's projects."""
     from .matching import is_junior
 
-    projects = extract_skills(cvs.select("candidate_id", section(F.col("text"), "Projects", HEADERS).alias("text")), catalog, aliases)
     junior = jobs.where(is_junior(F.col("title"), F.col("seniority"))).select("job_id")
-    return junior.join(job_skills, "job_id").join(projects, "skill").select("job_id", "candidate_id", F.lit(0.5).alias("bonus")).distinct()
+    return junior.join(job_skills, "job_id").join(project_skills(cvs, catalog, aliases), "skill").select("job_id", "candidate_id", F.lit(0.5).alias("bonus")).distinct()
+
+
+def _signals(text: Column) -> tuple[Column, Column]:
+    """Whether a text tells of an internship, and of a certificate."""
+    return text.rlike(r"(?i)\b(?:intern|internship|trainee)\b"), text.rlike(r"(?i)\b(?:certificate|certification|certified)\b")
+
+
+def year_credit(text: Column) -> Column:
+    """Years that a junior job credits for internships and certificates, 1 at most."""
+    intern, certificate = _signals(text)
+    return F.least(F.lit(1.0), F.when(intern, 0.5).otherwise(0.0) + F.when(certificate, 0.25).otherwise(0.0))
 
 
 def junior_credit(pairs: DataFrame) -> DataFrame:
     """(job_id, candidate_id, credit, signals) for pairs of a junior job and a CV text: internships and certificates."""
-    intern = F.col("text").rlike(r"(?i)\b(?:intern|internship|trainee)\b")
-    certificate = F.col("text").rlike(r"(?i)\b(?:certificate|certification|certified)\b")
-    credit = F.least(F.lit(1.0), F.when(intern, 0.5).otherwise(0.0) + F.when(certificate, 0.25).otherwise(0.0))
+    intern, certificate = _signals(F.col("text"))
     signals = F.array_compact(F.array(F.when(intern, F.lit("internship_experience")), F.when(certificate, F.lit("relevant_certificate"))))
-    return pairs.select("job_id", "candidate_id", credit.alias("credit"), F.array_join(signals, ",").alias("signals"))
+    return pairs.select("job_id", "candidate_id", year_credit(F.col("text")).alias("credit"), F.array_join(signals, ",").alias("signals"))

@@ -10,6 +10,7 @@ from ..operators import matching as M
 from ..operators import text as X
 from ..plans import match_all as P
 from ..registry import query
+from ..sources.tables import settled
 
 SKILLS = "fx_candidate_skills"
 NEED = "need AS (SELECT job_id, skill, max(CASE WHEN required THEN 1 ELSE 0 END) = 1 AS required FROM fx_job_skills GROUP BY job_id, skill)"
@@ -17,26 +18,34 @@ TOTALS = "totals AS (SELECT job_id, sum(CASE WHEN required THEN 1 ELSE 0 END) AS
 OWN = "own AS (SELECT candidate_id, skill, status, context FROM fx_candidate_skills WHERE status <> 'no_experience')"
 DENIED = "denied AS (SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status = 'no_experience')"
 EXPANDED = "expanded AS (SELECT candidate_id, skill FROM own UNION SELECT candidate_id, related FROM own JOIN synonyms USING (skill))"
+#: What the CV's text shows: named in its lists, or in a summary that claims it; the summary's denial also reaches the project's skill.
+HITS = """hits AS (SELECT candidate_id, s0 AS skill FROM fx_cv_slots UNION SELECT candidate_id, s1 FROM fx_cv_slots UNION SELECT candidate_id, s2 FROM fx_cv_slots
+        UNION SELECT candidate_id, s3 FROM fx_cv_slots WHERE candidate_id % 4 IN (2, 3))"""
+WEAK = """weak AS (SELECT candidate_id, s3 AS skill FROM fx_cv_slots WHERE candidate_id % 4 IN (0, 1) UNION SELECT candidate_id, s1 FROM fx_cv_slots WHERE candidate_id % 4 IN (0, 1))"""
 #: The tiers of match_skills in SQL.
-MATCHES = f"""{NEED}, {OWN}, {DENIED}, hits AS (SELECT candidate_id, s0 AS skill FROM fx_cv_slots UNION SELECT candidate_id, s1 FROM fx_cv_slots UNION SELECT candidate_id, s2 FROM fx_cv_slots),
-    not_positive AS (SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status IN ('no_experience', 'learning')),
+MATCHES = f"""{NEED}, {OWN}, {HITS}, {WEAK},
+    denied AS (SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status = 'no_experience' UNION SELECT candidate_id, skill FROM weak WHERE candidate_id % 4 = 0),
+    not_positive AS (SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status IN ('no_experience', 'learning') UNION SELECT candidate_id, skill FROM weak),
     proven AS (SELECT candidate_id, skill FROM (SELECT candidate_id, skill FROM fx_candidate_skills WHERE status IN ('has_experience', 'unknown') AND context IS NOT NULL UNION SELECT candidate_id, skill FROM hits) p
         WHERE NOT EXISTS (SELECT 1 FROM not_positive n WHERE n.candidate_id = p.candidate_id AND n.skill = p.skill)),
+    near AS (SELECT skill, related FROM synonyms WHERE skill IN (SELECT skill FROM broad_terms) OR related NOT IN (SELECT skill FROM broad_terms)),
     raw_hits AS (
         SELECT n.job_id, o.candidate_id, n.skill, n.required, 1 AS tier, 'exact' AS match_type, 1.0 AS c FROM need n JOIN own o ON o.skill = n.skill
         UNION SELECT n.job_id, o.candidate_id, n.skill, n.required, 2, CASE WHEN n.skill IN (SELECT skill FROM broad_terms) THEN 'related' ELSE 'synonym' END, 0.85
-            FROM need n JOIN synonyms s ON s.skill = n.skill JOIN own o ON o.skill = s.related
-            WHERE n.skill IN (SELECT skill FROM broad_terms) OR o.skill NOT IN (SELECT skill FROM broad_terms)
+            FROM need n JOIN near s ON s.skill = n.skill JOIN own o ON o.skill = s.related
+        UNION SELECT n.job_id, o.candidate_id, n.skill, n.required, 3, 'synonym', 0.95 FROM need n JOIN same_uri s ON s.skill = n.skill JOIN own o ON o.skill = s.related
+        UNION SELECT n.job_id, o.candidate_id, n.skill, n.required, 4, 'related', s.score FROM need n JOIN relations s ON s.skill = n.skill JOIN own o ON o.skill = s.related
         UNION SELECT n.job_id, h.candidate_id, n.skill, n.required, 6, 'text', 0.80 FROM need n JOIN hits h ON h.skill = n.skill
-        UNION SELECT n.job_id, f.candidate_id, n.skill, n.required, 7, 'feedback', 0.70 FROM need n JOIN fx_feedback f ON f.skill = n.skill AND f.job_id = n.job_id AND f.correct_match),
+        UNION SELECT n.job_id, h.candidate_id, n.skill, n.required, 7, 'text', 0.75 FROM need n JOIN near s ON s.skill = n.skill JOIN hits h ON h.skill = s.related
+        UNION SELECT n.job_id, f.candidate_id, n.skill, n.required, 8, 'feedback', 0.70 FROM need n JOIN fx_feedback f ON f.skill = n.skill AND f.job_id = n.job_id AND f.correct_match),
     limited AS (SELECT r.job_id, r.candidate_id, r.skill, r.required, tier, match_type,
-        CASE WHEN tier > 2 THEN c WHEN EXISTS (SELECT 1 FROM fx_candidate_skills l WHERE l.candidate_id = r.candidate_id AND l.skill = r.skill AND l.status = 'learning') THEN least(c, 0.60)
+        CASE WHEN tier > 4 THEN c WHEN EXISTS (SELECT 1 FROM fx_candidate_skills l WHERE l.candidate_id = r.candidate_id AND l.skill = r.skill AND l.status = 'learning') THEN least(c, 0.60)
             WHEN p.skill IS NOT NULL THEN c ELSE least(c, 0.80) END AS confidence
         FROM raw_hits r LEFT JOIN proven p ON p.candidate_id = r.candidate_id AND p.skill = r.skill),
-    firsts AS (SELECT *, row_number() OVER (PARTITION BY job_id, candidate_id, skill ORDER BY tier) AS rn FROM limited),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY job_id, candidate_id, skill ORDER BY tier, confidence DESC) AS rn FROM limited),
     matches AS (SELECT job_id, candidate_id, skill, required, match_type, CAST(confidence AS DOUBLE) AS confidence FROM firsts f
         WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM denied d WHERE d.candidate_id = f.candidate_id AND d.skill = f.skill))"""
-MATCH_VIEWS = "fx_job_skills fx_candidate_skills synonyms broad_terms fx_cv_slots fx_feedback"
+MATCH_VIEWS = "fx_job_skills fx_candidate_skills synonyms broad_terms same_uri relations fx_cv_slots fx_feedback"
 COVERAGE = f"""{MATCHES}, {TOTALS}, cov AS (SELECT m.job_id, m.candidate_id, t.n_required,
         CASE WHEN t.n_required = 0 THEN 1.0 ELSE CAST(sum(CASE WHEN required THEN CAST(confidence AS DECIMAL(10,4)) ELSE 0 END) AS DOUBLE) / t.n_required END AS required_score,
         CASE WHEN t.n_optional = 0 THEN 0.0 ELSE CAST(sum(CASE WHEN required THEN 0 ELSE CAST(confidence AS DECIMAL(10,4)) END) AS DOUBLE) / t.n_optional END AS optional_score
@@ -57,22 +66,28 @@ def scored_sql(weights: dict[str, float], source: str, years: str = "c.years", s
     scored AS (SELECT *, round(before_cap + 1e-9, 4) AS pre_cap_score, round(cap + 1e-9, 4) AS score_cap, round(least(before_cap, cap) + 1e-9, 4) AS final_score FROM sums)"""
 
 
+#: Coverage of every candidate for every job, with semantic scores and the credits of junior jobs: all CVs have an internship.
+EVERY = """every AS (SELECT j.job_id, c.candidate_id, coalesce(t.n_required, 0) AS n_required,
+        CASE WHEN coalesce(t.n_required, 0) = 0 THEN 1.0 ELSE coalesce(v.required_score, 0.0) END AS required_score, coalesce(v.optional_score, 0.0) AS optional_score,
+        greatest(coalesce(s.semantic_score, 0.0), CASE WHEN j.seniority = 'junior' AND b.candidate_id IS NOT NULL THEN 0.5 ELSE 0.0 END) AS semantic
+        FROM fx_jobs j CROSS JOIN fx_candidates c LEFT JOIN totals t ON t.job_id = j.job_id LEFT JOIN cov v ON v.job_id = j.job_id AND v.candidate_id = c.candidate_id
+        LEFT JOIN fx_semantic s ON s.job_id = j.job_id AND s.candidate_id = c.candidate_id
+        LEFT JOIN (SELECT DISTINCT n.job_id, k.candidate_id FROM need n JOIN fx_cv_slots k ON k.s1 = n.skill) b ON b.job_id = j.job_id AND b.candidate_id = c.candidate_id)"""
+CREDITED = "CASE WHEN j.seniority = 'junior' THEN greatest(coalesce(c.years, 0.0), 0.5) ELSE c.years END"
 SCORE_VIEWS = f"{MATCH_VIEWS} fx_jobs fx_candidates bands"
 SCORED = f"{COVERAGE}, {scored_sql(M.WEIGHTS, 'cov')}"
 RANKED = f"{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, candidate_id) AS rank FROM scored)"
 
 
-def _text_hits(fx: Fixtures) -> DataFrame:
-    """Skills that the CV's text mentions without a denial around."""
-    return X.positive_hits(fx.fx_cv_text, fx.skill_vocab.select("skill"), fx.alias_map)
-
-
-def _slot_hits(fx: Fixtures) -> DataFrame:
-    return fx.fx_cv_slots.select("candidate_id", F.explode(F.array("s0", "s1", "s2")).alias("skill")).distinct()
+def _evidence(fx: Fixtures) -> M.Evidence:
+    """What the skill lists and the CVs' texts show and deny."""
+    text = settled(X.text_evidence(fx.fx_cv_text, fx.skill_vocab.select("skill"), fx.alias_map, M.NON_EVIDENCE, M.HARD_NEGATION), "text-evidence")
+    hits, hard, weak = (text.where(c).select("candidate_id", "skill") for c in ("hit", "hard", "weak"))
+    return M.Evidence(fx.fx_candidate_skills, fx.synonyms, fx.broad_terms, hits, hard, weak, fx.same_uri, fx.relations, None, fx.fx_feedback)
 
 
 def _matches(fx: Fixtures) -> DataFrame:
-    return M.match_skills(fx.fx_job_skills, fx.fx_candidate_skills, fx.synonyms, fx.broad_terms, _slot_hits(fx), fx.fx_feedback)
+    return M.match_skills(fx.fx_job_skills, _evidence(fx))
 
 
 def _scored(fx: Fixtures) -> DataFrame:
@@ -143,27 +158,21 @@ def e9_overqualified(fx: Fixtures) -> DataFrame:
     return pairs.select(*M.PAIR, M.overqualified(F.col("years"), F.col("max_years"), F.col("seniority")).alias("overqualified"))
 
 
-@query("fx_cv_slots", "SELECT candidate_id, skill FROM (SELECT candidate_id, s0 AS skill FROM fx_cv_slots UNION SELECT candidate_id, s1 FROM fx_cv_slots UNION SELECT candidate_id, s2 FROM fx_cv_slots) WHERE skill IN ('python', 'kafka', 'redis')")
+@query("fx_cv_slots", f"WITH {HITS} SELECT candidate_id, skill FROM hits")
 def e10_positive_mentions(fx: Fixtures) -> DataFrame:
-    """Of three skills: CVs with a mention that has no denial or learning phrase within 80 characters (the sections are far apart)."""
-    return X.mentions(_sections(fx), ["python", "kafka", "redis"], M.NON_EVIDENCE, positive=True).select("candidate_id", "skill").distinct()
+    """Skills with a mention that has no denial or learning phrase within 80 characters."""
+    return X.mentions(fx.fx_cv_text, fx.skill_vocab.select("skill"), fx.alias_map, M.NON_EVIDENCE, positive=True)
 
 
-@query("fx_cv_slots", "SELECT candidate_id, s3 AS skill FROM fx_cv_slots WHERE candidate_id % 4 IN (0, 1) AND s3 IN ('python', 'kafka', 'redis')")
+@query("fx_cv_slots", f"WITH {WEAK} SELECT candidate_id, skill FROM weak")
 def e11_negative_mentions(fx: Fixtures) -> DataFrame:
-    """Of three skills: CVs whose summary denies them, or says that they are being learned."""
-    return X.mentions(_sections(fx), ["python", "kafka", "redis"], M.NON_EVIDENCE, positive=False).select("candidate_id", "skill").distinct()
-
-
-def _sections(fx: Fixtures) -> DataFrame:
-    """The skills line and the summary of each CV as texts of their own."""
-    parts = F.split("text", "\nSummary\n")
-    return fx.fx_cv_text.select("candidate_id", F.explode(F.array(F.regexp_extract("text", "Skills\n([^\n]*)", 1), F.element_at(parts, -1))).alias("text")).where("candidate_id % 4 IN (0, 1) OR text NOT LIKE '3 years of%'")
+    """Skills that the text denies, or says that they are being learned, within 80 characters of a mention."""
+    return X.mentions(fx.fx_cv_text, fx.skill_vocab.select("skill"), fx.alias_map, M.NON_EVIDENCE, positive=False)
 
 
-@query(SKILLS, "SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status IN ('no_experience', 'learning')")
+@query(f"{SKILLS} fx_cv_slots", f"WITH {WEAK} SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status IN ('no_experience', 'learning') UNION SELECT candidate_id, skill FROM weak")
 def e12_negated_skills(fx: Fixtures) -> DataFrame:
-    return M.negated_skills(fx.fx_candidate_skills)
+    return M.negated_skills(fx.fx_candidate_skills, text_denied=_evidence(fx).text_weak)
 
 
 @query(SKILLS, "SELECT candidate_id, skill FROM fx_candidate_skills EXCEPT SELECT candidate_id, skill FROM fx_candidate_skills WHERE status IN ('no_experience', 'learning')")
@@ -171,9 +180,10 @@ def e13_positive_skills(fx: Fixtures) -> DataFrame:
     return M.positive_skills(fx.fx_candidate_skills)
 
 
-@query(f"{SKILLS} fx_job_skills synonyms broad_terms fx_cv_slots fx_feedback", f"WITH {MATCHES} SELECT candidate_id, skill FROM proven")
+@query(MATCH_VIEWS, f"WITH {MATCHES} SELECT candidate_id, skill FROM proven")
 def e14_evidence(fx: Fixtures) -> DataFrame:
-    return M.evidence(fx.fx_candidate_skills, _slot_hits(fx))
+    e = _evidence(fx)
+    return M.evidence(e.skills, e.text_hits, e.text_weak)
 
 
 @query(
@@ -218,7 +228,8 @@ def e18_match_skills(fx: Fixtures) -> DataFrame:
 def e19_text_fallback(fx: Fixtures) -> DataFrame:
     """Required skills still missing that the text mentions, also where a denial stopped the tiers."""
     need = M.needs(fx.fx_job_skills).where("required").select("job_id", "skill")
-    return need.join(_slot_hits(fx), "skill").join(_matches(fx), [*M.PAIR, "skill"], "left_anti").select(*M.PAIR, "skill", F.lit("text").alias("match_type"), F.lit(0.80).alias("confidence"))
+    hits = X.mentions(fx.fx_cv_text, fx.skill_vocab.select("skill"), fx.alias_map, M.NON_EVIDENCE, positive=True)
+    return need.join(hits, "skill").join(_matches(fx), [*M.PAIR, "skill"], "left_anti").select(*M.PAIR, "skill", F.lit("text").alias("match_type"), F.lit(0.80).alias("confidence"))
 
 
 @query("fx_feedback", "SELECT DISTINCT job_id, candidate_id, skill FROM fx_feedback WHERE correct_match")
@@ -245,11 +256,12 @@ def e24_project_bonus(fx: Fixtures) -> DataFrame:
 
 
 @query(
-    "fx_jobs fx_candidates",
-    "SELECT job_id, candidate_id, CAST(0.5 AS DOUBLE) AS credit, 'internship_experience' AS signals FROM fx_jobs JOIN fx_candidates ON candidate_id % 10 = job_id % 10 WHERE seniority = 'junior'",
+    "fx_jobs fx_candidates fx_feedback",
+    "SELECT DISTINCT f.job_id, candidate_id, CAST(0.5 AS DOUBLE) AS credit, 'internship_experience' AS signals FROM fx_jobs j JOIN fx_feedback f ON f.job_id = j.job_id JOIN fx_candidates USING (candidate_id) WHERE seniority = 'junior'",
 )
 def e25_junior_credit(fx: Fixtures) -> DataFrame:
-    pairs = fx.fx_jobs.withColumn("b", F.col("job_id") % 10).join(fx.fx_cv_text.withColumn("b", F.col("candidate_id") % 10), "b")
+    """Of all pairs that recruiters have looked at."""
+    pairs = fx.fx_feedback.select(*M.PAIR).distinct().join(fx.fx_jobs, "job_id").join(fx.fx_cv_text, "candidate_id")
     return X.junior_credit(pairs.where(M.is_junior(F.col("title"), F.col("seniority"))))
 
 
@@ -258,9 +270,9 @@ def e26_years_score(fx: Fixtures) -> DataFrame:
     return fx.fx_candidates.select("candidate_id", M.years_score(F.col("years")).alias("years_score"))
 
 
-@query("fx_jobs fx_candidates bands", f"SELECT j.job_id, c.candidate_id, round({seniority_sql('c.years')}, 6) AS seniority_score FROM fx_jobs j JOIN fx_candidates c ON c.candidate_id % 10 = j.job_id % 10 LEFT JOIN bands b ON b.seniority = j.seniority")
+@query("fx_jobs fx_candidates fx_feedback bands", f"SELECT j.job_id, c.candidate_id, round({seniority_sql('c.years')}, 6) AS seniority_score FROM (SELECT DISTINCT job_id, candidate_id FROM fx_feedback) f JOIN fx_jobs j ON j.job_id = f.job_id JOIN fx_candidates c ON c.candidate_id = f.candidate_id LEFT JOIN bands b ON b.seniority = j.seniority")
 def e27_seniority_score(fx: Fixtures) -> DataFrame:
-    pairs = fx.fx_jobs.withColumn("b", F.col("job_id") % 10).join(fx.fx_candidates.withColumn("b", F.col("candidate_id") % 10), "b").join(fx.bands, "seniority", "left")
+    pairs = fx.fx_feedback.select(*M.PAIR).distinct().join(fx.fx_jobs, "job_id").join(fx.fx_candidates.select("candidate_id", "years"), "candidate_id").join(fx.bands, "seniority", "left")
     return pairs.select(*M.PAIR, F.round(M.seniority_score(F.col("years"), F.col("min_years"), F.col("max_years"), F.col("seniority")), 6).alias("seniority_score"))
 
 
@@ -272,9 +284,9 @@ def e28_explain_score(fx: Fixtures) -> DataFrame:
 @query(
     SCORE_VIEWS,
     f"""WITH {SCORED}, flags AS (SELECT *, coalesce(seniority, '') <> '' AND years IS NOT NULL AND years > coalesce(max_years, 10) + 2 AS over_q FROM scored)
-        SELECT job_id, candidate_id, concat_ws('; ', CASE WHEN required_score >= 0.8 THEN 'Strong skill match' END, CASE WHEN seniority_score >= 0.8 THEN 'Experience level matches role' END) AS strengths,
+        SELECT job_id, candidate_id, concat_ws('; ', CASE WHEN required_score >= 0.8 THEN 'Covers the required skills well' END, CASE WHEN seniority_score >= 0.8 THEN 'Years fit the level' END) AS strengths,
             CASE WHEN seniority_score >= 0.9 THEN 'exact' WHEN seniority_score < 0.5 THEN 'under' WHEN over_q THEN 'over' ELSE 'acceptable' END AS seniority_match,
-            concat_ws('; ', CASE WHEN required_score < 0.5 THEN 'Consider if transferable skills apply' END, CASE WHEN over_q THEN 'Discuss career goals and role fit' END) AS recommendations FROM flags""",
+            concat_ws('; ', CASE WHEN required_score < 0.5 THEN 'Ask which related skills could carry over' END, CASE WHEN over_q THEN 'Ask what draws them to this level' END) AS recommendations FROM flags""",
 )
 def e29_reasoning(fx: Fixtures) -> DataFrame:
     return P.explained(_scored(fx), _matches(fx), fx.fx_job_skills).select(*M.PAIR, "strengths", "seniority_match", "recommendations")
@@ -307,20 +319,26 @@ def e31_rank(fx: Fixtures) -> DataFrame:
 
 @query(
     f"fx_job_skills {SKILLS} synonyms fx_jobs fx_candidates bands",
-    f"""WITH {LEGACY}, {scored_sql(M.LEGACY_WEIGHTS, 'legacy', 'coalesce(c.years, 0.0)')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, candidate_id) AS rank FROM scored)
+    f"""WITH {LEGACY}, every AS (SELECT j.job_id, c.candidate_id, coalesce(t.n_required, 0) AS n_required, CASE WHEN coalesce(t.n_required, 0) = 0 THEN 1.0 ELSE coalesce(l.required_score, 0.0) END AS required_score,
+            coalesce(l.optional_score, 0.0) AS optional_score FROM fx_jobs j CROSS JOIN fx_candidates c LEFT JOIN totals t ON t.job_id = j.job_id LEFT JOIN legacy l ON l.job_id = j.job_id AND l.candidate_id = c.candidate_id),
+        {scored_sql(M.LEGACY_WEIGHTS, 'every', 'coalesce(c.years, 0.0)')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, candidate_id) AS rank FROM scored)
         SELECT job_id, candidate_id, final_score, rank FROM ranked WHERE rank <= 20""",
 )
 def e32_rank_legacy(fx: Fixtures) -> DataFrame:
     return P.rank_legacy(fx.fx_jobs, fx.fx_candidates, fx.fx_job_skills, fx.fx_candidate_skills, fx.synonyms, fx.bands, 20).select(*M.PAIR, "final_score", "rank")
 
 
-@query(SCORE_VIEWS, f"""WITH {RANKED}, top AS (SELECT * FROM ranked WHERE rank <= 10)
+@query(f"{SCORE_VIEWS} fx_semantic", f"""WITH {COVERAGE}, {EVERY}, {scored_sql(M.WEIGHTS, 'every', CREDITED, 'v.semantic')},
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, candidate_id) AS rank FROM scored) WHERE rank <= 10)
         SELECT t.job_id, t.candidate_id, t.final_score, t.score_cap, t.rank, coalesce(string_agg(m.skill, ',' ORDER BY n.skill), '') AS matched_required,
             coalesce(string_agg(CASE WHEN m.skill IS NULL THEN n.skill END, ',' ORDER BY n.skill), '') AS missing_required
         FROM top t LEFT JOIN need n ON n.job_id = t.job_id AND n.required LEFT JOIN matches m ON m.job_id = t.job_id AND m.candidate_id = t.candidate_id AND m.skill = n.skill
         GROUP BY t.job_id, t.candidate_id, t.final_score, t.score_cap, t.rank""")
 def e33_match_all(fx: Fixtures) -> DataFrame:
-    found = P.match_all(fx.fx_jobs, fx.fx_candidates, fx.fx_job_skills, fx.fx_candidate_skills, fx.synonyms, fx.broad_terms, fx.bands, _slot_hits(fx), fx.fx_feedback, k=10)
+    """The best ten of all candidates for every job, from skill lists, CV texts, feedback, semantic scores and junior credits."""
+    projects = X.project_skills(fx.fx_cv_text, fx.skill_vocab.select("skill"), fx.alias_map)
+    credits = fx.fx_cv_text.select("candidate_id", X.year_credit(F.col("text")).alias("credit"))
+    found = P.match_all(fx.fx_jobs, fx.fx_candidates, fx.fx_job_skills, _evidence(fx), fx.bands, 10, fx.fx_semantic, projects, credits)
     return found.select(*M.PAIR, "final_score", "score_cap", "rank", "matched_required", "missing_required")
 
 
@@ -353,7 +371,9 @@ def e36_is_current(fx: Fixtures) -> DataFrame:
 @query(
     f"{SCORE_VIEWS} fx_matches_old",
     f"""WITH {COVERAGE}, old AS (SELECT *, interview_score IS NOT NULL OR (scoring_model = 'hybrid_v2' AND abs(weight_required - 0.55) <= 0.0001) AS cur FROM fx_matches_old),
-        stale AS (SELECT c.*, o.semantic, o.scoring_model FROM cov c JOIN old o ON o.job_id = c.job_id AND o.candidate_id = c.candidate_id WHERE NOT cur),
+        stale AS (SELECT o.job_id, o.candidate_id, coalesce(t.n_required, 0) AS n_required, CASE WHEN coalesce(t.n_required, 0) = 0 THEN 1.0 ELSE coalesce(c.required_score, 0.0) END AS required_score,
+            coalesce(c.optional_score, 0.0) AS optional_score, o.semantic, o.scoring_model
+            FROM old o LEFT JOIN cov c ON o.job_id = c.job_id AND o.candidate_id = c.candidate_id LEFT JOIN totals t ON t.job_id = o.job_id WHERE NOT cur),
         {scored_sql(M.WEIGHTS, 'stale', semantic='v.semantic')}
         SELECT job_id, candidate_id, final_score AS score, scoring_model AS previous_model FROM scored
         UNION ALL SELECT job_id, candidate_id, score, NULL FROM old o WHERE cur OR NOT EXISTS (SELECT 1 FROM stale s WHERE s.job_id = o.job_id AND s.candidate_id = o.candidate_id)""",
@@ -362,8 +382,8 @@ def e37_refresh_stale(fx: Fixtures) -> DataFrame:
     old = fx.fx_matches_old.withColumn("current", M.is_current(F.col("scoring_model"), F.col("weight_required").cast("double"), F.col("interview_score")))
     stale = old.where("NOT current")
     semantic = stale.select(*M.PAIR, F.col("semantic").alias("semantic_score"))
-    matches = _matches(fx).join(stale.select(*M.PAIR), M.PAIR, "left_semi")
-    fresh = P.scored_pairs(fx.fx_jobs, fx.fx_candidates, matches, fx.fx_job_skills, fx.bands, semantic).join(stale.select(*M.PAIR, "scoring_model"), M.PAIR)
+    matches = M.match_skills(fx.fx_job_skills, _evidence(fx), stale)
+    fresh = P.scored_pairs(fx.fx_jobs, fx.fx_candidates, matches, fx.fx_job_skills, fx.bands, semantic, pairs=stale).join(stale.select(*M.PAIR, "scoring_model"), M.PAIR)
     fresh = fresh.select(*M.PAIR, F.col("final_score").alias("score"), F.col("scoring_model").alias("previous_model"))
     return fresh.unionByName(old.join(fresh, M.PAIR, "left_anti").select(*M.PAIR, "score", F.lit(None).cast("string").alias("previous_model")))
 

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="hirelake-")
+    return f"{at}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, of known size, and kept when executors are lost."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """incoming, and the rows of current whose key it doesn't hold."""
     return incoming.unionByName(current.join(incoming, keys, "left_anti"), allowMissingColumns=True)

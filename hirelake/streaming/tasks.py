@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,11 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hirelake-")
-    return f"{at}/{label}-{uuid.uuid4().hex}"
+from ..sources.tables import shared_path
 
 
 def replay(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:

@@ -52,7 +52,7 @@ def none(spark, schema="candidate_id long, skill string"):
 def test_learning_and_contextless_skills_cover_seventy_percent(spark):
     own = skills(spark, [(1, "python", "learning", None, 0.6, 0), (1, "sql", "has_experience", None, 0.6, 1)])
     need = needs(spark, [(1, "python", True, 0), (1, "sql", True, 1)])
-    found = M.match_skills(need, own, none(spark, "skill string, related string"), none(spark, "skill string"), none(spark))
+    found = M.match_skills(need, M.Evidence(own, none(spark, "skill string, related string"), none(spark, "skill string"), none(spark)))
     assert M.coverage(found, need).first()["required_score"] == pytest.approx(0.70)
 
 
@@ -62,7 +62,7 @@ def test_tiers_denials_and_broad_terms(spark):
     synonyms = spark.createDataFrame([("sql", "postgresql"), ("fastapi", "rest api")], "skill string, related string")
     broad = spark.createDataFrame([("rest api",)], "skill string")
     text = spark.createDataFrame([(1, "java")], "candidate_id long, skill string")
-    found = {r["skill"]: (r["match_type"], r["confidence"]) for r in M.match_skills(need, own, synonyms, broad, text).collect()}
+    found = {r["skill"]: (r["match_type"], r["confidence"]) for r in M.match_skills(need, M.Evidence(own, synonyms, broad, text)).collect()}
     assert found == {"sql": ("synonym", 0.80)}
 
 
@@ -70,7 +70,7 @@ def test_first_tier_wins_over_a_better_one(spark):
     own = skills(spark, [(1, "x", "has_experience", None, 1.0, 0)])
     need = needs(spark, [(1, "kotlin", True, 0)])
     pair = spark.createDataFrame([(1, "kotlin")], "candidate_id long, skill string")
-    found = M.match_skills(need, own, none(spark, "skill string, related string"), none(spark, "skill string"), pair, uncatalogued=pair).first()
+    found = M.match_skills(need, M.Evidence(own, none(spark, "skill string, related string"), none(spark, "skill string"), pair, uncatalogued=pair)).first()
     assert (found["match_type"], found["confidence"]) == ("uncatalogued", 0.40)
 
 
@@ -79,7 +79,7 @@ def test_explained_score(spark):
     r = M.reasoning(M.explain_score(df)).first()
     assert r["pre_cap_score"] == pytest.approx(0.55 * 0.9 + 0.2 * 0.8 + 0.05 * 0.5 + 0.05, abs=1e-4)
     assert r["score_cap"] == pytest.approx(0.93)
-    assert r["strengths"] == "Strong skill match; Experience level matches role"
+    assert r["strengths"] == "Covers the required skills well; Years fit the level"
 
 
 def test_rerank_moves_by_five_points_at_most(spark):
@@ -97,7 +97,7 @@ def test_weights(spark):
 def test_scores_are_bounded_and_ranks_dense(spark):
     own = skills(spark, [(c, s, "has_experience", "c", 0.9, 0) for c in range(1, 6) for s in ("python", "sql")[: c % 2 + 1]])
     need = needs(spark, [(1, "python", True, 0), (1, "sql", False, 1)])
-    found = M.match_skills(need, own, none(spark, "skill string, related string"), none(spark, "skill string"), none(spark))
+    found = M.match_skills(need, M.Evidence(own, none(spark, "skill string, related string"), none(spark, "skill string"), none(spark)))
     jobs = spark.createDataFrame([(1, "mid", "Engineer")], "job_id long, seniority string, title string")
     cands = spark.createDataFrame([(c, float(c)) for c in range(1, 6)], "candidate_id long, years double")
     bands = spark.createDataFrame(BANDS, "seniority string, min_years int, max_years int")
