@@ -60,7 +60,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "fx_job_skills": ("slots skill_vocab", """SELECT DISTINCT s_suppkey AS job_id, skill, k < 4 AS required, CAST(k AS BIGINT) AS pos
         FROM supplier CROSS JOIN slots JOIN skill_vocab ON skill_id = (s_suppkey * 3 + k * 7) % 40 WHERE s_suppkey % 50 <> 49"""),
     "fx_semantic": ("fx_feedback", """SELECT DISTINCT job_id, candidate_id, CAST((candidate_id * 3 + job_id) % 11 AS DOUBLE) / 10 AS semantic_score FROM fx_feedback WHERE action = 'added'"""),
-    "fx_feedback": ("skill_vocab", """SELECT event_id AS feedback_id, ts AS created_at, user_id AS candidate_id, event_id % 10 AS job_id, skill,
+    "fx_feedback": ("skill_vocab", """SELECT event_id AS feedback_id, ts AS created_at, user_id AS candidate_id, 1 + (event_id * 7 + user_id) % (SELECT count(*) FROM supplier) AS job_id, skill,
         user_id % 25 AS owner_id, event_type = 'purchase' AS correct_match, CASE WHEN event_id % 5 = 0 THEN 'removed' ELSE 'added' END AS action FROM events
         JOIN skill_vocab ON skill_id = CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 40 WHERE event_type IN ('purchase', 'click')"""),
     "fx_answers": ("skill_vocab", """SELECT conv_id AS session_id, turn, conv_id % 10 AS job_id, conv_id AS candidate_id, skill, text AS answer
@@ -86,11 +86,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         max(CASE WHEN k = 0 THEN skill END), ', ', max(CASE WHEN k = 1 THEN skill END), chr(10), chr(10), 'Nice to have: ', max(CASE WHEN k = 2 THEN skill END), chr(10),
         'Experience in ', max(CASE WHEN k = 3 THEN skill END), ' is a plus') AS text
         FROM fx_jobs j CROSS JOIN slots JOIN skill_vocab ON skill_id = (j.job_id * 3 + k * 7) % 40 GROUP BY j.job_id, j.seniority"""),
-    "fx_matches_old": ("fx_candidates", """SELECT CAST(s_suppkey AS BIGINT) AS job_id, candidate_id, CAST((candidate_id * 7 + s_suppkey * 3) % 100 AS DOUBLE) / 100 AS score,
+    "fx_matches_old": ("fx_candidates fx_feedback", """SELECT job_id, candidate_id, CAST((candidate_id * 7 + job_id * 3) % 100 AS DOUBLE) / 100 AS score,
         CASE WHEN candidate_id % 4 = 0 THEN 'hybrid_v1' ELSE 'hybrid_v2' END AS scoring_model,
         CASE WHEN candidate_id % 6 = 0 THEN 0.5 ELSE 0.55 END AS weight_required, CAST(candidate_id % 10 AS DOUBLE) / 10 AS semantic,
         CASE WHEN candidate_id % 9 = 0 THEN 0.7 END AS interview_score, CASE WHEN candidate_id % 5 = 0 THEN CAST(candidate_id % 8 AS DOUBLE) / 8 END AS cv_match_score
-        FROM fx_candidates JOIN supplier ON candidate_id % 10 = s_suppkey % 10"""),
+        FROM (SELECT DISTINCT job_id, candidate_id FROM fx_feedback) f JOIN fx_candidates USING (candidate_id)"""),
     "fx_reports_old": ("fx_candidates", """SELECT CAST(candidate_id % 10 AS BIGINT) AS job_id, candidate_id, CAST(candidate_id % 20 AS DOUBLE) / 20 AS overall,
         CAST(1 + candidate_id % 3 AS INT) AS version FROM fx_candidates WHERE candidate_id % 2 = 0"""),
 }

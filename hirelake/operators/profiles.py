@@ -220,3 +220,10 @@ def parse_cvs(df: DataFrame, as_of_year: int = 2024) -> DataFrame:
     return with_contacts.withColumns(
         {"full_name": extract_name("text"), "languages": F.array_join(spoken_languages(text("text")), ","), "total_years": years, "degree": degree, "status": F.when(ok, "completed").otherwise("failed")}
     ).drop("text")
+
+
+def backfill_years(cands: DataFrame, cvs: DataFrame) -> DataFrame:
+    """cands with years: where unknown, what the CV's text (candidate_id, text) gives; known ones kept within 0 and 60."""
+    found = parse_cvs(cvs.join(cands.where("years IS NULL").select("candidate_id"), "candidate_id", "left_semi")).select("candidate_id", F.col("total_years").alias("parsed"))
+    years = F.least(F.lit(60.0), F.greatest(F.lit(0.0), F.coalesce("years", "parsed")))
+    return cands.join(found, "candidate_id", "left").withColumn("years", years).drop("parsed")

@@ -89,7 +89,7 @@ def assign_owner(df: DataFrame, users: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(first)).withColumn("owner_id", F.coalesce("owner_id", "first_owner")).drop("first_owner")
 
 
-def compare(scored: DataFrame, job_id: int, ids: DataFrame) -> DataFrame:
-    """The given candidates for a job, the best first."""
-    of_job = scored.where(F.col("job_id") == job_id).join(ids, "candidate_id", "left_semi")
-    return of_job.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "candidate_id")))
+def compare(scored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The given pairs (job_id, candidate_id) with their place among the job's, the best first."""
+    order = Window.partitionBy("job_id").orderBy(F.desc("score"), "candidate_id")
+    return scored.join(pairs.distinct(), KEYS, "left_semi").withColumn("place", F.row_number().over(order))

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK_BYTES = 64_000_000
+QUERY_BLOCK_BYTES = 16_000_000
+#: Scores that a task holds at once.
+SCORE_CELLS = 1 << 22
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,6 +29,30 @@ def valid(v: Column, dims: tuple[int, ...]) -> Column:
     return F.coalesce(F.size(v).isin(*dims) & finite, F.lit(False))
 
 
+def route_vectors(df: DataFrame, dims: tuple[int, ...]) -> DataFrame:
+    """df (language, vector, multilingual) with route and routed: Arabic rows take their multilingual vector if it is valid."""
+    many = (F.col("language") == "ar") & valid(F.col("multilingual"), dims)
+    return df.withColumns({"route": F.when(many, "multilingual").otherwise("standard"), "routed": F.when(many, F.col("multilingual")).otherwise(F.col("vector"))})
+
+
+def semantic_scores(pairs: DataFrame) -> DataFrame:
+    """(job_id, candidate_id, semantic_score) of pairs with vectors a and b: their cosine, between 0 and 1."""
+    return pairs.select("job_id", "candidate_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("a"), F.col("b")))).alias("semantic_score"))
+
+
+def knowledge_skills(definitions: DataFrame, texts: DataFrame, least: float = 0.75) -> DataFrame:
+    """(candidate_id, skill): texts (candidate_id, text) that are like a skill's definition (skill, definition) by their words.
+
+    Words meet in an equi join, so that a pair without a common word costs nothing; twice the share of the definition's
+    words that a text holds must be above `least`.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z0-9+#.-]{2,}"), F.lit(0)))
+    wanted = definitions.select("skill", words("definition").alias("w")).select("skill", F.size("w").alias("size"), F.explode("w").alias("word"))
+    have = texts.select("candidate_id", F.explode(words("text")).alias("word"))
+    both = have.join(wanted, "word").groupBy("candidate_id", "skill", "size").agg(F.count("*").alias("n"))
+    return both.where(F.least(F.lit(1.0), 2.0 * F.col("n") / F.col("size")) > least).select("candidate_id", "skill")
+
+
 def knn(queries: DataFrame, vecs: DataFrame, k: int, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """(query_id, entity_id, similarity, rank): the k nearest rows of each query (query_id, vector) by cosine.
 
@@ -49,7 +75,8 @@ def knn(queries: DataFrame, vecs: DataFrame, k: int, block_bytes: int = QUERY_BL
         def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             ids, q = shared.value
             score, name = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
-            for f in frames:
+            step = max(1, SCORE_CELLS // max(1, len(ids)))
+            for f in (whole.iloc[i : i + step] for whole in frames for i in range(0, len(whole), step)):
                 f = f[[v is not None and len(v) == q.shape[1] for v in f["vector"]]]
                 if not len(f):
                     continue

@@ -93,7 +93,7 @@ def _sessions(fx: Fixtures) -> DataFrame:
 
 @query(
     "fx_jobs fx_candidates fx_job_skills fx_candidate_skills fx_matches_old",
-    """WITH pairs AS (SELECT m.job_id, m.candidate_id, title FROM fx_matches_old m JOIN fx_jobs j ON j.job_id = m.job_id WHERE score >= 0.9),
+    """WITH pairs AS (SELECT m.job_id, m.candidate_id, title FROM fx_matches_old m JOIN fx_jobs j ON j.job_id = m.job_id),
         need AS (SELECT job_id, skill, max(CASE WHEN required THEN 1 ELSE 0 END) AS required, min(pos) AS pos FROM fx_job_skills GROUP BY job_id, skill),
         ev AS (SELECT candidate_id, skill, min(context) AS context FROM fx_candidate_skills WHERE status = 'has_experience' AND context IS NOT NULL GROUP BY candidate_id, skill),
         asked AS (SELECT p.job_id, p.candidate_id, n.skill, row_number() OVER (PARTITION BY p.job_id, p.candidate_id ORDER BY required DESC, pos, n.skill) AS place,
@@ -111,7 +111,7 @@ def h1_questions(fx: Fixtures) -> DataFrame:
 def _questions(fx: Fixtures) -> DataFrame:
     from ..operators.matching import needs
 
-    pairs = fx.fx_matches_old.where("score >= 0.9").select("job_id", "candidate_id").join(fx.fx_jobs.select("job_id", "title"), "job_id")
+    pairs = fx.fx_matches_old.select("job_id", "candidate_id").join(fx.fx_jobs.select("job_id", "title"), "job_id")
     found = fx.fx_candidate_skills.where("status = 'has_experience' AND context IS NOT NULL").groupBy("candidate_id", "skill").agg(F.min("context").alias("context"))
     return I.questions(pairs, needs(fx.fx_job_skills), found)
 
@@ -233,7 +233,7 @@ def b38_cap_injected(fx: Fixtures) -> DataFrame:
 
 
 GAP = """need AS (SELECT job_id, skill, max(CASE WHEN required THEN 1 ELSE 0 END) = 1 AS required FROM fx_job_skills GROUP BY job_id, skill), own AS (SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status = 'has_experience'),
-    pairs AS (SELECT job_id, candidate_id, score FROM fx_matches_old WHERE score >= 0.8),
+    pairs AS (SELECT job_id, candidate_id, score FROM fx_matches_old),
     items AS (SELECT p.job_id, p.candidate_id, p.score, n.skill, n.required, o.skill IS NOT NULL AS matched FROM pairs p JOIN need n ON n.job_id = p.job_id LEFT JOIN own o ON o.candidate_id = p.candidate_id AND o.skill = n.skill),
     gap AS (SELECT job_id, candidate_id, max(score) AS score, coalesce(string_agg(CASE WHEN required AND matched THEN skill END, ',' ORDER BY skill), '') AS matched_required,
         coalesce(string_agg(CASE WHEN required AND NOT matched THEN skill END, ',' ORDER BY skill), '') AS missing_required,
@@ -246,7 +246,7 @@ def _gap(fx: Fixtures) -> DataFrame:
     from ..operators.matching import needs
 
     own = fx.fx_candidate_skills.where("status = 'has_experience'").select("candidate_id", "skill", F.lit(True).alias("matched")).distinct()
-    pairs = fx.fx_matches_old.where("score >= 0.8").select("job_id", "candidate_id", "score")
+    pairs = fx.fx_matches_old.select("job_id", "candidate_id", "score")
     items = pairs.join(needs(fx.fx_job_skills).select("job_id", "skill", "required"), "job_id").join(own, ["candidate_id", "skill"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
     kinds = {"mr": "required AND matched", "xr": "required AND NOT matched", "mo": "NOT required AND matched"}
     named = items.withColumns({k: F.when(F.expr(e), F.col("skill")) for k, e in kinds.items()})
@@ -296,18 +296,18 @@ def i6_candidate_reports(fx: Fixtures) -> DataFrame:
 
 @query(
     "fx_reports_old fx_matches_old",
-    """WITH n AS (SELECT job_id, candidate_id, score AS overall FROM fx_matches_old WHERE score >= 0.9)
+    """WITH n AS (SELECT job_id, candidate_id, score AS overall FROM fx_matches_old)
         SELECT n.job_id, n.candidate_id, n.overall, coalesce(version, 0) + 1 AS version FROM n LEFT JOIN fx_reports_old r ON r.job_id = n.job_id AND r.candidate_id = n.candidate_id
         UNION ALL SELECT job_id, candidate_id, overall, version FROM fx_reports_old o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.job_id = o.job_id AND n.candidate_id = o.candidate_id)""",
 )
 def i7_write_reports(fx: Fixtures) -> DataFrame:
-    new = fx.fx_matches_old.where("score >= 0.9").select("job_id", "candidate_id", F.col("score").alias("overall"))
+    new = fx.fx_matches_old.select("job_id", "candidate_id", F.col("score").alias("overall"))
     return R.write_reports(fx.fx_reports_old, new)[0]
 
 
-@query("fx_matches_old", "SELECT job_id, candidate_id, score, row_number() OVER (ORDER BY score DESC, candidate_id) AS place FROM fx_matches_old WHERE job_id = 7 AND candidate_id % 4 = 1")
+@query("fx_matches_old", "SELECT job_id, candidate_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS place FROM fx_matches_old")
 def i8_compare_candidates(fx: Fixtures) -> DataFrame:
-    return R.compare(fx.fx_matches_old.select(*R.KEYS, "score"), 7, fx.fx_candidates.where("candidate_id % 4 = 1").select("candidate_id"))
+    return R.compare(fx.fx_matches_old.select(*R.KEYS, "score"), fx.fx_matches_old.select(*R.KEYS))
 
 
 @query(
@@ -462,11 +462,16 @@ def d10_knn_filtered(fx: Fixtures) -> DataFrame:
     return V.knn(_vectors(fx, "job").withColumnRenamed("entity_id", "query_id"), _vectors(fx, "candidate", "ar"), 5).drop("similarity")
 
 
-@query("fx_embeddings", "SELECT entity_id, CASE WHEN language = 'ar' AND entity_id % 2 = 0 THEN 'multilingual' ELSE 'standard' END AS route FROM fx_embeddings")
+@query(
+    "fx_embeddings",
+    """SELECT entity_id, CASE WHEN language = 'ar' AND entity_id % 2 = 0 THEN 'multilingual' ELSE 'standard' END AS route,
+        round(CASE WHEN language = 'ar' AND entity_id % 2 = 0 THEN -CAST(embedding[1] AS DOUBLE) ELSE CAST(embedding[1] AS DOUBLE) END, 6) AS first FROM fx_embeddings""",
+)
 def d11_route_vectors(fx: Fixtures) -> DataFrame:
-    """Arabic rows use their multilingual vector where they have one, else the standard one."""
-    many = F.when(F.col("entity_id") % 2 == 0, F.col("embedding"))
-    return fx.fx_embeddings.select("entity_id", F.when((F.col("language") == "ar") & many.isNotNull(), "multilingual").otherwise("standard").alias("route"))
+    """The multilingual vectors are the standard ones turned round; every other Arabic row has none."""
+    turned = F.transform("embedding", lambda x: -x)
+    rows = fx.fx_embeddings.withColumns({"vector": F.col("embedding"), "multilingual": F.when((F.col("language") == "ar") & (F.col("entity_id") % 2 == 0), turned)})
+    return V.route_vectors(rows, (64,)).select("entity_id", "route", F.round(F.col("routed")[0].cast("double"), 6).alias("first"))
 
 
 @query("fx_embeddings", f"WITH {KNN} SELECT query_id, entity_id, round(similarity + 1e-8, 4) AS similarity, rank FROM r WHERE rank <= 3")
@@ -491,11 +496,12 @@ def d14_lexical_overlap(fx: Fixtures) -> DataFrame:
     return t.join(other, ["session_id", "turn"]).select("session_id", "turn", V.lexical_overlap(F.col("a"), F.col("b")).alias("overlap"))
 
 
-@query("fx_embeddings", "SELECT a.entity_id AS job_id, b.entity_id AS candidate_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS semantic_score FROM fx_embeddings a JOIN fx_embeddings b ON a.entity_type = 'job' AND b.entity_type = 'candidate' AND b.entity_id % 10 = (a.entity_id // 10) % 10")
+@query("fx_embeddings", "SELECT a.entity_id AS job_id, b.entity_id AS candidate_id, round(greatest(0.0, least(1.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS semantic_score FROM fx_embeddings a JOIN fx_embeddings b ON a.entity_type = 'job' AND b.entity_type = 'candidate' AND b.label = a.label")
 def d15_semantic_scores(fx: Fixtures) -> DataFrame:
-    jobs = fx.fx_embeddings.where("entity_type = 'job'").select(F.col("entity_id").alias("job_id"), F.col("embedding").alias("a"), F.expr("(entity_id div 10) % 10").alias("b_"))
-    cands = fx.fx_embeddings.where("entity_type = 'candidate'").select(F.col("entity_id").alias("candidate_id"), F.col("embedding").alias("b"), (F.col("entity_id") % 10).alias("b_"))
-    return jobs.join(cands, "b_").select("job_id", "candidate_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), V.cosine(F.col("a"), F.col("b")))), 6).alias("semantic_score"))
+    """Of all jobs with the candidates of their topic."""
+    jobs = fx.fx_embeddings.where("entity_type = 'job'").select(F.col("entity_id").alias("job_id"), "label", F.col("embedding").alias("a"))
+    cands = fx.fx_embeddings.where("entity_type = 'candidate'").select(F.col("entity_id").alias("candidate_id"), "label", F.col("embedding").alias("b"))
+    return V.semantic_scores(jobs.join(cands, "label")).withColumn("semantic_score", F.round("semantic_score", 6))
 
 
 @query("fx_embeddings", f"WITH {KNN} SELECT query_id, entity_id % 40 AS skill_id, rank FROM r WHERE rank <= 30 AND round(similarity, 9) >= 0.2")
@@ -505,12 +511,27 @@ def c8_tag_by_embedding(fx: Fixtures) -> DataFrame:
     return near.select("query_id", (F.col("entity_id") % 40).alias("skill_id"), "rank")
 
 
-@query("fx_job_skills fx_candidate_skills fx_answers", "SELECT n.job_id, c.candidate_id, n.skill, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT DISTINCT job_id, skill FROM fx_job_skills WHERE required) n JOIN (SELECT DISTINCT candidate_id, skill FROM fx_answers WHERE length(answer) > 200) c ON c.skill = n.skill WHERE NOT EXISTS (SELECT 1 FROM fx_candidate_skills s WHERE s.candidate_id = c.candidate_id AND s.skill = n.skill)")
+#: Different words of three letters and more.
+WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z][a-z0-9+#.-]{{2,}}'))"
+KNOWN_AT = 0.3
+
+
+@query(
+    "fx_job_skills fx_candidate_skills fx_answers fx_knowledge skill_vocab",
+    f"""WITH best AS (SELECT tag AS skill, min(doc_id) AS doc_id FROM fx_knowledge WHERE category = 'skill' GROUP BY tag),
+        d AS (SELECT b.skill, {WORDS.format('k.content')} AS w FROM best b JOIN fx_knowledge k ON k.doc_id = b.doc_id),
+        told AS (SELECT candidate_id, string_agg(answer, ' ') AS answer FROM fx_answers GROUP BY candidate_id), c AS (SELECT candidate_id, {WORDS.format('answer')} AS w FROM told),
+        alike AS (SELECT d.skill, c.candidate_id FROM d JOIN c ON len(d.w) > 0 AND least(1.0, 2.0 * len(list_intersect(c.w, d.w)) / len(d.w)) > {KNOWN_AT})
+        SELECT DISTINCT n.job_id, a.candidate_id, n.skill, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT DISTINCT job_id, skill FROM fx_job_skills WHERE required) n JOIN alike a ON a.skill = n.skill
+        WHERE NOT EXISTS (SELECT 1 FROM fx_candidate_skills s WHERE s.candidate_id = a.candidate_id AND s.skill = n.skill)""",
+)
 def e20_knowledge_match(fx: Fixtures) -> DataFrame:
-    """Required skills that nothing else shows, weakly matched by a long answer on them."""
+    """Required skills that nothing else shows, weakly matched where a candidate's answers are like the skill's definition."""
+    defined = V.skill_definitions(fx.skill_vocab, fx.fx_knowledge).select("skill", "doc_id").join(fx.fx_knowledge.select("doc_id", F.col("content").alias("definition")), "doc_id")
+    told = fx.fx_answers.groupBy("candidate_id").agg(F.concat_ws(" ", F.collect_list("answer")).alias("text"))
+    known = V.knowledge_skills(defined, told, KNOWN_AT)
     need = fx.fx_job_skills.where("required").select("job_id", "skill").distinct()
-    told = fx.fx_answers.where(F.length("answer") > 200).select("candidate_id", "skill").distinct()
-    return need.join(told, "skill").join(fx.fx_candidate_skills, ["candidate_id", "skill"], "left_anti").select("job_id", "candidate_id", "skill", F.lit(0.6).alias("confidence"))
+    return need.join(known, "skill").join(fx.fx_candidate_skills, ["candidate_id", "skill"], "left_anti").select("job_id", "candidate_id", "skill", F.lit(0.6).alias("confidence"))
 
 
 @query("fx_tasks", "SELECT task_id, owner_id, CASE WHEN owner_id % 2 = 0 THEN status ELSE 'pending' END AS status FROM (SELECT task_id, owner_id, status FROM fx_tasks)")
@@ -594,8 +615,10 @@ def a11_ingest_knowledge(fx: Fixtures) -> DataFrame:
     return S.append_missing(first.where("doc_id % 2 = 0"), first, "title")
 
 
-@query("fx_candidates", "SELECT candidate_id, least(60.0, coalesce(years, 3.0)) AS years FROM fx_candidates")
+@query("fx_candidates", "SELECT candidate_id, least(60.0, greatest(0.0, coalesce(years, CAST((2016 + candidate_id % 8) - (2005 + candidate_id % 10) + 2 AS DOUBLE)))) AS years FROM fx_candidates")
 def j7_backfill(fx: Fixtures) -> DataFrame:
-    """Unknown years filled (with 3 here, what the CV text gives), known ones kept within bounds."""
-    found = fx.fx_candidates.select("candidate_id", F.lit(3.0).alias("parsed"))
-    return fx.fx_candidates.join(found, "candidate_id").select("candidate_id", F.least(F.lit(60.0), F.coalesce("years", "parsed")).alias("years"))
+    """Unknown years filled from the CV's entries."""
+    from ..operators import profiles as P
+
+    return P.backfill_years(fx.fx_candidates, fx.fx_cv_text).select("candidate_id", "years")
+
