@@ -64,10 +64,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-def tokens(docs: DataFrame, model_path: str) -> DataFrame:
+def tokens(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     done = sentencepieces.encode_decode(docs.select("doc_id", "text"), model_path)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *(["ids"] if with_ids else []))
 
 
 @query
