@@ -95,9 +95,9 @@ def question_id(candidate: Column, job: Column, skill: Column, question: Column)
 def questions(pairs: DataFrame, needs: DataFrame, evidence: DataFrame, limit: int = 8) -> DataFrame:
     """Questions of (job_id, title, candidate_id): required skills first, grounded in the CV where it has evidence."""
     rows = pairs.join(needs, "job_id").join(evidence, ["candidate_id", "skill"], "left")
-    grounded = F.concat(F.lit('Your CV mentions: "'), F.substring("context", 1, 220), F.lit('". For the '), "title", F.lit(" role, how did you use "), "skill", F.lit(", what trade-offs did you make, and how did you validate the result?"))
-    gap = F.concat(F.lit("The job requires "), "skill", F.lit(", but it was not found in the parsed CV. Describe directly relevant experience if you have it; otherwise say not found."))
-    open_ = F.concat(F.lit("How would you apply "), "skill", F.lit(" in a practical "), "title", F.lit(" project?"))
+    grounded = F.concat(F.lit('You write: "'), F.substring("context", 1, 220), F.lit('". Tell us how "'), "skill", F.lit('" came into it, which choices you had, and how you knew that it worked; we ask for the post "'), "title", F.lit('".'))
+    gap = F.concat(F.lit("We need "), "skill", F.lit(" here and did not see it in your CV. Where have you worked with it, if at all?"))
+    open_ = F.concat(F.lit("Where would "), "skill", F.lit(" help in the work of a "), "title", F.lit("?"))
     asked = rows.withColumn("question", F.when(F.col("context").isNotNull(), grounded).when(F.col("required"), gap).otherwise(open_))
     order = Window.partitionBy("job_id", "candidate_id").orderBy(F.desc("required"), "pos", "skill")
     tag = F.when(F.col("context").isNotNull(), "grounded").when(F.col("required"), "requirement-gap").otherwise("job-skill")
@@ -107,8 +107,8 @@ def questions(pairs: DataFrame, needs: DataFrame, evidence: DataFrame, limit: in
 
 def followups(evals: DataFrame) -> DataFrame:
     """A next question by rule for each scored answer."""
-    weak = F.format_string("Could you give a concrete example of how you used %s?", F.col("skill"))
-    strong = F.format_string("What trade-offs did you consider when using %s?", F.col("skill"))
+    weak = F.format_string("Which piece of work shows best what you did with %s?", F.col("skill"))
+    strong = F.format_string("What did %s cost you, and what did you gain by it?", F.col("skill"))
     return evals.withColumn("followup", F.when(F.col("score") < 0.5, weak).otherwise(strong))
 
 
@@ -119,3 +119,9 @@ def blend(matches: DataFrame, sessions: DataFrame, reports: DataFrame) -> DataFr
     fresh = F.when(F.coalesce("scoring_model", F.lit("")) != "cv_interview_blend", F.col("score"))
     cv = F.coalesce("cv_match_score", fresh, "overall", F.lit(0.5))
     return joined.select(*keys, round4(cv).alias("cv_score"), round4(CV_SHARE * cv + INTERVIEW_SHARE * F.col("overall_score")).alias("final_score"))
+
+
+def annotate(job_skills: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(job_id, skill, category, hint): what to listen for in answers on a job's skills."""
+    hint = F.format_string("Listen for hands-on work with %s.", F.col("skill"))
+    return job_skills.select("job_id", "skill").distinct().join(catalog.select("skill", "category"), "skill").select("job_id", "skill", "category", hint.alias("hint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import indel_ratio, norm_name
+from ..functions.scalar import in_order, indel_ratio, norm_name
 
 #: Relation -> similarity, in order of preference.
 RELATIONS = [("synonym", 0.95), ("broader", 0.70), ("narrower", 0.75), ("related", 0.60)]
@@ -35,20 +35,46 @@ def normalize_exact(skills: DataFrame, index: DataFrame) -> DataFrame:
     return skills.withColumn("label", norm_name("skill")).join(index, "label").select("skill", "uri")
 
 
+def _pairs_of_letters(c: Column) -> Column:
+    """The different pairs of neighbouring characters of a name between two line ends."""
+    padded = F.concat(F.lit("\n"), c, F.lit("\n"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substr(padded, i, F.lit(2))))
+
+
 def normalize_fuzzy(skills: DataFrame, index: DataFrame, least: int = 85) -> DataFrame:
     """(skill, uri, confidence): the label of best Indel ratio, at least `least`; the first label of equals.
 
-    Labels are compared within a length range; names of few distinct values against a small index, so the range join is
-    over length buckets. Levenshtein's bound comes first: it loses nothing, as the Indel distance isn't smaller.
+    A character that is put in or taken out breaks two pairs of neighbours at most, so names of a ratio of 75 or more share
+    a pair: an equi join on pairs gives the candidates. Lengths and Levenshtein's bound come next; they lose nothing either.
     """
-    names = skills.select("skill").distinct().withColumn("a", norm_name("skill")).withColumn("n", F.length("a"))
-    reach = F.greatest(F.lit(5), (F.col("n") / 2).cast("int"))
-    probes = names.withColumn("m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - reach), F.col("n") + reach)))
-    pairs = probes.join(index.withColumn("m", F.length("label")), "m")
-    bound = 1 - F.levenshtein("a", "label") / (F.length("a") + F.length("label"))
-    scored = pairs.where(bound >= least / 100).withColumn("ratio", indel_ratio(F.col("a"), F.col("label"))).where(F.col("ratio") >= least / 100)
-    best = scored.groupBy("skill").agg(F.max_by(F.struct("uri", "ratio"), F.struct(F.col("ratio"), F.translate("label", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))).alias("b"))
-    return best.select("skill", "b.uri", F.round("b.ratio", 4).alias("confidence"))
+    if least < 75:
+        raise ValueError("names of a ratio below 75 may share no pair of characters")
+    names = skills.select("skill").distinct().withColumn("a", norm_name("skill"))
+    labels = index.select("label", "uri").distinct()
+    near = names.select("skill", "a", F.explode(_pairs_of_letters(F.col("a"))).alias("pair")).join(labels.select("label", "uri", F.explode(_pairs_of_letters(F.col("label"))).alias("pair")), "pair")
+    both = F.length("a") + F.length("label")
+    close = near.where(F.abs(F.length("a") - F.length("label")) <= both * (1 - least / 100)).select("skill", "a", "label", "uri").distinct()
+    scored = close.where(1 - F.levenshtein("a", "label") / both >= least / 100).withColumn("ratio", indel_ratio(F.col("a"), F.col("label"))).where(F.col("ratio") >= least / 100)
+    order = Window.partitionBy("skill").orderBy(F.desc("ratio"), "label", "uri")
+    return scored.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("skill", "uri", F.round("ratio", 4).alias("confidence"))
+
+
+def skill_cluster(skills: DataFrame, clusters: DataFrame) -> DataFrame:
+    """skills (skill, ...) with the cluster (skill, cluster) of each, null for an unknown one."""
+    return skills.join(clusters.select("skill", "cluster"), "skill", "left")
+
+
+def same_cluster(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with whether both skills are of one cluster; an unknown skill is of none."""
+    of = lambda c: clusters.select(F.col("skill").alias(c), F.col("cluster").alias(f"c_{c}"))
+    same = F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("same", same).drop("c_a", "c_b")
+
+
+def enrich(shown: DataFrame, profile: DataFrame) -> DataFrame:
+    """(candidate_id, added): skills that the text shows and the profile lacks, sorted and joined by commas."""
+    new = shown.select("candidate_id", "skill").distinct().join(profile.select("candidate_id", "skill"), ["candidate_id", "skill"], "left_anti")
+    return new.groupBy("candidate_id").agg(in_order("skill", "skill").alias("added"))
 
 
 def related(skills: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
@@ -82,9 +108,13 @@ def search_score(query: Column, label: Column) -> Column:
 
 
 def search_taxonomy(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
-    """(query, label, score, rank): equal or containing labels. The index is a dimension: compared in full if it is small enough to broadcast."""
-    found = queries.join(index.select("label"), F.col("label").contains(F.col("query"))).withColumn("score", search_score(F.col("query"), F.col("label")))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "label"))).where(F.col("rank") <= n)
+    """(query, label, score, rank): the n best equal or containing labels; they are found by the query's first three characters."""
+    width = F.least(F.lit(3), F.length("query"))
+    wanted = queries.select("query").distinct().where(F.length("query") > 0).withColumn("part", F.substr("query", F.lit(1), width))
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("label") - (k - 1), F.lit(1))), lambda i: F.substr(F.col("label"), i, F.lit(k)))
+    parts = index.select("label").distinct().select("label", F.explode(F.array_distinct(F.concat(cut(1), cut(2), cut(3)))).alias("part"))
+    found = wanted.join(parts, "part").where(F.col("label").contains(F.col("query"))).withColumn("score", search_score(F.col("query"), F.col("label")))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "label"))).where(F.col("rank") <= n).select("query", "label", "score", "rank")
 
 
 def merge_taxonomy(old: DataFrame, new: DataFrame) -> DataFrame:

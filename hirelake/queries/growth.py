@@ -141,10 +141,9 @@ def h4_question_id(fx: Fixtures) -> DataFrame:
     return _questions(fx).select("job_id", "candidate_id", "place", "question_id")
 
 
-@query("fx_job_skills skill_vocab", "SELECT DISTINCT job_id, s.skill, category, concat('Look for practical, role-relevant ', s.skill, ' knowledge.') AS hint FROM fx_job_skills s JOIN skill_vocab v ON v.skill = s.skill")
+@query("fx_job_skills skill_vocab", "SELECT DISTINCT job_id, s.skill, category, concat('Listen for hands-on work with ', s.skill, '.') AS hint FROM fx_job_skills s JOIN skill_vocab v ON v.skill = s.skill")
 def h5_annotate_questions(fx: Fixtures) -> DataFrame:
-    hint = F.format_string("Look for practical, role-relevant %s knowledge.", F.col("skill"))
-    return fx.fx_job_skills.select("job_id", "skill").distinct().join(fx.skill_vocab.select("skill", "category"), "skill").withColumn("hint", hint)
+    return I.annotate(fx.fx_job_skills, fx.skill_vocab)
 
 
 @query("fx_answers", f"WITH {SCORED} SELECT session_id, turn, score, CASE WHEN score >= 0.85 THEN 'excellent' WHEN score >= 0.65 THEN 'good' WHEN score >= 0.45 THEN 'average' ELSE 'weak' END AS band FROM scored")

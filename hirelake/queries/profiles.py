@@ -358,18 +358,20 @@ def c3_related(fx: Fixtures) -> DataFrame:
     return T.related(fx.fx_candidate_skills, _edges(fx))
 
 
+def _clusters(fx: Fixtures) -> DataFrame:
+    return fx.skill_vocab.select("skill", F.col("category").alias("cluster"))
+
+
 @query("fx_candidate_skills", "SELECT candidate_id, skill, category AS cluster FROM fx_candidate_skills")
 def c4_skill_cluster(fx: Fixtures) -> DataFrame:
-    return fx.fx_candidate_skills.select("candidate_id", "skill").join(fx.skill_vocab.select("skill", F.col("category").alias("cluster")), "skill", "left")
+    return T.skill_cluster(fx.fx_candidate_skills.select("candidate_id", "skill"), _clusters(fx))
 
 
 @query("fx_candidate_skills", "SELECT a.candidate_id, a.skill AS a, b.skill AS b, a.category = b.category AS same FROM fx_candidate_skills a JOIN fx_candidate_skills b ON b.candidate_id = a.candidate_id AND b.skill > a.skill")
 def c5_same_cluster(fx: Fixtures) -> DataFrame:
-    v = fx.skill_vocab
     s = fx.fx_candidate_skills.select("candidate_id", "skill")
     pairs = s.select("candidate_id", F.col("skill").alias("a")).join(s.select("candidate_id", F.col("skill").alias("b")), "candidate_id").where("b > a")
-    of = lambda c: v.select(F.col("skill").alias(c), F.col("category").alias(f"c_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("candidate_id", "a", "b", (F.col("c_a") == F.col("c_b")).alias("same"))
+    return T.same_cluster(pairs, _clusters(fx)).select("candidate_id", "a", "b", "same")
 
 
 @query(f"{VOCAB} fx_candidate_skills", f"WITH {INDEX}, q AS (SELECT DISTINCT substr(skill, 1, 3) AS query FROM fx_candidate_skills), s AS (SELECT query, label, CASE WHEN query = label THEN 1.0 ELSE length(query) / CAST(length(label) AS DOUBLE) END AS score FROM q JOIN idx ON contains(label, query)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label) AS rank FROM s) WHERE rank <= 5")
@@ -386,9 +388,7 @@ def c7_skill_similarity(fx: Fixtures) -> DataFrame:
 
 @query("fx_candidate_skills fx_cv_slots", f"SELECT candidate_id, string_agg(skill, ',' ORDER BY skill) AS added FROM ({SLOTS} EXCEPT SELECT candidate_id, skill FROM fx_candidate_skills) GROUP BY candidate_id")
 def c9_enrich(fx: Fixtures) -> DataFrame:
-    """Skills that the text shows and the profile lacks, sorted."""
-    found = X.extract_skills(fx.fx_cv_text, fx.skill_vocab, fx.alias_map).join(fx.fx_candidate_skills.select("candidate_id", "skill"), ["candidate_id", "skill"], "left_anti")
-    return found.groupBy("candidate_id").agg(in_order("skill", "skill").alias("added"))
+    return T.enrich(X.extract_skills(fx.fx_cv_text, fx.skill_vocab, fx.alias_map), fx.fx_candidate_skills)
 
 
 @query("fx_candidate_skills", "SELECT owner, count(DISTINCT skill) AS skills, count(DISTINCT category) AS clusters FROM (SELECT candidate_id % 25 AS owner, skill, category FROM fx_candidate_skills) GROUP BY owner")
