@@ -97,9 +97,9 @@ def _sessions(fx: Fixtures) -> DataFrame:
         need AS (SELECT job_id, skill, max(CASE WHEN required THEN 1 ELSE 0 END) AS required, min(pos) AS pos FROM fx_job_skills GROUP BY job_id, skill),
         ev AS (SELECT candidate_id, skill, min(context) AS context FROM fx_candidate_skills WHERE status = 'has_experience' AND context IS NOT NULL GROUP BY candidate_id, skill),
         asked AS (SELECT p.job_id, p.candidate_id, n.skill, row_number() OVER (PARTITION BY p.job_id, p.candidate_id ORDER BY required DESC, pos, n.skill) AS place,
-            CASE WHEN context IS NOT NULL THEN concat('Your CV mentions: "', substr(context, 1, 220), '". For the ', title, ' role, how did you use ', n.skill, ', what trade-offs did you make, and how did you validate the result?')
-                WHEN required = 1 THEN concat('The job requires ', n.skill, ', but it was not found in the parsed CV. Describe directly relevant experience if you have it; otherwise say not found.')
-                ELSE concat('How would you apply ', n.skill, ' in a practical ', title, ' project?') END AS question,
+            CASE WHEN context IS NOT NULL THEN concat('You write: "', substr(context, 1, 220), '". Tell us how "', n.skill, '" came into it, which choices you had, and how you knew that it worked; we ask for the post "', title, '".')
+                WHEN required = 1 THEN concat('We need ', n.skill, ' here and did not see it in your CV. Where have you worked with it, if at all?')
+                ELSE concat('Where would ', n.skill, ' help in the work of a ', title, '?') END AS question,
             CASE WHEN context IS NOT NULL THEN 'grounded' WHEN required = 1 THEN 'requirement-gap' ELSE 'job-skill' END AS tag
             FROM pairs p JOIN need n ON n.job_id = p.job_id LEFT JOIN ev e ON e.candidate_id = p.candidate_id AND e.skill = n.skill)
         SELECT * FROM asked WHERE place <= 8""",
@@ -212,7 +212,7 @@ def h12_blend(fx: Fixtures) -> DataFrame:
     return I.blend(fx.fx_matches_old, _sessions(fx), fx.fx_reports_old)
 
 
-@query("fx_answers", f"WITH {SCORED} SELECT session_id, turn, CASE WHEN score < 0.5 THEN concat('Could you give a concrete example of how you used ', skill, '?') ELSE concat('What trade-offs did you consider when using ', skill, '?') END AS followup FROM scored")
+@query("fx_answers", f"WITH {SCORED} SELECT session_id, turn, CASE WHEN score < 0.5 THEN concat('Which piece of work shows best what you did with ', skill, '?') ELSE concat('What did ', skill, ' cost you, and what did you gain by it?') END AS followup FROM scored")
 def h13_followups(fx: Fixtures) -> DataFrame:
     return I.followups(_scored(fx)).select("session_id", "turn", "followup")
 
