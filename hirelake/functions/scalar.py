@@ -84,7 +84,11 @@ def indel_ratio(a: Column, b: Column) -> Column:
 def windows(text: Column, pattern: Column | str, before: int, after: int) -> Column:
     """An array of what stands around each hit of the pattern, by offsets from split and extract."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    return windows_of(text, F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), before, after)
+
+
+def windows_of(text: Column, hits: Column, gaps: Column, before: int, after: int) -> Column:
+    """As windows, of a pattern's hits and what stands between them: as columns of a table they are found once."""
     at = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1))),
         lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda s, g: s + F.length(g)) + F.aggregate(F.slice(hits, F.lit(1), i - 1), F.lit(0), lambda s, h: s + F.length(h)),

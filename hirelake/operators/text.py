@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import in_order, norm_text, windows
+from ..functions.scalar import in_order, norm_text, windows_of
 
 #: Characters around a mention that are looked at, and the most mentions of a skill in a text that isn't stuffed with it.
 AROUND = 80
@@ -49,8 +49,9 @@ def mention_pattern(name: Column) -> Column:
 
 def mention_windows(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id", text: str = "text") -> DataFrame:
     """(key, skill, around): the surroundings of each mention of a skill that the text names; a text is scanned only for those."""
-    found = named(docs, catalog, aliases, key, text).join(docs.select(key, F.lower(text).alias("low")), key)
-    return found.select(key, "skill", F.explode(windows(F.col("low"), mention_pattern(F.col("name")), AROUND, AROUND)).alias("around"))
+    found = named(docs, catalog, aliases, key, text).join(docs.select(key, F.lower(text).alias("low")), key).withColumn("pattern", mention_pattern(F.col("name")))
+    cut = found.select(key, "skill", "low", F.regexp_extract_all("low", F.col("pattern"), F.lit(0)).alias("hits"), F.split("low", F.col("pattern"), -1).alias("gaps"))
+    return cut.select(key, "skill", F.explode(windows_of(F.col("low"), F.col("hits"), F.col("gaps"), AROUND, AROUND)).alias("around"))
 
 
 def mentions(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, phrases: str, positive: bool, key: str = "candidate_id") -> DataFrame:

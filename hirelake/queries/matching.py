@@ -336,7 +336,7 @@ def e32_rank_legacy(fx: Fixtures) -> DataFrame:
         GROUP BY t.job_id, t.candidate_id, t.final_score, t.score_cap, t.rank""")
 def e33_match_all(fx: Fixtures) -> DataFrame:
     """The best ten of all candidates for every job, from skill lists, CV texts, feedback, semantic scores and junior credits."""
-    projects = X.project_skills(fx.fx_cv_text, fx.skill_vocab.select("skill"), fx.alias_map)
+    projects = settled(X.project_skills(fx.fx_cv_text, fx.skill_vocab.select("skill"), fx.alias_map), "projects")
     credits = fx.fx_cv_text.select("candidate_id", X.year_credit(F.col("text")).alias("credit"))
     found = P.match_all(fx.fx_jobs, fx.fx_candidates, fx.fx_job_skills, _evidence(fx), fx.bands, 10, fx.fx_semantic, projects, credits)
     return found.select(*M.PAIR, "final_score", "score_cap", "rank", "matched_required", "missing_required")
