@@ -60,7 +60,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "fx_job_skills": ("slots skill_vocab", """SELECT DISTINCT s_suppkey AS job_id, skill, k < 4 AS required, CAST(k AS BIGINT) AS pos
         FROM supplier CROSS JOIN slots JOIN skill_vocab ON skill_id = (s_suppkey * 3 + k * 7) % 40 WHERE s_suppkey % 50 <> 49"""),
     "fx_semantic": ("fx_feedback", """SELECT DISTINCT job_id, candidate_id, CAST((candidate_id * 3 + job_id) % 11 AS DOUBLE) / 10 AS semantic_score FROM fx_feedback WHERE action = 'added'"""),
-    "fx_feedback": ("skill_vocab", """SELECT event_id AS feedback_id, ts AS created_at, user_id AS candidate_id, 1 + (event_id * 7 + user_id) % (SELECT count(*) FROM supplier) AS job_id, skill,
+    "fx_feedback": ("skill_vocab", """SELECT event_id AS feedback_id, ts AS created_at, user_id AS candidate_id, (event_id * 7 + user_id) % (SELECT count(*) FROM supplier) AS job_id, skill,
         user_id % 25 AS owner_id, event_type = 'purchase' AS correct_match, CASE WHEN event_id % 5 = 0 THEN 'removed' ELSE 'added' END AS action FROM events
         JOIN skill_vocab ON skill_id = CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 40 WHERE event_type IN ('purchase', 'click')"""),
     "fx_answers": ("skill_vocab", """SELECT conv_id AS session_id, turn, conv_id % 10 AS job_id, conv_id AS candidate_id, skill, text AS answer
