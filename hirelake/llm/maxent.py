@@ -8,13 +8,15 @@ of the word's count.
 Training. Counts cover all training texts. The weights are learned in rounds, each on its own slice of the training
 texts: tasks start from the round's weights, make AdaGrad steps on their part, and send the change of each weight row
 with its number of uses; rows are averaged by use per block in Spark, and the new weights (a fixed size) go out with
-the next round. Every training text is used in one round.
+the next round. Every training text is used in one round. As tasks make their own steps between two averages, weights,
+and with them scores, depend a little on how the rows lie in partitions; counts and base scores don't.
 
 Scoring. Texts are scored in numpy batches. The counts of the TOP most frequent words, a bound on what is sent to the
 tasks, are looked up there; all other words go through a join with the table of counts, so the result is exact.
 
 Defined results: a null text counts as empty and has the end token alone; a row with a null id is scored and not held
-out; repeated rows are scored, and counted, one by one; without training texts every token is unknown; an empty table
+out; repeated rows are scored, and counted, one by one, and equal texts score alike; of equally frequent words the first in
+byte order is a class of its own; very long texts are read whole; without training texts every token is unknown; an empty table
 gives no rows; extra columns are ignored.
 """
 
