@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, maxent, quality, sentencepieces, sharding, simhash, vectors, warc
+from . import decontaminate, html, language, maxent, quality, resampling, sentencepieces, sharding, simhash, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,45 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, longest=2, buckets=10_000, seed=7)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE["op11_resampling"] = r"""
+    WITH crc AS MATERIALIZED (
+        SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)),
+    texts AS (
+        SELECT 0 AS kind, row_number() OVER () AS row, text, doc_id FROM documents UNION ALL SELECT 1, row_number() OVER (), text, NULL FROM benchmark),
+    worded AS MATERIALIZED (
+        SELECT kind, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM texts),
+    features AS (
+        SELECT kind, row, unnest(w) AS f FROM worded
+        UNION ALL
+        SELECT kind, row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded WHERE len(w) > 1),
+    counted AS MATERIALIZED (SELECT kind, row, f, count(*) AS n FROM features GROUP BY ALL),
+    coded AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM counted)),
+    hashed AS MATERIALIZED (
+        SELECT f, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+        FROM coded, crc),
+    buckets AS (
+        SELECT r.b AS bucket, coalesce(sum(n) FILTER (kind = 0), 0) AS s, coalesce(sum(n) FILTER (kind = 1), 0) AS t
+        FROM range(10000) r(b) LEFT JOIN (SELECT kind, n, bucket FROM counted JOIN hashed USING (f)) ON bucket = r.b GROUP BY r.b),
+    gained AS (
+        SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+        FROM buckets),
+    weighed AS (
+        SELECT row, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features
+        FROM counted JOIN hashed USING (f) JOIN gained USING (bucket) WHERE kind = 0 GROUP BY row),
+    scored AS (
+        SELECT doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '\N')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+        FROM worded LEFT JOIN weighed USING (row) WHERE kind = 0),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id, n_features DESC) AS place, count(*) FILTER (fit) OVER () AS n FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM ranked"""
