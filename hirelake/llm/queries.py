@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, maxent, quality, resampling, sentencepieces, sharding, simhash, vectors, warc
+from . import decontaminate, fingerprints, html, language, maxent, quality, resampling, sentencepieces, sharding, simhash, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,8 @@ ORACLE["op11_resampling"] = r"""
     ranked AS (
         SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id, n_features DESC) AS place, count(*) FILTER (fit) OVER () AS n FROM scored)
     SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM ranked"""
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_by_next(table(spark, sf_dir, "documents"))
