@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html, language, maxent, quality, resampling, sentencepieces, sharding, simhash, vectors, warc
+from . import decontaminate, divergence, fingerprints, html, language, maxent, quality, resampling, sentencepieces, sharding, simhash, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,36 @@ ORACLE["op11_resampling"] = r"""
 @query
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_by_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+ORACLE["op13_source_divergence"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (
+        SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+    counts AS MATERIALIZED (SELECT t.lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    langs AS (SELECT lang, sum(n) + 5 * count(*) AS size FROM kept GROUP BY lang),
+    groups AS (
+        SELECT g.lang, g.source, coalesce(n, 0) + 5 * v AS size FROM (SELECT DISTINCT lang, source FROM d) g
+        JOIN (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang) USING (lang)
+        LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source),
+    shares AS MATERIALIZED (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // size AS p
+        FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value
+        FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS o, sum(abs(x.p - y.p)) AS v FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) z
+            ON z.lang = a.lang AND s = a.source AND o = b.source),
+    terms AS (
+        SELECT s.lang, source, 'term' AS part, term AS item, p - (1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // size) AS value
+        FROM shares s JOIN kept k USING (lang, term) JOIN langs USING (lang) WHERE s.n > 0),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms WHERE value > 0))
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
