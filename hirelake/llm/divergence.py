@@ -20,7 +20,7 @@ UTF-8 bytes; a text of any length is read whole; an empty table gives no rows; e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,33 +191,37 @@ def _blocked(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("digest", "split"), blocks).cast("int")
 
 
-def _distances(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def _distances(tile: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
     """Partial sums (lang, a, b, value), a < b, over the terms of one block, of the sources of two tiles.
 
     Rows are (at, digest, split, share); those without a digest stand for a source: its share of a term that it lacks, and in `terms`
     how many terms the block has.
     """
-    lang, _, low, high = (k.as_py() for k in key)
-    at, terms = rows.column("at").to_numpy(), int(rows.column("terms").to_numpy().max())
-    digest, split, p = rows.column("digest").combine_chunks(), rows.column("split").to_numpy(), rows.column("share").to_numpy()
-    stands = np.asarray(digest.is_null())
-    order = np.argsort(at[stands])
-    sources, base = at[stands][order], p[stands][order]
-    term = np.unique(digest.drop_null().to_numpy(), return_inverse=True)[1].astype(np.int64)
-    split = split[~stands].astype(np.int64)
-    term = np.unique(term * (split.max(initial=0) + 1) + split, return_inverse=True)[1]
-    shares = np.repeat(base[:, None], term.max(initial=-1) + 1, axis=1)
-    shares[np.searchsorted(sources, at[~stands]), term] = p[~stands]
-    lacking = terms - shares.shape[1]
-    second = np.flatnonzero(sources // TILE == high)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in np.flatnonzero(sources // TILE == low):
-        j = second[second > i]
-        value = np.abs(shares[i] - shares[j]).sum(axis=1) + np.abs(base[i] - base[j]) * lacking
-        found.append((np.full(len(j), sources[i]), sources[j], value))
-    a, b, value = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-    columns = [pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(value, pa.int64())]
-    return pa.Table.from_arrays(columns, names=["lang", "a", "b", "value"])
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lang, _, low, high = (k.as_py() for k in key)
+        at, terms = rows.column("at").to_numpy(), int(rows.column("terms").to_numpy().max())
+        digest, split, p = rows.column("digest").combine_chunks(), rows.column("split").to_numpy(), rows.column("share").to_numpy()
+        stands = np.asarray(digest.is_null())
+        order = np.argsort(at[stands])
+        sources, base = at[stands][order], p[stands][order]
+        term = np.unique(digest.drop_null().to_numpy(), return_inverse=True)[1].astype(np.int64)
+        split = split[~stands].astype(np.int64)
+        term = np.unique(term * (split.max(initial=0) + 1) + split, return_inverse=True)[1]
+        shares = np.repeat(base[:, None], term.max(initial=-1) + 1, axis=1)
+        shares[np.searchsorted(sources, at[~stands]), term] = p[~stands]
+        lacking = terms - shares.shape[1]
+        second = np.flatnonzero(sources // tile == high)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(sources // tile == low):
+            j = second[second > i]
+            value = np.abs(shares[i] - shares[j]).sum(axis=1) + np.abs(base[i] - base[j]) * lacking
+            found.append((np.full(len(j), sources[i]), sources[j], value))
+        a, b, value = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        columns = [pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(value, pa.int64())]
+        return pa.Table.from_arrays(columns, names=["lang", "a", "b", "value"])
+
+    return run
 
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bits: int = 64) -> DataFrame:
@@ -254,7 +258,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bits: i
     tile = F.floor(F.col("at") / TILE).cast("int")
     tiled = stands.unionByName(held).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.withColumn("low", F.least(tile, "other")).withColumn("high", F.greatest(tile, "other")).drop("tiles", "other")
-    sums = tiled.groupBy("lang", "block", "low", "high").applyInArrow(_distances, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    sums = tiled.groupBy("lang", "block", "low", "high").applyInArrow(_distances(TILE), "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = sums.select("lang", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "value")
     name = groups.select("lang", "at", "source")
     pairs = both.select("lang", F.col("x.a").alias("at"), F.col("x.b").alias("other"), "value").join(name, ["lang", "at"])
