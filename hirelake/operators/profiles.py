@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_order, norm_name, norm_text
+from .text import spans
 
 #: A section's headers, spoken languages, degrees by rank, phrases by status.
 SECTIONS = {
@@ -18,7 +19,11 @@ SECTIONS = {
 }
 SPOKEN = ["arabic", "chinese", "dutch", "english", "french", "german", "italian", "portuguese", "russian", "spanish"]
 DEGREES = [("phd|doctorate", 7), ("mba", 6), ("master", 5), ("bachelor", 4), ("diploma", 3), ("associate", 2), ("certificate", 1)]
-STATUS_PHRASES = ["no experience with", "not familiar with", "never used", "currently learning", "learning", "want to learn"]
+STATUS_PHRASES = [
+    "don't know", "do not know", "no experience", "not experienced", "never used", "haven't used", "not familiar",
+    "don't have", "do not have", "no knowledge", "currently learning", "want to learn", "wish to learn",
+]
+PHRASE_REACH = 100
 NON_SKILLS = ["project", "projects", "project experience", "personal projects"]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?\d[\d\s().-]{7,}\d"
@@ -83,25 +88,27 @@ def sentences(df: DataFrame, key: str = "candidate_id") -> DataFrame:
     return cut.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
-def skill_mentions(rows: DataFrame, named: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """(key, pos, skill, status, level, confidence) of the skills named in each sentence (key, pos, sentence)."""
-    both = rows.join(named, [key, "pos"])
-    low = F.lower("sentence")
-    # the skill is masked, as its own name may hold a phrase (deep learning)
-    masked = F.replace(low, F.lower("skill"), F.lit("\u0001"))
-    phrase = F.try_element_at(F.filter(F.array(*[F.lit(p) for p in STATUS_PHRASES]), lambda p: (F.instr(masked, p) > 0) & (F.abs(F.instr(masked, p) - F.instr(masked, F.lit("\u0001"))) < 100)), F.lit(1))
-    years = F.regexp_extract(low, "(\\d{1,2})\\+?\\s*(?:years|yrs)", 1)
-    n = F.when(years != "", years.cast("int"))
+def skill_mentions(rows: DataFrame, known: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """(key, pos, skill, status, level, years, confidence, context) of the skills named in each sentence (key, pos, sentence).
+
+    The first phrase of the list whose place is within PHRASE_REACH characters of the skill's decides; known (gram, skill) are names.
+    """
+    found = spans(rows, known, {}, [key, "pos", "sentence"], "sentence").groupBy(key, "pos", "sentence", "skill").agg(F.min("start").alias("start"))
+    low = F.replace(F.lower("sentence"), F.lit("\u2019"), F.lit("'"))
+    at = lambda p: F.instr(low, p) - 1
+    phrase = F.try_element_at(F.filter(F.array(*[F.lit(p) for p in STATUS_PHRASES]), lambda p: (at(p) >= 0) & (F.abs(at(p) - F.col("start")) < PHRASE_REACH)), F.lit(1))
+    years = F.regexp_extract(low, "(\\d+(?:\\.\\d+)?)\\s*(?:year|yr)", 1)
+    n = F.when(phrase.isNull() & (years != ""), years.cast("double"))
     status = F.when(phrase.contains("learn"), "learning").when(phrase.isNotNull(), "no_experience").otherwise("has_experience")
-    level = F.when(phrase.isNull() & n.isNotNull(), F.when(n >= 5, "senior").when(n >= 2, "mid").otherwise("junior"))
+    level = F.when(n >= 5, "senior").when(n >= 2, "mid").when(n.isNotNull(), "junior")
     confidence = F.when(phrase.isNotNull(), 0.85).when(n.isNotNull(), 0.75).otherwise(0.6)
-    return both.select(key, "pos", "skill", status.alias("status"), level.alias("level"), confidence.alias("confidence"))
+    return found.select(key, "pos", "skill", status.alias("status"), level.alias("level"), n.alias("years"), confidence.alias("confidence"), F.col("sentence").alias("context"))
 
 
 def best_skill_detail(found: DataFrame, key: str = "candidate_id") -> DataFrame:
     """Per skill the mention of the best status, the earliest of equals."""
     rank = F.when(F.col("status") == "has_experience", 0).when(F.col("status") == "learning", 1).when(F.col("status") == "no_experience", 2).otherwise(3)
-    return found.groupBy(key, "skill").agg(F.min_by(F.struct("status", "level", "confidence"), F.struct(rank.alias("r"), F.col("pos"))).alias("m")).select(key, "skill", "m.*")
+    return found.groupBy(key, "skill").agg(F.min_by(F.struct("status", "level", "years", "confidence", "context"), F.struct(rank.alias("r"), F.col("pos"))).alias("m")).select(key, "skill", "m.*")
 
 
 def merge_skill_details(primary: DataFrame, fallback: DataFrame, key: str = "candidate_id") -> DataFrame:

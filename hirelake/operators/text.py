@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import in_order, norm_text, windows_of
+from ..functions.scalar import in_order, norm_text
 
 #: Characters around a mention that are looked at, and the most mentions of a skill in a text that isn't stuffed with it.
 AROUND = 80
 MOST_MENTIONS = 10
+#: First words of names that go to the tasks at most, and texts that become one Arrow batch of mentions.
+MOST_HEADS = 100_000
+TEXTS_AT_ONCE = 256
+TOKEN = re.compile(r"[a-z0-9+#.]+")
+GAP, BEFORE, AFTER = re.compile(r"[\s/-]+"), re.compile(r"[\w+#./-]"), re.compile(r"[\w+#/-]|\.\w")
 
 
 def grams(df: DataFrame, text: str, key: str, longest: int = 1, lengths: list[int] | None = None) -> DataFrame:
@@ -42,38 +52,95 @@ def extract_skills(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key:
     return named(docs, catalog, aliases, key, text).select(key, "skill").distinct()
 
 
-def mention_pattern(name: Column) -> Column:
-    """A pattern for a name that stands alone."""
-    return F.concat(F.lit(r"(?<![\w+#])"), F.regexp_replace(name, r"([^\w\s])", r"\\$1"), F.lit(r"(?![\w+#])"))
-
-
-def mention_windows(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, key: str = "candidate_id", text: str = "text") -> DataFrame:
-    """(key, skill, around): the surroundings of each mention of a skill that the text names; a text is scanned only for those."""
-    found = named(docs, catalog, aliases, key, text).join(docs.select(key, F.lower(text).alias("low")), key).withColumn("pattern", mention_pattern(F.col("name")))
-    cut = found.select(key, "skill", "low", F.regexp_extract_all("low", F.col("pattern"), F.lit(0)).alias("hits"), F.split("low", F.col("pattern"), -1).alias("gaps"))
-    return cut.select(key, "skill", F.explode(windows_of(F.col("low"), F.col("hits"), F.col("gaps"), AROUND, AROUND)).alias("around"))
+def _near(low: str, pattern: re.Pattern[str], spans: list[tuple[str, int, int]]) -> list[bool]:
+    """Whether a match of the pattern lies within AROUND characters of each span."""
+    found = [m.span() for m in pattern.finditer(low)]
+    starts = [s for s, _ in found]
+    out = []
+    for _, start, end in spans:
+        i = bisect_left(starts, start - AROUND)
+        out.append(i < len(found) and found[i][1] <= end + AROUND)
+    return out
+
+
+def _gram_spans(low: str, lengths: list[int], heads: set[str] | None) -> list[tuple[str, int, int]]:
+    """(gram, start, end) of the runs of tokens that may be a name, with and without a sentence's dots.
+
+    A name stands alone: no letter, digit or one of + # . / - touches it, but for a dot that ends a sentence. Its tokens may be
+    parted by white space, line ends, slashes and hyphens.
+    """
+    tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(low)]
+    joined = [i > 0 and GAP.fullmatch(low, tokens[i - 1][2], tokens[i][1]) is not None for i in range(len(tokens))]
+    out = []
+    for i, (head, start, _) in enumerate(tokens):
+        if heads is not None and head not in heads and head.rstrip(".") not in heads or start and BEFORE.match(low, start - 1):
+            continue
+        for n in lengths:
+            if i + n > len(tokens) or n > 1 and not all(joined[i + 1 : i + n]):
+                break
+            gram, end = " ".join(t for t, _, _ in tokens[i : i + n]), tokens[i + n - 1][2]
+            if not AFTER.match(low, end):
+                out.append((gram, start, end))
+            bare = gram.rstrip(".")
+            if bare != gram and not AFTER.match(low, end - len(gram) + len(bare)):
+                out.append((bare, start, end - len(gram) + len(bare)))
+    return out
+
+
+def spans(docs: DataFrame, known: DataFrame, phrases: dict[str, str], key: str | list[str] = "candidate_id", text: str = "text") -> DataFrame:
+    """(key columns, skill, start, end, and a boolean per phrase): every mention of a name (gram, skill) and which phrases are near it.
+
+    A text is read once, token by token, with the tokens' places; what may be a name goes to an equi join with the names. First
+    words of names go to the tasks where they are MOST_HEADS at most; otherwise all runs of words meet the names in the join. Phrases are patterns
+    in lower case, of which no match overlaps another.
+    """
+    named = known.where("gram <> ''").select("gram", "skill").distinct()
+    lengths = sorted(r[0] for r in named.select(F.size(F.split("gram", " "))).distinct().collect()) or [1]
+    first = [r[0] for r in named.select(F.split("gram", " ")[0]).distinct().limit(MOST_HEADS + 1).collect()]
+    heads = docs.sparkSession.sparkContext.broadcast(set(first) if len(first) <= MOST_HEADS else None)
+    patterns = {name: re.compile(p) for name, p in phrases.items()}
+    keys = [key] if isinstance(key, str) else key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(i, TEXTS_AT_ONCE)
+                rows, grams, at, flags = [], [], [], [[] for _ in patterns]
+                for row, value in enumerate(part.column(len(keys)).to_pylist()):
+                    low = (value or "").lower()
+                    found = _gram_spans(low, lengths, heads.value)
+                    rows += [row] * len(found)
+                    grams += [g for g, _, _ in found]
+                    at += [x[1:] for x in found]
+                    for flag, pattern in zip(flags, patterns.values()):
+                        flag += _near(low, pattern, found)
+                take = pa.array(rows, pa.int64())
+                columns = [*(part.column(j).take(take) for j in range(len(keys))), pa.array(grams, pa.string()), *(pa.array([x[j] for x in at], pa.int32()) for j in (0, 1)), *(pa.array(f, pa.bool_()) for f in flags)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "gram", "start", "end", *patterns])
+
+    kinds = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys]
+    schema = ", ".join([*kinds, "gram string", "start int", "`end` int", *(f"`{name}` boolean" for name in phrases)])
+    return docs.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema).join(named, "gram").select(*keys, "skill", "start", "end", *phrases)
 
 
 def mentions(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, phrases: str, positive: bool, key: str = "candidate_id") -> DataFrame:
     """(key, skill) where some mention has no phrase around it (positive), or has one."""
-    hit = F.col("around").rlike(phrases)
-    return mention_windows(docs, catalog, aliases, key).where(~hit if positive else hit).select(key, "skill").distinct()
-
-
-def unstuffed_mentions(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, phrases: str, key: str = "candidate_id") -> DataFrame:
-    """(key, skill) with a positive mention, MOST_MENTIONS mentions at most, in a text of varied words."""
-    counted = mention_windows(docs.where(varied(F.col("text"))), catalog, aliases, key).groupBy(key, "skill").agg(F.count("*").alias("n"), F.count_if(~F.col("around").rlike(phrases)).alias("good"))
-    return counted.where((F.col("good") > 0) & (F.col("n") <= MOST_MENTIONS)).select(key, "skill")
+    found = spans(docs, names(catalog, aliases), {"near": phrases}, key)
+    return found.where(~F.col("near") if positive else F.col("near")).select(key, "skill").distinct()
 
 
 def text_evidence(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, weak: str, hard: str, key: str = "candidate_id") -> DataFrame:
     """(key, skill, hit, weak, hard): of each skill that a text names, whether it is an unstuffed positive mention, and whether
     a weak or hard phrase stands around a mention; the texts are read once."""
-    near = mention_windows(docs.select(key, "text"), catalog, aliases, key)
-    around = F.col("around")
-    found = near.groupBy(key, "skill").agg(F.count("*").alias("n"), F.count_if(~around.rlike(weak)).alias("good"), F.max(around.rlike(weak)).alias("weak"), F.max(around.rlike(hard)).alias("hard"))
+    found = spans(docs, names(catalog, aliases), {"weak": weak, "hard": hard}, key)
+    counted = found.groupBy(key, "skill").agg(F.countDistinct("start").alias("n"), F.max(~F.col("weak")).alias("good"), F.max("weak").alias("weak"), F.max("hard").alias("hard"))
     fit = docs.select(key, varied(F.col("text")).alias("varied"))
-    return found.join(fit, key).select(key, "skill", (F.col("varied") & (F.col("good") > 0) & (F.col("n") <= MOST_MENTIONS)).alias("hit"), "weak", "hard")
+    return counted.join(fit, key).select(key, "skill", (F.col("varied") & F.col("good") & (F.col("n") <= MOST_MENTIONS)).alias("hit"), "weak", "hard")
+
+
+def unstuffed_mentions(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, phrases: str, key: str = "candidate_id") -> DataFrame:
+    """(key, skill) with a positive mention, MOST_MENTIONS mentions at most, in a text of varied words."""
+    return text_evidence(docs, catalog, aliases, phrases, phrases, key).where("hit").select(key, "skill")
 
 
 def varied(text: Column) -> Column:

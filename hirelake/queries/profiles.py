@@ -123,11 +123,9 @@ def b15_sentences(fx: Fixtures) -> DataFrame:
     return P.sentences(texts, "id").groupBy("id").agg(F.count("*").alias("n"))
 
 
-def _mentions(fx: Fixtures) -> DataFrame:
-    rows = P.sentences(fx.fx_cv_text)
-    keyed = rows.select(F.concat_ws(":", "candidate_id", "pos").alias("k"), F.col("sentence").alias("text"))
-    named = X.extract_skills(keyed, fx.skill_vocab, fx.alias_map, "k").select(F.split("k", ":")[0].cast("long").alias("candidate_id"), F.split("k", ":")[1].cast("int").alias("pos"), "skill")
-    return P.skill_mentions(rows, named)
+def _mentions(fx: Fixtures, texts: DataFrame | None = None) -> DataFrame:
+    known = X.names(fx.skill_vocab.select("skill"), fx.alias_map)
+    return P.skill_mentions(P.sentences(fx.fx_cv_text if texts is None else texts), known)
 
 
 SUMMARY = "SELECT candidate_id, s3 AS skill, CASE candidate_id % 4 WHEN 0 THEN 'no_experience' WHEN 1 THEN 'learning' ELSE 'has_experience' END AS status, CASE WHEN candidate_id % 4 > 1 THEN 'mid' END AS level, CAST(CASE WHEN candidate_id % 4 < 2 THEN 0.85 ELSE 0.75 END AS DOUBLE) AS confidence FROM fx_cv_slots"
@@ -137,9 +135,7 @@ SUMMARY = "SELECT candidate_id, s3 AS skill, CASE candidate_id % 4 WHEN 0 THEN '
 def b16_skill_mentions(fx: Fixtures) -> DataFrame:
     """Mentions in the summary line."""
     last = fx.fx_cv_text.withColumn("text", F.element_at(F.split("text", "\nSummary\n"), -1))
-    rows = P.sentences(last)
-    named = X.extract_skills(last, fx.skill_vocab, fx.alias_map)
-    return P.skill_mentions(rows, rows.select("candidate_id", "pos").join(named, "candidate_id")).drop("pos")
+    return _mentions(fx, last).select("candidate_id", "skill", "status", "level", "confidence")
 
 
 @query(

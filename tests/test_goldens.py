@@ -190,3 +190,39 @@ def test_skill_names_of_any_length(spark):
     aliases = spark.createDataFrame([("care of very old steam engines", "steam")], "alias string, canonical string")
     cvs = spark.createDataFrame([(1, f"Python and the {long}."), (2, "Care of very old steam engines"), (3, "design and operation of large scale"), (4, None)], "candidate_id long, text string")
     assert {tuple(r) for r in X.extract_skills(cvs, catalog, aliases).collect()} == {(1, "python"), (1, long), (2, "steam")}
+
+
+def named_skills(spark):
+    return spark.createDataFrame([("java",), ("ci/cd",), ("machine learning",), ("c++",), ("node.js",)], "skill string"), spark.createDataFrame([("ml", "machine learning")], "alias string, canonical string")
+
+
+def test_denials_of_a_sentence(spark):
+    denied = ["I don't know Java", "Haven’t used java", "No knowledge of Java.", "do not have Java", "never used Java", "not familiar with Java"]
+    learning = ["I wish to learn Java", "want to learn java", "currently learning Java"]
+    other = ["Java for 2.5 years", "no experience " + "x" * 120 + " Java", "6 yrs of Java"]
+    texts = spark.createDataFrame(list(enumerate(denied + learning + other)), "candidate_id long, text string")
+    found = P.skill_mentions(P.sentences(texts), X.names(*named_skills(spark))).collect()
+    by = {r["candidate_id"]: (r["status"], r["level"], r["years"], r["confidence"]) for r in found}
+    assert [by[i][0] for i in range(len(denied))] == ["no_experience"] * len(denied)
+    assert [by[len(denied) + i] for i in range(3)] == [("learning", None, None, 0.85)] * 3
+    # a full stop within a number parts no sentence
+    assert [by[9 + i] for i in range(3)] == [("has_experience", "mid", 2.5, 0.75), ("has_experience", None, None, 0.6), ("has_experience", "senior", 6.0, 0.75)]
+
+
+def test_mentions_of_names_written_otherwise(spark):
+    texts = ["CI CD", "ci-cd, good", "Machine\nLearning", "machine-learning.", "ML/AI", "(ml)", "e-java", "java.", "java.lang", "C++ and Node.js.", "machine, learning", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "candidate_id long, text string")
+    found = sorted((r["candidate_id"], r["skill"], r["start"]) for r in X.spans(frame, X.names(*named_skills(spark)), {}).collect())
+    expected = [(0, "ci/cd", 0), (1, "ci/cd", 0), (2, "machine learning", 0), (3, "machine learning", 0), (5, "machine learning", 1), (7, "java", 0), (9, "c++", 0), (9, "node.js", 8)]
+    assert found == expected
+
+
+def test_phrases_within_eighty_characters(spark):
+    texts = ["no experience" + " " * 67 + "java", "no experience" + " " * 68 + "java", "java" + " " * 67 + "no experience", "java" + " " * 68 + "no experience", "java " + "b " * 60 + "java no experience"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "candidate_id long, text string")
+    found = sorted((r["candidate_id"], r["start"], r["near"]) for r in X.spans(frame, X.names(*named_skills(spark)), {"near": M.NON_EVIDENCE}).collect())
+    assert [f[2] for f in found] == [True, False, True, False, False, True]
+    evidence = {r["candidate_id"]: (r["hit"], r["weak"]) for r in X.text_evidence(frame, *named_skills(spark), M.NON_EVIDENCE, M.HARD_NEGATION).collect()}
+    assert evidence[0] == (False, True) and evidence[1] == (True, False)
+    stuffed = spark.createDataFrame([(1, "java " * 11 + " ".join(f"w{i}" for i in range(40))), (2, "java " * 10 + " ".join(f"w{i}" for i in range(40))), (3, "java java java java")], "candidate_id long, text string")
+    assert [r["candidate_id"] for r in X.unstuffed_mentions(stuffed, *named_skills(spark), M.NON_EVIDENCE).collect()] == [2]
