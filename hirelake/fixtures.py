@@ -30,6 +30,16 @@ SAME_ENTRY = [("node.js", "javascript"), ("pandas", "data analysis")]
 RELATED = [("python", "django", 0.55), ("spark", "kafka", 0.7), ("ci/cd", "git", 0.6)]
 
 
+#: What the varied CVs say of skills that their writers lack or learn; the last three are being learned.
+DENIALS = ["don't know", "do not know", "have no experience", "am not experienced", "never used", "haven't used", "am not familiar", "don't have", "do not have", "have no knowledge", "am currently learning", "want to learn", "wish to learn"]
+
+
+def written(column: str) -> str:
+    """SQL for a skill as the varied CVs write it."""
+    return f"""CASE {column} WHEN 'ci/cd' THEN 'CI CD' WHEN 'machine learning' THEN 'Machine-Learning' WHEN 'spring boot' THEN 'Spring  Boot' WHEN 'rest api' THEN 'REST-API' WHEN 'kubernetes' THEN 'k8s'
+        WHEN 'data analysis' THEN 'data-analysis' WHEN 'node.js' THEN 'NodeJS' ELSE upper({column}) END"""
+
+
 def values(rows: list[tuple], columns: str) -> str:
     text = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
     return f"SELECT * FROM (VALUES {text}) AS t({columns})"
@@ -82,6 +92,26 @@ VIEWS: dict[str, tuple[str, str]] = {
         'Projects', chr(10), 'Tool using ', s1, chr(10), 'Languages', chr(10), 'English, Arabic', chr(10), 'Summary', chr(10),
         CASE c.candidate_id % 4 WHEN 0 THEN concat('No experience with ', s3, '.') WHEN 1 THEN concat('Currently learning ', s3, '.') ELSE concat('3 years of ', s3, '.') END) AS text
         FROM fx_candidates c JOIN fx_cv_slots USING (candidate_id)"""),
+    "denials": ("", values([(i, p) for i, p in enumerate(DENIALS)], "n, phrase")),
+    "fx_cv_facts": ("fx_cv_slots", """SELECT candidate_id, s0, s1, s2, s3,
+        concat(CASE candidate_id % 5 WHEN 0 THEN 'Omar' WHEN 1 THEN 'Lea' WHEN 2 THEN 'Ann' WHEN 3 THEN 'Jose' ELSE 'Mai' END, ' ', CASE candidate_id % 7 WHEN 0 THEN 'Haddad' WHEN 1 THEN 'Roe' WHEN 2 THEN 'Berger' WHEN 3 THEN 'Costa' WHEN 4 THEN 'Lindt' WHEN 5 THEN 'Okafor' ELSE 'Stone' END) AS full_name,
+        concat('p', CAST(candidate_id AS VARCHAR(10)), CASE candidate_id % 2 WHEN 0 THEN '@mail.example.org' ELSE '@example.com' END) AS email,
+        CASE candidate_id % 4 WHEN 0 THEN concat('+1 (555) 010-', CAST(1000 + candidate_id % 9000 AS VARCHAR(10))) WHEN 1 THEN concat('0049 30 ', CAST(1000000 + candidate_id AS VARCHAR(10))) WHEN 2 THEN concat('555.010.', CAST(1000 + candidate_id % 9000 AS VARCHAR(10)), '.1') END AS phone,
+        CASE candidate_id % 3 WHEN 0 THEN 'Giza, Egypt' WHEN 1 THEN 'Lyon' END AS place,
+        CAST(2012 + candidate_id % 8 AS INT) AS until, candidate_id % 15 AS told, candidate_id % 3 AS layout, candidate_id % 7 = 0 AS unemployed FROM fx_cv_slots"""),
+    "fx_cv_varied": ("fx_cv_facts denials", f"""SELECT candidate_id, concat(
+        CASE layout WHEN 0 THEN '' WHEN 1 THEN concat('Curriculum vitae and list of all former posts', chr(10)) ELSE concat('by mail: ', email, chr(10)) END, full_name, chr(10), 'E-mail ', email, chr(10),
+        CASE WHEN phone IS NULL THEN '' ELSE concat('Tel. ', phone, chr(10)) END, CASE layout WHEN 0 THEN concat('Address: ', place, chr(10)) WHEN 1 THEN concat('location - ', place, chr(10)) ELSE '' END,
+        CASE WHEN unemployed THEN concat('Total Years of Experience: 6.5', chr(10)) ELSE '' END, chr(10),
+        CASE layout WHEN 0 THEN 'SKILLS' WHEN 1 THEN 'Technical Skills' ELSE 'Technologies' END, chr(10), {written("s0")}, ', ', {written("s1")}, chr(10), '  ', chr(10),
+        CASE WHEN unemployed THEN '' ELSE concat(CASE layout WHEN 0 THEN 'Work History' WHEN 1 THEN 'EXPERIENCE' ELSE 'Professional Experience' END, chr(10), 'Senior Engineer at Acme Corp 2010 - ', CAST(until AS VARCHAR(10)), chr(10),
+            '• Built services with ', {written("s2")}, '.', chr(10), 'in a team of nine', chr(10), CASE candidate_id % 4 WHEN 1 THEN 'Analyst | Beta Ltd | Rome 2005 to 2009' ELSE 'Intern at Beta Ltd 2006 - present' END, chr(10), '- Helped the team.', chr(10)) END,
+        CASE layout WHEN 0 THEN concat('Education', chr(10), 'Bachelor of Science', chr(10), 'City University', chr(10), '2008', chr(10), 'GPA 3.5') WHEN 1 THEN concat('ACADEMIC BACKGROUND', chr(10), 'Diploma in Design', chr(10), '2003', chr(10), 'Arts College', chr(10), 'MBA', chr(10), 'Oxford', chr(10), '2012', chr(10), 'Honours list')
+            ELSE concat('Qualifications', chr(10), 'Evening school', chr(10), 'Diploma in Design 2001') END, chr(10),
+        'Projects', chr(10), 'Tool using ', {written("s1")}, chr(10), CASE layout WHEN 0 THEN concat('Languages', chr(10), 'French, English', chr(10)) WHEN 1 THEN concat('Language proficiency', chr(10), 'German (fluent)', chr(10)) ELSE '' END,
+        'Certificates', chr(10), 'Cloud badge 2019', chr(10), CASE layout WHEN 0 THEN 'Summary' WHEN 1 THEN 'About me' ELSE 'Profile' END, chr(10),
+        CASE WHEN phrase IS NOT NULL THEN concat('I ', phrase, CASE candidate_id % 2 WHEN 0 THEN ' ' ELSE ' with ' END, {written("s3")}) WHEN told = 13 THEN concat('4.5 years of ', {written("s3")}) ELSE concat('Daily ', {written("s3")}) END, '.') AS text
+        FROM fx_cv_facts LEFT JOIN denials ON n = told"""),
     "fx_job_text": ("fx_jobs slots skill_vocab", """SELECT j.job_id, concat(coalesce(j.seniority, ''), ' Engineer ', CAST(j.job_id AS VARCHAR(10)), chr(10), 'Requirements', chr(10),
         max(CASE WHEN k = 0 THEN skill END), ', ', max(CASE WHEN k = 1 THEN skill END), chr(10), chr(10), 'Nice to have: ', max(CASE WHEN k = 2 THEN skill END), chr(10),
         'Experience in ', max(CASE WHEN k = 3 THEN skill END), ' is a plus') AS text

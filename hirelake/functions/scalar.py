@@ -81,17 +81,15 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * lcs_length(a, b) / total)
 
 
-def windows(text: Column, pattern: Column | str, before: int, after: int) -> Column:
-    """An array of what stands around each hit of the pattern, by offsets from split and extract."""
+def windows(text: Column, pattern: Column | str, before: int, after: int, most: int = 12) -> Column:
+    """An array of what stands around each of the first `most` hits of the pattern, by offsets from split and extract."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return windows_of(text, F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), before, after)
+    hits, gaps = F.slice(F.regexp_extract_all(text, pattern, F.lit(0)), 1, most), F.slice(F.split(text, pattern, -1), 1, most)
 
+    def place(done: Column, pair: Column) -> Column:
+        start = done["end"] + F.length(pair["gap"])
+        return F.struct(F.concat(done["at"], F.array(start)).alias("at"), (start + F.length(pair["hit"])).alias("end"))
 
-def windows_of(text: Column, hits: Column, gaps: Column, before: int, after: int) -> Column:
-    """As windows, of a pattern's hits and what stands between them: as columns of a table they are found once."""
-    at = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1))),
-        lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda s, g: s + F.length(g)) + F.aggregate(F.slice(hits, F.lit(1), i - 1), F.lit(0), lambda s, h: s + F.length(h)),
-    )
-    cut = F.zip_with(at, hits, lambda s, h: F.substr(text, F.greatest(s - before, F.lit(0)) + 1, F.least(s, F.lit(before)) + F.length(h) + after))
-    return F.when(F.size(hits) > 0, cut).otherwise(F.array().cast("array<string>"))
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    at = F.aggregate(pairs, F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end")), place)["at"]
+    return F.zip_with(at, hits, lambda s, h: F.substr(text, F.greatest(s - before, F.lit(0)) + 1, F.least(s, F.lit(before)) + F.length(h) + after))

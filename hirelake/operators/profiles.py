@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_order, norm_name, norm_text
-from .text import spans
+from .text import AROUND, TEXTS_AT_ONCE, extract_skills, names, spans
 
-#: A section's headers, spoken languages, degrees by rank, phrases by status.
+#: How a section's header begins, in the order of trial; spoken languages, degrees by rank, phrases by status.
 SECTIONS = {
-    "skills": "skills|technical skills|core skills",
-    "experience": "experience|work experience|employment|professional experience",
-    "education": "education|academic background",
-    "projects": "projects|personal projects",
-    "languages": "languages",
-    "summary": "summary|profile|objective",
+    "experience": "experience|work history|employment|professional experience|work experience",
+    "education": "education|academic|qualifications|degree",
+    "projects": "projects|project experience|personal projects",
+    "skills": "skills|technical skills|core competencies|technologies",
+    "summary": "summary|objective|profile|about me|professional summary",
+    "languages": "languages|language proficiency",
+    "other": "certifications|certificates|awards|publications|references|contact",
 }
 SPOKEN = ["arabic", "chinese", "dutch", "english", "french", "german", "italian", "portuguese", "russian", "spanish"]
+LANGUAGE_WORDS = ["english", "french", "spanish", "german", "italian", "portuguese", "turkish", "russian", "mandarin", "chinese"]
+DEGREE_WORDS = ["bachelor", "master", "phd", "doctorate", "degree", "bsc", "msc", "ba", "ma", "mba", "diploma"]
+DEGREE_RANKS = [
+    ("phd", 7), ("doctorate", 7), ("doctoral", 7), ("mba", 6), ("master", 5), ("msc", 5), ("ma", 5), ("bachelor", 4), ("bsc", 4), ("ba", 4),
+    ("diploma", 3), ("associate", 2), ("certificate", 1),
+]
+STOP_WORDS = ["built", "candidate", "education", "experience", "professional", "projects", "skills", "summary", "technologies", "tools", "using", "workflows"]
+SKILL_HEADERS = ["skills", "technologies", "tools"]
 DEGREES = [("phd|doctorate", 7), ("mba", 6), ("master", 5), ("bachelor", 4), ("diploma", 3), ("associate", 2), ("certificate", 1)]
 STATUS_PHRASES = [
     "don't know", "do not know", "no experience", "not experienced", "never used", "haven't used", "not familiar",
@@ -26,7 +39,7 @@ STATUS_PHRASES = [
 PHRASE_REACH = 100
 NON_SKILLS = ["project", "projects", "project experience", "personal projects"]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?\d[\d\s().-]{7,}\d"
+PHONE = r"\+?\d[\d\s().-]{8,}\d"
 YEARS = r"\b((?:19|20)\d{2})\s*(?:-|–|to)\s*((?:19|20)\d{2}|present|current|now)\b"
 
 
@@ -38,20 +51,37 @@ def parseable(c: str = "text") -> Column:
     return F.length(F.regexp_replace(text(c), "[^\\p{L}\\p{N}]", "")) >= 10
 
 
-def lines(df: DataFrame, key: str) -> DataFrame:
-    """(key, pos, line): trimmed lines that aren't empty."""
-    cut = df.select(key, F.posexplode(F.split(text("text"), "\n")).alias("pos", "line"))
-    return cut.withColumn("line", F.trim("line")).where("line <> ''")
+def line_array(c: str | Column = "text") -> Column:
+    """Trimmed lines that aren't empty."""
+    return F.filter(F.transform(F.split(text(c), "\\R"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def split_sections(df: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """(key, section, pos, line): lines below the last header; those before the first header are dropped."""
+def header_of(line: Column) -> Column:
+    """The section that a line is the header of; null for other lines. `Technologies: ...` is no header."""
     header = F.lit(None).cast("string")
-    for name, pattern in SECTIONS.items():
-        header = F.when(F.col("line").rlike(f"(?i)^(?:{pattern})\\s*:?$"), name).otherwise(header)
-    marked = lines(df, key).withColumn("header", header)
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("section", F.last("header", ignorenulls=True).over(upto)).where("header IS NULL AND section IS NOT NULL").select(key, "section", "pos", "line")
+    for name, pattern in reversed(SECTIONS.items()):
+        hit = line.rlike(f"(?i)^(?:{pattern})\\b")
+        header = F.when(hit & ~line.rlike("(?i)^technologies\\s*:\\s*\\S") if name == "skills" else hit, name).otherwise(header)
+    return header
+
+
+def with_sections(df: DataFrame) -> DataFrame:
+    """df with _lines and _sections (section, from, n): what lies between two headers, by positions alone, so that no row is shuffled."""
+    heads = F.filter(F.transform("_lines", lambda s, i: F.struct(i.alias("at"), header_of(s).alias("section"))), lambda h: h["section"].isNotNull())
+    upto = F.transform("_heads", lambda h, j: F.struct(h["section"].alias("section"), (h["at"] + 2).alias("from"), (F.coalesce(F.get("_heads", j + 1)["at"], F.size("_lines")) - h["at"] - 1).alias("n")))
+    return df.withColumn("_lines", line_array()).withColumn("_heads", heads).withColumn("_sections", upto).drop("_heads")
+
+
+def section_lines(name: str) -> Column:
+    """Of a row with sections: the lines of all sections of that name."""
+    of_name = F.filter("_sections", lambda h: h["section"] == name)
+    return F.flatten(F.transform(of_name, lambda h: F.slice("_lines", h["from"], h["n"])))
+
+
+def split_sections(df: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """(key, section, pos, line): lines below the last header; those before the first header, and of other sections, are dropped."""
+    rows = with_sections(df.select(key, "text")).select(key, "_lines", F.explode("_sections").alias("s")).where("s.section <> 'other'")
+    return rows.select(key, "s.section", F.col("s.from").alias("start"), F.posexplode(F.slice("_lines", F.col("s.from"), F.col("s.n"))).alias("pos", "line")).withColumn("pos", F.col("start") + F.col("pos")).drop("start")
 
 
 def section_text(df: DataFrame, name: str, key: str = "candidate_id") -> DataFrame:
@@ -61,8 +91,8 @@ def section_text(df: DataFrame, name: str, key: str = "candidate_id") -> DataFra
 def extract_contacts(df: DataFrame) -> DataFrame:
     """df with the first e-mail, the first phone and the location line; null where there is none."""
     none = lambda c: F.when(c != "", c)
-    phone = F.trim(F.regexp_extract(F.regexp_replace(text("text"), EMAIL, ""), PHONE, 0))
-    place = F.substring(F.trim(F.regexp_extract("text", "(?im)^(?:location|address)\\s*:\\s*([^\\n]+)$", 1)), 1, 120)
+    phone = F.trim(F.regexp_extract("text", PHONE, 0))
+    place = F.substring(F.trim(F.regexp_extract("text", "(?im)^(?:location|address)\\s*[:\\-]\\s*([^\\n]+)$", 1)), 1, 120)
     return df.withColumns({"email": none(F.lower(F.regexp_extract("text", EMAIL, 0))), "phone": none(phone), "location": none(place)})
 
 
@@ -205,11 +235,153 @@ def topical_filter(df: DataFrame, keywords: list[str], k: int = 2, least: int =
     return df.where((F.length("text") >= least) & (F.size(F.filter(F.array(*[F.lit(w) for w in keywords]), lambda w: low.contains(w))) >= k))
 
 
+TERM = re.compile(r"\b[A-Za-z][A-Za-z0-9+#.-]{2,}(?:\s+[A-Za-z][A-Za-z0-9+#.-]{2,}){0,2}\b", re.ASCII)
+
+
+def _terms(docs: DataFrame, key: str) -> DataFrame:
+    """(key, pos, term, before): runs of one to three words, and the AROUND characters before each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(i, TEXTS_AT_ONCE)
+                found = [(row, m.start(), m.group(), t[max(0, m.start() - AROUND) : m.start()]) for row, t in enumerate(part.column(1).to_pylist()) for m in TERM.finditer(t or "")]
+                columns = [pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(columns[0]), *columns[1:]], names=[key, "pos", "term", "before"])
+
+    return docs.select(key, text("text").alias("text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, pos int, term string, before string")
+
+
 def uncatalogued_skills(df: DataFrame, known: DataFrame, key: str, limit: int = 50) -> DataFrame:
-    """(key, skill): words with an inner capital or one of + # . - that no skill is known by, the first 50."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text("text"), F.lit(r"\b[A-Za-z]+(?:[+#.-][A-Za-z0-9]+|[a-z][A-Z][A-Za-z]*)+"), F.lit(0)), norm_text))
-    each = df.select(key, F.posexplode(found).alias("pos", "skill")).where("skill <> ''").join(known.select(norm_text("skill").alias("skill")).distinct(), "skill", "left_anti")
-    return each.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("rn") <= limit).select(key, "skill")
+    """(key, skill): the first `limit` different runs of one to three words that no skill is known by.
+
+    A run looks technical (an inner capital or one of + # . -) or stands within AROUND characters of a skills header, and holds no stop word.
+    """
+    term, lit = F.regexp_replace("term", "\\s+", " "), lambda names: F.array(*[F.lit(n) for n in names])
+    shaped = F.substring("term", 2, 1 << 20).rlike("\\p{Lu}") | F.col("term").rlike("[+#.-]") | F.exists(lit(SKILL_HEADERS), lambda h: F.lower("before").contains(h))
+    each = _terms(df, key).where(shaped).select(key, "pos", F.substring(norm_name(term), 1, 120).alias("skill"))
+    each = each.where(~F.arrays_overlap(F.split("skill", " "), lit(STOP_WORDS))).join(known.select(norm_name("skill").alias("skill")).distinct(), "skill", "left_anti")
+    first = each.groupBy(key, "skill").agg(F.min("pos").alias("pos"))
+    return first.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("rn") <= limit).select(key, "skill")
+
+
+def _segments(rows: Column, opens: Callable[[Column], Column]) -> Column:
+    """An array of lines as (head, body): one per line that opens, and what stands before the first (head null)."""
+    at = F.filter(F.transform(rows, lambda s, i: F.when(opens(s), i)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(-1)), at)
+
+    def cut(i: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(starts, j + 1), F.size(rows))
+        return F.struct(F.when(i >= 0, F.get(rows, i)).alias("head"), F.slice(rows, i + 2, end - i - 1).alias("body"))
+
+    return F.transform(starts, cut)
+
+
+def _from_bullet(body: Column) -> Column:
+    """The lines from the first bullet on."""
+    at = F.array_position(F.transform(body, lambda s: s.rlike("^[-•*◦]")), F.lit(True)).cast("int")
+    return F.when(at > 0, F.slice(body, at, F.size(body))).otherwise(F.array().cast("array<string>"))
+
+
+def _none(c: Column) -> Column:
+    return F.when(c != "", c)
+
+
+AT, DASH = r"^(.+?)\s+at\s+(.+?)(?:\s*[-–|]\s*.*)?$", r"^(.+?)\s*[-–|]\s*(.+?)(?:\s*[-–|]\s*.*)?$"
+
+
+def _experience(segments: str, as_of_year: int) -> Column:
+    """Entries (title, company, start_year, end_year, description) of segments; what bullets stand before the first entry describe it."""
+    stray = _from_bullet(F.get(segments, F.lit(0))["body"])
+    part = lambda pattern, c, n: _none(F.trim(F.regexp_extract(c, pattern, n)))
+
+    def entry(s: Column, j: Column) -> Column:
+        head, body = s["head"], s["body"]
+        bare = F.trim(F.regexp_replace(head, YEARS, ""))
+        last = F.lower(F.regexp_extract(head, YEARS, 2))
+        told = F.when((j == 0) & (F.size(stray) > 0), F.concat(stray, body)).otherwise(_from_bullet(body))
+        return F.struct(
+            F.coalesce(part(AT, bare, 1), part(DASH, bare, 1), bare).alias("title"),
+            F.coalesce(part(AT, bare, 2), part(DASH, bare, 2)).alias("company"),
+            F.regexp_extract(head, YEARS, 1).try_cast("int").alias("start_year"),
+            F.when(last != "", F.coalesce(last.try_cast("int"), F.lit(as_of_year))).alias("end_year"),
+            _none(F.array_join(told, "\n")).alias("description"),
+        )
+
+    return F.transform(F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1))), entry)
+
+
+def _education(segments: str) -> Column:
+    """Entries (degree, institution, end_year, gpa, description): a line that names a degree opens one; what stands before makes one of its own."""
+
+    def entry(s: Column) -> Column:
+        rest = F.filter(s["body"], lambda x: ~F.lower(x).contains("gpa"))
+        dated = F.array_position(F.transform(rest, lambda x: x.rlike("(?:19|20)\\d{2}")), F.lit(True)).cast("int")
+        other = F.filter(rest, lambda x, i: i + 1 != dated)
+        return F.struct(
+            s["head"].alias("degree"), F.get(other, F.lit(0)).alias("institution"), F.regexp_extract(F.get(rest, dated - 1), "((?:19|20)\\d{2})", 1).try_cast("int").alias("end_year"),
+            F.element_at(F.filter(F.concat(F.array(F.lit(None).cast("string")), s["body"]), lambda x: x.isNull() | F.lower(x).contains("gpa")), -1).alias("gpa"), F.get(other, F.lit(1)).alias("description"),
+        )
+
+    return F.transform(F.filter(segments, lambda s: s["head"].isNotNull() | (F.size(s["body"]) > 0)), entry)
+
+
+def _highest(entries: str) -> Column:
+    """The first degree of the highest rank; a degree counts by the first word of the list that raises the rank."""
+
+    def better(best: Column, e: Column) -> Column:
+        out = best
+        for word, rank in reversed(DEGREE_RANKS):
+            out = F.when(F.lower(e["degree"]).contains(word) & (best["rank"] < rank), F.struct(e["degree"].alias("degree"), F.lit(rank).alias("rank"))).otherwise(out)
+        return out
+
+    return F.aggregate(entries, F.struct(F.lit(None).cast("string").alias("degree"), F.lit(-1).alias("rank")), better)["degree"]
+
+
+def full_profiles(df: DataFrame, as_of_year: int, key: str = "candidate_id") -> DataFrame:
+    """One row per text (key, text), by expressions over its lines, so that nothing is shuffled and a stream may hold it.
+
+    full_name, email, phone, location, languages, experience (lines), experience_entries, total_years, education, education_entries,
+    highest_degree, projects, summary, status. A text of fewer than ten letters and digits has failed, and all else null or empty.
+    """
+    opens = lambda s: s.rlike(YEARS) | s.rlike("^[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\s+(?:at|in|with|for)\\s+")
+    degree = lambda s: F.lower(s).rlike("|".join(DEGREE_WORDS))
+    ok = parseable("text")
+    rows = with_sections(df.select(key, F.when(ok, F.col("text")).alias("text"), F.when(ok, "completed").otherwise("failed").alias("status")))
+    rows = extract_contacts(rows).withColumns({name: section_lines(name) for name in SECTIONS if name != "other"}).withColumn("full_name", extract_name("text"))
+    spoken = norm_text(F.when(F.size("languages") > 0, F.array_join("languages", " ")).otherwise(text("text")))
+    rows = rows.withColumns({"_jobs": _segments(F.col("experience"), opens), "_schools": _segments(F.col("education"), degree)})
+    rows = rows.withColumns({"experience_entries": _experience("_jobs", as_of_year), "education_entries": _education("_schools")})
+    span = F.aggregate("experience_entries", F.lit(None).cast("double"), lambda a, e: F.coalesce(F.coalesce(a, F.lit(0.0)) + (e["end_year"] - e["start_year"]), a))
+    stated = F.regexp_extract(text("text"), r"(?i)Total Years of Experience:\s*([\d.]+)", 1).try_cast("double")
+    return rows.select(
+        key, "status", "full_name", "email", "phone", "location", F.filter(F.array(*[F.lit(w) for w in sorted(LANGUAGE_WORDS)]), lambda w: F.regexp_like(spoken, F.concat(F.lit("\\b"), w, F.lit("\\b")))).alias("languages"),
+        "experience", "experience_entries", F.coalesce(span, stated).alias("total_years"), "education", "education_entries", _highest("education_entries").alias("highest_degree"), "projects",
+        _none(F.array_join("summary", "\n")).alias("summary"),
+    )
+
+
+def profiles_with_skills(df: DataFrame, catalog: DataFrame, aliases: DataFrame, as_of_year: int, key: str = "candidate_id") -> DataFrame:
+    """full_profiles with skills_detailed (skill, status, level, years, confidence, context), skills, negative_skills, learning_skills and
+    uncatalogued_skills, all sorted by name."""
+    ok = df.where(parseable("text"))
+    known = names(catalog, aliases)
+    told = skill_mentions(sentences(ok, key), known, key)
+    # named in the text but in none of its sentences, as across a line's end
+    none = {"pos": F.lit(1 << 30), "status": F.lit("unknown"), "level": F.lit(None).cast("string"), "years": F.lit(None).cast("double"), "confidence": F.lit(0.5), "context": F.lit(None).cast("string")}
+    details = best_skill_detail(told.unionByName(extract_skills(ok, catalog, aliases, key).withColumns(none)), key)
+    other = uncatalogued_skills(ok, known.select(F.explode(F.array("name", "gram")).alias("skill")), key)
+    rows = details.select(key, F.struct("skill", "status", "level", "years", "confidence", "context").alias("d"), F.lit(None).cast("string").alias("u"))
+    rows = rows.unionByName(other.select(key, F.lit(None).cast(rows.schema["d"].dataType).alias("d"), F.col("skill").alias("u")))
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list("d")).alias("d"), F.array_sort(F.collect_list("u")).alias("uncatalogued_skills"))
+
+    def of(*status: str) -> Column:
+        return F.transform(F.filter("d", lambda x: x["status"].isin(*status)), lambda x: x["skill"])
+
+    columns = {"skills": of("has_experience", "learning", "unknown"), "negative_skills": of("no_experience"), "learning_skills": of("learning")}
+    listed = listed.select(key, F.col("d").alias("skills_detailed"), *[c.alias(n) for n, c in columns.items()], "uncatalogued_skills")
+    joined = full_profiles(df, as_of_year, key).join(listed, key, "left")
+    return joined.withColumns({c: F.coalesce(c, F.array().cast(listed.schema[c].dataType)) for c in listed.columns if c != key})
 
 
 def parse_cvs(df: DataFrame, as_of_year: int = 2024) -> DataFrame:

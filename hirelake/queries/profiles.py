@@ -83,6 +83,24 @@ def b9_uncatalogued(fx: Fixtures) -> DataFrame:
     return P.uncatalogued_skills(fx.fx_cv_text, known, "candidate_id").where("skill = 'example.com'")
 
 
+@query(
+    "fx_cv_varied skill_vocab alias_map",
+    r"""WITH p AS (SELECT '\b[A-Za-z][A-Za-z0-9+#.-]{2,}(?:\s+[A-Za-z][A-Za-z0-9+#.-]{2,}){0,2}\b' AS re),
+        cut AS (SELECT candidate_id, text, regexp_extract_all(text, re) AS m, string_split_regex(text, re) AS g FROM fx_cv_varied, p),
+        runs AS (SELECT candidate_id, text, unnest(m) AS run, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))) AS place FROM cut),
+        named AS (SELECT candidate_id, place, run, lower(substr(text, CAST(greatest(place - 80, 0) + 1 AS BIGINT), CAST(least(place, 80) AS BIGINT))) AS before, regexp_replace(lower(run), '\s+', ' ', 'g') AS skill FROM runs),
+        known AS (SELECT skill FROM skill_vocab UNION SELECT alias FROM alias_map),
+        fit AS (SELECT candidate_id, skill, min(place) AS place FROM named WHERE (regexp_matches(substr(run, 2), '[A-Z]') OR regexp_matches(run, '[+#.-]') OR regexp_matches(before, 'skills|technologies|tools'))
+            AND NOT list_has_any(string_split(skill, ' '), ['built', 'candidate', 'education', 'experience', 'professional', 'projects', 'skills', 'summary', 'technologies', 'tools', 'using', 'workflows'])
+            AND skill NOT IN (SELECT skill FROM known) GROUP BY candidate_id, skill)
+        SELECT candidate_id, skill FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY place) AS rn FROM fit) WHERE rn <= 50""",
+)
+def b9_varied_uncatalogued(fx: Fixtures) -> DataFrame:
+    """All uncatalogued runs of CVs of several layouts."""
+    known = fx.skill_vocab.select("skill").unionByName(fx.alias_map.select(F.col("alias").alias("skill")))
+    return P.uncatalogued_skills(fx.fx_cv_varied, known, "candidate_id")
+
+
 @query("fx_cv_text fx_cv_slots", "SELECT candidate_id, 'skills' AS section, concat(s0, ', ', s1, ', ', s2) AS body FROM fx_cv_slots UNION ALL SELECT candidate_id, 'projects', concat('Tool using ', s1) FROM fx_cv_slots UNION ALL SELECT candidate_id, 'languages', 'English, Arabic' FROM fx_cv_slots")
 def b10_split_sections(fx: Fixtures) -> DataFrame:
     found = P.split_sections(fx.fx_cv_text).where("section IN ('skills', 'projects', 'languages')")
@@ -212,6 +230,42 @@ def b26_parse_cvs(fx: Fixtures) -> DataFrame:
     return P.parse_cvs(fx.fx_cv_text).select("candidate_id", "email", "full_name", "total_years", "status")
 
 
+#: What the varied CVs' summary tells of their last skill, and what their text tells of all.
+TOLD = """last AS (SELECT candidate_id, s3 AS skill, CASE WHEN told < 10 THEN 'no_experience' WHEN told < 13 THEN 'learning' ELSE 'has_experience' END AS status, CASE WHEN told = 13 THEN 'mid' END AS level,
+        CASE WHEN told = 13 THEN 4.5 END AS years, CASE WHEN told < 13 THEN 0.85 WHEN told = 13 THEN 0.75 ELSE 0.6 END AS confidence FROM fx_cv_facts),
+    every AS (SELECT candidate_id, skill, status, level, CAST(years AS DOUBLE) AS years, CAST(confidence AS DOUBLE) AS confidence FROM last
+        UNION ALL SELECT candidate_id, s0, 'has_experience', NULL, NULL, 0.6 FROM fx_cv_facts UNION ALL SELECT candidate_id, s1, 'has_experience', NULL, NULL, 0.6 FROM fx_cv_facts
+        UNION ALL SELECT candidate_id, s2, 'has_experience', NULL, NULL, 0.6 FROM fx_cv_facts WHERE NOT unemployed)"""
+
+
+@query("fx_cv_facts", f"WITH {TOLD} SELECT candidate_id, skill, status, level, years, confidence FROM every")
+def b16_varied_mentions(fx: Fixtures) -> DataFrame:
+    """The best mention of every skill in CVs of several layouts and spellings, with all denials of the list."""
+    return P.best_skill_detail(_mentions(fx, fx.fx_cv_varied)).drop("context")
+
+
+@query(
+    "fx_cv_facts",
+    f"""WITH {TOLD}, listed AS (SELECT candidate_id, string_agg(CASE WHEN status <> 'no_experience' THEN skill END, ',' ORDER BY skill) AS skills, coalesce(string_agg(CASE WHEN status = 'no_experience' THEN skill END, ',' ORDER BY skill), '') AS negative_skills,
+            coalesce(string_agg(CASE WHEN status = 'learning' THEN skill END, ',' ORDER BY skill), '') AS learning_skills FROM every GROUP BY candidate_id)
+        SELECT candidate_id, full_name, email, coalesce(phone, CASE WHEN NOT unemployed THEN concat('2010 - ', CAST(until AS VARCHAR)) END) AS phone, CASE WHEN layout = 2 THEN NULL ELSE place END AS location, CASE layout WHEN 0 THEN 'english,french' WHEN 1 THEN 'german' ELSE '' END AS languages,
+            CASE WHEN unemployed THEN '' ELSE concat('Senior Engineer/Acme Corp/2010/', CAST(until AS VARCHAR), '/2;', CASE candidate_id % 4 WHEN 1 THEN 'Analyst/Beta Ltd/2005/2009/1' ELSE 'Intern/Beta Ltd/2006/2024/1' END) END AS experience,
+            CAST(CASE WHEN unemployed THEN 6.5 ELSE until - 2010 + CASE candidate_id % 4 WHEN 1 THEN 4 ELSE 18 END END AS DOUBLE) AS total_years,
+            CASE layout WHEN 0 THEN 'Bachelor of Science/City University/2008/GPA 3.5/-' WHEN 1 THEN 'Diploma in Design/Arts College/2003/-/-;MBA/Oxford/2012/-/Honours list' ELSE '-/Evening school/-/-/-;Diploma in Design 2001/-/-/-/-' END AS education,
+            CASE layout WHEN 0 THEN 'Bachelor of Science' WHEN 1 THEN 'MBA' ELSE 'Diploma in Design 2001' END AS highest_degree, 1 AS projects, skills, negative_skills, learning_skills, 'completed' AS status
+        FROM fx_cv_facts JOIN listed USING (candidate_id)""",
+)
+def b26_full_profiles(fx: Fixtures) -> DataFrame:
+    """Whole profiles of CVs of several layouts."""
+    found = P.profiles_with_skills(fx.fx_cv_varied, fx.skill_vocab.select("skill"), fx.alias_map, 2024)
+    dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    jobs = F.transform("experience_entries", lambda e: F.concat_ws("/", dash(e["title"]), dash(e["company"]), dash(e["start_year"]), dash(e["end_year"]), F.size(F.split(e["description"], "\n"))))
+    schools = F.transform("education_entries", lambda e: F.concat_ws("/", *[dash(e[c]) for c in ("degree", "institution", "end_year", "gpa", "description")]))
+    joined = {c: F.array_join(c, ",") for c in ("languages", "skills", "negative_skills", "learning_skills")}
+    columns = {"experience": F.array_join(jobs, ";"), "education": F.array_join(schools, ";"), "projects": F.size("projects")} | joined
+    return found.withColumns(columns).select("candidate_id", "full_name", "email", "phone", "location", "languages", "experience", "total_years", "education", "highest_degree", "projects", "skills", "negative_skills", "learning_skills", "status")
+
+
 @query("fx_jobs", "SELECT job_id, trim(concat(coalesce(seniority, ''), ' Engineer ', CAST(job_id AS VARCHAR))) AS title FROM fx_jobs")
 def b27_job_title(fx: Fixtures) -> DataFrame:
     return fx.fx_job_text.select("job_id", P.job_title().alias("title"))
@@ -267,10 +321,17 @@ def b34_snippet(fx: Fixtures) -> DataFrame:
     return fx.fx_cv_text.select("candidate_id", P.snippet(F.regexp_extract("text", "- Built[^\n]*\nIntern at", 0), F.lit("Built services")).alias("snippet"))
 
 
-@query("fx_cv_text", "SELECT candidate_id, 2 AS n FROM fx_cv_text")
+@query(
+    "fx_cv_varied",
+    """WITH cut AS (SELECT candidate_id, text, regexp_extract_all(text, '(?:19|20)[0-9]{2}') AS m, string_split_regex(text, '(?:19|20)[0-9]{2}') AS g FROM fx_cv_varied),
+        hits AS (SELECT candidate_id, text, unnest(range(1, least(len(m), 12) + 1)) AS i, m, g FROM cut)
+        SELECT candidate_id, i AS pos, substr(text, CAST(greatest(s - 20, 0) + 1 AS BIGINT), CAST(least(s, 20) + 24 AS BIGINT)) AS near
+        FROM (SELECT *, list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS s FROM hits)""",
+)
 def b35_context_windows(fx: Fixtures) -> DataFrame:
-    near = F.slice(windows(F.col("text"), "(?:19|20)\\d{2} - (?:19|20)\\d{2}", 20, 20), 1, 12)
-    return fx.fx_cv_text.select("candidate_id", F.size(near).alias("n"))
+    """What stands around the first twelve years of a CV."""
+    near = windows(F.col("text"), "(?:19|20)[0-9]{2}", 20, 20, most=12)
+    return fx.fx_cv_varied.select("candidate_id", F.posexplode(near).alias("pos", "near")).withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
 @query("fx_answers", "SELECT session_id, turn, len(list_filter(list_distinct(regexp_extract_all(lower(answer), '[a-z][a-z0-9+#.-]{2,}')), lambda w: w NOT IN ('the', 'and'))) AS n FROM fx_answers")
