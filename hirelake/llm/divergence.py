@@ -39,6 +39,8 @@ BLOCK_TERMS = 2048
 TILE = 256
 HELD_TERMS = 1 << 20
 MEMO = 200_000
+#: Digests of eight bytes that go to all tasks at most, so that other strings end where they are found.
+MOST_SENT = 1 << 20
 #: a-z and all bytes above 0x7F stay, A-Z are lowered, all else parts terms.
 TERM_BYTES = bytes(ord(c.lower()) if (c := chr(b)).isascii() and c.isalpha() else b if b > 0x7F else 0x20 for b in range(256))
 GROUP = ["lang", "source"]
@@ -158,7 +160,9 @@ def vocabulary(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = 64) ->
 
     # no term of a digest can be kept where the digest isn't
     wanted = saved(kept(counts, "digest"))
-    named = saved(_digested(docs, bits).join(wanted.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")))
+    digests = wanted.select("digest").distinct()
+    digests = F.broadcast(digests) if digests.count() <= MOST_SENT else digests
+    named = saved(_digested(docs, bits).join(digests, "digest", "left_semi").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")))
     mixed = named.where("term <> last").select("digest")
     plain = counts.join(wanted, ["lang", "digest"], "left_semi")
     names = named.select("digest", F.lit(0).alias("split"), "term")
