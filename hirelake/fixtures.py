@@ -69,6 +69,10 @@ VIEWS: dict[str, tuple[str, str]] = {
         CASE s_suppkey % 5 WHEN 0 THEN 'junior' WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' WHEN 3 THEN 'lead' END AS seniority FROM supplier"""),
     "fx_job_skills": ("slots skill_vocab", """SELECT DISTINCT s_suppkey AS job_id, skill, k < 4 AS required, CAST(k AS BIGINT) AS pos
         FROM supplier CROSS JOIN slots JOIN skill_vocab ON skill_id = (s_suppkey * 3 + k * 7) % 40 WHERE s_suppkey % 50 <> 49"""),
+    "fx_job_needs": ("slots skill_vocab", """SELECT DISTINCT s_suppkey AS job_id, skill, k < 4 AS required, CAST(k AS BIGINT) AS pos
+        FROM supplier CROSS JOIN slots JOIN skill_vocab ON skill_id = (s_suppkey + 7 * k + CAST(floor(s_suppkey / 40) AS BIGINT) * (k * k + k)) % 40"""),
+    "fx_uncatalogued": ("skill_vocab", """SELECT c_custkey AS candidate_id, skill FROM customer JOIN skill_vocab ON skill_id = (c_custkey * 11 + 5) % 40 WHERE c_custkey % 3 = 0"""),
+    "fx_definitions": ("skill_vocab", """SELECT v.skill, concat('helped with ', r.skill, ', xylophones, yachts and zebras') AS definition FROM skill_vocab v JOIN skill_vocab r ON r.skill_id = (v.skill_id + 1) % 40"""),
     "fx_semantic": ("fx_feedback", """SELECT DISTINCT job_id, candidate_id, CAST((candidate_id * 3 + job_id) % 11 AS DOUBLE) / 10 AS semantic_score FROM fx_feedback WHERE action = 'added'"""),
     "fx_feedback": ("skill_vocab", """SELECT event_id AS feedback_id, ts AS created_at, user_id AS candidate_id, (event_id * 7 + user_id) % (SELECT count(*) FROM supplier) AS job_id, skill,
         user_id % 25 AS owner_id, event_type = 'purchase' AS correct_match, CASE WHEN event_id % 5 = 0 THEN 'removed' ELSE 'added' END AS action FROM events
@@ -112,6 +116,9 @@ VIEWS: dict[str, tuple[str, str]] = {
         'Certificates', chr(10), 'Cloud badge 2019', chr(10), CASE layout WHEN 0 THEN 'Summary' WHEN 1 THEN 'About me' ELSE 'Profile' END, chr(10),
         CASE WHEN phrase IS NOT NULL THEN concat('I ', phrase, CASE candidate_id % 2 WHEN 0 THEN ' ' ELSE ' with ' END, {written("s3")}) WHEN told = 13 THEN concat('4.5 years of ', {written("s3")}) ELSE concat('Daily ', {written("s3")}) END, '.') AS text
         FROM fx_cv_facts LEFT JOIN denials ON n = told"""),
+    "fx_cv_queue": ("fx_cv_varied fx_cv_facts fx_candidates", """SELECT v.candidate_id AS task_id, owner_id, v.candidate_id * 7919 % 100003 AS queued_at,
+        CASE WHEN v.candidate_id % 17 = 0 THEN ' ... ' ELSE replace(text, f.email, concat('g', CAST(v.candidate_id % 40 AS VARCHAR(10)), '@example.com')) END AS text
+        FROM fx_cv_varied v JOIN fx_cv_facts f ON f.candidate_id = v.candidate_id JOIN fx_candidates c ON c.candidate_id = v.candidate_id"""),
     "fx_job_text": ("fx_jobs slots skill_vocab", """SELECT j.job_id, concat(coalesce(j.seniority, ''), ' Engineer ', CAST(j.job_id AS VARCHAR(10)), chr(10), 'Requirements', chr(10),
         max(CASE WHEN k = 0 THEN skill END), ', ', max(CASE WHEN k = 1 THEN skill END), chr(10), chr(10), 'Nice to have: ', max(CASE WHEN k = 2 THEN skill END), chr(10),
         'Experience in ', max(CASE WHEN k = 3 THEN skill END), ' is a plus') AS text

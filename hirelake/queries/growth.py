@@ -13,6 +13,7 @@ from ..operators import reports as R
 from ..operators import vectors as V
 from ..registry import query
 from ..sources import tables as S
+from .profiles import TOLD
 
 OWN = "SELECT DISTINCT candidate_id, skill FROM fx_candidate_skills WHERE status <> 'no_experience'"
 PAIRS = f"""pairs AS (SELECT least(f.skill, o.skill) AS a, greatest(f.skill, o.skill) AS b, count(*) AS n FROM fx_feedback f
@@ -561,6 +562,31 @@ def k1_stream_ingest(fx: Fixtures) -> DataFrame:
     return stream_ingest(fx.spark, fx.fx_cv_text)
 
 
+@query(
+    "fx_cv_queue fx_cv_facts",
+    f"""WITH {TOLD}, done AS (SELECT task_id, owner_id, concat('g', CAST(task_id % 40 AS VARCHAR), '@example.com') AS email, queued_at FROM fx_cv_queue WHERE task_id % 17 <> 0),
+        newest AS (SELECT *, row_number() OVER (PARTITION BY owner_id, email ORDER BY queued_at DESC, task_id DESC) AS rn, count(*) OVER (PARTITION BY owner_id, email) AS version FROM done),
+        skills AS (SELECT candidate_id, string_agg(skill, ',' ORDER BY skill) FILTER (status <> 'no_experience') AS skills, count(*) AS evidence FROM every GROUP BY candidate_id)
+        SELECT 'candidate' AS part, newest.owner_id, newest.email, task_id, version, full_name, skills, evidence, true AS has_vector FROM newest JOIN fx_cv_facts f ON f.candidate_id = task_id JOIN skills s ON s.candidate_id = task_id WHERE rn = 1
+        UNION ALL SELECT 'failed', owner_id, NULL, task_id, NULL, NULL, NULL, NULL, false FROM fx_cv_queue WHERE task_id % 17 = 0""",
+)
+def k1_ingest(fx: Fixtures) -> DataFrame:
+    """Candidates, their evidence and vectors after the whole queue, and the tasks that failed."""
+    from ..sources.tables import shared_path
+    from ..streaming import ingest
+
+    source, store = shared_path(fx.spark, "queue"), shared_path(fx.spark, "store")
+    queue = fx.fx_cv_queue
+    queue.write.parquet(source)
+    ingest.start(fx.spark.readStream.schema(queue.schema).parquet(source), store, fx.skill_vocab.select("skill"), fx.alias_map, 2024).awaitTermination()
+    tables = {name: ingest.current(fx.spark, store, name) for name in ingest.SCHEMAS}
+    shown = tables["evidence"].groupBy("candidate_id").agg(F.count("*").alias("evidence"))
+    whole = tables["candidates"].join(shown, "candidate_id").join(tables["vectors"].select("candidate_id", F.exists("vector", lambda x: x != 0).alias("has_vector")), "candidate_id")
+    whole = whole.select(F.lit("candidate").alias("part"), "owner_id", "email", "task_id", "version", "full_name", F.array_join("skills", ",").alias("skills"), "evidence", "has_vector")
+    failed = tables["results"].where("status = 'failed'").select(F.lit("failed").alias("part"), "owner_id", "task_id", F.lit(False).alias("has_vector"))
+    return whole.unionByName(failed, allowMissingColumns=True)
+
+
 @query("fx_feedback", "SELECT skill, count(*) AS n FROM fx_feedback WHERE correct_match GROUP BY skill")
 def k7_stream_synonyms(fx: Fixtures) -> DataFrame:
     from ..streaming.tasks import stream_counts

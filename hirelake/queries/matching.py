@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -342,6 +344,49 @@ def e33_match_all(fx: Fixtures) -> DataFrame:
     return found.select(*M.PAIR, "final_score", "score_cap", "rank", "matched_required", "missing_required")
 
 
+#: The same with needs that differ from job to job, uncatalogued skills, what candidates' texts share with skills' definitions, and filtered candidates.
+UNCATALOGUED = "UNION SELECT n.job_id, u.candidate_id, n.skill, n.required, 5, 'uncatalogued', 0.40 FROM need n JOIN fx_uncatalogued u ON u.skill = n.skill"
+DEFINED = """told AS (SELECT candidate_id, list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9+#.-]{2,}')) AS w FROM fx_cv_text),
+    means AS (SELECT skill, list_distinct(regexp_extract_all(lower(definition), '[a-z][a-z0-9+#.-]{2,}')) AS w FROM fx_definitions),
+    known AS (SELECT skill, candidate_id FROM means m JOIN told t ON least(1.0, 2.0 * len(list_intersect(t.w, m.w)) / len(m.w)) > 0.75),
+    found AS (SELECT * FROM matches UNION ALL SELECT n.job_id, k.candidate_id, n.skill, n.required, 'knowledge', CAST(0.60 AS DOUBLE) FROM need n JOIN known k ON k.skill = n.skill
+        WHERE n.required AND NOT EXISTS (SELECT 1 FROM matches m WHERE m.job_id = n.job_id AND m.candidate_id = k.candidate_id AND m.skill = n.skill)
+            AND NOT EXISTS (SELECT 1 FROM denied d WHERE d.candidate_id = k.candidate_id AND d.skill = n.skill))"""
+
+
+def _whole(sql: str) -> str:
+    """The SQL of the plan with the further tiers, over the distinct needs and the chosen candidates."""
+    sql = sql.replace("fx_job_skills", "fx_job_needs").replace("UNION SELECT n.job_id, h.candidate_id, n.skill, n.required, 6", f"{UNCATALOGUED} UNION SELECT n.job_id, h.candidate_id, n.skill, n.required, 6")
+    head, tail = sql.split(", cov AS (", 1)
+    return f"{head}, {DEFINED}, cov AS ({tail.replace('FROM matches m', 'FROM found m', 1)}".replace("CROSS JOIN fx_candidates c", "CROSS JOIN chosen c").replace("LEFT JOIN matches m", "LEFT JOIN found m")
+
+
+CHOSEN = "chosen AS (SELECT * FROM fx_candidates WHERE (contains(lower(full_name), '1') OR contains(lower(email), '1')) AND years >= 1 AND years <= 18 AND candidate_id IN (SELECT candidate_id FROM fx_candidate_skills WHERE status <> 'no_experience' GROUP BY candidate_id HAVING count(DISTINCT skill) >= 3))"
+
+
+@query(
+    f"{SCORE_VIEWS} fx_semantic fx_job_needs fx_uncatalogued fx_definitions fx_cv_text",
+    _whole(f"""WITH {CHOSEN}, {COVERAGE}, {EVERY}, {scored_sql(M.WEIGHTS, 'every', CREDITED, 'v.semantic')},
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, candidate_id) AS rank FROM scored) WHERE rank <= 10)
+        SELECT t.job_id, t.candidate_id, t.final_score, t.score_cap, t.rank, coalesce(string_agg(m.skill, ',' ORDER BY n.skill), '') AS matched_required,
+            coalesce(string_agg(CASE WHEN m.skill IS NULL THEN n.skill END, ',' ORDER BY n.skill), '') AS missing_required
+        FROM top t LEFT JOIN need n ON n.job_id = t.job_id AND n.required LEFT JOIN matches m ON m.job_id = t.job_id AND m.candidate_id = t.candidate_id AND m.skill = n.skill
+        GROUP BY t.job_id, t.candidate_id, t.final_score, t.score_cap, t.rank"""),
+)
+def e33_distinct_needs(fx: Fixtures) -> DataFrame:
+    """The best ten of the chosen candidates for jobs whose needs all differ, by all tiers."""
+    from ..operators.vectors import knowledge_skills
+
+    text = fx.fx_cv_text
+    projects = settled(X.project_skills(text, fx.skill_vocab.select("skill"), fx.alias_map), "projects")
+    credits = text.select("candidate_id", X.year_credit(F.col("text")).alias("credit"))
+    chosen = M.filter_candidates(fx.fx_candidates, fx.fx_candidate_skills, "1", 1, 18, 3)
+    known = settled(knowledge_skills(fx.fx_definitions, text), "knowledge")
+    evidence = replace(_evidence(fx), uncatalogued=fx.fx_uncatalogued, knowledge=known)
+    found = P.match_all(fx.fx_jobs, chosen, fx.fx_job_needs, evidence, fx.bands, 10, fx.fx_semantic, projects, credits)
+    return found.select(*M.PAIR, "final_score", "score_cap", "rank", "matched_required", "missing_required")
+
+
 @query(
     f"{SCORE_VIEWS} fx_matches_old",
     f"""WITH {RANKED}, new AS (SELECT job_id, candidate_id, final_score AS score FROM ranked WHERE rank <= 10)
