@@ -18,16 +18,39 @@ SESSION_BANDS = ((0.8, "excellent"), (0.6, "good"), (0.4, "average"))
 LEVELS = {"junior": 0, "mid": 1, "senior": 2}
 CV_SHARE, INTERVIEW_SHARE = 0.65, 0.35
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
-INJECTION = r"(?i)ignore (?:all |the )?(?:previous|above) instructions|system prompt|you are now|give (?:me )?(?:a )?(?:full|perfect) score"
+#: Fixed value: what an answer says to its evaluator.
+INJECTION = (
+    r"(?i)(?:ignore\s+(?:all\s+)?(?:previous|above|prior|system|developer)?\s*instructions|give\s+me\s+(?:100|100/100|full\s+marks?|a\s+perfect\s+score|score\s+1)|"
+    r"reveal\s+(?:the\s+)?(?:system|developer)\s+prompt|jailbreak|act\s+as\s+system)"
+)
+INJECTED = "Prompt injection attempt ignored"
+MOST_WEAKNESSES = 6
 
 
-def answer_score(answer: Column, skill: Column) -> Column:
-    """0.1 for very short answers; else length, skill words, technical words and a base of 0.1, at most 1."""
+def _answer_parts(answer: Column, skill: Column) -> tuple[Column, Column, Column, Column]:
+    """Whether an answer is too short, and its shares for length, skill words and technical words."""
     low = F.lower(answer)
     keys = F.size(F.filter(F.array_distinct(F.split(F.lower(F.trim(skill)), "\\s+")), lambda w: low.contains(w)))
     terms = F.size(F.filter(F.array(*[F.lit(t) for t in TECH_TERMS]), lambda t: low.contains(t)))
-    score = F.least(F.lit(0.3), word_count(low) / 100 * 0.3) + F.least(F.lit(0.4), keys * 0.2) + F.least(F.lit(0.3), terms * 0.05) + 0.1
-    return F.when(answer.isNull() | (F.length(F.trim(answer)) < 10), 0.1).otherwise(round4(F.least(F.lit(1.0), score)))
+    short = answer.isNull() | (F.length(F.trim(answer)) < 10)
+    return short, F.least(F.lit(0.3), word_count(low) / 100 * 0.3), F.least(F.lit(0.4), keys * 0.2), F.least(F.lit(0.3), terms * 0.05)
+
+
+def answer_score(answer: Column, skill: Column) -> Column:
+    """0.1 for very short answers; else length, skill words, technical words and a base of 0.1, at most 1."""
+    short, length, keys, terms = _answer_parts(answer, skill)
+    return F.when(short, 0.1).otherwise(round4(F.least(F.lit(1.0), length + keys + terms + 0.1)))
+
+
+def assess_answers(answers: DataFrame) -> DataFrame:
+    """answers (session_id, turn, skill, answer) with score, band, technical_accuracy, completeness, clarity, strengths and weaknesses."""
+    short, length, keys, _ = _answer_parts(F.col("answer"), F.col("skill"))
+    part = lambda c, low: F.when(short, low).otherwise(round4(F.least(F.lit(1.0), c)))
+    none = F.array().cast("array<string>")
+    rows = score_answers(answers).withColumns({"technical_accuracy": part(keys + 0.2, 0.1), "completeness": part(length + 0.3, 0.1), "clarity": F.when(short, 0.3).otherwise(0.6)})
+    strengths = F.when(~short & (F.col("score") >= 0.5), F.array(F.lit("Good effort"))).otherwise(none)
+    weaknesses = F.when(short, F.array(F.lit("Answer too short"))).when(F.col("score") < 0.7, F.array(F.lit("Needs more detail"))).otherwise(none)
+    return rows.withColumns({"strengths": strengths, "weaknesses": weaknesses})
 
 
 def band(score: Column) -> Column:
@@ -43,9 +66,15 @@ def score_answers(answers: DataFrame) -> DataFrame:
 
 
 def cap_injected(evals: DataFrame) -> DataFrame:
-    """evals with flagged; a flagged answer's score is at most 0.2."""
+    """evals with flagged: whether the answer talks to its evaluator. Such an answer's score, accuracy and completeness are at most 0.2, its
+    clarity 0.5, as far as these columns are there, and its weaknesses tell why."""
     flagged = F.coalesce(F.col("answer").rlike(INJECTION), F.lit(False))
-    return evals.withColumn("flagged", flagged).withColumn("score", F.when(flagged, F.least("score", F.lit(0.2))).otherwise(F.col("score")))
+    limits = {c: n for c, n in (("score", 0.2), ("technical_accuracy", 0.2), ("completeness", 0.2), ("clarity", 0.5)) if c in evals.columns}
+    out = {"flagged": flagged} | {c: F.when(flagged, F.least(c, F.lit(n))).otherwise(F.col(c)) for c, n in limits.items()}
+    if "weaknesses" in evals.columns:
+        told = F.slice(F.when(F.array_contains("weaknesses", INJECTED), F.col("weaknesses")).otherwise(F.concat("weaknesses", F.array(F.lit(INJECTED)))), 1, MOST_WEAKNESSES)
+        out["weaknesses"] = F.when(flagged, told).otherwise(F.col("weaknesses"))
+    return evals.withColumns(out)
 
 
 def check_answer_order(events: DataFrame, n_questions: int) -> DataFrame:
