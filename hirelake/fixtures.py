@@ -79,6 +79,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         JOIN skill_vocab ON skill_id = CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 40 WHERE event_type IN ('purchase', 'click')"""),
     "fx_answers": ("skill_vocab", """SELECT conv_id AS session_id, turn, conv_id % 10 AS job_id, conv_id AS candidate_id, skill, text AS answer
         FROM conversations JOIN skill_vocab ON skill_id = (conv_id + turn) % 40 WHERE role = 'user'"""),
+    "fx_turns": ("fx_answers", """SELECT session_id, turn, CAST(1700000000 + session_id * 60 + turn * 20 AS BIGINT) AS second, 1 + CAST(floor(turn / 2) AS BIGINT) + CASE WHEN session_id % 5 = 0 AND turn = 2 THEN 1 ELSE 0 END AS question_pos, skill, answer FROM fx_answers"""),
     "fx_tasks": ("", """SELECT event_id AS task_id, user_id AS owner_id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed'
         ELSE 'queued' END AS status FROM events"""),
     "fx_embeddings": ("", """SELECT CASE WHEN vec_id % 10 = 0 THEN 'job' ELSE 'candidate' END AS entity_type, vec_id AS entity_id,

@@ -570,6 +570,70 @@ def k5_admit(fx: Fixtures) -> DataFrame:
     return admit(fx.fx_tasks.select("task_id", "owner_id", "ts"), "owner_id", "ts", "task_id", 5, 3600)
 
 
+@query(
+    "fx_tasks",
+    """WITH lists AS (SELECT owner_id, list({'us': epoch_us(ts), 'id': task_id} ORDER BY ts, task_id) AS events FROM fx_tasks GROUP BY owner_id),
+        kept AS (SELECT owner_id, events, list_reduce(events, lambda acc, e: CASE WHEN len(list_filter(acc, lambda a: e[1].us - a.us < 3600000000)) < 2 THEN list_concat(acc, e) ELSE acc END) AS accepted
+            FROM (SELECT owner_id, list_transform(events, lambda e: [e]) AS events FROM lists))
+        SELECT owner_id, task_id, list_contains(list_transform(accepted, lambda a: a.id), task_id) AS accepted FROM fx_tasks JOIN kept USING (owner_id)""",
+)
+def k5_stream_admit(fx: Fixtures) -> DataFrame:
+    """Admission as events arrive in three parts, some of them late by up to an hour."""
+    from ..streaming import state
+
+    events = fx.fx_tasks.select("task_id", "owner_id", F.col("ts").cast("timestamp").alias("ts"))
+    came = F.unix_timestamp("ts") + F.col("task_id") % 7 * 600
+    start, end = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+    parts = [events.where(F.least(F.floor((came - start) * 3 / (end - start + 1)), F.lit(2)) == i) for i in range(3)]
+    # an event of nobody long after the last one moves the watermark past all others
+    parts.append(fx.spark.createDataFrame([(-1, -1)], "task_id long, owner_id long").withColumn("ts", F.timestamp_seconds(F.lit(end + 864_000))))
+    found = state.arrived(fx.spark, parts, lambda s: state.admitted(s, "owner_id", "ts", "task_id", 2, 3600, "2 hours"), "append")
+    return found.where("task_id >= 0").select("owner_id", "task_id", "accepted")
+
+
+@query("fx_tasks", "SELECT task_id, status, ts > (SELECT max(ts) FROM fx_tasks WHERE status <> 'queued') - INTERVAL 1 HOUR AS live FROM fx_tasks WHERE status <> 'queued'")
+def k3_stream_expiry(fx: Fixtures) -> DataFrame:
+    """Results as they come and expire, an hour after their time."""
+    from ..streaming import state
+
+    results = fx.fx_tasks.where("status <> 'queued'").select("task_id", F.col("ts").cast("timestamp").alias("ts"), "status")
+    half = results.agg(F.avg(F.unix_timestamp("ts"))).first()[0]
+    parts = [results.where(F.unix_timestamp("ts") <= half), results.where(F.unix_timestamp("ts") > half)]
+    return state.latest(state.arrived(fx.spark, parts, lambda s: state.expiring(s, "task_id", "ts", 3600), "update"), "task_id").select("task_id", "status", "live")
+
+
+@query(
+    "fx_turns",
+    f"""WITH {SCORED.replace("FROM fx_answers", "FROM (SELECT *, 0 AS job_id, 0 AS candidate_id FROM fx_turns)")},
+        lists AS (SELECT session_id, count(*) AS n, max(second) AS last, list_reduce(list_prepend(CAST(0 AS HUGEINT), list(question_pos + 10 * CAST(pow(2, turn) AS HUGEINT) ORDER BY turn)),
+            lambda acc, e: CASE WHEN e % 10 = acc % 10 + 1 AND acc % 10 < 3 THEN acc + 1 + e - e % 10 ELSE acc END) AS acc FROM fx_turns GROUP BY session_id),
+        told AS (SELECT session_id, CAST(acc % 10 AS BIGINT) AS accepted, CAST(n - acc % 10 AS BIGINT) AS rejected, acc // 10 AS mask, CASE WHEN acc % 10 >= 3 THEN 'completed' WHEN last + 600 < (SELECT max(second) FROM fx_turns) - 60 THEN 'closed' WHEN acc % 10 > 0 THEN 'in_progress' ELSE 'pending' END AS status FROM lists),
+        marks AS (SELECT t.session_id, s.skill, score FROM told t JOIN scored s ON s.session_id = t.session_id AND (mask // CAST(pow(2, s.turn) AS HUGEINT)) % 2 = 1 WHERE status IN ('completed', 'closed')),
+        means AS (SELECT session_id, round(CAST(avg(CAST(score AS DECIMAL(10,4))) AS DOUBLE) + 1e-9, 4) AS overall_score FROM marks GROUP BY session_id)
+        SELECT t.session_id, accepted, rejected, status, overall_score FROM told t LEFT JOIN means USING (session_id)""",
+)
+def k6_stream_sessions(fx: Fixtures) -> DataFrame:
+    """Interviews as their answers come, in three parts by time: order, scores, status and the evaluation of those that are over."""
+    from ..streaming import state
+
+    turns = fx.fx_turns.withColumn("ts", F.timestamp_seconds("second"))
+    first, last = turns.agg(F.min("second"), F.max("second")).first()
+    part = F.floor((F.col("second") - first) * 3 / (last - first + 1))
+    parts = [turns.where(part == i).select("session_id", "turn", "ts", "question_pos", "skill", "answer") for i in range(3)]
+    told = state.latest(state.arrived(fx.spark, parts, lambda s: state.sessions(s, 3, 600, "1 minute"), "update"), "session_id")
+    return state.evaluated(told).select("session_id", "accepted", "rejected", "status", "overall_score")
+
+
+@query("fx_feedback fx_candidate_skills", f"WITH {PAIRS} SELECT a, b, n, n >= 3 AS learned FROM pairs")
+def k7_stream_pairs(fx: Fixtures) -> DataFrame:
+    """Learned synonyms as feedback comes in three parts."""
+    from ..streaming import state
+
+    told = fx.fx_feedback.select("feedback_id", "candidate_id", "skill", "correct_match")
+    parts = [told.where(F.col("feedback_id") % 3 == i).drop("feedback_id") for i in range(3)]
+    return state.promoted(state.arrived(fx.spark, parts, lambda s: state.pair_counts(s, fx.fx_candidate_skills), "update"))
+
+
 @query()
 def k1_stream_ingest(fx: Fixtures) -> DataFrame:
     from ..streaming.tasks import stream_ingest
