@@ -7,10 +7,13 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import in_order, norm_text
+from ..functions.fuzzy import Names
+from ..functions.scalar import norm_text
+from ..sources.tables import settled
 
 #: Characters around a mention that are looked at, and the most mentions of a skill in a text that isn't stuffed with it.
 AROUND = 80
@@ -18,6 +21,7 @@ MOST_MENTIONS = 10
 #: First words of names that go to the tasks at most, and texts that become one Arrow batch of mentions.
 MOST_HEADS = 100_000
 TEXTS_AT_ONCE = 256
+NAMES_AT_ONCE = 20_000
 TOKEN = re.compile(r"[a-z0-9+#.]+")
 GAP, BEFORE, AFTER = re.compile(r"[\s/-]+"), re.compile(r"[\w+#./-]"), re.compile(r"[\w+#/-]|\.\w")
 
@@ -123,6 +127,32 @@ def spans(docs: DataFrame, known: DataFrame, phrases: dict[str, str], key: str |
     return docs.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema).join(named, "gram").select(*keys, "skill", "start", "end", *phrases)
 
 
+def partial_skills(docs: DataFrame, catalog: DataFrame, least: float = 0.9, key: str = "candidate_id", text: str = "text") -> DataFrame:
+    """(key, skill): skills of two words and more of which some stretch of the normalised text has the ratio `least`.
+
+    Names go to the tasks NAMES_AT_ONCE at a time, with one pass over the texts for each part; a text is compared only around unbroken
+    pieces of a name, one of which every such stretch holds.
+    """
+    many = catalog.select(norm_text("skill").alias("name"), "skill").where("name LIKE '% %'").distinct()
+    parts = -(-many.count() // NAMES_AT_ONCE)
+    rows = docs.select(key, norm_text(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    found = docs.sparkSession.createDataFrame([], f"`{key}` {kind}, name string")
+    for i in range(parts):
+        some = [r["name"] for r in many.select("name").distinct().where(F.pmod(F.xxhash64("name"), F.lit(parts)) == i).collect()]
+        shared = docs.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            held = Names(shared.value, least)
+            for b in batches:
+                hits = [(row, n) for row, t in enumerate(b.column(1).to_pylist()) for n in sorted(held.found(t))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], pa.string())], names=[key, "name"])
+
+        part = rows.mapInArrow(run, f"`{key}` {kind}, name string")
+        found = found.unionByName(part if parts == 1 else settled(part, "partial"))
+    return found.join(many, "name").select(key, "skill").distinct()
+
+
 def mentions(docs: DataFrame, catalog: DataFrame, aliases: DataFrame, phrases: str, positive: bool, key: str = "candidate_id") -> DataFrame:
     """(key, skill) where some mention has no phrase around it (positive), or has one."""
     found = spans(docs, names(catalog, aliases), {"near": phrases}, key)

@@ -77,6 +77,15 @@ def b8_extract_fuzzy(fx: Fixtures) -> DataFrame:
     return T.normalize_fuzzy(short, many.select(F.col("skill").alias("label"), F.col("skill").alias("uri")), 90)
 
 
+@query()
+def b8_partial_skills(fx: Fixtures) -> DataFrame:
+    """Skills of two words and more in CVs that misspell them."""
+    text = F.col("text")
+    for right, wrong in (("machine learning", "machne lerning"), ("spring boot", "sprng boot"), ("rest api", "rest aqi"), ("deep learning", "deep-lrning"), ("data analysis", "dataanalysis")):
+        text = F.regexp_replace(text, right, wrong)
+    return X.partial_skills(fx.fx_cv_text.select("candidate_id", text.alias("text")), fx.skill_vocab.select("skill"))
+
+
 @query("fx_cv_text", "SELECT candidate_id, 'example.com' AS skill FROM fx_cv_text")
 def b9_uncatalogued(fx: Fixtures) -> DataFrame:
     known = fx.skill_vocab.select("skill")
@@ -436,6 +445,26 @@ def c6_search_taxonomy(fx: Fixtures) -> DataFrame:
     return T.search_taxonomy(fx.fx_candidate_skills.select(F.expr("substring(skill, 1, 3)").alias("query")).distinct(), _index(fx), 5)
 
 
+@query()
+def c6_fuzzy_search(fx: Fixtures) -> DataFrame:
+    """The five labels nearest to each brand and to each skill with a letter missing, of the devops category or none."""
+    labels = fx.skill_vocab.select(F.col("skill").alias("label"), "category").unionByName(fx.alias_map.select(F.col("alias").alias("label"), F.lit(None).cast("string").alias("category")))
+    names = fx.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("query")).unionByName(fx.fx_candidate_skills.select(F.concat(F.expr("substring(skill, 1, 2)"), F.expr("substring(skill, 4)")).alias("query")))
+    return T.search_fuzzy(names.distinct(), labels, 5, "DevOps")
+
+
+@query()
+def c7_similarity_cascade(fx: Fixtures) -> DataFrame:
+    """Similarity of the skills of each candidate, some misspelled and some unknown, through all tiers."""
+    name = F.when(F.length("skill") % 3 == 0, F.concat(F.expr("substring(skill, 1, 3)"), F.expr("substring(skill, 5)"))).when(F.length("skill") % 5 == 0, F.concat("skill", F.lit(" of old"))).otherwise(F.col("skill"))
+    s = fx.fx_candidate_skills.select("candidate_id", name.alias("skill")).distinct()
+    pairs = s.select("candidate_id", F.col("skill").alias("a")).join(s.select("candidate_id", F.col("skill").alias("b")), "candidate_id").where("b > a").select("a", "b").distinct()
+    nodes = T.load_taxonomy(_nodes(fx))[0]
+    uri = lambda c: F.concat(F.lit("uri:"), c).alias(c)
+    edges = _edges(fx).select(uri("skill"), uri("related"), "relation")
+    return T.similarity_cascade(pairs, _index(fx), nodes, edges, nodes.select("uri", F.col("category").alias("cluster")))
+
+
 @query()
 def c7_skill_similarity(fx: Fixtures) -> DataFrame:
     s = fx.fx_candidate_skills.select("candidate_id", "skill")

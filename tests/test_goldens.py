@@ -1,5 +1,6 @@
 """Known numbers of the scoring model on small inline tables."""
 
+import random
 import uuid
 
 import pytest
@@ -226,3 +227,73 @@ def test_phrases_within_eighty_characters(spark):
     assert evidence[0] == (False, True) and evidence[1] == (True, False)
     stuffed = spark.createDataFrame([(1, "java " * 11 + " ".join(f"w{i}" for i in range(40))), (2, "java " * 10 + " ".join(f"w{i}" for i in range(40))), (3, "java java java java")], "candidate_id long, text string")
     assert [r["candidate_id"] for r in X.unstuffed_mentions(stuffed, *named_skills(spark), M.NON_EVIDENCE).collect()] == [2]
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_partial(a, b):
+    a, b = sorted((a, b), key=len)
+    windows_ = [b[i : i + len(a)] for i in range(len(b))] + [b[:j] for j in range(1, min(len(a), len(b)) + 1)]
+    return max((2 * plain_lcs(a, w) / (len(a) + len(w)) for w in windows_), default=0.0)
+
+
+def test_partial_skills_equal_all_windows(spark):
+    rng = random.Random(2)
+    names = ["machine learning", "spring boot", "rest api", "a b c", "design of very large systems", "go"]
+    texts = []
+    for _ in range(300):
+        t = list(" ".join(rng.choices(["lorem", "api", "boot", *names], k=rng.randrange(1, 6))))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "y ", "b"])
+        texts.append("".join(t))
+    frame = spark.createDataFrame([*enumerate(texts), (300, None), (301, "")], "candidate_id long, text string")
+    found = {tuple(r) for r in X.partial_skills(frame, spark.createDataFrame([(n,) for n in names], "skill string")).collect()}
+    clean = [" ".join(t.split()) for t in texts]
+    assert found == {(i, n) for i, t in enumerate(clean) for n in names if " " in n and t and plain_partial(n, t) >= 0.9 - 1e-12} and len(found) > 100
+
+
+def test_fuzzy_search_equals_all_pairs(spark):
+    rng = random.Random(4)
+    labels = sorted({"".join(rng.choices("abcde ", k=rng.randrange(2, 12))).strip() for _ in range(120)} - {""})
+    queries = sorted({"".join(rng.choices("abcde ", k=rng.randrange(1, 9))).strip() for _ in range(40)} - {""})
+    kinds = {label: rng.choice(["X", "y", None]) for label in labels}
+    found = T.search_fuzzy(spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame(list(kinds.items()), "label string, category string").repartition(3), 4, "x")
+    expected = set()
+    for q in queries:
+        scores = []
+        for label in (x for x in labels if kinds[x] != "y"):
+            near = plain_partial(q, label)
+            scores.append((1.0 if q == label else len(q) / len(label) if q in label else 0.8 * near if near >= 0.7 - 1e-12 else 0.0, label))
+        best = sorted((x for x in scores if x[0]), key=lambda x: (-round(x[0], 9), x[1]))[:4]
+        expected |= {(q, label, round(score, 9), i + 1) for i, (score, label) in enumerate(best)}
+    assert {(r["query"], r["label"], round(r["score"], 9), r["rank"]) for r in found.collect()} == expected
+
+
+def test_nearest_labels_equal_all_pairs(spark):
+    rng = random.Random(6)
+    labels = sorted({"".join(rng.choices("abcdef", k=rng.randrange(4, 14))) for _ in range(150)})
+    names = sorted({"".join(c for c in label if rng.random() > 0.12) + rng.choice(["", "a"]) for label in labels})
+    found = {r["skill"]: r["uri"] for r in T.normalize_fuzzy(spark.createDataFrame([(n,) for n in names], "skill string"), spark.createDataFrame([(x, "u:" + x) for x in labels], "label string, uri string")).collect()}
+    expected = {}
+    for n in names:
+        best = min((-2 * plain_lcs(n, x) / (len(n) + len(x)), x) for x in labels)
+        if best[0] <= -0.85:
+            expected[n] = "u:" + best[1]
+    assert found == expected and len(expected) > 30
+
+
+def test_similarity_cascade(spark):
+    index = spark.createDataFrame([("kubernetes", "u:k"), ("k8s", "u:k"), ("docker", "u:d"), ("helm", "u:h"), ("excel", "u:e")], "label string, uri string")
+    nodes = spark.createDataFrame([("u:k", "Kubernetes"), ("u:d", "Docker"), ("u:h", "Helm"), ("u:e", "Excel")], "uri string, preferred string")
+    edges = spark.createDataFrame([("u:k", "u:d", "related")], "skill string, related string, relation string")
+    clusters = spark.createDataFrame([("u:k", "ops"), ("u:d", "ops"), ("u:h", "ops")], "uri string, cluster string")
+    cases = [("Docker", "docker ", 1.0), ("qqq", "qqw", round(2 / 3, 4)), ("kubernets", "zzz", 0.0), ("k8s", "kubernetes", 1.0), ("kubernets", "docker", 0.60), ("helm", "docker", 0.5), ("excel", "helm", round(0.3 * 4 / 9, 4))]
+    pairs = spark.createDataFrame([(a, b) for a, b, _ in cases] + [(None, "x"), ("", "x")], "a string, b string")
+    assert {(r["a"], r["b"]): r["similarity"] for r in T.similarity_cascade(pairs, index, nodes, edges, clusters).collect()} == {(a, b): s for a, b, s in cases}
