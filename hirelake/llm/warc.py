@@ -71,7 +71,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = REVISIT_BYTES
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """What stands between the magics of each file, with its place: the file, the split, the row in it."""
     read = spark.read.option("lineSep", MAGIC).text(path)
-    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.octet_length("value").cast("long").alias("len"), "value")
+    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.octet_length("value").cast("long").alias("len"), F.xxhash64("value").alias("hash"), "value")
 
 
 def _field(head: Column, name: str, pattern: str) -> Column:
@@ -109,17 +109,20 @@ def _length(value: Column) -> Column:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, next, whole, split, row, len, fields): each candidate record, its offset and its successor's."""
+    """(file, at, next, whole, split, row, len, hash, fields): each candidate record, its offset and its successor's."""
     pieces = _pieces(spark, path)
     told = _length(F.col("value"))
     whole = F.coalesce(told == F.col("len"), F.lit(False))
     fields = F.when(whole, F.struct(*_parsed(F.col("value"))))
-    narrow = pieces.select("file", "split", "row", "len", told.alias("told"), whole.alias("whole"), fields.alias("fields"))
+    narrow = pieces.select("file", "split", "row", "len", "hash", told.alias("told"), whole.alias("whole"), fields.alias("fields"))
+    placed = _placed(narrow).withColumn("next", F.col("at") + len(MAGIC) + F.col("told"))
+    return through_disk(placed.where("at >= 0").select("file", "at", "next", "whole", "split", "row", "len", "hash", "fields"), "candidates")
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """Pieces with `at`, the offset in the file of the magic before them."""
     before = Window.partitionBy("file").orderBy("split", "row").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("len") + len(MAGIC)).over(before), F.lit(0))
-    placed = narrow.withColumn("body", start)
-    at = F.col("body") - len(MAGIC)
-    return through_disk(placed.where("body > 0").select("file", at.alias("at"), (F.col("body") + F.col("told")).alias("next"), "whole", "split", "row", "len", "fields"), "candidates")
+    return pieces.withColumn("at", F.coalesce(F.sum(F.col("len") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC))
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -154,12 +157,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = records.where("whole").select("fields.*").select(names)
     # of a record cut by magic: all candidates up to its successor are its pieces
     cut = saved(records.where("NOT whole").select("file", F.col("at").alias("begin"), F.col("next").alias("end")))
-    spans = found.select("file", "at", "split", "row")
+    place = ["file", "split", "row", "hash"]
     begin = Window.partitionBy("file").orderBy("at", "begin").rowsBetween(Window.unboundedPreceding, 0)
-    marked = spans.join(cut.select("file", F.col("begin").alias("at"), "begin", "end"), ["file", "at"], "left")
-    inside = marked.withColumn("b", F.last("begin", True).over(begin)).withColumn("e", F.last("end", True).over(begin)).where("at < e").select("file", "split", "row", "at", F.col("b").alias("begin"))
+    marked = found.select("at", *place).join(cut.select("file", F.col("begin").alias("at"), "begin", "end"), ["file", "at"], "left")
+    inside = marked.withColumn("b", F.last("begin", True).over(begin)).withColumn("e", F.last("end", True).over(begin)).where("at < e").select(*place, "at", F.col("b").alias("begin"))
     needed = through_disk(inside, "pieces")
-    parts = _pieces(spark, path).join(needed, ["file", "split", "row"])
+    parts = through_disk(_pieces(spark, path).join(needed, place).select("file", "begin", "at", "value"), "parts")
+    if parts.count() < needed.count():
+        # the files were split otherwise than in the first read, as when executors are lost: pieces are found by their offsets
+        parts = _placed(_pieces(spark, path)).join(needed.select("file", "at", "begin"), ["file", "at"]).select("file", "begin", "at", "value")
     put = parts.groupBy("file", "begin").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("p"))
     joined = put.select(F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
     again = joined.select(*_parsed(F.col("value"))).select(names)

@@ -379,6 +379,23 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_is_whole_where_files_are_split_otherwise_in_the_second_read(spark, monkeypatch):
+    rows = [(i, "u", f"{i} " + (warc.MAGIC + "x" * 40) * (i % 4)) for i in range(40)]
+    before, first = spark.conf.get("spark.sql.files.maxPartitionBytes"), warc.reachable
+
+    def other(found):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        return first(found)
+
+    monkeypatch.setattr(warc, "reachable", other)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        found = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r["page_id"], r["payload_digest"]) for r in found} == {(i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows} and len(found) == len(rows)
+
+
 def test_fake_chains_are_not_reached(spark):
     found = spark.createDataFrame([("f", 0, 100), ("f", 40, 60), ("f", 60, 250), ("f", 100, 200), ("f", 200, None), ("g", 10, 20)], "file string, at long, next long").withColumn("whole", F.lit(True))
     assert sorted(r["at"] for r in warc.reachable(found).collect()) == [0, 100, 200]
