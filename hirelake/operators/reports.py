@@ -23,6 +23,25 @@ def write_reports(current: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFr
     return kept.unionByName(stamped), stamped
 
 
+def record_reports(reports: DataFrame, history: DataFrame, audit: DataFrame, new: DataFrame, batch: str, actor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reports (keys, overall, ..., version, batch), history (the same) and audit rows after a batch of new reports by an actor.
+
+    A report of the batch that the history already holds is not written again, so that a batch which is repeated, as after an interruption
+    between two of the tables, completes what is lacking and changes nothing else.
+    """
+    done = history.where(F.col("batch") == batch).select(*KEYS, F.col("version").alias("done"))
+    last = history.where(~F.col("batch").eqNullSafe(F.lit(batch))).groupBy(*KEYS).agg(F.max("version").alias("last"))
+    before = reports.where(~F.col("batch").eqNullSafe(F.lit(batch))).select(*KEYS, F.col("version").alias("old"))
+    # a report from before there was a history has its version from the table
+    stamped = new.join(done, KEYS, "left").join(last, KEYS, "left").join(before, KEYS, "left")
+    version = F.coalesce("done", F.greatest(F.coalesce("last", F.lit(0)), F.coalesce("old", F.lit(0))) + 1).cast("int")
+    stamped = stamped.withColumns({"version": version, "batch": F.lit(batch)}).drop("done", "last", "old")
+    table = reports.join(stamped.select(*KEYS), KEYS, "left_anti").unionByName(stamped, allowMissingColumns=True)
+    added = stamped.join(done, KEYS, "left_anti")
+    logged = stamped.select(F.lit("report").alias("entity_type"), F.concat_ws(":", *KEYS).alias("entity_id"), F.lit("report.generated").alias("action"), F.lit(actor).cast("long").alias("actor_user_id"), "version")
+    return table, history.unionByName(added, allowMissingColumns=True), audit.unionByName(logged.join(audit, ["entity_type", "entity_id", "action", "version"], "left_anti"))
+
+
 def dashboard(interviews: DataFrame, reports: DataFrame, matches: DataFrame) -> DataFrame:
     """(job_id, candidate_id, source, score): answered interviews, then reports not shown, then matches not shown."""
     first = interviews.select(*KEYS, F.lit("interview").alias("source"), F.col("overall_score").alias("score"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
 QUERY_BLOCK_BYTES = 16_000_000
 #: Scores that a task holds at once.
 SCORE_CELLS = 1 << 22
@@ -97,6 +99,110 @@ def knn(queries: DataFrame, vecs: DataFrame, k: int, block_bytes: int = QUERY_BL
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1)
+
+
+def cluster_vectors(vecs: DataFrame, n: int, sample: int = 8192, rounds: int = 5) -> tuple[DataFrame, np.ndarray]:
+    """vecs (entity_id, vector) of n clusters: (entity_id, vector, cluster, off), off the distance of the unit vector to its centre; and the centres.
+
+    Centres are fitted on `sample` rows at most; every row is put to the nearest one. Rows without a direction have cluster -1; those of
+    another width than most of the sample, null, or with components that are no numbers are left out.
+    """
+    usable = vecs.select(F.col("entity_id").cast("long").alias("entity_id"), F.col("vector").cast("array<double>").alias("vector"))
+    usable = usable.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    rows = usable.where(F.exists("vector", lambda x: x != 0)).orderBy(F.xxhash64("entity_id"), "entity_id").limit(sample).collect()
+    widths = [len(r["vector"]) for r in rows]
+    width = max(set(widths), key=widths.count, default=1)
+    x = _unit(np.array([r["vector"] for r in rows if len(r["vector"]) == width], np.float64).reshape(-1, width))
+    centres = x[:n]
+    for _ in range(rounds if len(x) else 0):
+        near = (x @ centres.T).argmax(axis=1)
+        centres = _unit(np.array([x[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)]))
+    shared = vecs.sparkSession.sparkContext.broadcast(centres)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres = shared.value
+        for f in frames:
+            f = f[[len(v) == centres.shape[1] for v in f["vector"]]]
+            if len(f):
+                raw = np.array(f["vector"].tolist(), np.float64)
+                u = _unit(raw)
+                near = (u @ centres.T).argmax(axis=1)
+                none = ~raw.any(axis=1)
+                off = np.linalg.norm(u - centres[near], axis=1)
+                yield pd.DataFrame({"entity_id": f["entity_id"], "vector": list(u), "cluster": np.where(none, -1, near), "off": np.where(none, 0, off)})
+
+    return settled(usable.mapInPandas(place, "entity_id long, vector array<double>, cluster int, off double"), "clusters"), centres
+
+
+CHUNK_ROWS, QUERY_ROWS = 1 << 16, 1 << 12
+
+
+def _scan(wanted: DataFrame, clustered: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
+    """(query_id, entity_id, similarity): the best k of each query in each chunk of each cluster that it wants (query_id, vector, cluster)."""
+    chunks = F.element_at(F.create_map(*[F.lit(v) for c, n in (sizes or {-1: 1}).items() for v in (c, -(-n // CHUNK_ROWS))]), F.col("cluster"))
+    mine = clustered.select("cluster", F.pmod(F.xxhash64("entity_id"), chunks).cast("int").alias("chunk"), "entity_id", "vector")
+    blocks = wanted.groupBy("cluster").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+    theirs = wanted.join(blocks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), "query_id", "vector")
+    mine = mine.join(blocks, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "entity_id": [], "similarity": []}).astype({"query_id": "int64", "entity_id": "int64"})
+        x, ids, out = np.array(v["vector"].tolist()), v["entity_id"].to_numpy(), []
+        step = max(1, SCORE_CELLS // len(ids))
+        for i in range(0, len(q), step):
+            some = q.iloc[i : i + step]
+            s = np.round(np.array(some["vector"].tolist()) @ x.T, 9)
+            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]), "entity_id": ids[order].ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()}))
+        return pd.concat(out)
+
+    by = ["cluster", "chunk", "block"]
+    return theirs.groupBy(by).cogroup(mine.groupBy(by)).applyInPandas(best, "query_id long, entity_id long, similarity double")
+
+
+def knn_pruned(queries: DataFrame, clustered: DataFrame, centres: np.ndarray, k: int) -> tuple[DataFrame, DataFrame]:
+    """As knn, of cluster_vectors' table: (query_id, entity_id, similarity, rank), and the clusters that were read (query_id, cluster).
+
+    The clusters nearest to a query that hold k vectors give a bound of its k-th distance; of the others only those are read whose centre less
+    whose radius is within it (triangle inequality), so nothing is lost. How much is left out depends on how well the vectors cluster:
+    nothing for vectors in all directions, most for topics that lie apart.
+    """
+    stats = clustered.groupBy("cluster").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect()
+    sizes, radius = {r["cluster"]: r["n"] for r in stats}, {r["cluster"]: r["radius"] for r in stats}
+    shared = queries.sparkSession.sparkContext.broadcast((centres, sizes, radius))
+
+    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, sizes, radius = shared.value
+        for f in frames:
+            out = []
+            for i, v in zip(f["query_id"], f["vector"]):
+                if v is None or len(v) != centres.shape[1] or not any(v):
+                    continue
+                u = _unit(np.array([v], np.float64))[0]
+                away = np.linalg.norm(centres - u, axis=1)
+                held = 0
+                for c in np.argsort(away).tolist():
+                    if c in sizes:
+                        out.append((i, u.tolist(), c, max(0.0, away[c] - radius[c]), held < k))
+                        held += sizes[c]
+                if -1 in sizes:  # of similarity 0, a distance of the square root of 2
+                    out.append((i, u.tolist(), -1, 2**0.5, held < k))
+            yield pd.DataFrame(out, columns=["query_id", "vector", "cluster", "least", "first"])
+
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    planned = settled(rows.mapInPandas(plan, "query_id long, vector array<double>, cluster int, least double, first boolean"), "planned")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entity_id")
+    near = settled(_scan(planned.where("first").select("query_id", "vector", "cluster"), clustered, sizes, k), "near")
+    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))).alias("bound"))
+    rest = settled(planned.where("NOT first").join(kth, "query_id", "left").where(F.coalesce(F.col("least") <= F.col("bound") + 1e-6, F.lit(True))).select("query_id", "vector", "cluster"), "rest")
+    found = near.unionByName(_scan(rest, clustered, sizes, k)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found, planned.where("first").select("query_id", "cluster").unionByName(rest.select("query_id", "cluster"))
+
+
 def embed_texts(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray] | None = None, dim: int = 64) -> DataFrame:
     """df with vector, a unit vector per text; by default seeded with the text's SHA-256, the zero vector below three letters or digits."""
 

@@ -320,6 +320,31 @@ def i7_write_reports(fx: Fixtures) -> DataFrame:
     return R.write_reports(fx.fx_reports_old, new)[0]
 
 
+@query(
+    "fx_reports_old fx_matches_old",
+    """WITH n AS (SELECT m.job_id, m.candidate_id, score AS overall, coalesce(version, 0) + 1 AS version FROM fx_matches_old m LEFT JOIN fx_reports_old r ON r.job_id = m.job_id AND r.candidate_id = m.candidate_id),
+        again AS (SELECT job_id, candidate_id, overall / 2 AS overall, version + 1 AS version FROM n WHERE candidate_id % 2 = 0)
+        SELECT 'report' AS part, job_id, candidate_id, overall, version FROM again UNION ALL SELECT 'report', job_id, candidate_id, overall, version FROM n WHERE candidate_id % 2 = 1
+        UNION ALL SELECT 'report', job_id, candidate_id, overall, version FROM fx_reports_old o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.job_id = o.job_id AND n.candidate_id = o.candidate_id)
+        UNION ALL SELECT 'history', job_id, candidate_id, overall, version FROM n UNION ALL SELECT 'history', job_id, candidate_id, overall, version FROM again
+        UNION ALL SELECT 'audit', job_id, candidate_id, NULL, version FROM n UNION ALL SELECT 'audit', job_id, candidate_id, NULL, version FROM again""",
+)
+def i7_recorded_reports(fx: Fixtures) -> DataFrame:
+    """Reports, history and audit rows of two batches, each of them written twice, the second time after its audit rows were lost."""
+    first = fx.fx_matches_old.select(*R.KEYS, F.col("score").alias("overall"))
+    second = first.where("candidate_id % 2 = 0").withColumn("overall", F.col("overall") / 2)
+    reports = fx.fx_reports_old.withColumn("batch", F.lit(None).cast("string"))
+    history = reports.limit(0)
+    audit = fx.spark.createDataFrame([], "entity_type string, entity_id string, action string, actor_user_id long, version int")
+    for batch, new in (("b1", first), ("b2", second)):
+        once = [S.settled(t, f"{batch}-{i}") for i, t in enumerate(R.record_reports(reports, history, audit, new, batch, 7))]
+        reports, history, audit = (S.settled(t, f"{batch}-again-{i}") for i, t in enumerate(R.record_reports(once[0], once[1], audit, new, batch, 7)))
+    ids = F.split("entity_id", ":")
+    logged = audit.select(F.lit("audit").alias("part"), ids[0].cast("long").alias("job_id"), ids[1].cast("long").alias("candidate_id"), F.lit(None).cast("double").alias("overall"), "version")
+    columns = [*R.KEYS, "overall", "version"]
+    return reports.select(F.lit("report").alias("part"), *columns).unionByName(history.select(F.lit("history").alias("part"), *columns)).unionByName(logged)
+
+
 @query("fx_matches_old", "SELECT job_id, candidate_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS place FROM fx_matches_old")
 def i8_compare_candidates(fx: Fixtures) -> DataFrame:
     return R.compare(fx.fx_matches_old.select(*R.KEYS, "score"), fx.fx_matches_old.select(*R.KEYS))
@@ -495,6 +520,45 @@ def d12_query_knowledge(fx: Fixtures) -> DataFrame:
     return found.withColumn("similarity", F.round(F.col("similarity") + 1e-8, 4))
 
 
+@query("fx_embeddings", f"WITH {KNN} SELECT query_id, entity_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 10")
+def d9_knn_pruned(fx: Fixtures) -> DataFrame:
+    """d9 by clusters, of which those too far away are left out."""
+    table, centres = V.cluster_vectors(_vectors(fx, "candidate"), 20)
+    found, _ = V.knn_pruned(_vectors(fx, "job").withColumnRenamed("entity_id", "query_id"), table, centres, 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+TOLD_BY = """told AS (SELECT doc_id, title, embedding FROM fx_knowledge JOIN embeddings ON vec_id = doc_id WHERE category = 'skill'),
+    r AS (SELECT entity_id AS query_id, doc_id, title, list_cosine_similarity(CAST(j.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS similarity FROM fx_embeddings j, told t WHERE entity_type = 'job')"""
+
+
+@query("fx_embeddings fx_knowledge", f"WITH {TOLD_BY} SELECT query_id, doc_id, title, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 3")
+def d12_knowledge_search(fx: Fixtures) -> DataFrame:
+    """The three knowledge texts of category `skill` nearest to each job."""
+    told = fx.fx_knowledge.where("category = 'skill'").join(fx.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    table, centres = V.cluster_vectors(told.select(F.col("doc_id").alias("entity_id"), F.col("embedding").alias("vector")), 20)
+    found, _ = V.knn_pruned(_vectors(fx, "job").withColumnRenamed("entity_id", "query_id"), table, centres, 3)
+    return found.join(told.select(F.col("doc_id").alias("entity_id"), "title"), "entity_id").select("query_id", F.col("entity_id").alias("doc_id"), "title", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(
+    "fx_embeddings fx_knowledge skill_vocab",
+    """WITH parts AS (SELECT tag AS skill, unnest(range(1, 65)) AS d, unnest(CAST(embedding AS DOUBLE[])) AS x FROM fx_knowledge JOIN embeddings ON vec_id = doc_id),
+        v AS (SELECT skill, list(round(m, 9) ORDER BY d) AS v FROM (SELECT skill, d, avg(x) AS m FROM parts GROUP BY skill, d) GROUP BY skill),
+        r AS (SELECT entity_id, skill, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS similarity FROM fx_embeddings, v WHERE entity_type = 'candidate')
+        SELECT entity_id, skill, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY similarity DESC, skill_id) AS rank FROM r JOIN skill_vocab USING (skill)) WHERE rank <= 5 AND similarity >= 0.2""",
+)
+def c8_tag_by_skill_vectors(fx: Fixtures) -> DataFrame:
+    """Each candidate's five nearest skills at a cosine of 0.2 or more; a skill's vector is the mean of those of its knowledge texts."""
+    told = fx.fx_knowledge.join(fx.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select(F.col("tag").alias("skill"), F.posexplode("embedding").alias("d", "x"))
+    mean = told.groupBy("skill", "d").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m")).groupBy("skill").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("v"))
+    skills = mean.join(fx.skill_vocab, "skill").select(F.col("skill_id").cast("long").alias("entity_id"), F.transform("v", lambda p: p["m"]).alias("vector"))
+    table, centres = V.cluster_vectors(skills, 4)
+    found, _ = V.knn_pruned(_vectors(fx, "candidate").withColumnRenamed("entity_id", "query_id"), table, centres, 5)
+    named = found.join(fx.skill_vocab.select(F.col("skill_id").cast("long").alias("entity_id"), "skill"), "entity_id").withColumn("similarity", F.round("similarity", 6))
+    return named.where("similarity >= 0.2").select(F.col("query_id").alias("entity_id"), "skill", "similarity", "rank")
+
+
 @query("fx_knowledge skill_vocab", "SELECT skill, min(doc_id) AS doc_id, 3 AS score FROM fx_knowledge k JOIN skill_vocab v ON v.skill = k.tag WHERE k.category = 'skill' GROUP BY skill")
 def d13_skill_definitions(fx: Fixtures) -> DataFrame:
     return V.skill_definitions(fx.skill_vocab, fx.fx_knowledge)

@@ -239,6 +239,13 @@ def e21_feedback_pairs(fx: Fixtures) -> DataFrame:
     return M.feedback_pairs(fx.fx_feedback)
 
 
+@query("fx_feedback fx_jobs", "SELECT DISTINCT f.job_id, candidate_id, skill FROM fx_feedback f JOIN fx_jobs j ON j.job_id = f.job_id WHERE correct_match AND (j.job_id % 3 = 0 OR f.feedback_id % 4 = 0 OR f.owner_id = j.owner_id)")
+def e21_owned_feedback(fx: Fixtures) -> DataFrame:
+    """Every third job has no owner, every fourth event none."""
+    jobs = fx.fx_jobs.withColumn("owner_id", F.when(F.col("job_id") % 3 != 0, F.col("owner_id")))
+    return M.feedback_pairs(fx.fx_feedback.withColumn("owner_id", F.when(F.col("feedback_id") % 4 != 0, F.col("owner_id"))), jobs)
+
+
 @query(MATCH_VIEWS, f"WITH {COVERAGE} SELECT job_id, candidate_id, n_required, round(required_score, 6) AS required_score, round(optional_score, 6) AS optional_score FROM cov")
 def e22_coverage(fx: Fixtures) -> DataFrame:
     return M.coverage(_matches(fx), fx.fx_job_skills).select(*M.PAIR, "n_required", F.round("required_score", 6).alias("required_score"), F.round("optional_score", 6).alias("optional_score"))

@@ -14,6 +14,7 @@ from hirelake.operators import profiles as P
 from hirelake.operators import reports as R
 from hirelake.operators import taxonomy as T
 from hirelake.operators import text as X
+from hirelake.operators import vectors as V
 from hirelake.plans.match_all import scored_pairs
 
 BANDS = [("junior", 0, 2), ("mid", 2, 5), ("senior", 5, 10)]
@@ -297,3 +298,21 @@ def test_similarity_cascade(spark):
     cases = [("Docker", "docker ", 1.0), ("qqq", "qqw", round(2 / 3, 4)), ("kubernets", "zzz", 0.0), ("k8s", "kubernetes", 1.0), ("kubernets", "docker", 0.60), ("helm", "docker", 0.5), ("excel", "helm", round(0.3 * 4 / 9, 4))]
     pairs = spark.createDataFrame([(a, b) for a, b, _ in cases] + [(None, "x"), ("", "x")], "a string, b string")
     assert {(r["a"], r["b"]): r["similarity"] for r in T.similarity_cascade(pairs, index, nodes, edges, clusters).collect()} == {(a, b): s for a, b, s in cases}
+
+
+def test_pruned_neighbours_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16)) * 4
+    x = np.concatenate([centres[i % 12] + rng.standard_normal((1, 16)) * 0.4 for i in range(600)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, [0.0] * 16), (601, None), (602, [1.0] * 3), (603, x[0].tolist())]
+    vecs = spark.createDataFrame(rows, "entity_id long, vector array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, (centres[i % 12] + 0.1).tolist()) for i in range(30)] + [(90, [0.0] * 16), (91, None)], "query_id long, vector array<double>")
+    table, fitted = V.cluster_vectors(vecs, 12)
+    for k in (5, 650):
+        found, read = V.knn_pruned(queries, table, fitted, k)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, V.knn(queries.where("query_id < 90"), vecs, k).collect()))
+        if k == 5:
+            sizes = {r["cluster"]: r["count"] for r in table.groupBy("cluster").count().collect()}
+            assert sum(sizes[r["cluster"]] for r in read.collect()) < 0.3 * 30 * len(rows)
