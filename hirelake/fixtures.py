@@ -73,6 +73,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM supplier CROSS JOIN slots JOIN skill_vocab ON skill_id = (s_suppkey + 7 * k + CAST(floor(s_suppkey / 40) AS BIGINT) * (k * k + k)) % 40"""),
     "fx_uncatalogued": ("skill_vocab", """SELECT c_custkey AS candidate_id, skill FROM customer JOIN skill_vocab ON skill_id = (c_custkey * 11 + 5) % 40 WHERE c_custkey % 3 = 0"""),
     "fx_definitions": ("skill_vocab", """SELECT v.skill, concat('helped with ', r.skill, ', xylophones, yachts and zebras') AS definition FROM skill_vocab v JOIN skill_vocab r ON r.skill_id = (v.skill_id + 1) % 40"""),
+    "fx_taxonomy_docs": ("", """SELECT p_partkey AS part_id, concat('{"skills":[{"uri":"u:', CAST(p_partkey AS VARCHAR(10)), '","preferredLabel":', CASE p_partkey % 4 WHEN 0 THEN concat('"', p_type, '"') WHEN 1 THEN concat('{"en":"', p_type, '","ar":"x"}') WHEN 2 THEN concat('{"en":"","ar":"', p_type, '"}') ELSE 'null' END,
+        ',"altLabels":', CASE p_partkey % 3 WHEN 0 THEN concat('"', p_brand, '"') WHEN 1 THEN concat('["', p_brand, '","', p_name, '"]') ELSE concat('{"ar":["', p_name, '"],"en":["', p_brand, '"]}') END,
+        ',"broader":["u:1","u:2"],"related":"u:3"}],"skillGroups":[{"id":"g', CAST(p_size AS VARCHAR(10)), '","label":"size","skills":["u:', CAST(p_partkey AS VARCHAR(10)), '"]}]', CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '}' END) AS doc FROM part"""),
+    "fx_evaluations": ("fx_matches_old", """SELECT job_id, candidate_id, score, CASE candidate_id % 7 WHEN 0 THEN 'not json' WHEN 1 THEN concat('{"score": ', CAST(score AS VARCHAR(20)), '}') ELSE concat('Here it is: ', CASE WHEN candidate_id % 2 = 0 THEN concat('```json', chr(10)) ELSE '' END, '{"score": ', CAST(score * 3 - 1 AS VARCHAR(20)),
+        ', "feedback": "  fine  ", "language_detected": "x", "technical_accuracy": "0.25", "completeness": "none", "clarity": 7, "weaknesses": [], "strengths": ', CASE candidate_id % 7 WHEN 2 THEN '"one"' ELSE '["a", " ", "b", "c", "d", "e", "f"]' END, '}', CASE WHEN candidate_id % 2 = 0 THEN concat(chr(10), '```') ELSE ' so far' END) END AS answer FROM fx_matches_old"""),
     "fx_semantic": ("fx_feedback", """SELECT DISTINCT job_id, candidate_id, CAST((candidate_id * 3 + job_id) % 11 AS DOUBLE) / 10 AS semantic_score FROM fx_feedback WHERE action = 'added'"""),
     "fx_feedback": ("skill_vocab", """SELECT event_id AS feedback_id, ts AS created_at, user_id AS candidate_id, (event_id * 7 + user_id) % (SELECT count(*) FROM supplier) AS job_id, skill,
         user_id % 25 AS owner_id, event_type = 'purchase' AS correct_match, CASE WHEN event_id % 5 = 0 THEN 'removed' ELSE 'added' END AS action FROM events

@@ -11,6 +11,7 @@ from ..operators import profiles as P
 from ..operators import taxonomy as T
 from ..operators import text as X
 from ..registry import query
+from ..sources import payloads as Y
 
 KEYWORDS = ["the", "tion", "ung"]
 
@@ -200,6 +201,17 @@ def b20_coerce_json(fx: Fixtures) -> DataFrame:
     return fx.fx_matches_old.select("job_id", "candidate_id", F.when(read["score"].isNull(), 0.5).otherwise(score).alias("score"), years.alias("years"))
 
 
+@query(
+    "fx_evaluations",
+    """SELECT job_id, candidate_id, CASE WHEN candidate_id % 7 > 2 THEN least(1.0, greatest(0.0, score * 3 - 1)) ELSE 0.5 END AS score, CASE WHEN candidate_id % 7 > 2 THEN 'fine' ELSE 'Evaluation complete.' END AS feedback,
+        CAST(CASE WHEN candidate_id % 7 > 2 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS technical_accuracy, CAST(0.5 AS DOUBLE) AS completeness, CAST(CASE WHEN candidate_id % 7 > 2 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS clarity, CASE WHEN candidate_id % 7 > 2 THEN 'a,b,c,d,e' ELSE '' END AS strengths FROM fx_evaluations""",
+)
+def b20_evaluations(fx: Fixtures) -> DataFrame:
+    """Whole evaluations from models' answers: fenced, in prose, with fields of several kinds, incomplete, or no JSON."""
+    found = Y.evaluations(fx.fx_evaluations, "answer")
+    return found.select("job_id", "candidate_id", "score", "feedback", "technical_accuracy", "completeness", "clarity", F.array_join("strengths", ",").alias("strengths"))
+
+
 @query(
     "fx_cv_slots",
     """SELECT candidate_id, 1 AS entry, 'Engineer' AS title, 'Acme' AS company, CAST(2005 + candidate_id % 10 AS INT) AS start_year, CAST(2016 + candidate_id % 8 AS INT) AS end_year, concat('Built services with ', s0, '.') AS description FROM fx_cv_slots
@@ -376,6 +388,22 @@ def a3_load_taxonomy(fx: Fixtures) -> DataFrame:
     return fx.fx_candidate_skills.join(nodes, F.col("skill") == F.col("preferred")).select("candidate_id", "uri")
 
 
+@query(
+    "fx_taxonomy_docs",
+    """WITH good AS (SELECT *, concat('u:', CAST(p_partkey AS VARCHAR)) AS uri FROM part WHERE p_partkey % 4 <> 3 AND p_partkey % 11 <> 0)
+        SELECT 'preferred' AS kind, uri, p_type AS value, 0 AS seq FROM good UNION ALL SELECT 'alt', uri, p_brand, 0 FROM good UNION ALL SELECT 'alt', uri, p_name, 1 FROM good WHERE p_partkey % 3 > 0
+        UNION ALL SELECT 'broader', uri, 'u:1', NULL FROM good UNION ALL SELECT 'broader', uri, 'u:2', NULL FROM good UNION ALL SELECT 'related', uri, 'u:3', NULL FROM good
+        UNION ALL SELECT 'group', concat('u:', CAST(p_partkey AS VARCHAR)), concat('g', CAST(p_size AS VARCHAR)), NULL FROM part WHERE p_partkey % 11 <> 0""",
+)
+def a3_taxonomy_documents(fx: Fixtures) -> DataFrame:
+    """Labels, relations and groups of taxonomy documents with labels of all kinds, some of them broken."""
+    found = Y.taxonomy(fx.fx_taxonomy_docs)
+    none = F.lit(None).cast("int").alias("seq")
+    edges = found["edges"].select(F.col("relation").alias("kind"), F.col("skill").alias("uri"), F.col("related").alias("value"), none)
+    groups = found["groups"].select(F.lit("group").alias("kind"), F.col("skill").alias("uri"), F.col("cluster").alias("value"), none)
+    return found["labels"].select("kind", "uri", F.col("label").alias("value"), "seq").unionByName(edges).unionByName(groups)
+
+
 @query(f"{VOCAB} fx_candidate_skills", f"WITH {RAW}, {INDEX} SELECT candidate_id, uri FROM raw JOIN idx ON label = lower(trim(name))")
 def a4_label_index(fx: Fixtures) -> DataFrame:
     return _raw(fx).withColumn("label", norm_name("name")).join(_index(fx), "label").select("candidate_id", "uri")

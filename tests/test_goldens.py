@@ -16,6 +16,7 @@ from hirelake.operators import taxonomy as T
 from hirelake.operators import text as X
 from hirelake.operators import vectors as V
 from hirelake.plans.match_all import scored_pairs
+from hirelake.sources import payloads as Y
 
 BANDS = [("junior", 0, 2), ("mid", 2, 5), ("senior", 5, 10)]
 
@@ -316,3 +317,18 @@ def test_pruned_neighbours_equal_all_pairs(spark):
         if k == 5:
             sizes = {r["cluster"]: r["count"] for r in table.groupBy("cluster").count().collect()}
             assert sum(sizes[r["cluster"]] for r in read.collect()) < 0.3 * 30 * len(rows)
+
+
+def test_payloads_of_several_kinds(spark):
+    doc = '{"skills": [{"uri": "u:1", "preferredLabel": "A", "altLabels": ["x", "y"], "broader": ["u:2"]}, {"uri": "u:2", "preferredLabel": {"en": "", "ar": "ب"}, "altLabels": {"ar": ["z"]}, "related": ["u:1"]}, {"uri": "", "preferredLabel": "no"}, {"uri": "u:3"}, 5], "skillGroups": [{"id": "g", "label": "G", "skills": ["u:1"]}, {"id": "h"}]}'
+    found = Y.taxonomy(spark.createDataFrame([(doc,), ("no json",), (None,), ("[1]",)], "doc string"))
+    assert sorted((r["uri"], r["label"], r["kind"]) for r in found["labels"].collect()) == [("u:1", "A", "preferred"), ("u:1", "x", "alt"), ("u:1", "y", "alt"), ("u:2", "z", "alt"), ("u:2", "ب", "preferred")]
+    assert sorted((r["skill"], r["related"], r["relation"]) for r in found["edges"].collect()) == [("u:1", "u:2", "broader"), ("u:2", "u:1", "related")]
+    assert sorted(map(str, ((r["cluster"], r["skill"]) for r in found["groups"].collect()))) == ["('g', 'u:1')", "('h', None)"]
+    docs = spark.createDataFrame([('{"categories": {"web": [" Vue ", "react", ""], "odd": "text"}}',), ('{"data": ["Spark  SQL", "vue"]}',), ("{",)], "doc string")
+    extra = Y.extra_skills(docs, spark.createDataFrame([("react", "web")], "skill string, category string"))
+    assert sorted(map(tuple, extra.collect())) == [("data", "spark sql"), ("data", "vue"), ("web", "vue")]
+    told = [(1, 'Sure: {"skills_with_context": [{"skill": " Go ", "years": "99", "confidence": 2}, {"skill": "C", "years": "many"}, {"name": "x"}, 3]} done'), (2, "{}"), (3, None), (4, "```json\n{\"skills_with_context\": [{\"skill\": \"\", \"status\": \"learning\"}]}\n```")]
+    rows = Y.cv_skills(spark.createDataFrame(told, "id long, text string"), "id", "text").collect()
+    assert sorted((r["id"], r["skill"], r["status"], r["years"], r["confidence"]) for r in rows if r["years"]) == [(1, "Go", "unknown", 60.0, 1.0)]
+    assert sorted((r["id"], r["skill"], r["status"], r["confidence"]) for r in rows if not r["years"]) == [(1, "C", "unknown", 0.5), (4, "not found", "learning", 0.5)]
