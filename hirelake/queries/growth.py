@@ -783,6 +783,32 @@ def a11_ingest_knowledge(fx: Fixtures) -> DataFrame:
     return S.append_missing(first.where("doc_id % 2 = 0"), first, "title")
 
 
+@query(
+    "fx_cv_facts fx_candidate_skills fx_matches_old fx_reports_old",
+    f"""WITH {TOLD}, old AS (SELECT candidate_id, skill, min(pos) AS pos FROM fx_candidate_skills WHERE status = 'has_experience' AND candidate_id % 5 <> 0 GROUP BY candidate_id, skill),
+        lists AS (SELECT candidate_id, string_agg(skill, ',' ORDER BY pos, skill) AS skills, '' AS negative_skills FROM old GROUP BY candidate_id
+            UNION ALL SELECT candidate_id, string_agg(skill, ',' ORDER BY skill) FILTER (status <> 'no_experience'), coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (status = 'no_experience'), '') FROM every WHERE candidate_id % 5 = 0 GROUP BY candidate_id)
+        SELECT 'candidate' AS part, candidate_id, skills, negative_skills, NULL AS n FROM fx_cv_facts JOIN lists USING (candidate_id)
+        UNION ALL SELECT 'stale matches', NULL, NULL, NULL, count(*) FROM fx_matches_old WHERE scoring_model <> 'hybrid_v2' UNION ALL SELECT 'seen', NULL, NULL, NULL, count(*) FROM fx_cv_facts
+        UNION ALL SELECT 'evidence', NULL, NULL, NULL, (SELECT count(*) FROM old) + (SELECT count(*) FROM every WHERE candidate_id % 5 = 0)""",
+)
+def j7_full_backfill(fx: Fixtures) -> DataFrame:
+    """Lists in upper case with repeats and aliases made clean; every fifth candidate has lost its skills, which are read again from its text."""
+    from ..plans.backfill import LISTS, backfill
+
+    written = F.when(F.col("skill") == "kubernetes", " K8s ").otherwise(F.upper("skill"))
+    had = fx.fx_candidate_skills.where("status = 'has_experience' AND candidate_id % 5 <> 0").groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("pos", "skill", written.alias("w")))).alias("s"))
+    lists = had.select("candidate_id", F.flatten(F.transform("s", lambda x: F.array(x["w"], x["skill"]))).alias("skills"))
+    empty = F.array().cast("array<string>")
+    cands = fx.fx_cv_varied.select("candidate_id", F.when(F.col("candidate_id") % 5 == 0, F.col("text")).alias("raw_text")).join(lists, "candidate_id", "left")
+    cands = cands.withColumns({"total_years": F.lit(None).cast("double")} | {c: empty for c in LISTS if c != "skills"})
+    out = backfill(cands, fx.skill_vocab.select("skill"), fx.alias_map, fx.fx_matches_old, fx.fx_reports_old.withColumn("scoring_model", F.lit("hybrid_v2")), 2024)
+    kept = out["candidates"].where(F.size("skills") > 0).select(F.lit("candidate").alias("part"), "candidate_id", F.array_join("skills", ",").alias("skills"), F.array_join("negative_skills", ",").alias("negative_skills"), F.lit(None).cast("long").alias("n"))
+    told = F.create_map(*[F.lit(x) if isinstance(x, str) and x in ("stale matches", "seen", "evidence") else F.col(x) for x in ("stale matches", "stale_matches_marked", "seen", "candidates_seen", "evidence", "skill_evidence_rows")])
+    counts = out["summary"].select(F.explode(told).alias("part", "n"))
+    return kept.unionByName(counts, allowMissingColumns=True)
+
+
 @query("fx_candidates", "SELECT candidate_id, least(60.0, greatest(0.0, coalesce(years, CAST((2016 + candidate_id % 8) - (2005 + candidate_id % 10) + 2 AS DOUBLE)))) AS years FROM fx_candidates")
 def j7_backfill(fx: Fixtures) -> DataFrame:
     """Unknown years filled from the CV's entries."""
