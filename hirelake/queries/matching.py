@@ -449,3 +449,26 @@ def e38_stored_semantic(fx: Fixtures) -> DataFrame:
 @query(f"{SCORE_VIEWS} fx_matches_old", f"WITH {RERANKED} SELECT count(*) AS pairs, round(avg(CASE WHEN new_rank <> base_rank THEN 1.0 ELSE 0.0 END), 4) AS changed, round(avg(abs(adjustment)), 4) AS mean_adjustment FROM reranked")
 def e39_rerank_impact(fx: Fixtures) -> DataFrame:
     return M.rerank_impact(_reranked(fx))
+
+
+@query(
+    f"fx_job_skills {SKILLS} synonyms fx_jobs fx_candidates bands fx_feedback fx_matches_old fx_semantic",
+    f"""WITH {LEGACY}, chosen AS (SELECT DISTINCT job_id, candidate_id FROM fx_feedback),
+        every AS (SELECT j.job_id, j.candidate_id, coalesce(t.n_required, 0) AS n_required, CASE WHEN coalesce(t.n_required, 0) = 0 THEN 1.0 ELSE coalesce(l.required_score, 0.0) END AS required_score,
+            coalesce(l.optional_score, 0.0) AS optional_score, coalesce(m.semantic_score, 0.0) AS semantic, coalesce(h.hits, 0) AS matched, coalesce(t.n_required, 0) - coalesce(h.hit_required, 0) AS missing
+            FROM chosen j LEFT JOIN totals t ON t.job_id = j.job_id LEFT JOIN legacy l ON l.job_id = j.job_id AND l.candidate_id = j.candidate_id LEFT JOIN fx_semantic m ON m.job_id = j.job_id AND m.candidate_id = j.candidate_id
+            LEFT JOIN (SELECT n.job_id, e.candidate_id, count(DISTINCT n.skill) AS hits, count(DISTINCT CASE WHEN required THEN n.skill END) AS hit_required FROM need n
+                JOIN (SELECT candidate_id, skill FROM own UNION SELECT x.candidate_id, s.skill FROM expanded x JOIN synonyms s ON s.related = x.skill) e ON e.skill = n.skill GROUP BY 1, 2) h ON h.job_id = j.job_id AND h.candidate_id = j.candidate_id),
+        {scored_sql(M.WEIGHTS, 'every', semantic='v.semantic')},
+        kept AS (SELECT * FROM fx_matches_old WHERE candidate_id % 3 <> 0 AND (interview_score IS NOT NULL OR (scoring_model = 'hybrid_v2' AND abs(weight_required - 0.55) <= 0.0001))),
+        whole AS (SELECT s.job_id, s.candidate_id, coalesce(round(k.score + 1e-9, 4), s.final_score) AS overall, round(coalesce(k.semantic, s.semantic_score), 4) AS similarity,
+            round(0.8 * s.required_score + 0.2 * s.optional_score, 3) AS skill_score, matched, missing FROM scored s LEFT JOIN kept k ON k.job_id = s.job_id AND k.candidate_id = s.candidate_id)
+        SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY overall DESC, candidate_id) AS place FROM whole""",
+)
+def i8_full_comparison(fx: Fixtures) -> DataFrame:
+    """The candidates that recruiters looked at, compared within each job; a third of them have no stored match."""
+    from ..plans.compare import compare_candidates
+
+    stored = fx.fx_matches_old.where("candidate_id % 3 <> 0")
+    found = compare_candidates(fx.fx_feedback, fx.fx_jobs, fx.fx_candidates, fx.fx_job_skills, fx.fx_candidate_skills, fx.synonyms, fx.bands, stored, fx.fx_semantic)
+    return found.withColumn("skill_score", F.round("skill_score", 3))
