@@ -203,6 +203,22 @@ def knn_pruned(queries: DataFrame, clustered: DataFrame, centres: np.ndarray, k:
     return found, planned.where("first").select("query_id", "cluster").unionByName(rest.select("query_id", "cluster"))
 
 
+def knn_routed(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """As knn, of queries (query_id, language, vector) and docs (entity_id, vector, multilingual): an Arabic query is compared with a row's multilingual
+    vector, or with its standard one where it has none, any other query the other way round. A vector of another width than the
+    query's isn't compared.
+    """
+    widths = [r[0] for r in queries.where("vector IS NOT NULL").select(F.size("vector")).distinct().collect()]
+    found = queries.sparkSession.createDataFrame([], "query_id long, entity_id long, similarity double, rank int")
+    arabic = F.coalesce(F.col("language") == "ar", F.lit(False))
+    for width in sorted(widths):
+        for is_arabic, order in ((True, ("multilingual", "vector")), (False, ("vector", "multilingual"))):
+            some = queries.where((F.size("vector") == width) & (arabic == is_arabic)).select("query_id", "vector")
+            rows = docs.select("entity_id", F.coalesce(*order).alias("vector")).where(F.size("vector") == width)
+            found = found.unionByName(knn(some, rows, k))
+    return found
+
+
 def embed_texts(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray] | None = None, dim: int = 64) -> DataFrame:
     """df with vector, a unit vector per text; by default seeded with the text's SHA-256, the zero vector below three letters or digits."""
 

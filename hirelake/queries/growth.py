@@ -514,6 +514,20 @@ def d11_route_vectors(fx: Fixtures) -> DataFrame:
     return V.route_vectors(rows, (64,)).select("entity_id", "route", F.round(F.col("routed")[0].cast("double"), 6).alias("first"))
 
 
+@query(
+    "fx_embeddings",
+    """WITH d AS (SELECT entity_id, embedding, entity_id % 7 <> 0 AS standard, entity_id % 3 <> 0 AS many FROM fx_embeddings WHERE entity_type = 'candidate'),
+        s AS (SELECT q.entity_id AS query_id, d.entity_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) * CASE WHEN many AND (q.language = 'ar' OR NOT standard) THEN -1 ELSE 1 END AS similarity
+            FROM fx_embeddings q JOIN d ON standard OR many WHERE q.entity_type = 'job')
+        SELECT query_id, entity_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, entity_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def d11_routed_search(fx: Fixtures) -> DataFrame:
+    """The nearest candidates of each job by the vector that its language asks for; some rows lack one of the two, some both."""
+    rows = fx.fx_embeddings.where("entity_type = 'candidate'").select("entity_id", F.when(F.col("entity_id") % 7 != 0, F.col("embedding")).alias("vector"), F.when(F.col("entity_id") % 3 != 0, F.transform("embedding", lambda x: -x)).alias("multilingual"))
+    jobs = fx.fx_embeddings.where("entity_type = 'job'").select(F.col("entity_id").alias("query_id"), "language", F.col("embedding").alias("vector"))
+    return V.knn_routed(jobs, rows, 5).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("fx_embeddings", f"WITH {KNN} SELECT query_id, entity_id, round(similarity + 1e-8, 4) AS similarity, rank FROM r WHERE rank <= 3")
 def d12_query_knowledge(fx: Fixtures) -> DataFrame:
     found = V.knn(_vectors(fx, "job").withColumnRenamed("entity_id", "query_id"), _vectors(fx, "candidate"), 3)
