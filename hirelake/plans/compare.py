@@ -20,7 +20,7 @@ def compare_candidates(pairs: DataFrame, jobs: DataFrame, cands: DataFrame, job_
     chosen = pairs.select(*M.PAIR).distinct().join(jobs.select("job_id", "seniority"), "job_id").join(cands.select("candidate_id", "years"), "candidate_id")
     own, need = skills.join(chosen.select("candidate_id").distinct(), "candidate_id", "left_semi"), job_skills.join(chosen.select("job_id").distinct(), "job_id", "left_semi")
     count = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda s: s != ""))
-    covered = M.coverage_legacy(need, own, synonyms).join(chosen.select(*M.PAIR), M.PAIR, "left_semi")
+    covered = M.coverage_legacy(need, own, synonyms, pairs=chosen)
     rows = chosen.join(covered, M.PAIR, "left").join(M.totals(need), "job_id", "left")
     required = F.coalesce("required_score", F.when(F.coalesce("n_required", F.lit(0)) == 0, 1.0).otherwise(0.0))
     optional = F.coalesce("optional_score", F.lit(0.0))
