@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,6 +17,8 @@ from ..operators import interviews as I
 from ..operators.learning import PROMOTE_AT
 from ..sources.tables import shared_path
 
+#: Groups of keys that share a state and a timer.
+BUCKETS = 1024
 EVENT_TIME = GroupStateTimeout.EventTimeTimeout
 
 
@@ -35,6 +37,11 @@ def arrived(spark: SparkSession, parts: list[DataFrame], build: Callable[[DataFr
     return spark.read.schema(out.schema.add("batch", "long")).parquet(sink)
 
 
+def _bucket(key: str) -> Column:
+    """The bucket whose state holds the key: Python is called once for a bucket and batch, not once for every key."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+
+
 def _later(state: GroupState, at_ms: int) -> None:
     """A timer at that time, or as soon as may be."""
     state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
@@ -48,51 +55,61 @@ def admitted(events: DataFrame, key: str, ts: str, order: str, n: int, seconds:
     width = seconds * 1_000_000
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, at, ids = state.get if state.exists else ([], [], [])
-        waiting = list(zip(at, ids))
+        held, at, ids, of = {}, [], [], []
+        if state.exists:
+            keys, times, of, at, ids = state.get
+            for k, t in zip(keys, times):
+                held.setdefault(k, []).append(t)
+        waiting = list(zip(of, at, ids))
         if not state.hasTimedOut:
             for f in frames:
-                waiting += zip(f["us"].tolist(), f[order].tolist())
+                waiting += zip(f[key].tolist(), f["us"].tolist(), f[order].tolist())
         passed = state.getCurrentWatermarkMs() * 1000
-        due = sorted(w for w in waiting if w[0] < passed)
-        waiting = [w for w in waiting if w[0] >= passed]
-        out, times = [], list(times)
-        for t, i in due:
-            times = [x for x in times if t - x < width]
-            out.append((i, group[0], len(times) < n))
-            if out[-1][2]:
-                times.append(t)
-        if waiting or (times and times[-1] + width >= passed):
-            state.update((times, [w[0] for w in waiting], [w[1] for w in waiting]))
-            _later(state, min(w[0] for w in waiting) // 1000 + 1 if waiting else (times[-1] + width) // 1000 + 1)
+        out = []
+        for k, t, i in sorted(w for w in waiting if w[1] < passed):
+            times = [x for x in held.get(k, ()) if t - x < width]
+            out.append((i, k, len(times) < n))
+            held[k] = [*times, t] if out[-1][2] else times
+        waiting = [w for w in waiting if w[1] >= passed]
+        ahead = {w[0] for w in waiting}
+        held = {k: times for k, times in held.items() if times and (k in ahead or times[-1] + width >= passed)}
+        if waiting or held:
+            keep = [(k, t) for k, times in held.items() for t in times]
+            state.update(([k for k, _ in keep], [t for _, t in keep], [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+            _later(state, min([w[1] for w in waiting] + [times[-1] + width for k, times in held.items() if k not in ahead]) // 1000 + 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[order, key, "accepted"])
 
-    rows = events.withWatermark(ts, delay).select(key, order, ts, F.unix_micros(ts).alias("us"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{order} long, {key} long, accepted boolean", "times array<long>, at array<long>, ids array<long>", "append", EVENT_TIME)
+    rows = events.withWatermark(ts, delay).select(_bucket(key), key, order, ts, F.unix_micros(ts).alias("us"))
+    kept = "keys array<long>, times array<long>, of array<long>, at array<long>, ids array<long>"
+    return rows.groupBy("bucket").applyInPandasWithState(step, f"{order} long, {key} long, accepted boolean", kept, "append", EVENT_TIME)
 
 
 def expiring(results: DataFrame, key: str, ts: str, seconds: int, delay: str = "0 seconds") -> DataFrame:
     """A stream's results (key: long, ts, status) as (key, us, status, live): each when it comes, and again, no longer live, when it expires."""
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            us, status = state.get
+        held = {k: (us, status) for k, us, status in zip(*state.get)} if state.exists else {}
+        watermark, came = state.getCurrentWatermarkMs(), set()
+        if not state.hasTimedOut:
+            for f in frames:
+                for k, us, status in zip(f[key].tolist(), f["us"].tolist(), f["status"].tolist()):
+                    if k not in held or held[k][0] <= us:
+                        held[k] = (us, status)
+                        came.add(k)
+        # what has just come is told as live, and expires with the next watermark at the earliest
+        due = [k for k, (us, _) in held.items() if k not in came and us // 1000 + seconds * 1000 < watermark]
+        out = [(k, *held[k], True) for k in came] + [(k, *held.pop(k), False) for k in due]
+        if held:
+            state.update(([*held], [us for us, _ in held.values()], [status for _, status in held.values()]))
+            _later(state, min(us for us, _ in held.values()) // 1000 + seconds * 1000)
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({key: [group[0]], "us": [us], "status": [status], "live": [False]})
-            return
-        rows = pd.concat(list(frames)).sort_values("us")
-        last = rows.iloc[-1]
-        if state.exists and state.get[0] > last["us"]:
-            _later(state, state.get[0] // 1000 + seconds * 1000)
-            return
-        state.update((int(last["us"]), last["status"]))
-        _later(state, int(last["us"]) // 1000 + seconds * 1000)
-        yield pd.DataFrame({key: [group[0]], "us": [int(last["us"])], "status": [last["status"]], "live": [True]})
-
-    rows = results.withWatermark(ts, delay).select(key, ts, "status", F.unix_micros(ts).alias("us"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, us long, status string, live boolean", "us long, status string", "update", EVENT_TIME)
+        yield pd.DataFrame(out, columns=[key, "us", "status", "live"])
+
+    rows = results.withWatermark(ts, delay).select(_bucket(key), key, ts, "status", F.unix_micros(ts).alias("us"))
+    return rows.groupBy("bucket").applyInPandasWithState(step, f"{key} long, us long, status string, live boolean", "keys array<long>, us array<long>, status array<string>", "update", EVENT_TIME)
 
 
 def latest(sink: DataFrame, key: str) -> DataFrame:
