@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,56 @@ def semantic_scores(pairs: DataFrame) -> DataFrame:
     return pairs.select("job_id", "candidate_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("a"), F.col("b")))).alias("semantic_score"))
 
 
+BLOCK_ROWS, BLOCKS_AT_ONCE = 256, 16
+
+
+def _in_blocks(rows: DataFrame, key: str, label: str, kept: str, vector: str) -> DataFrame:
+    """(label, block, ids, vectors): a label's rows in blocks of about BLOCK_ROWS."""
+    sizes = rows.groupBy(label).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    each = rows.join(sizes, label).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    of = F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")))
+    return each.groupBy(label, "block").agg(of.alias(kept))
+
+
+def _cosines(a: list, b: list) -> np.ndarray:
+    """Cosines of all with all, between 0 and 1; 0 for zero, null or mismatched vectors and those with components that are no numbers."""
+
+    def unit(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == width and None not in v], np.int64)
+        x = np.array([vectors[i] for i in at], np.float64).reshape(len(at), width)
+        size = np.sqrt((x * x).sum(axis=1))
+        good = np.isfinite(size) & (size > 0)
+        return at[good], x[good] / size[good, None]
+
+    out = np.zeros((len(a), len(b)))
+    for width in {len(v) for v in a if v} & {len(v) for v in b if v}:
+        (i, x), (j, y) = unit(a, width), unit(b, width)
+        out[np.ix_(i, j)] = np.clip(x @ y.T, 0.0, 1.0)
+    return out
+
+
+def semantic_scores_by(jobs: DataFrame, cands: DataFrame, label: str) -> DataFrame:
+    """(job_id, candidate_id, semantic_score) of all jobs (job_id, label, a) and candidates (candidate_id, label, b) of equal labels.
+
+    All pairs are given out, so rows grow with their number; vectors meet in blocks, BLOCKS_AT_ONCE of a label's candidates below one key,
+    so that neither a task's memory nor the shuffle does.
+    """
+    theirs = settled(_in_blocks(cands, "candidate_id", label, "theirs", "b").withColumn("part", F.floor(F.col("block") / BLOCKS_AT_ONCE)).select(label, "part", "theirs"), "candidate-blocks")
+    parts = theirs.groupBy(label).agg(F.max("part").alias("last"))
+    mine = _in_blocks(jobs, "job_id", label, "mine", "a").join(parts, label).select(label, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"), "mine")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = (batch.column(c)[i].values for c in ("mine", "theirs"))
+                x, y = (t.field("id").to_numpy() for t in (one, two))
+                scores = _cosines(one.field("v").to_pylist(), two.field("v").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, len(y))), pa.array(np.tile(y, len(x))), pa.array(scores.ravel())], names=["job_id", "candidate_id", "semantic_score"])
+
+    met = mine.join(theirs, [label, "part"]).select("mine", "theirs")
+    return met.mapInArrow(run, "job_id long, candidate_id long, semantic_score double")
+
+
 def knowledge_skills(definitions: DataFrame, texts: DataFrame, least: float = 0.75) -> DataFrame:
     """(candidate_id, skill): texts (candidate_id, text) that are like a skill's definition (skill, definition) by their words.
 

@@ -594,7 +594,7 @@ def d15_semantic_scores(fx: Fixtures) -> DataFrame:
     """Of all jobs with the candidates of their topic."""
     jobs = fx.fx_embeddings.where("entity_type = 'job'").select(F.col("entity_id").alias("job_id"), "label", F.col("embedding").alias("a"))
     cands = fx.fx_embeddings.where("entity_type = 'candidate'").select(F.col("entity_id").alias("candidate_id"), "label", F.col("embedding").alias("b"))
-    return V.semantic_scores(jobs.join(cands, "label")).withColumn("semantic_score", F.round("semantic_score", 6))
+    return V.semantic_scores_by(jobs, cands, "label").withColumn("semantic_score", F.round("semantic_score", 6))
 
 
 @query("fx_embeddings", f"WITH {KNN} SELECT query_id, entity_id % 40 AS skill_id, rank FROM r WHERE rank <= 30 AND round(similarity, 9) >= 0.2")
