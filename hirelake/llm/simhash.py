@@ -160,14 +160,15 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
 
-def dealt(keyed: DataFrame, value: str, cap: int | None = None) -> DataFrame:
+def dealt(keyed: DataFrame, value: str, cap: int | None = None, some: DataFrame | None = None, share: int = 1) -> DataFrame:
     """keyed, partitioned and sorted by key; a key of more than `cap` rows is cut into chunks by its values' hash.
 
     Each of its rows goes to every pair of chunks with its own, under a key of that pair, so that no pair of rows is lost
-    and no task gets more than two chunks of a key.
+    and no task gets more than two chunks of a key. With `some`, keyed rows of one value in `share`, a key's rows are estimated from these.
     """
     cap = cap or HOT_KEY
-    hot = through_disk(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("int").alias("chunks")), "hot-keys")
+    counted = keyed if some is None else some
+    hot = through_disk(counted.groupBy("key").agg((F.count("*") * share).alias("n")).where(F.col("n") > cap).select("key", F.ceil(F.col("n") / cap).cast("int").alias("chunks")), "hot-keys")
     own = F.pmod(F.xxhash64(value), F.col("chunks")).cast("int")
     marked = keyed.join(hot, "key", "left").withColumns({"own": own, "other": F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))})
     key = F.when(F.col("chunks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
@@ -209,11 +210,15 @@ BANDS = 48
 BAND_BITS = 14
 SURE, MAYBE = 26, 70  # bits: linked as they are; verified by their shingles
 HOT_BAND = 2048
+#: Of so many fingerprints one is counted to find the large keys.
+COUNTED = 8
 BAND_ROWS = 8192
 #: Pairs that a key may list for each of its rows; a key with more lists a spanning forest, and its rows.
 LISTED = 2
 PAIR_TILE = 1 << 18
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: References of the wide pivot table; a distance is a byte, so 256 counts as 255, which brings no two rows further apart.
+WIDE_PIVOTS = np.array([[xxhash.xxh64_intdigest(f"{i}.{j}".encode(), SEED) for j in range(WIDE_WORDS)] for i in range(8)], dtype=np.uint64)
 _POSITIONS = np.concatenate([np.random.default_rng(i).permutation(64 * WIDE_WORDS) for i in range(-(-BANDS * BAND_BITS // (64 * WIDE_WORDS)))])[: BANDS * BAND_BITS].reshape(BANDS, BAND_BITS)
 
 
@@ -232,6 +237,26 @@ def wide_fingerprint(tokens: list[bytes], k: int) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
+def wide_pivot_rows(f: np.ndarray) -> np.ndarray:
+    """The pivot table's rows (n, 8) of fingerprints (n, words)."""
+    apart = [np.bitwise_count(f ^ p).sum(axis=1, dtype=np.int64) for p in WIDE_PIVOTS]
+    return np.minimum(np.stack(apart, axis=1), 255).astype(np.uint8)
+
+
+def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, node) with their row of the pivot table after the fingerprint's bytes."""
+    for b in batches:
+        f = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(b.num_rows, WIDE_WORDS)
+        rows = np.hstack([f.view(np.uint8).reshape(b.num_rows, 8 * WIDE_WORDS), wide_pivot_rows(f)])
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), b.column("node")], names=["fp", "node"])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (n, words), and their rows of the pivot table (n, 8)."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * WIDE_WORDS + len(WIDE_PIVOTS))
+    return np.ascontiguousarray(raw[:, : 8 * WIDE_WORDS]).view(np.uint64), raw[:, 8 * WIDE_WORDS :].astype(np.int16)
+
+
 def _wide(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = [wide_fingerprint(words(t), k).tobytes() for t in texts(b.column(1))]
@@ -244,10 +269,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-        bits = np.unpackbits(fp, axis=1, bitorder="little")
+        bits = np.unpackbits(fp[:, : 8 * WIDE_WORDS], axis=1, bitorder="little")
         keys = (bits[:, _POSITIONS] @ weights) + (np.arange(BANDS, dtype=np.int64) << BAND_BITS)[None, :]
         at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[b.column(c).take(at) for c in ("node", "label", "fp")]], names=["key", "node", "label", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[b.column(c).take(at) for c in ("node", "fp")]], names=["key", "node", "fp"])
 
 
 def _apart(f: np.ndarray, x: slice | np.ndarray, y: slice | np.ndarray) -> np.ndarray:
@@ -299,10 +324,10 @@ def _undecided(label: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray) -
     return x[keep], y[keep], d[keep]
 
 
-def _near_pairs(f: np.ndarray, label: np.ndarray, most: int, similarity: float = 0.0, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def _near_pairs(f: np.ndarray, pivots: np.ndarray, label: np.ndarray, most: int, similarity: float = 0.0, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """Places and bits of the pairs within MAYBE bits and of different labels, and whether these are all.
 
-    Pairs that sure ones have put together are left out, and those whose sets differ too much in `size`. More than `most` are cut down to a minimum spanning forest of the
+    Pairs whose rows of the pivot table differ by more than MAYBE anywhere are discarded before their distances are taken. Pairs that sure ones have put together are left out, and those whose sets differ too much in `size`. More than `most` are cut down to a minimum spanning forest of the
     labels, tile by tile, so that memory stays bounded.
     """
     n, whole = len(f), True
@@ -310,14 +335,17 @@ def _near_pairs(f: np.ndarray, label: np.ndarray, most: int, similarity: float =
     step = max(1, PAIR_TILE // n)
     for s in range(0, n, step):
         e = min(n, s + step)
-        apart = _apart(f, slice(s, e), slice(s, n))
-        near = (apart <= MAYBE) & (label[s:e, None] != label[None, s:])
+        near = label[s:e, None] != label[None, s:]
+        for c in pivots.T:
+            near &= np.abs(c[s:e, None] - c[None, s:]) <= MAYBE
         if size is not None:  # the cosine of two sets is at most the root of their sizes' ratio
             near &= np.minimum(size[s:e, None], size[None, s:]) >= similarity * similarity * np.maximum(size[s:e, None], size[None, s:]) - 1e-9
         p, q = np.nonzero(near)
         ahead = p < q
-        p, q = p[ahead], q[ahead]
-        x, y, d = np.concatenate([x, (p + s).astype(np.int32)]), np.concatenate([y, (q + s).astype(np.int32)]), np.concatenate([d, apart[p, q]])
+        p, q = p[ahead] + s, q[ahead] + s
+        apart = _apart(f, p, q)
+        keep = apart <= MAYBE
+        x, y, d = np.concatenate([x, p[keep].astype(np.int32)]), np.concatenate([y, q[keep].astype(np.int32)]), np.concatenate([d, apart[keep]])
         if len(x) > most:
             x, y, d = _undecided(label, x, y, d)
         if len(x) > most + n:
@@ -329,15 +357,15 @@ def _near_pairs(f: np.ndarray, label: np.ndarray, most: int, similarity: float =
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, bits) of each key's rows, bits 0 for sure ones; of a key that didn't list all its pairs, its rows (key, a, fp)."""
     for t in runs(batches, "key"):
-        key, node, label = (t.column(c).to_numpy() for c in ("key", "node", "label"))
-        f = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), WIDE_WORDS)
+        key, node = (t.column(c).to_numpy() for c in ("key", "node"))
+        label, (f, pivots) = node, _unpacked(t.column("fp"))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         run = np.repeat(np.arange(len(size)), size)
         x, y, d, again = [first[:0]], [first[:0]], [np.empty(0, np.int16)], np.zeros(len(size), bool)
         for r in np.flatnonzero(size > SMALL_RUN).tolist():
             i, n = first[r], size[r]
-            p, q, bits, whole = _near_pairs(f[i : i + n], label[i : i + n], int(LISTED * n))
+            p, q, bits, whole = _near_pairs(f[i : i + n], pivots[i : i + n], label[i : i + n], int(LISTED * n))
             x.append(p + i)
             y.append(q + i)
             d.append(bits)
@@ -345,6 +373,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = np.repeat(size <= SMALL_RUN, size)
         for lag in range(1, int(min(SMALL_RUN, size.max()))):
             same = np.flatnonzero((run[lag:] == run[:-lag]) & small[lag:] & (label[lag:] != label[:-lag]))
+            same = same[pivots_keep(pivots[same], pivots[same + lag], MAYBE)]
             bits = _apart(f, same, same + lag)
             near = bits <= MAYBE
             x.append(same[near])
@@ -436,7 +465,7 @@ def _tested(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
     """Links (a, b) of each key's rows: pairs within MAYBE bits, nearest first, tested unless links have put their labels together."""
     for t in runs(batches, "key"):
         key, node, label = (t.column(c).to_numpy() for c in ("key", "node", "label"))
-        f = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), WIDE_WORDS)
+        f, pivots = _unpacked(t.column("fp"))
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets], np.float64)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -449,7 +478,7 @@ def _tested(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            x, y, d, _ = _near_pairs(f[i : i + n], label[i : i + n], n * n, similarity, size[i : i + n])
+            x, y, d, _ = _near_pairs(f[i : i + n], pivots[i : i + n], label[i : i + n], n * n, similarity, size[i : i + n])
             order = np.argsort(d, kind="stable")
             for p, q in zip((x[order] + i).tolist(), (y[order] + i).tolist()):
                 one, two = root(int(label[p])), root(int(label[q]))
@@ -472,7 +501,10 @@ def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     rows = rows.select("row", "text")
     prints = through_disk(rows.mapInArrow(lambda it: released(_wide(it, k)), "row long, fp binary"), "wide")
     nodes = saved(prints.groupBy("fp").agg(F.min("row").alias("node")))
-    keyed = dealt(nodes.withColumn("label", F.col("node")).mapInArrow(_bands, "key long, node long, label long, fp binary"), "node", HOT_BAND)
+    table = nodes.mapInArrow(_with_pivots, "fp binary, node long")
+    # an eighth of the fingerprints tells the large keys, whose chunks need no exact size: most keys hold few rows, which no count combines
+    some = table.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).mapInArrow(_bands, "key long, node long, fp binary")
+    keyed = dealt(table.mapInArrow(_bands, "key long, node long, fp binary"), "node", HOT_BAND, some, COUNTED)
     with arrow_rows(rows.sparkSession, BAND_ROWS):
         found = through_disk(keyed.mapInArrow(lambda it: released(_candidates(it)), "key long, a long, b long, bits int, fp binary"), "candidates")
     groups = _decided(rows, found.where("bits > 0").select("a", "b", "bits"), found.where("bits = 0").select("a", "b"), k, similarity)
