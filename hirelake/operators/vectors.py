@@ -7,14 +7,33 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
 
 QUERY_BLOCK_BYTES = 16_000_000
-#: Scores that a task holds at once.
-SCORE_CELLS = 1 << 22
+#: Scores that a task holds at once, and queries that it takes at a time.
+SCORE_CELLS = 1 << 20
+QUERIES_AT_ONCE = 1 << 12
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the vectors of that width, and these as rows of doubles; no vector becomes an object of its own, so that memory is the numbers'."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False))
+    return at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _best(score: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores of each row with their names; of equals the lower name."""
+    order = np.lexsort((name, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -119,30 +138,33 @@ def knn(queries: DataFrame, vecs: DataFrame, k: int, block_bytes: int = QUERY_BL
     found = None
     for part in range(-(-n // per_block)):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // per_block))) == part).collect()
-        ids = [r["query_id"] for r in rows if any(r["vector"])]
-        if not ids:
+        ids = np.array([r["query_id"] for r in rows if any(r["vector"])], np.int64)
+        if not len(ids):
             continue
         q = np.array([r["vector"] for r in rows if any(r["vector"])], np.float64)
         shared = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
 
-        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, q = shared.value
-            score, name = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
-            step = max(1, SCORE_CELLS // max(1, len(ids)))
-            for f in (whole.iloc[i : i + step] for whole in frames for i in range(0, len(whole), step)):
-                f = f[[v is not None and len(v) == q.shape[1] for v in f["vector"]]]
-                if not len(f):
-                    continue
-                x = np.array(f["vector"].tolist(), np.float64)
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(q @ (x / np.where(size > 0, size, 1)).T, 9)
-                score, name = np.hstack([score, s]), np.hstack([name, np.broadcast_to(f["entity_id"].to_numpy(), s.shape)])
-                order = np.lexsort((name, -score), axis=1)[:, :k]
-                score, name = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
-            if score.shape[1]:
-                yield pd.DataFrame({"query_id": np.repeat(ids, score.shape[1]), "entity_id": name.ravel(), "similarity": score.ravel()})
-
-        some = vecs.select("entity_id", "vector").mapInPandas(best, "query_id long, entity_id long, similarity double")
+            held = [(np.full((len(b), 0), -2.0), np.zeros((len(b), 0), np.int64)) for b in (ids[i : i + QUERIES_AT_ONCE] for i in range(0, len(ids), QUERIES_AT_ONCE))]
+            step = max(1, SCORE_CELLS // min(len(ids), QUERIES_AT_ONCE))
+            for batch in batches:
+                at, x = _matrix(batch.column(1), q.shape[1])
+                names, x = batch.column(0).to_numpy(zero_copy_only=False)[at], _unit(x)
+                for i in range(0, len(x), step):
+                    for j, (score, name) in enumerate(held):
+                        s = np.round(q[j * QUERIES_AT_ONCE : (j + 1) * QUERIES_AT_ONCE] @ x[i : i + step].T, 9)
+                        new = np.broadcast_to(names[i : i + step], s.shape)
+                        if score.shape[1] < k:
+                            held[j] = _best(np.hstack([score, s]), np.hstack([name, new]), k)
+                        else:  # most queries have k better rows already
+                            to = np.flatnonzero(~(s.max(axis=1) < score[:, -1]))
+                            score[to], name[to] = _best(np.hstack([score[to], s[to]]), np.hstack([name[to], new[to]]), k)
+            for j, (score, name) in enumerate(held):
+                if score.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[j * QUERIES_AT_ONCE :][: len(score)], score.shape[1])), pa.array(name.ravel()), pa.array(score.ravel())], names=["query_id", "entity_id", "similarity"])
+
+        some = vecs.select(F.col("entity_id").cast("long"), "vector").mapInArrow(best, "query_id long, entity_id long, similarity double")
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = spark.createDataFrame([], "query_id long, entity_id long, similarity double")
@@ -173,22 +195,21 @@ def cluster_vectors(vecs: DataFrame, n: int, sample: int = 8192, rounds: int = 5
         centres = _unit(np.array([x[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)]))
     shared = vecs.sparkSession.sparkContext.broadcast(centres)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
-        for f in frames:
-            f = f[[len(v) == centres.shape[1] for v in f["vector"]]]
-            if len(f):
-                raw = np.array(f["vector"].tolist(), np.float64)
+        for batch in batches:
+            at, raw = _matrix(batch.column(1), centres.shape[1])
+            if len(at):
                 u = _unit(raw)
                 near = (u @ centres.T).argmax(axis=1)
                 none = ~raw.any(axis=1)
                 off = np.linalg.norm(u - centres[near], axis=1)
-                yield pd.DataFrame({"entity_id": f["entity_id"], "vector": list(u), "cluster": np.where(none, -1, near), "off": np.where(none, 0, off)})
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), _lists(u), pa.array(np.where(none, -1, near).astype(np.int32)), pa.array(np.where(none, 0.0, off))], names=["entity_id", "vector", "cluster", "off"])
 
-    return settled(usable.mapInPandas(place, "entity_id long, vector array<double>, cluster int, off double"), "clusters"), centres
+    return settled(usable.mapInArrow(place, "entity_id long, vector array<double>, cluster int, off double"), "clusters"), centres
 
 
-CHUNK_ROWS, QUERY_ROWS = 1 << 16, 1 << 12
+CHUNK_ROWS, QUERY_ROWS = 1 << 15, 1 << 13
 
 
 def _scan(wanted: DataFrame, clustered: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
@@ -199,20 +220,21 @@ def _scan(wanted: DataFrame, clustered: DataFrame, sizes: dict[int, int], k: int
     theirs = wanted.join(blocks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), "query_id", "vector")
     mine = mine.join(blocks, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "entity_id": [], "similarity": []}).astype({"query_id": "int64", "entity_id": "int64"})
-        x, ids, out = np.array(v["vector"].tolist()), v["entity_id"].to_numpy(), []
-        step = max(1, SCORE_CELLS // len(ids))
-        for i in range(0, len(q), step):
-            some = q.iloc[i : i + step]
-            s = np.round(np.array(some["vector"].tolist()) @ x.T, 9)
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            out.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]), "entity_id": ids[order].ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()}))
-        return pd.concat(out)
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
+        out = []
+        if q.num_rows and v.num_rows:
+            (_, x), ids, to = _matrix(v["vector"], len(v["vector"][0])), v["entity_id"].to_numpy(), q["query_id"].to_numpy()
+            step = max(1, SCORE_CELLS // len(ids))
+            for i in range(0, len(to), step):
+                _, some = _matrix(q["vector"].slice(i, step), x.shape[1])
+                s = np.round(some @ x.T, 9)
+                score, name = _best(s, np.broadcast_to(ids, s.shape), k)
+                out.append((np.repeat(to[i : i + step], score.shape[1]), name.ravel(), score.ravel()))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "entity_id", "similarity"), columns)))
 
     by = ["cluster", "chunk", "block"]
-    return theirs.groupBy(by).cogroup(mine.groupBy(by)).applyInPandas(best, "query_id long, entity_id long, similarity double")
+    return theirs.groupBy(by).cogroup(mine.groupBy(by)).applyInArrow(best, "query_id long, entity_id long, similarity double")
 
 
 def knn_pruned(queries: DataFrame, clustered: DataFrame, centres: np.ndarray, k: int) -> tuple[DataFrame, DataFrame]:
@@ -226,26 +248,32 @@ def knn_pruned(queries: DataFrame, clustered: DataFrame, centres: np.ndarray, k:
     sizes, radius = {r["cluster"]: r["n"] for r in stats}, {r["cluster"]: r["radius"] for r in stats}
     shared = queries.sparkSession.sparkContext.broadcast((centres, sizes, radius))
 
-    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, sizes, radius = shared.value
-        for f in frames:
-            out = []
-            for i, v in zip(f["query_id"], f["vector"]):
-                if v is None or len(v) != centres.shape[1] or not any(v):
+        held = [c for c in range(len(centres)) if c in sizes]
+        n, reach = np.array([sizes[c] for c in held], np.int64), np.array([radius[c] for c in held], np.float64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                at, raw = _matrix(part.column(1), centres.shape[1])
+                at, raw = at[raw.any(axis=1)], raw[raw.any(axis=1)]
+                if not len(at):
                     continue
-                u = _unit(np.array([v], np.float64))[0]
-                away = np.linalg.norm(centres - u, axis=1)
-                held = 0
-                for c in np.argsort(away).tolist():
-                    if c in sizes:
-                        out.append((i, u.tolist(), c, max(0.0, away[c] - radius[c]), held < k))
-                        held += sizes[c]
+                u = _unit(raw)
+                away = np.linalg.norm(centres[held][None] - u[:, None], axis=2)
+                order = np.argsort(away, axis=1)
+                least = np.maximum(0.0, np.take_along_axis(away - reach, order, 1))
+                before = np.cumsum(n[order], axis=1) - n[order]
+                cluster = np.array(held, np.int32)[order]
                 if -1 in sizes:  # of similarity 0, a distance of the square root of 2
-                    out.append((i, u.tolist(), -1, 2**0.5, held < k))
-            yield pd.DataFrame(out, columns=["query_id", "vector", "cluster", "least", "first"])
+                    last = np.full((len(u), 1), 1.0)
+                    cluster, least, before = np.hstack([cluster, -last.astype(np.int32)]), np.hstack([least, last * 2**0.5]), np.hstack([before, np.full((len(u), 1), n.sum())])
+                row = np.repeat(np.arange(len(u)), cluster.shape[1])
+                ids = part.column(0).take(pa.array(at[row]))
+                yield pa.RecordBatch.from_arrays([ids, _lists(u[row]), pa.array(cluster.ravel()), pa.array(least.ravel()), pa.array((before < k).ravel())], names=["query_id", "vector", "cluster", "least", "first"])
 
     rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    planned = settled(rows.mapInPandas(plan, "query_id long, vector array<double>, cluster int, least double, first boolean"), "planned")
+    planned = settled(rows.mapInArrow(plan, "query_id long, vector array<double>, cluster int, least double, first boolean"), "planned")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entity_id")
     near = settled(_scan(planned.where("first").select("query_id", "vector", "cluster"), clustered, sizes, k), "near")
     kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))).alias("bound"))
