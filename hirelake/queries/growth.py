@@ -9,6 +9,7 @@ from ..fixtures import Fixtures, values
 from ..functions.scalar import round4
 from ..operators import interviews as I
 from ..operators import learning as L
+from ..operators import matching as M
 from ..operators import reports as R
 from ..operators import vectors as V
 from ..registry import query
@@ -623,8 +624,10 @@ def e20_knowledge_match(fx: Fixtures) -> DataFrame:
     defined = V.skill_definitions(fx.skill_vocab, fx.fx_knowledge).select("skill", "doc_id").join(fx.fx_knowledge.select("doc_id", F.col("content").alias("definition")), "doc_id")
     told = fx.fx_answers.groupBy("candidate_id").agg(F.concat_ws(" ", F.collect_list("answer")).alias("text"))
     known = V.knowledge_skills(defined, told, KNOWN_AT)
-    need = fx.fx_job_skills.where("required").select("job_id", "skill").distinct()
-    return need.join(known, "skill").join(fx.fx_candidate_skills, ["candidate_id", "skill"], "left_anti").select("job_id", "candidate_id", "skill", F.lit(0.6).alias("confidence"))
+    # what a candidate has is left out before the jobs are met, so that no pair is shuffled
+    left = S.settled(known.join(fx.fx_candidate_skills.select("candidate_id", "skill"), ["candidate_id", "skill"], "left_anti"), "known")
+    met = left.join(M.needing(fx.fx_job_skills).where("required"), "skill")
+    return met.select(F.explode("jobs").alias("job_id"), "candidate_id", "skill", F.lit(0.6).alias("confidence"))
 
 
 @query("fx_tasks", "SELECT task_id, owner_id, CASE WHEN owner_id % 2 = 0 THEN status ELSE 'pending' END AS status FROM (SELECT task_id, owner_id, status FROM fx_tasks)")
