@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_order, norm_name, norm_text
-from .text import AROUND, TEXTS_AT_ONCE, extract_skills, names, spans
+from ..sources.tables import settled
+from .text import AROUND, TEXTS_AT_ONCE, extract_skills, names, spans, spread
 
 #: How a section's header begins, in the order of trial; spoken languages, degrees by rank, phrases by status.
 SECTIONS = {
@@ -112,18 +113,24 @@ def spoken_languages(c: Column) -> Column:
 
 def sentences(df: DataFrame, key: str = "candidate_id") -> DataFrame:
     """(key, pos, sentence): pieces between . ! ? and line ends, the first of those equal but for case and spaces."""
-    cut = df.select(key, F.posexplode(F.split(text("text"), "[!?\\n]|\\.(?=\\s|$)")).alias("pos", "sentence"))
-    cut = cut.withColumn("sentence", F.trim("sentence")).where("sentence <> ''")
     first = Window.partitionBy(key, norm_name("sentence")).orderBy("pos")
-    return cut.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    return pieces(df, key).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+
+
+def pieces(df: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """As sentences, with the repeated ones."""
+    cut = df.select(key, F.posexplode(F.split(text("text"), "[!?\\n]|\\.(?=\\s|$)")).alias("pos", "sentence"))
+    return cut.withColumn("sentence", F.trim("sentence")).where("sentence <> ''")
 
 
 def skill_mentions(rows: DataFrame, known: DataFrame, key: str = "candidate_id") -> DataFrame:
     """(key, pos, skill, status, level, years, confidence, context) of the skills named in each sentence (key, pos, sentence).
 
-    The first phrase of the list whose place is within PHRASE_REACH characters of the skill's decides; known (gram, skill) are names.
+    The first phrase of the list whose place is within PHRASE_REACH characters of the skill's decides; known (gram, skill) are names. Of
+    sentences that are equal but for case and spaces only the first counts: they name the same skills, so only those that name any are compared.
     """
-    found = spans(rows, known, {}, [key, "pos", "sentence"], "sentence").groupBy(key, "pos", "sentence", "skill").agg(F.min("start").alias("start"))
+    named = spans(rows, known, {}, [key, "pos", "sentence"], "sentence")
+    found = named.groupBy(key, norm_name("sentence").alias("_same"), "skill").agg(F.min(F.struct("pos", "start", "sentence")).alias("m")).select(key, "skill", "m.*")
     low = F.replace(F.lower("sentence"), F.lit("\u2019"), F.lit("'"))
     at = lambda p: F.instr(low, p) - 1
     phrase = F.try_element_at(F.filter(F.array(*[F.lit(p) for p in STATUS_PHRASES]), lambda p: (at(p) >= 0) & (F.abs(at(p) - F.col("start")) < PHRASE_REACH)), F.lit(1))
@@ -265,10 +272,16 @@ def uncatalogued_skills(df: DataFrame, known: DataFrame, key: str, limit: int =
     return first.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("rn") <= limit).select(key, "skill")
 
 
-def _segments(rows: Column, opens: Callable[[Column], Column]) -> Column:
-    """An array of lines as (head, body): one per line that opens, and what stands before the first (head null)."""
-    at = F.filter(F.transform(rows, lambda s, i: F.when(opens(s), i)), lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(-1)), at)
+def _starts(rows: str, opens: Callable[[Column], Column]) -> Column:
+    """-1 and the places of the lines that open a segment."""
+    return F.concat(F.array(F.lit(-1)), F.filter(F.transform(rows, lambda s, i: F.when(opens(s), i)), lambda i: i.isNotNull()))
+
+
+def _segments(rows: str, starts: str) -> Column:
+    """An array of lines as (head, body): one per line that opens, and what stands before the first (head null).
+
+    Here and below what a function of elements needs of the whole row is a column of its own: in the function it would be worked out for each element.
+    """
 
     def cut(i: Column, j: Column) -> Column:
         end = F.coalesce(F.get(starts, j + 1), F.size(rows))
@@ -279,7 +292,7 @@ def _segments(rows: Column, opens: Callable[[Column], Column]) -> Column:
 
 def _from_bullet(body: Column) -> Column:
     """The lines from the first bullet on."""
-    at = F.array_position(F.transform(body, lambda s: s.rlike("^[-•*◦]")), F.lit(True)).cast("int")
+    at = F.array_position(F.transform(body, lambda s: F.substring(s, 1, 1).isin("-", "•", "*", "◦")), F.lit(True)).cast("int")
     return F.when(at > 0, F.slice(body, at, F.size(body))).otherwise(F.array().cast("array<string>"))
 
 
@@ -290,40 +303,40 @@ def _none(c: Column) -> Column:
 AT, DASH = r"^(.+?)\s+at\s+(.+?)(?:\s*[-–|]\s*.*)?$", r"^(.+?)\s*[-–|]\s*(.+?)(?:\s*[-–|]\s*.*)?$"
 
 
-def _experience(segments: str, as_of_year: int) -> Column:
-    """Entries (title, company, start_year, end_year, description) of segments; what bullets stand before the first entry describe it."""
-    stray = _from_bullet(F.get(segments, F.lit(0))["body"])
-    part = lambda pattern, c, n: _none(F.trim(F.regexp_extract(c, pattern, n)))
+def _experience(segments: str, stray: str, as_of_year: int) -> Column:
+    """Entries (title, company, start_year, end_year, description) of segments; what bullets stand before the first entry (stray) describe it."""
+    opened = F.transform(F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1))), lambda s: F.struct(s["head"].alias("head"), s["body"].alias("body"), F.trim(F.regexp_replace(s["head"], YEARS, "")).alias("bare"), F.lower(F.regexp_extract(s["head"], YEARS, 2)).alias("last")))
+    part = lambda s, pattern, n: F.trim(F.regexp_extract(s["bare"], pattern, n))
+    told = F.transform(opened, lambda s: F.struct(s.alias("s"), part(s, AT, 1).alias("at1"), part(s, AT, 2).alias("at2"), part(s, DASH, 1).alias("dash1"), part(s, DASH, 2).alias("dash2"), F.regexp_extract(s["head"], YEARS, 1).alias("first"), _from_bullet(s["body"]).alias("told")))
 
-    def entry(s: Column, j: Column) -> Column:
-        head, body = s["head"], s["body"]
-        bare = F.trim(F.regexp_replace(head, YEARS, ""))
-        last = F.lower(F.regexp_extract(head, YEARS, 2))
-        told = F.when((j == 0) & (F.size(stray) > 0), F.concat(stray, body)).otherwise(_from_bullet(body))
+    def entry(t: Column, j: Column) -> Column:
+        s = t["s"]
+        lines = F.when((j == 0) & (F.size(stray) > 0), F.concat(stray, s["body"])).otherwise(t["told"])
         return F.struct(
-            F.coalesce(part(AT, bare, 1), part(DASH, bare, 1), bare).alias("title"),
-            F.coalesce(part(AT, bare, 2), part(DASH, bare, 2)).alias("company"),
-            F.regexp_extract(head, YEARS, 1).try_cast("int").alias("start_year"),
-            F.when(last != "", F.coalesce(last.try_cast("int"), F.lit(as_of_year))).alias("end_year"),
-            _none(F.array_join(told, "\n")).alias("description"),
+            F.coalesce(_none(t["at1"]), _none(t["dash1"]), s["bare"]).alias("title"),
+            F.coalesce(_none(t["at2"]), _none(t["dash2"])).alias("company"),
+            t["first"].try_cast("int").alias("start_year"),
+            F.when(s["last"] != "", F.coalesce(s["last"].try_cast("int"), F.lit(as_of_year))).alias("end_year"),
+            _none(F.array_join(lines, "\n")).alias("description"),
         )
 
-    return F.transform(F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1))), entry)
+    return F.transform(told, entry)
 
 
 def _education(segments: str) -> Column:
     """Entries (degree, institution, end_year, gpa, description): a line that names a degree opens one; what stands before makes one of its own."""
-
-    def entry(s: Column) -> Column:
-        rest = F.filter(s["body"], lambda x: ~F.lower(x).contains("gpa"))
-        dated = F.array_position(F.transform(rest, lambda x: x.rlike("(?:19|20)\\d{2}")), F.lit(True)).cast("int")
-        other = F.filter(rest, lambda x, i: i + 1 != dated)
-        return F.struct(
-            s["head"].alias("degree"), F.get(other, F.lit(0)).alias("institution"), F.regexp_extract(F.get(rest, dated - 1), "((?:19|20)\\d{2})", 1).try_cast("int").alias("end_year"),
-            F.element_at(F.filter(F.concat(F.array(F.lit(None).cast("string")), s["body"]), lambda x: x.isNull() | F.lower(x).contains("gpa")), -1).alias("gpa"), F.get(other, F.lit(1)).alias("description"),
-        )
-
-    return F.transform(F.filter(segments, lambda s: s["head"].isNotNull() | (F.size(s["body"]) > 0)), entry)
+    some = F.filter(segments, lambda s: s["head"].isNotNull() | (F.size(s["body"]) > 0))
+    graded = lambda x: F.lower(x).contains("gpa")
+    rest = F.transform(some, lambda s: F.struct(s["head"].alias("head"), F.filter(s["body"], lambda x: ~graded(x)).alias("rest"), F.filter(s["body"], graded).alias("gpa")))
+    dated = F.transform(rest, lambda s: F.struct(s.alias("s"), F.array_position(F.transform(s["rest"], lambda x: x.rlike("(?:19|20)\\d{2}")), F.lit(True)).cast("int").alias("at")))
+    other = F.transform(dated, lambda d: F.struct(d["s"].alias("s"), F.get(d["s"]["rest"], d["at"] - 1).alias("year"), F.filter(d["s"]["rest"], lambda x, i: i + 1 != d["at"]).alias("other")))
+    return F.transform(
+        other,
+        lambda o: F.struct(
+            o["s"]["head"].alias("degree"), F.get(o["other"], F.lit(0)).alias("institution"), F.regexp_extract(o["year"], "((?:19|20)\\d{2})", 1).try_cast("int").alias("end_year"),
+            F.get(o["s"]["gpa"], F.size(o["s"]["gpa"]) - 1).alias("gpa"), F.get(o["other"], F.lit(1)).alias("description"),
+        ),
+    )
 
 
 def _highest(entries: str) -> Column:
@@ -350,12 +363,14 @@ def full_profiles(df: DataFrame, as_of_year: int, key: str = "candidate_id") ->
     rows = with_sections(df.select(key, F.when(ok, F.col("text")).alias("text"), F.when(ok, "completed").otherwise("failed").alias("status")))
     rows = extract_contacts(rows).withColumns({name: section_lines(name) for name in SECTIONS if name != "other"}).withColumn("full_name", extract_name("text"))
     spoken = norm_text(F.when(F.size("languages") > 0, F.array_join("languages", " ")).otherwise(text("text")))
-    rows = rows.withColumns({"_jobs": _segments(F.col("experience"), opens), "_schools": _segments(F.col("education"), degree)})
-    rows = rows.withColumns({"experience_entries": _experience("_jobs", as_of_year), "education_entries": _education("_schools")})
+    rows = rows.withColumns({"_spoken": spoken, "_jobs_at": _starts("experience", opens), "_schools_at": _starts("education", degree)})
+    rows = rows.withColumns({"_jobs": _segments("experience", "_jobs_at"), "_schools": _segments("education", "_schools_at")})
+    rows = rows.withColumn("_stray", _from_bullet(F.get("_jobs", F.lit(0))["body"]))
+    rows = rows.withColumns({"experience_entries": _experience("_jobs", "_stray", as_of_year), "education_entries": _education("_schools")})
     span = F.aggregate("experience_entries", F.lit(None).cast("double"), lambda a, e: F.coalesce(F.coalesce(a, F.lit(0.0)) + (e["end_year"] - e["start_year"]), a))
     stated = F.regexp_extract(text("text"), r"(?i)Total Years of Experience:\s*([\d.]+)", 1).try_cast("double")
     return rows.select(
-        key, "status", "full_name", "email", "phone", "location", F.filter(F.array(*[F.lit(w) for w in sorted(LANGUAGE_WORDS)]), lambda w: F.regexp_like(spoken, F.concat(F.lit("\\b"), w, F.lit("\\b")))).alias("languages"),
+        key, "status", "full_name", "email", "phone", "location", F.array_compact(F.array(*[F.when(F.col("_spoken").rlike(rf"\b{w}\b"), w) for w in sorted(LANGUAGE_WORDS)])).alias("languages"),
         "experience", "experience_entries", F.coalesce(span, stated).alias("total_years"), "education", "education_entries", _highest("education_entries").alias("highest_degree"), "projects",
         _none(F.array_join("summary", "\n")).alias("summary"),
     )
@@ -364,9 +379,10 @@ def full_profiles(df: DataFrame, as_of_year: int, key: str = "candidate_id") ->
 def profiles_with_skills(df: DataFrame, catalog: DataFrame, aliases: DataFrame, as_of_year: int, key: str = "candidate_id") -> DataFrame:
     """full_profiles with skills_detailed (skill, status, level, years, confidence, context), skills, negative_skills, learning_skills and
     uncatalogued_skills, all sorted by name."""
+    df = settled(spread(df.select(key, "text"), key), "texts")
     ok = df.where(parseable("text"))
     known = names(catalog, aliases)
-    told = skill_mentions(sentences(ok, key), known, key)
+    told = skill_mentions(pieces(ok, key), known, key)
     # named in the text but in none of its sentences, as across a line's end
     none = {"pos": F.lit(1 << 30), "status": F.lit("unknown"), "level": F.lit(None).cast("string"), "years": F.lit(None).cast("double"), "confidence": F.lit(0.5), "context": F.lit(None).cast("string")}
     details = best_skill_detail(told.unionByName(extract_skills(ok, catalog, aliases, key).withColumns(none)), key)
