@@ -258,9 +258,10 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _wide(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (row, further columns, text) with the text's fingerprint in its place."""
     for b in batches:
-        fp = [wide_fingerprint(words(t), k).tobytes() for t in texts(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], names=["row", "fp"])
+        fp = [wide_fingerprint(words(t), k).tobytes() for t in texts(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.binary())], names=[*b.schema.names[:-1], "fp"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,9 +427,10 @@ def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"x": F.least(x, y), "y": F.greatest(x, y)}).where("x < y").drop("g_a", "g_b")
 
 
-def _sets_of(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(row, shingles) of the nodes (row), a table of its own, so that its size decides how it is joined."""
-    return through_disk(rows.join(nodes, "row").select("row", "text").mapInArrow(lambda it: released(_sets(it, k)), "row long, shingles binary"), "shingles")
+def _sets_of(rows: DataFrame, nodes: DataFrame, k: int, repeated: bool) -> DataFrame:
+    """(row, shingles) of the nodes (row), once each, a table of its own, so that its size decides how it is joined."""
+    found = rows.join(nodes, "row").select("row", "text").mapInArrow(lambda it: released(_sets(it, k)), "row long, shingles binary")
+    return through_disk(found.dropDuplicates(["row"]) if repeated else found, "shingles")
 
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -437,7 +439,7 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return saved(components(stars.unionByName(links.select("a", "b"))))
 
 
-def _decided(rows: DataFrame, pairs: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
+def _decided(rows: DataFrame, pairs: DataFrame, links: DataFrame, k: int, similarity: float, repeated: bool) -> DataFrame:
     """links, and those of the unsure pairs (a, b, bits) that hold, as components (node, component).
 
     First every component's nearest pair to another one is verified, and then all that are still between two components.
@@ -446,7 +448,7 @@ def _decided(rows: DataFrame, pairs: DataFrame, links: DataFrame, k: int, simila
     found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
     left = through_disk(_labelled(found, groups).select("a", "b", "bits"), "unsure")
     ends = through_disk(left.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
-    some = _sets_of(rows, ends, k)
+    some = _sets_of(rows, ends, k, repeated)
     one, two = some.select(F.col("row").alias("a"), F.col("shingles").alias("left")), some.select(F.col("row").alias("b"), F.col("shingles").alias("right"))
     for nearest in (True, False):
         now = saved(_labelled(left, groups))
@@ -490,16 +492,20 @@ def _tested(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 
 
 def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, component) of each of rows (row, text), row unique: groups of texts with similar sets of word shingles.
+    """Each of rows (row, text, ..) with its component in place of its text: groups of texts with similar sets of word shingles.
 
+    Rows of one number (row, a long) have one text; rows are read several times, so they should come from a table.
     Equal fingerprints, and those that differ in SURE bits at most, are linked; pairs of up to MAYBE bits are linked if their
     shingles' cosine is as given. Every such pair of a band is decided, unless links have put its ends together. A key with few
     pairs lists them. One with many lists a spanning forest, for the links that are found soonest; what that leaves apart is
     tested where the key's rows lie, with their shingles beside them, so that of a large group only links are given out.
     """
     arrow_batches(rows.sparkSession)
+    others = [c for c in rows.columns if c not in ("row", "text")]
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
+    prints = through_disk(rows.select("row", *others, "text").mapInArrow(lambda it: released(_wide(it, k)), f"row long, {kinds}fp binary"), "wide")
     rows = rows.select("row", "text")
-    prints = through_disk(rows.mapInArrow(lambda it: released(_wide(it, k)), "row long, fp binary"), "wide")
+    repeated = not prints.groupBy("row").count().where("count > 1").isEmpty()
     nodes = saved(prints.groupBy("fp").agg(F.min("row").alias("node")))
     table = nodes.mapInArrow(_with_pivots, "fp binary, node long")
     # an eighth of the fingerprints tells the large keys, whose chunks need no exact size: most keys hold few rows, which no count combines
@@ -507,29 +513,35 @@ def similar_rows(rows: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFr
     keyed = dealt(table.mapInArrow(_bands, "key long, node long, fp binary"), "node", HOT_BAND, some, COUNTED)
     with arrow_rows(rows.sparkSession, BAND_ROWS):
         found = through_disk(keyed.mapInArrow(lambda it: released(_candidates(it)), "key long, a long, b long, bits int, fp binary"), "candidates")
-    groups = _decided(rows, found.where("bits > 0").select("a", "b", "bits"), found.where("bits = 0").select("a", "b"), k, similarity)
+    groups = _decided(rows, found.where("bits > 0").select("a", "b", "bits"), found.where("bits = 0").select("a", "b"), k, similarity, repeated)
     again = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "fp").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"), "fp")
     apart = again.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     again = through_disk(again.join(through_disk(apart, "apart"), "key", "left_semi"), "again")
     if not again.isEmpty():
-        some = _sets_of(rows, again.select(F.col("node").alias("row")).distinct(), k).withColumnRenamed("row", "node")
+        some = _sets_of(rows, again.select(F.col("node").alias("row")).distinct(), k, repeated).withColumnRenamed("row", "node")
         held = again.join(some, "node").select("key", "node", "label", "fp", "shingles").repartition("key").sortWithinPartitions("key")
         groups = _joined(groups, through_disk(held.mapInArrow(lambda it: released(_tested(it, similarity)), "a long, b long"), "tested"))
     classes = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(classes, "fp").select("row", "component")
+    return prints.join(classes, "fp").select("row", *others, "component")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of similar texts: that with the smallest id (nulls last), of equal ids one.
 
     A null text counts as empty; texts without words form one group; repeated rows are copies; an empty table stays empty;
-    all columns are kept.
+    all columns are kept. Rows are told apart by the 64-bit hash of id and text, so that no text is written; docs is read
+    several times, so it should be a table.
     """
-    keyed = through_disk(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = similar_rows(keyed.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text")), k, similarity)
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
-    placed = saved(keyed.select("_row", id_col).join(found.withColumnRenamed("row", "_row"), "_row"))
-    first = placed.groupBy("component").agg(F.min_by("_row", order).alias("_row")).select("_row")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    placed = saved(similar_rows(rows, k, similarity))
+    first = placed.groupBy("component").agg(F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("_row"))
+    first = through_disk(first.select("_row"), "first")
+    of_first = placed.select(F.col("row").alias("_row"))
     # the rows that go are a table of their own: if it is small it is broadcast and no text moves
-    copies = through_disk(placed.select("_row").join(first, "_row", "left_anti"), "copies")
-    return keyed.join(copies, "_row", "left_anti").drop("_row")
+    copies = through_disk(of_first.join(first, "_row", "left_anti").distinct(), "copies")
+    again = through_disk(of_first.join(first, "_row", "left_semi").groupBy("_row").count().where("count > 1").select("_row"), "repeated")
+    kept = docs.withColumn("_row", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text)).join(copies, "_row", "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, "_row", "left_anti").unionByName(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.drop("_row")
