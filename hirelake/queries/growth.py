@@ -626,8 +626,7 @@ def e20_knowledge_match(fx: Fixtures) -> DataFrame:
     known = V.knowledge_skills(defined, told, KNOWN_AT)
     # what a candidate has is left out before the jobs are met, so that no pair is shuffled
     left = S.settled(known.join(fx.fx_candidate_skills.select("candidate_id", "skill"), ["candidate_id", "skill"], "left_anti"), "known")
-    met = left.join(M.needing(fx.fx_job_skills).where("required"), "skill")
-    return met.select(F.explode("jobs").alias("job_id"), "candidate_id", "skill", F.lit(0.6).alias("confidence"))
+    return M.given_out(left, "skill", M.needing(fx.fx_job_skills).where("required")).select("job_id", "candidate_id", "skill", F.lit(0.6).alias("confidence"))
 
 
 @query("fx_tasks", "SELECT task_id, owner_id, CASE WHEN owner_id % 2 = 0 THEN status ELSE 'pending' END AS status FROM (SELECT task_id, owner_id, status FROM fx_tasks)")
