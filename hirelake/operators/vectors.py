@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ QUERY_BLOCK_BYTES = 16_000_000
 #: Scores that a task holds at once, and queries that it takes at a time.
 SCORE_CELLS = 1 << 20
 QUERIES_AT_ONCE = 1 << 12
+#: Words of definitions that go to the tasks at once (some 30 MB).
+WORDS_AT_ONCE = 1 << 18
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +118,22 @@ def semantic_scores_by(jobs: DataFrame, cands: DataFrame, label: str) -> DataFra
 def knowledge_skills(definitions: DataFrame, texts: DataFrame, least: float = 0.75) -> DataFrame:
     """(candidate_id, skill): texts (candidate_id, text) that are like a skill's definition (skill, definition) by their words.
 
-    Words meet in an equi join, so that a pair without a common word costs nothing; twice the share of the definition's
-    words that a text holds must be above `least`.
+    Words meet in an equi join, so that a pair without a common word costs nothing; twice the share of the definition's words that a
+    text holds must be above `least`. The definitions' words go to the texts, WORDS_AT_ONCE at a time with a pass over the texts for each
+    part, so that common words are never brought together and a text's words are counted where it lies.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z0-9+#.-]{2,}"), F.lit(0)))
-    wanted = definitions.select("skill", words("definition").alias("w")).select("skill", F.size("w").alias("size"), F.explode("w").alias("word"))
+    # a table first: otherwise the words of all documents are sought before those of definitions are chosen
+    defined = settled(definitions.select("skill", "definition"), "definitions").select("skill", words("definition").alias("w"))
+    parts = -(-(defined.agg(F.sum(F.size("w"))).first()[0] or 1) // WORDS_AT_ONCE)
+    wanted = settled(defined.select("skill", F.size("w").alias("size"), F.pmod(F.xxhash64("skill"), F.lit(parts)).alias("part"), F.explode("w").alias("word")), "words")
     have = texts.select("candidate_id", F.explode(words("text")).alias("word"))
-    both = have.join(wanted, "word").groupBy("candidate_id", "skill", "size").agg(F.count("*").alias("n"))
-    return both.where(F.least(F.lit(1.0), 2.0 * F.col("n") / F.col("size")) > least).select("candidate_id", "skill")
+    found = []
+    for i in range(parts):
+        some = wanted.where(F.col("part") == i).drop("part")
+        both = have.join(F.broadcast(some), "word").groupBy("candidate_id", "skill", "size").agg(F.count("*").alias("n"))
+        found.append(both.where(F.least(F.lit(1.0), 2.0 * F.col("n") / F.col("size")) > least).select("candidate_id", "skill"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def knn(queries: DataFrame, vecs: DataFrame, k: int, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:

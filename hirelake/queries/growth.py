@@ -621,7 +621,9 @@ KNOWN_AT = 0.3
 )
 def e20_knowledge_match(fx: Fixtures) -> DataFrame:
     """Required skills that nothing else shows, weakly matched where a candidate's answers are like the skill's definition."""
-    defined = V.skill_definitions(fx.skill_vocab, fx.fx_knowledge).select("skill", "doc_id").join(fx.fx_knowledge.select("doc_id", F.col("content").alias("definition")), "doc_id")
+    # of known size, so that the documents aren't shuffled where the skills are few
+    best = S.settled(V.skill_definitions(fx.skill_vocab, fx.fx_knowledge).select("skill", "doc_id"), "best")
+    defined = best.join(fx.fx_knowledge.select("doc_id", F.col("content").alias("definition")), "doc_id")
     told = fx.fx_answers.groupBy("candidate_id").agg(F.concat_ws(" ", F.collect_list("answer")).alias("text"))
     known = V.knowledge_skills(defined, told, KNOWN_AT)
     # what a candidate has is left out before the jobs are met, so that no pair is shuffled
